@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from . import token_counts
+from . import decontaminate, token_counts
 
 QUERIES = {
+    "op4_decontamination": decontaminate.query,
     "op9_token_counts": token_counts.query,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op4_decontamination": decontaminate.ORACLE,
+}
