@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from . import decontaminate, token_counts
+from . import ann, decontaminate, token_counts, warc
 
 QUERIES = {
+    "op3_warc": warc.query,
     "op4_decontamination": decontaminate.query,
+    "op5_ann": ann.query,
     "op9_token_counts": token_counts.query,
 }
 
 ORACLES: dict[str, str] = {
+    "op3_warc": warc.ORACLE,
     "op4_decontamination": decontaminate.ORACLE,
 }
