@@ -91,7 +91,7 @@ def write_archives(records: DataFrame, folder: str) -> DataFrame:
             for page_id, url, html, n_bytes, digest, refers_to in zip(*cols, strict=True):
                 if out is None:
                     name, size, n = f"{root}/{uuid.uuid4().hex}.warc.gz", 0, 0
-                    out = fs.open_output_stream(name)
+                    out = fs.open_output_stream(name, compression=None)
                     size += out.write(_member([("WARC-Type", "warcinfo"), ("WARC-Record-ID", f"<urn:uuid:{uuid.uuid4()}>"), ("WARC-Date", "2024-01-01T00:00:00Z"), ("Content-Type", "application/warc-fields")], b"format: WARC File Format 1.1\r\n"))
                 size += out.write(record(page_id, url, None if html is None else html.encode(), n_bytes, digest, refers_to))
                 n += 1
