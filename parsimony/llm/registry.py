@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import ann, decontaminate, token_counts, warc
+from . import ann, decontaminate, pii, token_counts, warc
 
 QUERIES = {
+    "op2_pii": pii.query,
     "op3_warc": warc.query,
     "op4_decontamination": decontaminate.query,
     "op5_ann": ann.query,
