@@ -46,19 +46,19 @@ WORDS = {
     "phone": "phone|tel|call|mobile|fax|cell|ring",
 }
 NOT_WORDS = "version|isbn|order|invoice|page|chapter|section|serial|build"
-SPAN = "array<struct<m string, s int, e int>>"
+#: A match, its place, up to 32 characters in front of it and the one behind it.
+SPAN = "array<struct<m string, s int, e int, b string, n string>>"
 ROUNDS = 25
 _LABELERS = 4
 
 
-def _spans(pattern: str, needs: str) -> str:
-    """SQL: all leftmost matches with their places, from the pieces between them."""
-    found, pieces = f"regexp_extract_all(text, r'{pattern}', 0)", f"split(text, r'{pattern}', -1)"
-    fold = (
-        f"aggregate(zip_with({found}, {pieces}, (m, p) -> named_struct('m', m, 'p', p)), named_struct('at', 0, 'out', cast(array() as {SPAN})), "
-        "(a, x) -> if(x.m is null, a, named_struct('at', a.at + length(x.p) + length(x.m), 'out', concat(a.out, array(named_struct('m', x.m, 's', a.at + length(x.p), 'e', a.at + length(x.p) + length(x.m)))))), a -> a.out)"
-    )
-    return f"CASE WHEN {needs} THEN {fold} ELSE cast(array() as {SPAN}) END"
+def _spans(k: str) -> str:
+    """SQL: the matches in f_<k> with their places, from the pieces between them in p_<k>. Done in chunks, so that long lists are not copied for each match."""
+    m, p = f"element_at(f_{k}, i)", f"element_at(p_{k}, i)"
+    x = f"named_struct('m', {m}, 's', st.at + length({p}), 'e', st.at + length({p}) + length({m}), 'b', lower(right({p}, 32)), 'n', left(element_at(p_{k}, i + 1), 1))"
+    step = f"named_struct('at', st.at + length({p}) + length({m}), 'done', if(size(st.cur) < 100, st.done, concat(st.done, array(st.cur))), 'cur', if(size(st.cur) < 100, concat(st.cur, array({x})), array({x})))"
+    fold = f"aggregate(sequence(1, size(f_{k})), named_struct('at', 0, 'done', cast(array() as array<{SPAN}>), 'cur', cast(array() as {SPAN})), (st, i) -> {step}, st -> concat(flatten(st.done), st.cur))"
+    return f"CASE WHEN size(f_{k}) > 0 THEN {fold} ELSE cast(array() as {SPAN}) END"
 
 
 _DIGITS = "translate(x.m, '+ ().-', '')"
@@ -74,8 +74,12 @@ CHECKS = {
 
 def with_base(docs: DataFrame) -> DataFrame:
     """docs with text never null, all_<kind> (matches) and base_<kind> (those that pass the check)."""
-    out = docs.withColumn("text", F.coalesce("text", F.lit("")))
-    out = out.select("*", *(F.expr(_spans(BASE[k], _NEEDS[k])).alias(f"all_{k}") for k in KINDS), *(F.expr(_spans(WIDE[k], _WIDE_NEEDS[k])).alias(f"wide_{k}") for k in WIDE))
+    out, names = docs.withColumn("text", F.coalesce("text", F.lit(""))), [c for c in docs.columns if c != "text"]
+    patterns = [(k, BASE[k], _NEEDS[k]) for k in KINDS] + [(f"wide_{k}", WIDE[k], _WIDE_NEEDS[k]) for k in WIDE]
+    found = [F.expr(f"CASE WHEN {needs} THEN regexp_extract_all(text, r'{p}', 0) ELSE cast(array() as array<string>) END").alias(f"f_{k}") for k, p, needs in patterns]
+    out = out.select(*names, "text", *found)
+    out = out.select("*", *(F.expr(f"CASE WHEN size(f_{k}) > 0 THEN split(text, r'{p}', -1) END").alias(f"p_{k}") for k, p, _ in patterns))
+    out = out.select(*names, "text", *(F.expr(_spans(k)).alias(k if k in (f"wide_{x}" for x in WIDE) else f"all_{k}") for k, _, _ in patterns))
     return out.select("*", *(F.expr(f"filter(all_{k}, x -> {CHECKS[k]})").alias(f"base_{k}") for k in KINDS))
 
 
@@ -94,15 +98,16 @@ _LISTED = {
 
 
 def with_candidates(based: DataFrame) -> DataFrame:
-    """based with cands: kind, s, e, votes (of -1, 0, 1) and feats (buckets) of every match, base or not."""
-    before, after = "lower(substring(text, greatest(x.s - 32, 0) + 1, least(x.s, 32)))", "substring(text, x.e + 1, 1)"
+    """based with cands: kind, s, e, base (whether it is a base span), votes (of -1, 0, 1) and feats (buckets) of every match, base or not."""
+    before, after = "x.b", "x.n"
     parts = []
     for k in KINDS:
         votes = f"array({_STRICT[k]}, {_LISTED[k]}, CASE WHEN {before} rlike r'{NOT_WORDS}' THEN -1 WHEN {before} rlike r'{WORDS[k]}' THEN 1 ELSE 0 END, if({before} rlike r'[a-z0-9._-]$' OR {after} rlike r'[A-Za-z0-9]', -1, 1))"
         shape = "CASE WHEN x.m rlike r'^[0-9]+$' THEN 'digits' WHEN contains(x.m, '@') THEN 'at' WHEN startswith(x.m, '+') THEN 'plus' WHEN x.m rlike r'[A-Za-z]' THEN 'letters' WHEN contains(x.m, '.') THEN 'dots' ELSE 'parted' END"
         feats = f"array({shape}, string(least(length(x.m) div 4, 8)), string(least(length({_DIGITS}), 20) div 2), if({before} rlike r'[:=(<\"] ?$', 'marked', 'plain'))"
         source = f"concat(all_{k}, wide_{k})" if k in WIDE else f"all_{k}"
-        parts.append(f"transform(filter({source}, x -> x.e - x.s < 400 AND x.e - x.s > 5), x -> named_struct('kind', '{k}', 's', x.s, 'e', x.e, 'votes', {votes}, 'feats', {feats}))")
+        check = "contains(x.m, '@')" if k == "email" else f"startswith(x.m, '+') AND {CHECKS[k]}" if k == "phone" else CHECKS[k]
+        parts.append(f"transform(filter({source}, x -> x.e - x.s < 400 AND x.e - x.s > 5), x -> named_struct('kind', '{k}', 's', x.s, 'e', x.e, 'base', {check}, 'votes', {votes}, 'feats', {feats}))")
     return based.withColumn("cands", F.expr(f"concat({', '.join(parts)})"))
 
 
@@ -136,11 +141,11 @@ def detect(docs: DataFrame, weights: dict[str, float]) -> DataFrame:
         score = "aggregate(transform(c.feats, (f, j) -> w[concat(c.kind, '|', j, '|', f)]), coalesce(w[concat(c.kind, '|prior')], -1D), (a, x) -> a + coalesce(x, 0D))"
         number = "CASE c.kind " + " ".join(f"WHEN '{k}' THEN {i}" for i, k in enumerate(KINDS)) + " END"
         out = out.withColumn("w", F.expr(f"map_from_arrays(array({keys}), array({values}))"))
-        more = f"transform(filter(cands, c -> NOT exists(base, b -> b.s < c.e AND c.s < b.e) AND {score} >= 0), c -> named_struct('k', {number}, 's', c.s, 'e', c.e))"
-        out = out.withColumn("more", F.when(F.size("cands") > F.size("base"), F.expr(more)).otherwise(F.expr("cast(array() as array<struct<k int, s int, e int>>)")))
+        more = f"transform(filter(cands, c -> NOT c.base AND {score} >= 0 AND NOT exists(base, b -> b.s < c.e AND c.s < b.e)), c -> named_struct('k', {number}, 's', c.s, 'e', c.e))"
+        out = out.withColumn("more", F.when(F.exists("cands", lambda c: ~c.base), F.expr(f"array_distinct({more})")).otherwise(F.expr("cast(array() as array<struct<k int, s int, e int>>)")))
     else:
         out = out.withColumn("more", F.expr("cast(array() as array<struct<k int, s int, e int>>)"))
-    return out.withColumn("spans", F.array_sort(F.array_distinct(F.concat("base", "more"))))
+    return out.withColumn("spans", F.array_sort(F.concat("base", "more")))
 
 
 def _joined(spans: str) -> str:
