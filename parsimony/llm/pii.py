@@ -34,7 +34,7 @@ WIDE = {
 }
 #: Texts without these hold no match, which spares most of them the patterns.
 _NEEDS = {"email": "contains(text, '@')", "ip": "text rlike '[0-9]'", "card": "text rlike '[0-9]'", "phone": "contains(text, '+')"}
-_WIDE_NEEDS = {"email": r"text rlike r'[\[(]at[\])]| at [^ ]* dot | at [A-Za-z0-9-]*\\.'", "phone": "text rlike '[0-9]'"}
+_WIDE_NEEDS = {"email": r"text rlike r'[\[(]at[\])]| at [^ ]* dot | at [A-Za-z0-9-]*\.'", "phone": "text rlike '[0-9]'"}
 #: Gazetteers: endings of mail domains, issuers' first digits, calling codes.
 ENDINGS = "com|org|net|edu|gov|io|co|info|biz|uk|de|fr|es|eu|us|ch|at|it|nl|example|test"
 ISSUERS = "4|5[1-5]|2[2-7]|3[47]|6011|65|35|30|36|38"
@@ -52,13 +52,22 @@ ROUNDS = 25
 _LABELERS = 4
 
 
-def _spans(k: str) -> str:
-    """SQL: the matches in f_<k> with their places, from the pieces between them in p_<k>. Done in chunks, so that long lists are not copied for each match."""
-    m, p = f"element_at(f_{k}, i)", f"element_at(p_{k}, i)"
-    x = f"named_struct('m', {m}, 's', st.at + length({p}), 'e', st.at + length({p}) + length({m}), 'b', lower(right({p}, 32)), 'n', left(element_at(p_{k}, i + 1), 1))"
-    step = f"named_struct('at', st.at + length({p}) + length({m}), 'done', if(size(st.cur) < 100, st.done, concat(st.done, array(st.cur))), 'cur', if(size(st.cur) < 100, concat(st.cur, array({x})), array({x})))"
-    fold = f"aggregate(sequence(1, size(f_{k})), named_struct('at', 0, 'done', cast(array() as array<{SPAN}>), 'cur', cast(array() as {SPAN})), (st, i) -> {step}, st -> concat(flatten(st.done), st.cur))"
-    return f"CASE WHEN size(f_{k}) > 0 THEN {fold} ELSE cast(array() as {SPAN}) END"
+def _sum(array: str) -> str:
+    return f"aggregate({array}, 0, (a, x) -> a + x)"
+
+
+def _with_places(df: DataFrame, k: str, out: str) -> DataFrame:
+    """Adds SPAN column `out`: the matches in f_<k> with their places, from the pieces between them in p_<k>.
+
+    Lengths are summed in chunks of 64, so that long lists need no sum over all that precedes for each match.
+    """
+    df = df.withColumn(f"l_{k}", F.expr(f"transform(f_{k}, (m, i) -> length(element_at(p_{k}, i + 1)) + length(m))"))
+    df = df.withColumn(f"h_{k}", F.expr(f"CASE WHEN size(l_{k}) > 0 THEN transform(sequence(0, (size(l_{k}) - 1) div 64), c -> {_sum(f'slice(l_{k}, 64 * c + 1, 64)')}) END"))
+    df = df.withColumn(f"g_{k}", F.expr(f"transform(h_{k}, (s, c) -> {_sum(f'slice(h_{k}, 1, c)')})"))
+    start = f"element_at(g_{k}, int(i div 64) + 1) + {_sum(f'slice(l_{k}, 64 * (i div 64) + 1, i % 64)')} + length(element_at(p_{k}, i + 1))"
+    placed = f"transform(f_{k}, (m, i) -> named_struct('m', m, 's', int({start}), 'i', i))"
+    full = f"transform({placed}, x -> named_struct('m', x.m, 's', x.s, 'e', x.s + length(x.m), 'b', lower(right(element_at(p_{k}, x.i + 1), 32)), 'n', left(element_at(p_{k}, x.i + 2), 1)))"
+    return df.withColumn(out, F.expr(f"CASE WHEN size(f_{k}) > 0 THEN {full} ELSE cast(array() as {SPAN}) END")).drop(f"f_{k}", f"p_{k}", f"l_{k}", f"h_{k}", f"g_{k}")
 
 
 _DIGITS = "translate(x.m, '+ ().-', '')"
@@ -79,7 +88,8 @@ def with_base(docs: DataFrame) -> DataFrame:
     found = [F.expr(f"CASE WHEN {needs} THEN regexp_extract_all(text, r'{p}', 0) ELSE cast(array() as array<string>) END").alias(f"f_{k}") for k, p, needs in patterns]
     out = out.select(*names, "text", *found)
     out = out.select("*", *(F.expr(f"CASE WHEN size(f_{k}) > 0 THEN split(text, r'{p}', -1) END").alias(f"p_{k}") for k, p, _ in patterns))
-    out = out.select(*names, "text", *(F.expr(_spans(k)).alias(k if k in (f"wide_{x}" for x in WIDE) else f"all_{k}") for k, _, _ in patterns))
+    for k, _, _ in patterns:
+        out = _with_places(out, k, k if k.startswith("wide") else f"all_{k}")
     return out.select("*", *(F.expr(f"filter(all_{k}, x -> {CHECKS[k]})").alias(f"base_{k}") for k in KINDS))
 
 
