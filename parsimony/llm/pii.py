@@ -62,12 +62,13 @@ def _with_places(df: DataFrame, k: str, out: str) -> DataFrame:
     Lengths are summed in chunks of 64, so that long lists need no sum over all that precedes for each match.
     """
     df = df.withColumn(f"l_{k}", F.expr(f"transform(f_{k}, (m, i) -> length(element_at(p_{k}, i + 1)) + length(m))"))
-    df = df.withColumn(f"h_{k}", F.expr(f"CASE WHEN size(l_{k}) > 0 THEN transform(sequence(0, (size(l_{k}) - 1) div 64), c -> {_sum(f'slice(l_{k}, 64 * c + 1, 64)')}) END"))
+    df = df.withColumn(f"c_{k}", F.expr(f"CASE WHEN size(l_{k}) > 0 THEN transform(sequence(0, int((size(l_{k}) - 1) div 64)), c -> slice(l_{k}, 64 * c + 1, 64)) END"))
+    df = df.withColumn(f"h_{k}", F.expr(f"transform(c_{k}, c -> {_sum('c')})"))
     df = df.withColumn(f"g_{k}", F.expr(f"transform(h_{k}, (s, c) -> {_sum(f'slice(h_{k}, 1, c)')})"))
-    start = f"element_at(g_{k}, int(i div 64) + 1) + {_sum(f'slice(l_{k}, 64 * (i div 64) + 1, i % 64)')} + length(element_at(p_{k}, i + 1))"
+    start = f"element_at(g_{k}, int(i div 64) + 1) + {_sum(f'slice(element_at(c_{k}, int(i div 64) + 1), 1, i % 64)')} + length(element_at(p_{k}, i + 1))"
     placed = f"transform(f_{k}, (m, i) -> named_struct('m', m, 's', int({start}), 'i', i))"
     full = f"transform({placed}, x -> named_struct('m', x.m, 's', x.s, 'e', x.s + length(x.m), 'b', lower(right(element_at(p_{k}, x.i + 1), 32)), 'n', left(element_at(p_{k}, x.i + 2), 1)))"
-    return df.withColumn(out, F.expr(f"CASE WHEN size(f_{k}) > 0 THEN {full} ELSE cast(array() as {SPAN}) END")).drop(f"f_{k}", f"p_{k}", f"l_{k}", f"h_{k}", f"g_{k}")
+    return df.withColumn(out, F.expr(f"CASE WHEN size(f_{k}) > 0 THEN {full} ELSE cast(array() as {SPAN}) END")).drop(f"f_{k}", f"p_{k}", f"l_{k}", f"c_{k}", f"h_{k}", f"g_{k}")
 
 
 _DIGITS = "translate(x.m, '+ ().-', '')"
