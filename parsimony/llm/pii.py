@@ -49,6 +49,8 @@ NOT_WORDS = "version|isbn|order|invoice|page|chapter|section|serial|build"
 #: A match, its place, up to 32 characters in front of it and the one behind it.
 SPAN = "array<struct<m string, s int, e int, b string, n string>>"
 ROUNDS = 25
+#: Log odds that a further span needs.
+THRESHOLD = 1.0
 _LABELERS = 4
 
 
@@ -127,13 +129,16 @@ def fit(docs: DataFrame) -> dict[str, float]:
     cells = with_candidates(with_base(docs.select("text"))).select(F.explode("cands").alias("c")).groupBy("c.kind", "c.votes", "c.feats").agg(F.count("*").cast("double").alias("n"))
     cells = stored(cells, "pii-cells")
     patterns = cells.groupBy("kind", "votes").agg(F.sum("n").alias("n")).groupBy("kind").agg(F.collect_list(F.struct("votes", "n")).alias("cells"))
-    like = lambda t: f"aggregate(sequence(0, {_LABELERS - 1}), 1D, (a, j) -> a * element_at(st.{t}, 3 * j + c.votes[j] + 2))"
+    size, places = 3 * _LABELERS, range(_LABELERS)
+    like = lambda t: " * ".join(f"element_at(st.{t}, {3 * j + 2} + c.votes[{j}])" for j in places)
     post = f"(st.pi * {like('p')} / (st.pi * {like('p')} + (1 - st.pi) * {like('q')}))"
-    total = lambda w: f"aggregate(cells, 0D, (a, c) -> a + {w})"
-    table = lambda w: f"transform(sequence(0, {3 * _LABELERS - 1}), k -> ({total(f'if(c.votes[k div 3] + 1 = k % 3, {w}, 0D)')} + 0.5D) / ({total(w)} + 1.5D))"
-    rel, irr = f"c.n * {post}", f"c.n * (1 - {post})"
-    start = f"named_struct('pi', 0.5D, 'p', transform(sequence(0, {3 * _LABELERS - 1}), k -> element_at(array(0.1D, 0.3D, 0.6D), k % 3 + 1)), 'q', transform(sequence(0, {3 * _LABELERS - 1}), k -> element_at(array(0.6D, 0.3D, 0.1D), k % 3 + 1)))"
-    model = f"aggregate(sequence(1, {ROUNDS}), {start}, (st, i) -> named_struct('pi', ({total(rel)} + 1D) / ({total('c.n')} + 2D), 'p', {table(rel)}, 'q', {table(irr)}))"
+    total = lambda w: f"aggregate(r, 0D, (a, c) -> a + {w})"
+    table = lambda w: f"transform(sequence(0, {size - 1}), k -> ({total(f'if(c.votes[int(k div 3)] + 1 = k % 3, {w}, 0D)')} + 0.5D) / ({total(w)} + 1.5D))"
+    vague = lambda *x: f"transform(sequence(0, {size - 1}), k -> element_at(array({', '.join(f'{y}D' for y in x)}), k % 3 + 1))"
+    start = f"named_struct('pi', 0.5D, 'p', {vague(0.1, 0.3, 0.6)}, 'q', {vague(0.6, 0.3, 0.1)})"
+    expected = f"transform(cells, c -> named_struct('votes', c.votes, 'n', c.n, 'y', c.n * {post}))"
+    maximised = f"named_struct('pi', ({total('c.y')} + 1D) / ({total('c.n')} + 2D), 'p', {table('c.y')}, 'q', {table('c.n - c.y')})"
+    model = f"aggregate(sequence(1, {ROUNDS}), {start}, (st, i) -> element_at(transform(array({expected}), r -> {maximised}), 1))"
     fitted = patterns.withColumn("st", F.expr(model)).select("kind", F.explode(F.expr(f"transform(cells, c -> named_struct('votes', c.votes, 'r', {post}))")).alias("x")).select("kind", "x.votes", "x.r")
     soft = cells.join(fitted, ["kind", "votes"]).withColumn("feats", F.concat(F.col("feats"), F.array(F.lit("prior"))))
     weights = soft.select("kind", F.posexplode("feats").alias("j", "value"), (F.col("n") * F.col("r")).alias("yes"), (F.col("n") * (1 - F.col("r"))).alias("no")).groupBy("kind", "j", "value").agg(F.sum("yes").alias("yes"), F.sum("no").alias("no"))
@@ -152,7 +157,7 @@ def detect(docs: DataFrame, weights: dict[str, float]) -> DataFrame:
         score = "aggregate(transform(c.feats, (f, j) -> w[concat(c.kind, '|', j, '|', f)]), coalesce(w[concat(c.kind, '|prior')], -1D), (a, x) -> a + coalesce(x, 0D))"
         number = "CASE c.kind " + " ".join(f"WHEN '{k}' THEN {i}" for i, k in enumerate(KINDS)) + " END"
         out = out.withColumn("w", F.expr(f"map_from_arrays(array({keys}), array({values}))"))
-        more = f"transform(filter(cands, c -> NOT c.base AND {score} >= 0 AND NOT exists(base, b -> b.s < c.e AND c.s < b.e)), c -> named_struct('k', {number}, 's', c.s, 'e', c.e))"
+        more = f"transform(filter(cands, c -> NOT c.base AND {score} >= {THRESHOLD}D AND NOT exists(base, b -> b.s < c.e AND c.s < b.e)), c -> named_struct('k', {number}, 's', c.s, 'e', c.e))"
         out = out.withColumn("more", F.when(F.exists("cands", lambda c: ~c.base), F.expr(f"array_distinct({more})")).otherwise(F.expr("cast(array() as array<struct<k int, s int, e int>>)")))
     else:
         out = out.withColumn("more", F.expr("cast(array() as array<struct<k int, s int, e int>>)"))
