@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import ann, decontaminate, pii, token_counts, warc
+from . import ann, decontaminate, packing, pii, token_counts, warc
 
 QUERIES = {
+    "op1_packing": packing.query,
     "op2_pii": pii.query,
     "op3_warc": warc.query,
     "op4_decontamination": decontaminate.query,
