@@ -23,7 +23,7 @@ from .common import blocks, column, id_and_text
 MODEL = "piece_bpe_32k.model"
 SPACE = "▁"
 #: Merged pre-tokens kept in a worker; beyond it the cache starts anew, counts stay the same.
-CACHE = 300_000
+CACHE = 1_000_000
 _RUNS = re.compile(" +[^ ]*")
 
 
