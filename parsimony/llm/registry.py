@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ann, decontaminate, packing, pii, token_counts, toxicity, warc
+from . import ann, decontaminate, minhash, packing, pii, token_counts, toxicity, warc
 
 QUERIES = {
     "op1_packing": packing.query,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_warc": warc.query,
     "op4_decontamination": decontaminate.query,
     "op5_ann": ann.query,
+    "op6_minhash": minhash.query,
     "op7_toxicity": toxicity.query,
     "op9_token_counts": token_counts.query,
 }
