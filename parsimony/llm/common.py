@@ -99,4 +99,4 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 def input_mb(df: DataFrame) -> float:
     """Size that the optimiser gives for a frame's files; grows with the input and reads nothing."""
-    return float(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString()) / 1e6
+    return float(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()) / 1e6

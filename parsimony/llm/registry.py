@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ann, decontaminate, minhash, packing, pii, token_counts, toxicity, warc
+from . import ann, decontaminate, minhash, packing, pii, suffix_dedup, token_counts, toxicity, warc
 
 QUERIES = {
     "op1_packing": packing.query,
@@ -12,6 +12,7 @@ QUERIES = {
     "op5_ann": ann.query,
     "op6_minhash": minhash.query,
     "op7_toxicity": toxicity.query,
+    "op8_suffix_dedup": suffix_dedup.query,
     "op9_token_counts": token_counts.query,
 }
 
