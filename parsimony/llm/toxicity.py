@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import blocks, column, text_buffer
+from .common import blocks, column, stored, text_buffer
 from .decontaminate import _TABLE
 
 #: Labelled rows from which terms, examples and calibration are learned.
@@ -74,18 +74,38 @@ def _texts(b: pa.RecordBatch) -> Iterator[list[bytes]]:
 
 
 def sample(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """doc_id, toxic, terms and their counts of at most SAMPLE training rows."""
+    """doc_id, toxic and text of at most SAMPLE training rows, stored."""
     known = labels.where("toxic is not null and doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").cast("int").alias("toxic"))
     ids = known.where(~held_out()).orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(ids), "doc_id").dropDuplicates(["doc_id"])
+    return stored(rows, "toxicity-sample")
+
+
+def term_documents(rows: DataFrame, known: frozenset | None = None) -> DataFrame:
+    """term and in how many of the rows' texts it stands, added up in each task first; only known terms, if given."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in blocks(batches):
+            df: Counter = Counter()
+            for words in _texts(b):
+                df.update(term_counts(words, known).keys())
+            yield pa.RecordBatch.from_arrays([pa.array(list(df), pa.binary()), pa.array(list(df.values()), pa.int64())], names=["term", "n"])
+
+    return rows.select("text").mapInArrow(run, "term binary, n long").groupBy("term").agg(F.sum("n").alias("n"))
+
+
+def example_terms(rows: DataFrame, terms: Terms) -> list[tuple[int, int, dict]]:
+    """doc_id, label and counts of the chosen terms of each sampled row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in blocks(batches):
-            terms = [term_counts(w) for w in _texts(b)]
-            arrays = [column(b, "doc_id"), column(b, "toxic"), pa.array([list(t) for t in terms], pa.list_(pa.binary())), pa.array([list(t.values()) for t in terms], pa.list_(pa.int32()))]
+            found = [terms.counts(w) or {} for w in _texts(b)]
+            arrays = [column(b, "doc_id"), column(b, "toxic"), pa.array([[terms.at[t] for t in c] for c in found], pa.list_(pa.int32())), pa.array([list(c.values()) for c in found], pa.list_(pa.int32()))]
             yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "toxic", "terms", "counts"])
 
-    return rows.mapInArrow(run, "doc_id long, toxic int, terms array<binary>, counts array<int>")
+    names = list(terms.at)
+    got = rows.mapInArrow(run, "doc_id long, toxic int, terms array<int>, counts array<int>").collect()
+    return [(r.doc_id, int(r.toxic > 0), {names[t]: n for t, n in zip(r.terms, r.counts, strict=True)}) for r in got]
 
 
 class Model:
@@ -162,26 +182,16 @@ def _g2(a: int, b: int, na: int, nb: int) -> float:
 
 def fit(docs: DataFrame, labels: DataFrame) -> Model:
     model, rows = Model(), sample(docs, labels)
-    toxic: Counter = Counter()
-    other: Counter = Counter()
     n = [0, 0]
-    # first the toxic examples: only terms that enough of them hold are counted in the others and kept
-    held: list[tuple[int, int, dict]] = []
-    for r in rows.where("toxic = 1").toLocalIterator():
-        n[1] += 1
-        c = dict(zip(map(bytes, r.terms), r.counts, strict=True))
-        toxic.update(c.keys())
-        held.append((r.doc_id, 1, c))
-    likely = frozenset(t for t, k in toxic.items() if k >= LEAST_DF)
-    held = [(i, y, {t: k for t, k in c.items() if t in likely}) for i, y, c in held]
-    for r in rows.where("toxic = 0").toLocalIterator():
-        n[0] += 1
-        c = {t: k for t, k in zip(map(bytes, r.terms), r.counts, strict=True) if t in likely}
-        other.update(c.keys())
-        held.append((r.doc_id, 0, c))
+    for r in rows.groupBy((F.col("toxic") > 0).cast("int").alias("y")).count().collect():
+        n[r.y] = r["count"]
     if not n[0] or not n[1]:
         model.rate = n[1] / max(1, sum(n))
         return model
+    # terms that enough toxic examples hold; only these are counted in the others
+    toxic = {bytes(r.term): r.n for r in term_documents(rows.where("toxic > 0")).where(F.col("n") >= LEAST_DF).collect()}
+    likely = frozenset(toxic)
+    other = Counter({bytes(r.term): r.n for r in term_documents(rows.where("toxic <= 0"), likely).collect()})
     strong = {t: g for t in likely if toxic[t] * n[0] > LEAST_RATIO * other[t] * n[1] and (g := _g2(toxic[t], other[t], n[1], n[0])) >= LEAST_G2}
     terms = sorted(strong, key=lambda t: (-strong[t], t))[:TERMS]
     if not terms:
@@ -190,7 +200,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     model.terms = Terms(terms)
     total, df = document_counts(docs, model.terms)
     model.idf = np.log((total + 1) / (df + 1)) + 1
-    held = sorted((i, y, {t: k for t, k in c.items() if t in model.terms.all}) for i, y, c in held)
+    held = sorted(example_terms(rows, model.terms), key=lambda e: e[0])
     bare = [y for _, y, c in held if not c]
     model.rate = (sum(bare) + 0.5) / (len(bare) + 2)
     examples = sorted((e for e in held if e[2]), key=lambda e: (e[0] * 2654435761 % 2**32, e[0]))[:EXAMPLES]
