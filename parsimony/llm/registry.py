@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ann, decontaminate, minhash, packing, pii, suffix_dedup, token_counts, toxicity, warc
+from . import ann, decontaminate, lm_scoring, minhash, packing, pii, suffix_dedup, token_counts, toxicity, warc
 
 QUERIES = {
     "op1_packing": packing.query,
@@ -14,6 +14,7 @@ QUERIES = {
     "op7_toxicity": toxicity.query,
     "op8_suffix_dedup": suffix_dedup.query,
     "op9_token_counts": token_counts.query,
+    "op10_lm_scoring": lm_scoring.query,
 }
 
 ORACLES: dict[str, str] = {
