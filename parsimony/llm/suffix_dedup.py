@@ -200,7 +200,7 @@ def _sorted_directly(text: np.ndarray, at: np.ndarray, depth: int) -> np.ndarray
     words = _words(text)
     word = lambda p: words[np.minimum(p, len(words) - 1)] * (p < len(words))
     key = word(at)
-    order = np.argsort(key, kind="stable")
+    order = np.argsort(key)
     at, key = at[order], key[order]
     group = np.cumsum(np.append(True, key[1:] != key[:-1]))  # ties share a number
     for d in range(7, depth, 7):
@@ -227,11 +227,9 @@ def common_prefixes(text: np.ndarray, sa: np.ndarray, most: int) -> np.ndarray:
         a, b = sa[live] + d, sa[live - 1] + d
         inside = (a < len(text)) & (b < len(text))
         x = words[np.minimum(a, len(text) - 1)] ^ words[np.minimum(b, len(text) - 1)]
-        same = np.where(x == 0, 7, 0)
-        part = x != 0
-        if part.any():
-            for j in range(6, -1, -1):  # symbols from the first
-                same[part & (x >> np.uint64(9 * j) == 0)] = 7 - j
+        high = x >> np.uint64(32)
+        bits = np.where(high > 0, 32 + np.frexp(high.astype(np.float64))[1], np.frexp((x & np.uint64(0xFFFFFFFF)).astype(np.float64))[1])
+        same = (63 - bits) // 9
         lcp[live] += np.where(inside, same, 0)
         live = live[inside & (same == 7)]
         d += 7
@@ -247,12 +245,11 @@ def marked_windows(strings: list[bytes], rank: np.ndarray, length: int = LENGTH)
         text[a : a + len(s)] = np.frombuffer(s, np.uint8)
         text[a : a + len(s)] += 1
     sa = suffix_array(text, length)
+    of = np.repeat(np.arange(len(strings)), lens + 1)[sa]
+    # only suffixes that hold a whole window matter; shorter ones differ from these within it, so equal windows stay adjacent
+    whole = begins[of] + lens[of] - sa >= length
+    sa, of = sa[whole], of[whole]
     lcp = common_prefixes(text, sa, length)
-    of = np.searchsorted(begins, sa, "right") - 1
-    rest = begins[of] + lens[of] - sa
-    whole = rest >= length
-    sa, lcp, of = sa[whole], lcp[whole], of[whole]
-    # shorter suffixes differ from whole ones within `length` symbols, so runs of whole ones stay adjacent
     run = np.flatnonzero(np.append(True, lcp[1:] < length)) if len(sa) else np.empty(0, np.int64)
     order = rank[of] * (int(lens.max(initial=0)) + 1) + sa - begins[of]
     if len(sa):
