@@ -32,7 +32,6 @@ from .decontaminate import _TABLE
 SHINGLE, SIMILAR = 5, 0.8
 BANDS, ROWS = 10, 3
 DIMENSIONS, SLICES = 1 << 22, 64
-DAMPING = 0.25
 _PARAMETERS = 1 << 14
 
 
@@ -78,7 +77,7 @@ def dimension(h: np.ndarray) -> np.ndarray:
 
 
 def idf_table(docs: DataFrame) -> np.ndarray:
-    """Damped inverse document frequency of each hashed dimension, over all documents."""
+    """Inverse document frequency of each hashed dimension, over all documents."""
     width = DIMENSIONS // SLICES
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -105,7 +104,7 @@ def idf_table(docs: DataFrame) -> np.ndarray:
         return np.ones(DIMENSIONS, np.float32)
     counts, n = np.concatenate([np.frombuffer(r.counts, np.uint64) for r in rows]).astype(np.float64), rows[0].n
     df = np.clip(counts - (counts.sum() - counts) / (DIMENSIONS - 1), 1, max(n, 1))
-    return (np.log1p(n / df) ** DAMPING).astype(np.float32)
+    return np.log1p(n / df).astype(np.float32)
 
 
 class Sampler:
