@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -44,7 +45,7 @@ class PieceCounter:
         self.splits = not any(re.search(f"[^{SPACE}]{SPACE}", p) for p in pieces) and self.sp.encode(" ", out_type=str) != []
         heads = [p[1:].replace(SPACE, " ") for p in pieces if p.startswith(SPACE) and len(p) > 1]
         #: The proof: encoded alone, with the dummy space in front, it is one token.
-        self.proven = {h: 1 for h, ids in zip(heads, self.sp.encode(heads), strict=True) if len(ids) == 1}
+        self.proven = {h: 1 for h, ids in zip(heads, self.sp.encode(heads, num_threads=1), strict=True) if len(ids) == 1}
         if self.sp.piece_to_id(SPACE) != self.sp.unk_id():
             self.proven[""] = 1
         else:
@@ -59,20 +60,19 @@ class PieceCounter:
         return text.split(" ")
 
     def count(self, text: str) -> int:
-        if not text:
-            return 0
+        return self.counts([text])[0]
+
+    def counts(self, texts: list[str]) -> list[int]:
+        """Tokens of each text; what is not known yet in all of them is merged in one call."""
         if not self.splits:  # a vocabulary without the property that the shortcut needs
-            return len(self.sp.encode(text))
-        pre = self.pretokens(text)
-        try:
-            return sum(map(self.known.__getitem__, pre))
-        except KeyError:
-            pass
+            return [len(x) for x in self.sp.encode(texts, num_threads=1)]
+        pre = [self.pretokens(t) if t else [] for t in texts]
         if len(self.known) > CACHE:
             self.known = dict(self.proven)
-        rest = [w for w in set(pre) if w not in self.known]
-        self.known.update(zip(rest, map(len, self.sp.encode(rest)), strict=True))
-        return sum(map(self.known.__getitem__, pre))
+        rest = list(set(chain.from_iterable(pre)).difference(self.known))
+        self.known.update(zip(rest, map(len, self.sp.encode(rest, num_threads=1)), strict=True))
+        get = self.known.__getitem__
+        return [sum(map(get, p)) for p in pre]
 
 
 _counters: dict[str, PieceCounter] = {}
@@ -92,9 +92,9 @@ def with_token_counts(docs: DataFrame, text: str = "text", out: str = "n_tokens"
     names = [f.name for f in schema.fields[:-1]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        count = counter(path).count
+        counts = counter(path).counts
         for b in blocks(batches, text=text):
-            n = pa.array([count(t or "") for t in column(b, text).to_pylist()], pa.int64())
+            n = pa.array(counts([t or "" for t in column(b, text).to_pylist()]), pa.int64())
             yield pa.RecordBatch.from_arrays([*(column(b, c) for c in names), n], names=[*names, out])
 
     return docs.select(*names).mapInArrow(run, schema)
