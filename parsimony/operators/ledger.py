@@ -69,7 +69,7 @@ def recent(records: DataFrame, n: int) -> DataFrame:
 def since(records: DataFrame, now: int, window: int) -> DataFrame:
     """Records at most `window` seconds old; those without a readable time go."""
     t = parse_timestamp("timestamp")
-    return records.where(F.greatest(F.lit(now) - t, F.lit(0)) <= window)
+    return records.where(t.isNotNull() & (F.greatest(F.lit(now) - t, F.lit(0)) <= window))
 
 
 def gc(records: DataFrame, now: int, retention_days: int) -> DataFrame:
