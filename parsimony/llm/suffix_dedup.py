@@ -329,7 +329,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     size = max(1.0, 2e6 * input_mb(docs))  # text bytes, roughly
     table = block_table(docs)
     found = stored(totals(hash_counts(table), bucket_bits(size / 30)), "hash-totals")
-    dealt = dealt_segments(table, found, max(16, int(size / 4e6)))
+    dealt = dealt_segments(table, found, max(16, int(size / 1.5e6)))
     return removed(table, stored(marks(dealt), "marks"))
 
 
