@@ -223,7 +223,7 @@ def _joined_blocks(parts: list[DataFrame]) -> DataFrame:
             yield pa.RecordBatch.from_arrays([column(b, "doc_id"), column(b, "n_words"), spans, column(b, "items"), column(b, "near"), column(b, "copies")], names=["doc_id", "n_words", "spans", "items", "near", "copies"])
 
     done = grouped.mapInArrow(run, "doc_id long, n_words long, spans array<long>, items array<string>, near array<string>, copies int")
-    return done.select("doc_id", "n_words", "spans", "items", "near", F.explode(F.sequence(F.lit(1), "copies")).cast("long").alias("ord"))
+    return done.select("doc_id", "n_words", "spans", "items", "near", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies").cast("long"))).alias("ord"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
