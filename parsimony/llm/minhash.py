@@ -7,8 +7,9 @@ the tasks has a fixed size. Each distinct text draws BANDS * ROWS consistent wei
 samples in a band meet. Equal texts are one from the start (by digest), so copies cost nothing further.
 
 In a band's group each text is compared with the smallest and the largest digest only; links that hold join texts to
-components. Pairs of a group's texts that are still in different components are then compared all, so no pair that
-meets in a band is left out, and no pairs are formed inside a component. A link needs a weighted Jaccard similarity of 0.8
+components. Groups with texts in different components are then compared whole, in tiles of a bounded number of
+texts by matrix products that give a spanning set of links, so no pair that meets in a band is left out and no table
+of pairs is made. A link needs a weighted Jaccard similarity of 0.8
 or more, under TF-IDF weights or under counts alone (large groups of near copies make their own shingles common, which
 TF-IDF weights would hold against them).
 
@@ -210,6 +211,80 @@ def verified(pairs: DataFrame, vecs: DataFrame, idf: np.ndarray, least: float =
     return joined.mapInArrow(run, "a string, b string")
 
 
+def linked(members: list[tuple[np.ndarray, np.ndarray]], table: np.ndarray, least: float = SIMILAR) -> list[tuple[int, int]]:
+    """Pairs of members that are similar enough, as many as join what belongs together. members: hashes and counts.
+
+    The k-th copy of a shingle is a feature of its own, so shared counts are products of 0/1 matrices, a few thousand
+    features at a time.
+    """
+    m, feats, owner = len(members), [], []
+    plain, weighted = np.zeros(m), np.zeros(m)
+    for i, (h, n) in enumerate(members):
+        plain[i], weighted[i] = n.sum(), (n * table[dimension(h)]).sum()
+        at = np.repeat(np.arange(len(h)), n)
+        feats.append(np.stack([h[at], (np.arange(len(at)) - np.repeat(np.cumsum(n) - n, n)).astype(np.uint64)]))
+        owner.append(np.full(len(at), i))
+    f, who = np.concatenate(feats, axis=1), np.concatenate(owner)
+    _, first, col, df = np.unique(mix(f[0] + mix(f[1])), return_index=True, return_inverse=True, return_counts=True)
+    common = np.flatnonzero(df > 1)
+    place = np.full(len(df), -1)
+    place[common] = np.arange(len(common))
+    idf = table[dimension(f[0][first[common]])]
+    keep = place[col] >= 0
+    who, col = who[keep], place[col[keep]]
+    order = np.argsort(col, kind="stable")
+    who, col = who[order], col[order]
+    shared, shared_w = np.zeros((m, m), np.float32), np.zeros((m, m), np.float32)
+    for c in range(0, len(common), 4096):
+        lo, hi = np.searchsorted(col, [c, c + 4096])
+        x = np.zeros((m, min(4096, len(common) - c)), np.float32)
+        x[who[lo:hi], col[lo:hi] - c] = 1
+        shared += x @ x.T
+        shared_w += (x * idf[c : c + 4096]) @ x.T
+    sim = np.maximum(shared / (plain[:, None] + plain - shared), shared_w / (weighted[:, None] + weighted - shared_w))
+    root = list(range(m))
+
+    def find(i: int) -> int:
+        while root[i] != i:
+            root[i] = root[root[i]]
+            i = root[i]
+        return i
+
+    out = []
+    for i, j in zip(*np.nonzero(np.triu(sim >= least - 1e-4, 1)), strict=True):
+        if find(i) != find(j) and similarity(*members[i], *members[j], table) >= least:  # in double precision
+            root[find(i)] = find(j)
+            out.append((int(i), int(j)))
+    return out
+
+
+#: Members of a group that one task compares with as many others.
+TILE = 400
+
+
+def links_between(rest: DataFrame, vecs: DataFrame, idf: np.ndarray) -> DataFrame:
+    """Links (a, b) among members (band, hash, key, size) of the same groups, in tiles of at most about 2 * TILE members.
+
+    A tile gives a spanning set of its links, so no pairs are written out; a group of any size is spread over its tiles.
+    """
+    shared = rest.sparkSession.sparkContext.broadcast(idf)
+    parts = F.ceil(F.col("size") / TILE).cast("int")
+    dealt = rest.withColumn("parts", parts).withColumn("part", F.pmod(F.xxhash64("key"), F.col("parts")).cast("int"))
+    dealt = dealt.select("band", "hash", "key", "part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
+    dealt = dealt.select("band", "hash", F.least("part", "other").alias("lo"), F.greatest("part", "other").alias("hi"), "key").join(vecs, "key")
+
+    def run(group_key: tuple[pa.Scalar, ...], group: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, members = [], []
+        for b in group:
+            for k, h, n in zip(column(b, "key").to_pylist(), column(b, "h"), column(b, "n"), strict=True):
+                keys.append(k)
+                members.append((np.frombuffer(h.as_buffer(), np.uint64), np.frombuffer(n.as_buffer(), np.uint32).astype(np.int64)))
+        got = linked(members, shared.value) if len(keys) > 1 else []
+        yield pa.RecordBatch.from_arrays([pa.array([keys[i] for i, _ in got], pa.string()), pa.array([keys[j] for _, j in got], pa.string())], names=["a", "b"])
+
+    return dealt.groupBy("band", "hash", "lo", "hi").applyInArrow(run, "a string, b string")
+
+
 def components(links: DataFrame) -> DataFrame:
     """key and comp (the smallest key of its component) of every key in links; labels spread until none changes."""
     both = stored(links.union(links.select("b", "a")).distinct(), "links")
@@ -239,13 +314,11 @@ def text_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     vecs = stored(vectors(docs, met.select("key").distinct()), "vectors")
     links = stored(verified(pairs, vecs, idf), "links")
     comps = components(links)
-    # members of a group in different components, but for pairs that were compared
+    # groups whose members are still in different components are compared whole, tile by tile
     member = stored(met.join(comps, "key", "left").select("band", "hash", "key", F.coalesce("comp", "key").alias("comp")), "members")
-    split = member.groupBy("band", "hash").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 <> c1").select("band", "hash")
-    rest = member.join(split, ["band", "hash"])
-    left, right = rest.select("band", "hash", F.col("key").alias("a"), F.col("comp").alias("ca")), rest.select("band", "hash", F.col("key").alias("b"), F.col("comp").alias("cb"))
-    more = left.join(right, ["band", "hash"]).where("a < b AND ca <> cb").select("a", "b").distinct().join(pairs, ["a", "b"], "left_anti")
-    more = stored(verified(more, vecs, idf), "links")
+    split = member.groupBy("band", "hash").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.count("*").alias("size")).where("c0 <> c1 AND size > 2").select("band", "hash", "size")
+    rest = member.select("band", "hash", "key").join(split, ["band", "hash"])
+    more = stored(links_between(rest, vecs, idf).distinct(), "links")
     if not more.isEmpty():
         comps = components(links.union(more))
     return rows, comps
