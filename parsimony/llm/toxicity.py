@@ -146,12 +146,12 @@ class Model:
         return best, sims
 
     def vote(self, best: np.ndarray, sims: np.ndarray) -> float:
-        return float((sims * self.y[best]).sum() / sims.sum()) if len(best) else -1.0
+        return min(1.0, float((sims * self.y[best]).sum() / sims.sum())) if len(best) else -1.0
 
     def calibrated(self, vote: float) -> float:
         if vote < 0 or not self.steps[0]:
             return self.rate
-        return float(np.interp(vote, *self.steps))
+        return min(1.0, max(0.0, float(np.interp(vote, *self.steps))))
 
     def score(self, words: list[bytes]) -> tuple[float, list[int]]:
         counts = self.terms.counts(words)
