@@ -38,7 +38,7 @@ _PARAMETERS = 1 << 14
 
 class _Hashes(dict):
     def __missing__(self, w: bytes) -> int:
-        if len(self) > 500_000:
+        if len(self) > 150_000:
             self.clear()
         h = self[w] = xxhash.xxh64_intdigest(w)
         return h
@@ -83,7 +83,7 @@ def idf_table(docs: DataFrame) -> np.ndarray:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts, n = np.zeros(DIMENSIONS, np.uint32), 0
-        for b in blocks(batches):
+        for b in blocks(batches, 1 << 20):
             _, h, _ = shingles(column(b, "text"))
             dims, k = np.unique(dimension(h), return_counts=True)
             counts[dims] += k.astype(np.uint32)
@@ -151,7 +151,7 @@ def signatures(docs: DataFrame, idf: np.ndarray) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sampler, table = Sampler(), shared.value
-        for b in blocks(batches):
+        for b in blocks(batches, 1 << 20):
             doc, h, n = shingles(column(b, "text"))
             bands: list = [[] for _ in range(b.num_rows)]
             if len(doc):
@@ -169,7 +169,7 @@ def vectors(docs: DataFrame, keys: DataFrame) -> DataFrame:
     rows = docs.select(F.coalesce("text", F.lit("")).alias("text")).withColumn("key", F.md5("text")).join(keys, "key", "left_semi")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in blocks(batches):
+        for b in blocks(batches, 1 << 20):
             doc, h, n = shingles(column(b, "text"))
             at = np.searchsorted(doc, np.arange(b.num_rows + 1))
             hs = [h[at[i] : at[i + 1]].tobytes() for i in range(b.num_rows)]

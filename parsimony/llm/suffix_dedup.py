@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import blocks, column, id_and_text, input_mb, mix, stored, text_buffer
+from .common import blocks, column, id_and_text, mix, stored, text_buffer
 from .exchange import bucket_bits, by_block, joined, totals
 
 LENGTH, GRAM = 100, 40
@@ -84,10 +84,10 @@ def block_table(docs: DataFrame) -> DataFrame:
         part, k, z = TaskContext.get().partitionId() << 32, 0, zstandard.ZstdCompressor(level=3)
         for b in blocks(batches):
             raw, off = text_buffer(column(b, "text"))
-            yield pa.RecordBatch.from_arrays([pa.array([part + k], pa.int64()), pa.array([column(b, "doc_id").to_pylist()], pa.list_(pa.int64())), pa.array([off.tobytes()], pa.binary()), pa.array([z.compress(raw.tobytes())], pa.binary())], names=["block_id", "doc_ids", "offsets", "text"])
+            yield pa.RecordBatch.from_arrays([pa.array([part + k], pa.int64()), pa.array([column(b, "doc_id").to_pylist()], pa.list_(pa.int64())), pa.array([off.tobytes()], pa.binary()), pa.array([z.compress(raw.tobytes())], pa.binary()), pa.array([len(raw)], pa.int64())], names=["block_id", "doc_ids", "offsets", "text", "n_bytes"])
             k += 1
 
-    return stored(id_and_text(docs).mapInArrow(run, "block_id long, doc_ids array<long>, offsets binary, text binary"), "blocks")
+    return stored(id_and_text(docs).mapInArrow(run, "block_id long, doc_ids array<long>, offsets binary, text binary, n_bytes long"), "blocks")
 
 
 def _opened(b: pa.RecordBatch, r: int) -> tuple[np.ndarray, np.ndarray]:
@@ -326,8 +326,8 @@ def removed(table: DataFrame, found: DataFrame) -> DataFrame:
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
-    size = max(1.0, 2e6 * input_mb(docs))  # text bytes, roughly
     table = block_table(docs)
+    size = table.agg(F.sum("n_bytes")).first()[0] or 0
     found = stored(totals(hash_counts(table), bucket_bits(size / 30)), "hash-totals")
     dealt = dealt_segments(table, found, max(16, int(size / 1.5e6)))
     return removed(table, stored(marks(dealt), "marks"))
