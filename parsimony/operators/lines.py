@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -19,7 +20,12 @@ DIFF_HEADS = ("diff --git", "index ", "--- ", "+++ ", "@@")
 LOG_FOLD = "__tf_logfold1__"
 
 
-def _runs(ls: Column, same) -> Column:
+def let(c: Column, f: Callable[[Column], Column]) -> Column:
+    """f of a value that is computed once; inside another lambda a plain column expression is computed for every item."""
+    return F.get(F.transform(F.array(c), f), F.lit(0))
+
+
+def _runs(ls: Column, same: Callable[[Column, Column], Column]) -> Column:
     """Begins (from 0) of runs in an array: places whose line differs from the one before."""
     n = F.size(ls)
     at = F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
@@ -31,10 +37,13 @@ def compact_log(text: Column | str, strip_timestamps: bool = False) -> Column:
     ls = lines(text)
     if strip_timestamps:
         ls = F.transform(ls, lambda x: F.when(x.rlike(ISO_TIME), F.regexp_replace(x, ISO_TIME, "")).otherwise(F.regexp_replace(x, SYSLOG_TIME, "")))
-    begins = _runs(ls, lambda a, b: a == b)
-    spans = F.transform(begins, lambda b, k: F.struct(F.get(ls, b).alias("x"), (F.coalesce(F.get(begins, k + 1), F.size(ls)) - b).alias("n")))
-    parts = F.transform(spans, lambda s: F.when(s["n"] >= MIN_RUN, F.array(s["x"], F.concat(F.lit("[repeated "), s["n"].cast("string"), F.lit("x]")), s["x"])).otherwise(F.array_repeat(s["x"], s["n"])))
-    return F.array_join(F.flatten(parts), "\n")
+
+    def made(ls: Column, begins: Column) -> Column:
+        spans = F.transform(begins, lambda b, k: F.struct(F.get(ls, b).alias("x"), (F.coalesce(F.get(begins, k + 1), F.size(ls)) - b).alias("n")))
+        parts = F.transform(spans, lambda s: F.when(s["n"] >= MIN_RUN, F.array(s["x"], F.concat(F.lit("[repeated "), s["n"].cast("string"), F.lit("x]")), s["x"])).otherwise(F.array_repeat(s["x"], s["n"])))
+        return F.array_join(F.flatten(parts), "\n")
+
+    return let(ls, lambda v: let(_runs(v, lambda a, b: a == b), lambda w: made(v, w)))
 
 
 def compact_diff(text: Column | str, keep_bodies: bool = True) -> Column:
@@ -47,38 +56,43 @@ def compact_diff(text: Column | str, keep_bodies: bool = True) -> Column:
             head = head | x.startswith(h)
         return head | x.startswith("+") | x.startswith("-") if keep_bodies else head
 
+    def made(ls: Column, begins: Column) -> Column:
+        parts = F.transform(begins, lambda b, k: F.when(F.get(ls, b)["k"], F.get(ls, b)["x"]).otherwise(F.concat(F.lit("["), (F.coalesce(F.get(begins, k + 1), F.size(ls)) - b).cast("string"), F.lit(f" {what} dropped]"))))
+        return F.array_join(parts, "\n")
+
     ls = F.transform(lines(text), lambda x: F.struct(x.alias("x"), kept(x).alias("k")))
-    begins = _runs(ls, lambda a, b: ~a["k"] & ~b["k"])
-    parts = F.transform(begins, lambda b, k: F.when(F.get(ls, b)["k"], F.get(ls, b)["x"]).otherwise(F.concat(F.lit("["), (F.coalesce(F.get(begins, k + 1), F.size(ls)) - b).cast("string"), F.lit(f" {what} dropped]"))))
-    return F.array_join(parts, "\n")
+    return let(ls, lambda v: let(_runs(v, lambda a, b: ~a["k"] & ~b["k"]), lambda w: made(v, w)))
 
 
 def fold_log(text: Column | str) -> Column:
     """Templates of lines once, then a row of template number and captured numbers for each line; null where it does not apply."""
     text = col(text)
     pattern = "0x[0-9a-fA-F]+|[0-9]+"
-    segs = F.split(text, "(?<=\n)", -1)
-    segs = F.filter(segs, lambda x: x != "")
-    shapes = F.transform(segs, lambda x: F.regexp_replace(x, pattern, "\u0000"))
-    templates = F.array_distinct(shapes)
-    rows = F.transform(segs, lambda x: F.array_join(F.concat(F.array((F.array_position(templates, F.regexp_replace(x, pattern, "\u0000")) - 1).cast("string")), F.regexp_extract_all(x, F.lit(f"({pattern})"), F.lit(1))), " "))
-    out = F.concat(F.lit(LOG_FOLD + "\n"), F.to_json(templates), F.lit("\n"), F.array_join(rows, "\n"))
-    return F.when((F.size(segs) >= 3) & ~text.contains("\u0000") & (F.size(templates) < F.size(segs)), out)
+    segs = F.filter(F.split(text, "(?<=\n)", -1), lambda x: x != "")
+    shape = lambda x: F.regexp_replace(x, pattern, "\u0000")
+
+    def made(segs: Column, templates: Column) -> Column:
+        rows = F.transform(segs, lambda x: F.array_join(F.concat(F.array((F.array_position(templates, shape(x)) - 1).cast("string")), F.regexp_extract_all(x, F.lit(f"({pattern})"), F.lit(1))), " "))
+        out = F.concat(F.lit(LOG_FOLD + "\n"), F.to_json(templates), F.lit("\n"), F.array_join(rows, "\n"))
+        return F.when((F.size(segs) >= 3) & (F.size(templates) < F.size(segs)), out)
+
+    folded = let(segs, lambda v: let(F.array_distinct(F.transform(v, shape)), lambda w: made(v, w)))
+    return F.when(~text.contains("\u0000"), folded)
 
 
 def unfold_log(folded: Column | str) -> Column:
     """The text that fold_log was given; null if a row's number or arity does not fit."""
     parts = F.split(col(folded), "\n", 3)
-    templates = F.from_json(F.get(parts, F.lit(1)), "array<string>")
     rows = F.transform(F.split(F.get(parts, F.lit(2)), "\n", -1), lambda r: F.split(r, " ", -1))
 
-    def line(r: Column) -> Column:
+    def line(r: Column, templates: Column) -> Column:
         pieces = F.split(F.get(templates, F.get(r, F.lit(0)).try_cast("int")), "\u0000", -1)
         caps = F.slice(r, 2, F.size(r) - 1)
         return F.when(F.size(pieces) == F.size(r), F.array_join(F.flatten(F.zip_with(pieces, caps, lambda p, c: F.array(p, F.coalesce(c, F.lit(""))))), ""))
 
-    made = F.transform(rows, line)
-    return F.when(F.get(parts, F.lit(0)).eqNullSafe(F.lit(LOG_FOLD)) & F.forall(made, lambda x: x.isNotNull()), F.array_join(made, ""))
+    made = let(F.from_json(F.get(parts, F.lit(1)), "array<string>"), lambda t: F.transform(rows, lambda r: line(r, t)))
+    whole = let(made, lambda m: F.when(F.forall(m, lambda x: x.isNotNull()), F.array_join(m, "")))
+    return F.when(F.get(parts, F.lit(0)).eqNullSafe(F.lit(LOG_FOLD)), whole)
 
 
 # --- filters ---------------------------------------------------------------------------------
