@@ -7,7 +7,6 @@ import shutil
 import tempfile
 import uuid
 from collections.abc import Iterator
-from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -45,34 +44,27 @@ def drop_folder(spark: SparkSession, path: str) -> None:
     hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hpath, True)
 
 
-#: Bytes of rows that go to a Python worker at once while a table is stored; rows may hold large blobs.
+#: Bytes of rows that go to a Python worker at once; rows may hold long texts or large blobs.
 BATCH_BYTES = 8 << 20
 
 
-@contextmanager
-def bounded_batches(spark: SparkSession) -> Iterator[None]:
-    """Arrow batches bounded by bytes as well as by rows, for the actions inside."""
-    limits = {"spark.sql.execution.arrow.maxBytesPerBatch": BATCH_BYTES, "spark.sql.execution.arrow.maxRecordsPerBatch": 2_000}
-    before = {k: spark.conf.get(k, None) for k in limits}
-    for k, v in limits.items():
-        spark.conf.set(k, str(v))
-    try:
-        yield
-    finally:
-        for k, v in before.items():
-            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+def bound_batches(spark: SparkSession) -> None:
+    """From now on Arrow batches of this session are bounded by bytes as well as by rows."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
 
 
 def stored(df: DataFrame, tag: str) -> DataFrame:
     """df written as Parquet in the shared folder and read back: lineage is cut, lost executors cost nothing."""
     spark = df.sparkSession
+    bound_batches(spark)
     path = new_folder(spark, tag)
-    with bounded_batches(spark):
-        df.write.parquet(path)
+    df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
 def id_and_text(docs: DataFrame) -> DataFrame:
+    bound_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
 
 

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from .common import column
 
 #: Keys that a bucket should hold about.
-BUCKET_KEYS = 1 << 20
+BUCKET_KEYS = 1 << 18
 
 
 def bucket_bits(keys: float) -> int:

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import blocks, column, mix, stored, text_buffer
+from .common import blocks, bound_batches, column, mix, stored, text_buffer
 from .decontaminate import _TABLE
 
 SHINGLE, SIMILAR = 5, 0.8
@@ -79,6 +79,7 @@ def dimension(h: np.ndarray) -> np.ndarray:
 
 def idf_table(docs: DataFrame) -> np.ndarray:
     """Inverse document frequency of each hashed dimension, over all documents."""
+    bound_batches(docs.sparkSession)
     width = DIMENSIONS // SLICES
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -329,7 +329,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     table = block_table(docs)
     size = table.agg(F.sum("n_bytes")).first()[0] or 0
     found = stored(totals(hash_counts(table), bucket_bits(size / 30)), "hash-totals")
-    dealt = dealt_segments(table, found, max(16, int(size / 1.5e6)))
+    dealt = dealt_segments(table, found, max(16, int(size / 5e5)))
     return removed(table, stored(marks(dealt), "marks"))
 
 

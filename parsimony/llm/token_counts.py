@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import blocks, column, id_and_text
+from .common import blocks, bound_batches, column, id_and_text
 
 MODEL = "piece_bpe_32k.model"
 SPACE = "▁"
@@ -88,6 +88,7 @@ def counter(path: str | None = None) -> PieceCounter:
 
 def with_token_counts(docs: DataFrame, text: str = "text", out: str = "n_tokens", path: str | None = None) -> DataFrame:
     """docs with a column of token counts; all other columns pass through unread."""
+    bound_batches(docs.sparkSession)
     schema = T.StructType([f for f in docs.schema.fields if f.name != out] + [T.StructField(out, T.LongType())])
     names = [f.name for f in schema.fields[:-1]]
 

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import blocks, column, stored, text_buffer
+from .common import blocks, bound_batches, column, stored, text_buffer
 from .decontaminate import _TABLE
 
 #: Labelled rows from which terms, examples and calibration are learned.
@@ -239,6 +239,7 @@ def document_counts(docs: DataFrame, terms: Terms) -> tuple[int, np.ndarray]:
 
 def with_scores(docs: DataFrame, model: Model) -> DataFrame:
     """docs with score and evidence (doc_ids of the nearest examples); all other columns pass through."""
+    bound_batches(docs.sparkSession)
     names = docs.columns
     schema = docs.select("*", F.lit(0.0).alias("score"), F.array(F.lit(0).cast("long")).alias("evidence")).schema
 
