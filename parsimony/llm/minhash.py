@@ -1,10 +1,12 @@
 """Near duplicates by improved consistent weighted sampling over TF-IDF shingles.
 
 Shingles are five consecutive words (a shorter text with words is one shingle), in lower case, hashed to 64 bits. A
-shingle's weight in a text is its count times a damped inverse document frequency. Document frequencies are counted
+shingle's weight in a text is its count times log(1 + documents / document frequency). Document frequencies are counted
 over all documents in DIMENSIONS hashed dimensions, with the mean of collisions taken off, so the table that goes to
-the tasks has a fixed size. Each distinct text draws BANDS * ROWS consistent weighted samples; texts with equal
-samples in a band meet. Equal texts are one from the start (by digest), so copies cost nothing further.
+the tasks has a fixed size. Each distinct text draws BANDS * ROWS consistent weighted samples under TF-IDF weights and
+as many under counts alone; texts with equal samples in a band meet. So a pair that either similarity below accepts
+is missed with probability (1 - 0.8^ROWS)^BANDS at most, below 0.001, however large its group. Equal texts are one from
+the start (by digest), so copies cost nothing further.
 
 In a band's group each text is compared with the smallest and the largest digest only; links that hold join texts to
 components. Groups with texts in different components are then compared whole, in tiles of a bounded number of
@@ -134,11 +136,32 @@ class Sampler:
             out[:, k] = mix(h[hit] ^ mix(t[hit].astype(np.int64).view(np.uint64) + np.uint64(k)))
         return out
 
+    def draw_counts(self, h: np.ndarray, n: np.ndarray, begins: np.ndarray) -> np.ndarray:
+        """draw() under weights that are counts: most are 1, whose terms are looked up."""
+        lens = np.diff(np.append(begins, len(h)))
+        out = np.empty((len(begins), len(self.odd)), np.uint64)
+        more = np.flatnonzero(n > 1)
+        log_w, t = np.log(n[more]).astype(np.float32), np.zeros(len(h), np.int64)
+        for k, odd in enumerate(self.odd):
+            at = ((h * odd) >> np.uint64(64 - 14)).astype(np.int32)
+            a = (self.log_c[k] - self.r[k] * (1 - self.b[k]))[at]
+            some = at[more]
+            r, b = self.r[k][some], self.b[k][some]
+            steps = np.floor(log_w / r + b)
+            a[more] = self.log_c[k][some] - r * (steps - b + 1)
+            t[more] = steps
+            least = np.minimum.reduceat(a, begins)
+            hit = np.flatnonzero(a == np.repeat(least, lens))
+            hit = hit[np.searchsorted(hit, begins)]
+            out[:, k] = mix(h[hit] ^ mix(t[hit].view(np.uint64) + np.uint64(k)))
+        return out
+
 
-def band_hashes(samples: np.ndarray) -> np.ndarray:
+def band_hashes(samples: np.ndarray, first: int = 0) -> np.ndarray:
+    """Bands `first` and after."""
     out = np.empty((len(samples), BANDS), np.uint64)
     for j in range(BANDS):
-        x = np.full(len(samples), j, np.uint64)
+        x = np.full(len(samples), first + j, np.uint64)
         for k in range(ROWS):
             x = mix(x * np.uint64(31) + samples[:, j * ROWS + k])
         out[:, j] = x
@@ -151,14 +174,15 @@ def signatures(docs: DataFrame, idf: np.ndarray) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("key", F.md5("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sampler, table = Sampler(), shared.value
+        sampler, plain, table = Sampler(), Sampler(seed=12), shared.value
         for b in blocks(batches, 1 << 20):
             doc, h, n = shingles(column(b, "text"))
             bands: list = [[] for _ in range(b.num_rows)]
             if len(doc):
                 begins = np.flatnonzero(np.append(True, doc[1:] != doc[:-1]))
                 log_w = np.log(n * table[dimension(h)]).astype(np.float32)
-                for i, x in zip(doc[begins].tolist(), band_hashes(sampler.draw(h, log_w, begins)).view(np.int64).tolist(), strict=True):
+                drawn = np.hstack([band_hashes(sampler.draw(h, log_w, begins)), band_hashes(plain.draw_counts(h, n, begins), BANDS)])
+                for i, x in zip(doc[begins].tolist(), drawn.view(np.int64).tolist(), strict=True):
                     bands[i] = x
             yield pa.RecordBatch.from_arrays([column(b, "doc_id"), column(b, "key"), pa.array(bands, pa.list_(pa.int64()))], names=["doc_id", "key", "bands"])
 

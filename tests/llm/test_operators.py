@@ -151,6 +151,29 @@ def test_near_duplicates(spark, texts):
     assert minhash.near_duplicates(docs.limit(0)).count() == 0
 
 
+def test_near_duplicates_of_a_common_text(spark):
+    base = [f"w{k}" for k in range(124)]  # 120 shingles
+    rows = [(i, " ".join(base)) for i in range(200)] + [(200 + i, " ".join(f"u{i}x{k}" for k in range(40))) for i in range(400)]
+    for i in range(60):
+        w = list(base)
+        for k in (12, 71, -3):  # 13 of 120 shingles differ
+            w[k] = f"new{i}x{k % 124}"
+        rows.append((600 + i, " ".join(w)))
+    shingled = {i: {tuple(w[k : k + 5]) for k in range(len(w) - 4)} for i, w in ((i, t.split()) for i, t in rows if i == 0 or i >= 600)}
+    assert all(len(shingled[0] & s) / len(shingled[0] | s) >= 0.8 for s in shingled.values())
+    cls = {r.doc_id: r.class_id for r in minhash.near_duplicates(frame(spark, rows)).collect()}
+    assert {cls[i] for i in shingled} == {0} and all(cls[i] == i for i in range(200, 600))
+
+
+def test_samples_under_counts():
+    rng = np.random.default_rng(1)
+    h = np.sort(rng.integers(0, 2**63, 3000).astype(np.uint64))
+    n = rng.integers(1, 4, 3000)
+    s = minhash.Sampler(40)
+    begins = np.array([0, 500, 1500])
+    assert np.array_equal(s.draw_counts(h, n, begins), s.draw(h, np.log(n).astype(np.float32), begins))
+
+
 def test_toxicity(spark):
     rng = random.Random(5)
     bad = ["vile", "scurrilous", "nastyx"]
