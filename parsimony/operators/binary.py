@@ -104,12 +104,13 @@ def line_diff(a: list[str], b: list[str]) -> list[tuple[str, str]]:
     return out
 
 
-def line_diffs(df: DataFrame) -> DataFrame:
-    """id, pos, tag, line for each row of df (id, before, after)."""
+def line_diffs(df: DataFrame, *keys: str) -> DataFrame:
+    """The keys (long), pos, tag, line for each row of df (keys, before, after)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            rows = [(i, k, t, x) for i, p, q in zip(b["id"], b["before"], b["after"], strict=True) for k, (t, x) in enumerate(line_diff(p.splitlines(), q.splitlines()))]
-            yield pd.DataFrame(rows, columns=["id", "pos", "tag", "line"])
+            ids = zip(*(b[k] for k in keys), strict=True)
+            rows = [(*i, k, t, x) for i, p, q in zip(ids, b["before"], b["after"], strict=True) for k, (t, x) in enumerate(line_diff(p.splitlines(), q.splitlines()))]
+            yield pd.DataFrame(rows, columns=[*keys, "pos", "tag", "line"])
 
-    return df.select("id", "before", "after").mapInPandas(run, "id bigint, pos int, tag string, line string")
+    return df.select(*(F.col(k).cast("long").alias(k) for k in keys), "before", "after").mapInPandas(run, ", ".join(f"{k} bigint" for k in keys) + ", pos int, tag string, line string")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from parsimony.functions import json_tree as jt
@@ -654,5 +654,12 @@ def _(s, d):
 
 @query("line_diff")
 def _(s, d):
-    c = table(s, d, "conversations").where("turn < 2").groupBy("conv_id").agg(F.max(F.when(F.col("turn") == 0, F.col("text"))).alias("before"), F.max(F.when(F.col("turn") == 1, F.col("text"))).alias("after"))
-    return line_diffs(c.select(F.col("conv_id").alias("id"), F.coalesce("before", F.lit("")).alias("before"), F.coalesce("after", F.lit("")).alias("after")))
+    return turn_diffs(table(s, d, "conversations"))
+
+
+def turn_diffs(turns: DataFrame) -> DataFrame:
+    """conv_id, turn and the diff lines of each turn to the next of its conversation; a single turn is diffed with nothing."""
+    w = Window.partitionBy("conv_id").orderBy("turn", "text")
+    text = F.coalesce("text", F.lit(""))
+    pairs = turns.select("conv_id", "turn", text.alias("before"), F.lead(text).over(w).alias("after"), F.row_number().over(w).alias("at"))
+    return line_diffs(pairs.where("after is not null or at = 1").withColumn("after", F.coalesce("after", F.lit(""))), "conv_id", "turn")

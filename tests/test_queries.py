@@ -45,3 +45,13 @@ def test_same_as_sql(spark, duck, name):
 @pytest.mark.parametrize("name", sorted(set(queries.Q) - set(queries.SQL)))
 def test_runs(spark, name):
     assert queries.Q[name](spark, DATA).count() > 0
+
+
+def test_line_diff_takes_every_turn(spark):
+    rows = [(1, 0, "a\nb"), (1, 1, "a\nc"), (1, 2, "c"), (1, 5, None), (2, 0, "x")]
+    got = {tuple(r) for r in queries.turn_diffs(spark.createDataFrame(rows, "conv_id long, turn int, text string")).collect()}
+    want = {(1, 0, 0, "equal", "a"), (1, 0, 1, "delete", "b"), (1, 0, 2, "insert", "c"), (1, 1, 0, "delete", "a"), (1, 1, 1, "equal", "c"), (1, 2, 0, "delete", "c"), (2, 0, 0, "delete", "x")}
+    assert got == want
+    turns = spark.read.parquet(f"{DATA}/conversations.parquet")
+    pairs = turns.selectExpr("conv_id", "turn", "row_number() over (partition by conv_id order by turn desc) as back").where("back > 1").select("conv_id", "turn")
+    assert pairs.join(turns.where("text <> ''").select("conv_id", "turn"), ["conv_id", "turn"]).exceptAll(queries.Q["line_diff"](spark, DATA).select("conv_id", "turn").distinct()).count() == 0
