@@ -253,6 +253,24 @@ def test_language_model(spark, texts):
     assert lm_scoring.score_texts(frame(spark, texts).limit(0)).count() == 0
 
 
+def test_language_model_learns_from_every_text(spark, monkeypatch):
+    import sentencepiece
+
+    monkeypatch.setattr(lm_scoring, "SAMPLE_DOCS", 5)
+    monkeypatch.setattr(lm_scoring, "SHARD", 2000)
+    rng = random.Random(8)
+    rows = [(i, prose(rng, 30)) for i in range(300)] + [(None, "zebra zebra"), (None, "zebra zebra")]
+    sp = sentencepiece.SentencePieceProcessor(model_file=token_counts.model_path())
+    want = Counter(i for k, t in rows if k is None or zlib.crc32(str(k).encode()) % 7 != 2 for w in t.split() for i in sp.encode(w))
+    model, cls, inner = lm_scoring.learn(frame(spark, rows))
+    smooth = np.array([want[i] + 0.5 for i in range(sp.vocab_size())])
+    assert np.allclose(inner, np.log(smooth / np.bincount(cls, smooth, lm_scoring.CLASSES)[cls]))
+    again = lm_scoring.learn(frame(spark, rows, parts=5))[0]
+    other = lm_scoring.learn(frame(spark, [(i, t.replace("basa", "nezu") if i == 299 else t) for i, t in rows]))[0]
+    assert all(np.array_equal(model.p[k], again.p[k]) for k in model.p) and np.isfinite(model.p["u"]).all()
+    assert not np.array_equal(model.p["u"], other.p["u"])
+
+
 def test_windows_score_each_token_once():
     m = lm_scoring.Attention()
     lens = np.array([1, 32, 33, 100])
