@@ -255,6 +255,13 @@ def _(s, d):
     return rows.select("doc_id", F.sha2("a", 256).alias("ansi"), h(S("replace", pattern="th(e|a)", replacement="<$1>")).alias("replaced"), h(S("keep_lines", pattern="the")).alias("kept"), h(S("strip_lines", pattern="the")).alias("stripped"), h(S("head", count=2)).alias("head"), h(S("tail", count=2)).alias("tail"), h(S("max_lines", count=2)).alias("max_lines"), F.when(ascii_only, h(S("truncate", count=50))).alias("truncated"), h(S("keep_lines", pattern="zzz"), S("on_empty", value="none")).alias("on_empty"))
 
 
+@query("filter_truncate")
+def _(s, d):
+    """What filter_stages leaves null: truncation by bytes of every text; SQL by characters cannot say it."""
+    cut = lines.Filter("x", "1", (), (lines.Stage("truncate", count=50),)).apply("text")
+    return table(s, d, "documents").select("doc_id", F.sha2(cut, 256).alias("truncated"))
+
+
 @query("filter_match", """SELECT id, CASE WHEN k = 0 THEN 'git-diff' WHEN k = 1 THEN 'git-status' WHEN k = 2 THEN 'cargo' END AS filter_id, sha256(CASE WHEN k = 0 THEN replace(body, 'index 0af..1' || chr(10), '') WHEN k = 2 THEN replace(body, '   Compiling x v1' || chr(10), '') ELSE body END) AS out_sha256
   FROM (SELECT conv_id * 1000 + turn AS id, (conv_id + turn) % 4 AS k, 'index 0af..1' || chr(10) || '   Compiling x v1' || chr(10) || text || 'z' AS body FROM conversations WHERE strlen(text) > 40)""")
 def _(s, d):

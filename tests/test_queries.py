@@ -8,6 +8,7 @@ import duckdb
 import pytest
 
 from parsimony import queries
+from parsimony.functions import text as X
 
 DATA = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -55,3 +56,16 @@ def test_line_diff_takes_every_turn(spark):
     turns = spark.read.parquet(f"{DATA}/conversations.parquet")
     pairs = turns.selectExpr("conv_id", "turn", "row_number() over (partition by conv_id order by turn desc) as back").where("back > 1").select("conv_id", "turn")
     assert pairs.join(turns.where("text <> ''").select("conv_id", "turn"), ["conv_id", "turn"]).exceptAll(queries.Q["line_diff"](spark, DATA).select("conv_id", "turn").distinct()).count() == 0
+
+
+def test_truncation_of_every_text(spark):
+    import hashlib
+
+    def cut(t):
+        raw = t.encode()
+        return t if len(raw) <= 50 else raw[:50].decode("utf-8", "ignore") + f"... [{X.MARKER}: truncated]"
+
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{DATA}/documents.parquet").where("text is not null").select("doc_id", "text").collect()}
+    assert any(len(t) != len(t.encode()) for t in texts.values())
+    got = {r.doc_id: r.truncated for r in queries.Q["filter_truncate"](spark, DATA).collect()}
+    assert {i: got[i] for i in texts} == {i: hashlib.sha256(cut(t).encode()).hexdigest() for i, t in texts.items()}
