@@ -34,7 +34,7 @@ WIDE = {
 }
 #: Texts without these hold no match, which spares most of them the patterns.
 _NEEDS = {"email": "contains(text, '@')", "ip": "text rlike '[0-9]'", "card": "text rlike '[0-9]'", "phone": "contains(text, '+')"}
-_WIDE_NEEDS = {"email": r"text rlike r'[\[(]at[\])]| at [^ ]* dot | at [A-Za-z0-9-]*\.'", "phone": "text rlike '[0-9]'"}
+_WIDE_NEEDS = {"email": r"text rlike r'[\[(]at[\])]| at [A-Za-z0-9-]+(?: ?[\[(]dot[\])]| dot |\.)'", "phone": "text rlike '[0-9]'"}
 #: Gazetteers: endings of mail domains, issuers' first digits, calling codes.
 ENDINGS = "com|org|net|edu|gov|io|co|info|biz|uk|de|fr|es|eu|us|ch|at|it|nl|example|test"
 ISSUERS = "4|5[1-5]|2[2-7]|3[47]|6011|65|35|30|36|38"

@@ -320,6 +320,12 @@ def test_personal_data(spark):
     assert pii.personal_data(docs.limit(0)).count() == 0
 
 
+def test_every_wide_address_passes_the_shortcut(spark):
+    ways = [f"jane{at}example{dot}com" for at in (" at ", "[at]", "(at)", " [at] ", " (at) ") for dot in (".", " dot ", "[dot]", " [dot] ", "(dot)", " (dot) ", " (dot)")]
+    rows = pii.with_base(frame(spark, enumerate(ways))).selectExpr("doc_id", "wide_email.m as m").collect()
+    assert {r.doc_id: r.m for r in rows} == {i: [w] for i, w in enumerate(ways)}
+
+
 @pytest.mark.parametrize("n", [0, 1, 7, 800])
 def test_packing(n):
     rng = random.Random(n)
