@@ -10,7 +10,9 @@ The benchmark is the stated query set. It goes to the tasks in blocks of at most
 the corpus for each block, so what is broadcast has a bound at any size.
 
 Defined results: a null or empty text has no words and no hits; an item without words matches nothing; repeated
-document rows each get a row; repeated item rows count as one item_id; null item_ids take no part.
+document rows each get a row; repeated item rows count as one item_id; null item_ids take no part; a text longer than
+a segment is a segment of its own; empty tables give no rows or no hits; other columns are not read, whatever their
+names, and pass through drop_contaminated.
 """
 
 from __future__ import annotations
@@ -23,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import blocks, column, id_and_text, stored, text_buffer
+from .common import blocks, bound_batches, column, id_and_text, stored, text_buffer
 
 #: Window length in words; a shorter item is one window.
 WINDOW = 8
@@ -42,7 +44,7 @@ def words(text: str | bytes | None) -> list[bytes]:
 
 
 class Phrases:
-    """Distinct windows of one block of items: term ids and the items that hold each window."""
+    """Distinct windows of one block of items: term ids, the items that hold each window, and the windows filed under their rarest term."""
 
     def __init__(self, items: list[tuple[str, list[bytes]]], n: int = WINDOW):
         found: dict[tuple[bytes, ...], set[str]] = defaultdict(set)
@@ -50,9 +52,23 @@ class Phrases:
             for i in range(max(1, len(w) - n + 1) if w else 0):
                 found[tuple(w[i : i + n])].add(item)
         self.terms = {t: k for k, t in enumerate(sorted({t for p in found for t in p}))}
-        self.windows = [[self.terms[t] for t in p] for p in found]
+        self.lens = np.fromiter((len(p) for p in found), np.int64, len(found))
+        #: Term ids of each window; a shorter one repeats its last term.
+        self.windows = np.array([[self.terms[t] for t in (*p, *[p[-1]] * (n - len(p)))] for p in found], np.int64).reshape(-1, n)
         self.items = [sorted(x) for x in found.values()]
         self.n = n
+        uses = np.bincount(self.windows.ravel(), minlength=len(self.terms))
+        key = self.windows[np.arange(len(self.windows)), uses[self.windows].argmin(1)] if len(found) else np.empty(0, np.int64)
+        self.filed = np.argsort(key, kind="stable")
+        self.file_begins = np.searchsorted(key[self.filed], np.arange(len(self.terms) + 1))
+
+    def within(self, there: np.ndarray) -> np.ndarray:
+        """Windows all of whose terms are among `there`; only windows filed under one of them are looked at."""
+        has = np.zeros(len(self.terms), bool)
+        has[there] = True
+        begins, ends = self.file_begins[there], self.file_begins[there + 1]
+        at = self.filed[np.repeat(begins - (np.cumsum(ends - begins) - (ends - begins)), ends - begins) + np.arange((ends - begins).sum())]
+        return at[has[self.windows[at]].all(1)]
 
 
 def item_blocks(benchmark: DataFrame, most: int = BLOCK_WORDS) -> Iterator[list[tuple[str, list[bytes]]]]:
@@ -96,33 +112,36 @@ class Segment:
         used, begins = np.unique(term[order], return_index=True)
         return cls(starts, n_words, used.astype(np.int32), np.append(begins, len(term)).astype(np.int64), place[order].astype(np.int32))
 
-    def search(self, phrases: Phrases, slop: int = 0) -> tuple[list[list[tuple[int, int]]], list[set[str]], list[set[str]]]:
-        """For each document: disjoint spans of words in exact matches, items that match exactly, items that match within slop."""
-        lists = {int(t): self.positions[self.begins[k] : self.begins[k + 1]] for k, t in enumerate(self.terms)}
-        there, n = set(lists), len(self.starts)
+    def search(self, phrases: Phrases, slop: int = 0) -> tuple[list[list[tuple[int, int]]], list[set[str]], list[set[str]], list[bool]]:
+        """For each document: disjoint spans of words in exact matches, items that match exactly, items that match within slop, and whether a window of full length matches exactly."""
+        lists = {int(t): self.positions[self.begins[k] : self.begins[k + 1]].astype(np.int64) for k, t in enumerate(self.terms)}
+        n = len(self.starts)
         spans: list[list] = [[] for _ in range(n)]
         hit: list[set] = [set() for _ in range(n)]
         near: list[set] = [set() for _ in range(n)]
-        for w, of in zip(phrases.windows, phrases.items, strict=True):
-            if not there.issuperset(w):
-                continue
+        whole = [False] * n
+        for k in phrases.within(self.terms.astype(np.int64)).tolist():
+            w, of = phrases.windows[k, : phrases.lens[k]].tolist(), phrases.items[k]
             at = phrase_places(lists, w)
             for p, d in zip(at.tolist(), (np.searchsorted(self.starts, at, "right") - 1).tolist(), strict=True):
                 spans[d].append((p - int(self.starts[d]), p - int(self.starts[d]) + len(w)))
                 hit[d].update(of)
+                whole[d] |= len(w) == phrases.n
             if slop and len(w) > 1:
                 at = phrase_places(lists, w, slop)
                 for d in (np.searchsorted(self.starts, at + slop, "right") - 1).tolist():
                     near[d].update(of)
-        return [merged(x) for x in spans], hit, near
+        return [merged(x) for x in spans], hit, near, whole
 
 
 def build_index(docs: DataFrame, phrases: Phrases) -> DataFrame:
     """One row for each segment: its documents and the postings of the phrases' terms."""
 
+    shared = docs.sparkSession.sparkContext.broadcast(phrases)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in blocks(batches):
-            s = Segment.of(column(b, "text"), phrases)
+            s = Segment.of(column(b, "text"), shared.value)
             blobs = [pa.array([x.tobytes()], pa.binary()) for x in (s.starts, s.n_words, s.terms, s.begins, s.positions)]
             yield pa.RecordBatch.from_arrays([pa.array([column(b, "doc_id").to_pylist()], pa.list_(pa.int64())), *blobs], names=["doc_ids", "starts", "n_words", "terms", "begins", "positions"])
 
@@ -132,10 +151,12 @@ def build_index(docs: DataFrame, phrases: Phrases) -> DataFrame:
 def phrase_places(lists: dict[int, np.ndarray], window: list[int], slop: int = 0) -> np.ndarray:
     """Where the window begins: lists adjusted by offset are intersected, from the rarest term to the commonest.
 
-    With slop, each word may stand up to `slop` places off; the result is where the rarest word puts the beginning.
+    With slop, each word may stand up to `slop` places off its place behind the window's first word.
     """
     order = sorted(range(len(window)), key=lambda i: (len(lists[window[i]]), i))
     at = lists[window[order[0]]] - order[0]
+    if slop and order[0]:
+        at = np.intersect1d(at[:, None] + np.arange(-slop, slop + 1), lists[window[0]])
     for i in order[1:]:
         if not len(at):
             break
@@ -149,13 +170,14 @@ def search(index: DataFrame, phrases: Phrases, slop: int = 0) -> DataFrame:
     """doc_id, n_words, spans (first word and the one behind the last, flattened), items and near of every document; ord: its place in its segment."""
     if slop > SLOP:
         raise ValueError(f"the index keeps documents apart by the window and {SLOP} words")
+    shared = index.sparkSession.sparkContext.broadcast(phrases)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for r in range(b.num_rows):
                 ints = lambda c, kind=np.int64: np.frombuffer(column(b, c)[r].as_py(), kind)
                 s = Segment(ints("starts"), ints("n_words"), ints("terms", np.int32), ints("begins"), ints("positions", np.int32))
-                spans, hit, near = s.search(phrases, slop)
+                spans, hit, near, _ = s.search(shared.value, slop)
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(column(b, "doc_ids")[r].as_py(), pa.int64()),
@@ -230,25 +252,42 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, least: int = 2) -> DataFrame:
-    """docs without rows that hold windows of `least` items or more; every other row stays, ids null or repeated too.
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """docs without rows that hold a whole window of WINDOW words of any item, or windows of two items or more.
 
-    Each segment's postings are searched where they are built, so whole rows pass by without a shuffle; a further
-    block of items is a further pass, which carries the items found so far.
+    One window is enough, as a leaked passage comes from one item as a rule; an item of fewer words than a window is
+    too weak a sign alone. Every other row stays, ids null or repeated too. Each segment's postings are searched where
+    they are built, so whole rows pass by without a shuffle; a further block of items is a further pass, which carries
+    the items found so far.
     """
-    names, found = docs.columns, "__items"
+    names, found = docs.columns, _free_name(docs.columns, "items")
+    bound_batches(docs.sparkSession)
     out = docs.withColumn(found, F.array().cast("array<string>"))
     for block in item_blocks(benchmark):
         if block:
-            out = out.mapInArrow(_marker(Phrases(block), names, found), out.schema)
-    return out.where(F.size(found) < least).drop(found)
+            out = out.mapInArrow(_marker(docs.sparkSession, Phrases(block), names, found), out.schema)
+    return out.where((F.size(found) < 2) & ~F.array_contains(found, _WHOLE)).drop(found)
+
+
+#: Stands in the list of items for a match of WINDOW words; no item_id holds a NUL twice.
+_WHOLE = "\0\0"
+
+
+def _free_name(names: list[str], name: str) -> str:
+    """A column name that none of names equals, in any case."""
+    taken = {n.lower() for n in names}
+    while name in taken:
+        name += "_"
+    return name
+
 
+def _marker(spark: SparkSession, phrases: Phrases, names: list[str], found: str):
+    shared = spark.sparkContext.broadcast(phrases)
 
-def _marker(phrases: Phrases, names: list[str], found: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in blocks(batches):
-            _, hit, _ = Segment.of(column(b, "text"), phrases).search(phrases)
-            items = [sorted(h.union(old)) for h, old in zip(hit, column(b, found).to_pylist(), strict=True)]
+            _, hit, _, whole = Segment.of(column(b, "text"), shared.value).search(shared.value)
+            items = [sorted(h.union(old, [_WHOLE] if w else [])) for h, old, w in zip(hit, column(b, found).to_pylist(), whole, strict=True)]
             yield pa.RecordBatch.from_arrays([*(column(b, c) for c in names), pa.array(items, pa.list_(pa.string()))], names=[*names, found])
 
     return run
