@@ -2,14 +2,16 @@
 
 Base spans come from four patterns with checks (an address, at most 255 in each part; Luhn; digit counts). Further
 candidates come from wider patterns. Four labelers vote on every candidate (yes, no or abstain): strict patterns, a
-gazetteer of endings and prefixes, words in front of it, and what it touches. `fit` counts the votes by kind in one
-pass, estimates each labeler's reliability and each vote pattern's posterior by expectation-maximisation (a fold over
-the table of vote patterns, at most 3^4 for each kind), and trains the span classifier on shape features
-with these posteriors as soft labels. `detect` keeps every base span and adds the candidates that the classifier
+gazetteer of endings and prefixes, words in front of it, and what it touches. `candidates` stores all of them once;
+`fit` counts the votes by kind, estimates each labeler's reliability and each vote pattern's posterior by
+expectation-maximisation (a fold over the table of vote patterns, at most 3^4 for each kind), and trains the span
+classifier on shape features with these posteriors as soft labels. `detect` keeps every base span and adds the candidates that the classifier
 takes and that overlap no base span.
 
 Positions are code points, end exclusive. Null texts count as empty and have no spans; repeated rows are treated
-alike; other columns pass through. The patterns are written with possessive quantifiers and starts that cannot lie
+alike; an empty table gives no rows and no weights; other columns pass through, whatever their names. Matches of 5
+characters or less, or of 400 or more, are no candidates for further spans; base spans know no such limit. Places are
+summed in chunks and overlaps found by bisection, so a text's cost grows with its length alone. The patterns are written with possessive quantifiers and starts that cannot lie
 inside a run, which gives the same leftmost matches in linear time on very long texts.
 """
 
@@ -70,7 +72,8 @@ def _with_places(df: DataFrame, k: str, out: str) -> DataFrame:
     start = f"element_at(g_{k}, int(i div 64) + 1) + {_sum(f'slice(element_at(c_{k}, int(i div 64) + 1), 1, i % 64)')} + length(element_at(p_{k}, i + 1))"
     placed = f"transform(f_{k}, (m, i) -> named_struct('m', m, 's', int({start}), 'i', i))"
     full = f"transform({placed}, x -> named_struct('m', x.m, 's', x.s, 'e', x.s + length(x.m), 'b', lower(right(element_at(p_{k}, x.i + 1), 32)), 'n', left(element_at(p_{k}, x.i + 2), 1)))"
-    return df.withColumn(out, F.expr(f"CASE WHEN size(f_{k}) > 0 THEN {full} ELSE cast(array() as {SPAN}) END")).drop(f"f_{k}", f"p_{k}", f"l_{k}", f"c_{k}", f"h_{k}", f"g_{k}")
+    # a second mention of g_<k> keeps the optimiser from putting the sums inside the function of each match
+    return df.withColumn(out, F.expr(f"CASE WHEN size(f_{k}) > 0 AND size(g_{k}) > 0 THEN {full} ELSE cast(array() as {SPAN}) END")).drop(f"f_{k}", f"p_{k}", f"l_{k}", f"c_{k}", f"h_{k}", f"g_{k}")
 
 
 _DIGITS = "translate(x.m, '+ ().-', '')"
@@ -124,9 +127,15 @@ def with_candidates(based: DataFrame) -> DataFrame:
     return based.withColumn("cands", F.expr(f"concat({', '.join(parts)})"))
 
 
-def fit(docs: DataFrame) -> dict[str, float]:
-    """Weights of the span classifier, by 'kind|feature|value' and 'kind|prior'. Bounded by the feature buckets."""
-    cells = with_candidates(with_base(docs.select("text"))).select(F.explode("cands").alias("c")).groupBy("c.kind", "c.votes", "c.feats").agg(F.count("*").cast("double").alias("n"))
+def candidates(docs: DataFrame, *names: str) -> DataFrame:
+    """Stored: the named columns of docs, base_<kind> and cands of every row. Behind this boundary the patterns are not run again."""
+    found = with_candidates(with_base(docs.select(*names, *(() if "text" in names else ("text",)))))
+    return stored(found.select(*(c for c in names if c != "text"), *(f"base_{k}" for k in KINDS), "cands"), "pii-candidates")
+
+
+def fit(found: DataFrame) -> dict[str, float]:
+    """Weights of the span classifier from stored cands, by 'kind|feature|value' and 'kind|prior'. Bounded by the feature buckets."""
+    cells = found.select(F.explode("cands").alias("c")).groupBy("c.kind", "c.votes", "c.feats").agg(F.count("*").cast("double").alias("n"))
     cells = stored(cells, "pii-cells")
     patterns = cells.groupBy("kind", "votes").agg(F.sum("n").alias("n")).groupBy("kind").agg(F.collect_list(F.struct("votes", "n")).alias("cells"))
     size, places = 3 * _LABELERS, range(_LABELERS)
@@ -147,21 +156,33 @@ def fit(docs: DataFrame) -> dict[str, float]:
     return {f"{r.kind}|prior": r.prior for r in rows if r.value == "prior"} | {f"{r.kind}|{r.j}|{r.value}": r.w - r.prior for r in rows if r.value != "prior"}
 
 
-def detect(docs: DataFrame, weights: dict[str, float]) -> DataFrame:
-    """docs with base_<kind> and spans: kind number, start, end of base spans and of those that the classifier adds, in order."""
-    out = with_candidates(with_base(docs))
+#: Code points in a chunk of a text that is masked.
+_CHUNK = 1024
+_STEPS = ", ".join(str(1 << k) for k in range(27, -1, -1))
+
+
+def _below(array: str, than: str) -> str:
+    """How many numbers of an ascending array meet `than` (a condition on one, from the first on), by bisection."""
+    return f"aggregate(array({_STEPS}), 0, (a, w) -> if(coalesce(get({array}, a + w - 1) {than}, false), a + w, a))"
+
+
+def detect(found: DataFrame, weights: dict[str, float]) -> DataFrame:
+    """found (base_<kind> and cands) with base and spans: kind number, start, end of base spans and of those that the classifier adds, in order."""
     base = "concat(" + ", ".join(f"transform(base_{k}, x -> named_struct('k', {i}, 's', x.s, 'e', x.e))" for i, k in enumerate(KINDS)) + ")"
-    out = out.withColumn("base", F.expr(base))
-    if weights:
-        keys, values = ", ".join(f"'{k}'" for k in weights), ", ".join(f"{v!r}D" for v in weights.values())
-        score = "aggregate(transform(c.feats, (f, j) -> w[concat(c.kind, '|', j, '|', f)]), coalesce(w[concat(c.kind, '|prior')], -1D), (a, x) -> a + coalesce(x, 0D))"
-        number = "CASE c.kind " + " ".join(f"WHEN '{k}' THEN {i}" for i, k in enumerate(KINDS)) + " END"
-        out = out.withColumn("w", F.expr(f"map_from_arrays(array({keys}), array({values}))"))
-        more = f"transform(filter(cands, c -> NOT c.base AND {score} >= {THRESHOLD}D AND NOT exists(base, b -> b.s < c.e AND c.s < b.e)), c -> named_struct('k', {number}, 's', c.s, 'e', c.e))"
-        out = out.withColumn("more", F.when(F.exists("cands", lambda c: ~c.base), F.expr(f"array_distinct({more})")).otherwise(F.expr("cast(array() as array<struct<k int, s int, e int>>)")))
-    else:
-        out = out.withColumn("more", F.expr("cast(array() as array<struct<k int, s int, e int>>)"))
-    return out.withColumn("spans", F.array_sort(F.concat("base", "more")))
+    out = found.withColumn("base", F.expr(base))
+    none = F.expr("cast(array() as array<struct<k int, s int, e int>>)")
+    if not weights:
+        return out.withColumn("spans", F.array_sort("base"))
+    keys, values = ", ".join(f"'{k}'" for k in weights), ", ".join(f"{v!r}D" for v in weights.values())
+    score = "aggregate(transform(c.feats, (f, j) -> w[concat(c.kind, '|', j, '|', f)]), coalesce(w[concat(c.kind, '|prior')], -1D), (a, x) -> a + coalesce(x, 0D))"
+    number = "CASE c.kind " + " ".join(f"WHEN '{k}' THEN {i}" for i, k in enumerate(KINDS)) + " END"
+    out = out.withColumn("w", F.expr(f"map_from_arrays(array({keys}), array({values}))"))
+    out = out.withColumn("starts", F.expr("array_sort(transform(base, x -> x.s))")).withColumn("ends", F.expr("array_sort(transform(base, x -> x.e))"))
+    # no base span overlaps a candidate if as many end up to its start as start before its end
+    free = f"(size(starts) = 0 OR size(ends) = 0 OR {_below('starts', '< c.e')} = {_below('ends', '<= c.s')})"
+    more = f"transform(filter(cands, c -> NOT c.base AND {score} >= {THRESHOLD}D AND {free}), c -> named_struct('k', {number}, 's', c.s, 'e', c.e))"
+    out = out.withColumn("more", F.when(F.exists("cands", lambda c: ~c.base), F.expr(more)).otherwise(none))
+    return out.withColumn("spans", F.array_sort(F.concat("base", "more"))).drop("w", "starts", "ends", "more")
 
 
 def _joined(spans: str) -> str:
@@ -170,22 +191,31 @@ def _joined(spans: str) -> str:
 
 
 def personal_data(docs: DataFrame) -> DataFrame:
-    found = detect(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), fit(docs))
+    rows = candidates(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), "doc_id", "text")
+    found = detect(rows, fit(rows))
     return found.select("doc_id", *(F.size(f"base_{k}").cast("long").alias(f"n_{k}") for k in KINDS), F.sha2(F.expr(_joined("array_sort(base)")), 256).alias("base_sha256"), F.expr(_joined("spans")).alias("spans"))
 
 
 def redact(docs: DataFrame, text: str = "text", n_chars: str | None = "n_chars") -> DataFrame:
     """docs with every span replaced by its kind in brackets; overlapping spans become one, named by the first."""
     names = docs.columns
-    only = docs.select(F.struct(*(F.col(f"`{c}`") for c in names)).alias("row"), F.col(text).alias("text"))
-    found = detect(only, fit(docs.select(F.col(text).alias("text")))).select("row", "text", "spans")
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in names)).alias("row"), F.col(text).alias("text"))
+    weights = fit(candidates(rows, "text"))
+    found = detect(with_candidates(with_base(rows)), weights).select("row", "text", "spans")
+    found = found.withColumn("starts", F.expr("array_sort(transform(spans, x -> x.s))")).withColumn("ends", F.expr("array_sort(transform(spans, x -> x.e))"))
+    # the text in chunks of 1024, so that a piece costs no walk from the beginning
+    found = found.withColumn("parts", F.expr(f"CASE WHEN size(spans) > 0 THEN transform(sequence(0, length(text) div {32 * _CHUNK}), i -> substring(text, i * {32 * _CHUNK} + 1, {32 * _CHUNK})) END"))
+    found = found.withColumn("chunks", F.expr(f"flatten(transform(parts, p -> transform(sequence(0, 31), i -> substring(p, i * {_CHUNK} + 1, {_CHUNK}))))")).drop("parts")
+    # a span heads a group of overlapping ones if all that start before it have ended
     order = "array_sort(transform(spans, x -> named_struct('s', x.s, 'e', x.e, 'k', x.k)))"
+    found = found.withColumn("order", F.expr(order))
+    found = found.withColumn("heads", F.expr(f"filter(transform(order, (x, i) -> named_struct('s', x.s, 'k', x.k, 'n', {_below('starts', '< x.s')}, 'first', coalesce(get(order, i - 1).s <> x.s, true))), x -> x.first AND x.n = {_below('ends', '<= x.s')} AND size(ends) > 0 AND size(starts) > 0)"))
+    piece = lambda a, z: f"substring(array_join(slice(chunks, int({a} div {_CHUNK}) + 1, int({z} div {_CHUNK}) - int({a} div {_CHUNK}) + 1), ''), {a} % {_CHUNK} + 1, {z} - {a})"
     labels = ", ".join(f"'[{k.upper()}]'" for k in KINDS)
-    fold = (
-        f"aggregate({order}, named_struct('at', 0, 'out', ''), (a, x) -> CASE WHEN x.s < a.at THEN named_struct('at', greatest(a.at, x.e), 'out', a.out) "
-        f"ELSE named_struct('at', x.e, 'out', concat(a.out, substring(text, a.at + 1, x.s - a.at), element_at(array({labels}), x.k + 1))) END, a -> concat(a.out, substring(text, a.at + 1)))"
-    )
-    clean = found.withColumn("clean", F.when(F.size("spans") > 0, F.expr(fold)).otherwise(F.col(f"row.{text}")))
+    before = "if(h.n = 0, 0, get(ends, h.n - 1))"
+    body = f"array_join(transform(heads, h -> concat({piece(before, 'h.s')}, element_at(array({labels}), h.k + 1))), '')"
+    masked = f"concat({body}, {piece('element_at(ends, -1)', 'length(text)')})"
+    clean = found.withColumn("clean", F.when(F.expr("size(heads) > 0 AND size(chunks) > 0 AND size(ends) > 0"), F.expr(masked)).otherwise(F.col(f"row.`{text}`")))
     put = {text: F.col("clean")} | ({n_chars: F.length("clean").cast(docs.schema[n_chars].dataType)} if n_chars in names else {})
     return clean.select(*(put.get(c, F.col(f"row.`{c}`")).alias(c) for c in names))
 
