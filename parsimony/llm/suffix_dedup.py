@@ -3,15 +3,19 @@
 Every byte goes that is covered by a string of LENGTH bytes which also starts earlier (in a smaller doc_id, or before
 it in the same document). Documents are stored in compressed blocks. Each LENGTH-byte window is filed under the least
 hash of the GRAM-byte strings in it; windows in a row under one hash make a segment, so equal windows always meet under
-one hash. Hashes that occur once in the corpus are dropped by an exchange of their counts, and the segments under
-the others are dealt out by hash. There each bucket builds a suffix array of its distinct segments by two-stage sorting
-(suffixes smaller than their successors are sorted directly, the others induced by scanning the buckets of first
-bytes), computes adjacent common prefixes, and marks every window but the earliest of each run that shares LENGTH
-bytes. Equal segments are kept once with all their places, within a block before the shuffle and in a bucket before
-sorting, so large groups of copies stay small.
+one hash. Hashes that occur once in the corpus are dropped by an exchange of their counts. Of equal segments (by 128-bit
+digests) an exchange finds the first in the corpus; all windows of the others start earlier there, so they are
+removed whole and travel no further, however many copies there are.
+
+The different segments that are left are dealt out by their hash. Each bucket takes them some hashes at a time, builds
+their suffix array by two-stage sorting (suffixes smaller than their successors are sorted directly, the others
+induced by scanning the buckets of first bytes), computes adjacent common prefixes, and marks every window but
+the earliest of each run that shares LENGTH bytes. A hash under which more than HOT different segments lie (a passage in
+ever new surroundings) would make one bucket grow with the corpus: its segments are split into their windows, which are
+dealt out by digests of the whole window, where nothing but the first place in the corpus is left to be found.
 
 Null texts are empty. Order among rows with equal doc_id (repeated rows) is that of their blocks; a null doc_id comes
-first. Other columns are not read.
+first. Other columns are not read, whatever their names. A text longer than a block is a block of its own.
 """
 
 from __future__ import annotations
@@ -21,15 +25,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import blocks, column, id_and_text, mix, stored, text_buffer
-from .exchange import bucket_bits, by_block, joined, totals
+from .common import blocks, column, drop_stored, id_and_text, mix, stored, text_buffer
+from .exchange import FIRSTS, bucket_bits, by_block, firsts, joined, totals
 
 LENGTH, GRAM = 100, 40
+#: Text bytes of a stored block, and of different segments that a bucket should hold and that are sorted at once.
+BLOCK, BUCKET, AT_ONCE = 1 << 20, 4 << 20, 1 << 20
+#: Different segments of one hash up to which they are sorted together; beyond it they go window by window.
+HOT = 4096
 _B = 0x9E3779B97F4A7C15
 
 
@@ -82,7 +91,7 @@ def block_table(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, k, z = TaskContext.get().partitionId() << 32, 0, zstandard.ZstdCompressor(level=3)
-        for b in blocks(batches):
+        for b in blocks(batches, BLOCK):
             raw, off = text_buffer(column(b, "text"))
             yield pa.RecordBatch.from_arrays([pa.array([part + k], pa.int64()), pa.array([column(b, "doc_id").to_pylist()], pa.list_(pa.int64())), pa.array([off.tobytes()], pa.binary()), pa.array([z.compress(raw.tobytes())], pa.binary()), pa.array([len(raw)], pa.int64())], names=["block_id", "doc_ids", "offsets", "text", "n_bytes"])
             k += 1
@@ -107,13 +116,34 @@ def hash_counts(table: DataFrame) -> DataFrame:
     return table.select("block_id", "offsets", "text").mapInArrow(run, "block_id long, keys binary, counts binary")
 
 
-SEGMENTS = "bucket int, block_id long, data binary, lens binary, copies binary, doc_ids binary, rows binary, starts binary"
+CUT = "block_id long, doc_ids array<long>, offsets binary, text binary, hashes binary, places binary, k1 binary, k2 binary, firsts binary, n_keys long"
+
+
+def _digests(raw: bytes, at: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """128-bit digests of slices, as two numbers each."""
+    got = b"".join(xxhash.xxh3_128_digest(raw[a:z]) for a, z in zip(at.tolist(), end.tolist(), strict=True))
+    both = np.frombuffer(got, ">u8").astype(np.uint64).reshape(-1, 2)
+    return both[:, 0].copy(), both[:, 1].copy()
+
+
+def _firsts_of(k1: np.ndarray, k2: np.ndarray, doc: np.ndarray, row: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Least place of each distinct key, in order of the keys, and each entry's key as a number."""
+    order = np.lexsort((start, row, doc, k2, k1))
+    new = np.append(True, (k1[order][1:] != k1[order][:-1]) | (k2[order][1:] != k2[order][:-1])) if len(order) else np.empty(0, bool)
+    of = np.empty(len(order), np.int64)
+    of[order] = np.cumsum(new) - 1
+    return order[new], of
+
+
+def _ids(b: pa.RecordBatch, r: int) -> np.ndarray:
+    return np.array([-(2**63) if x is None else x for x in column(b, "doc_ids")[r].as_py()], np.int64)
 
 
-def dealt_segments(table: DataFrame, found: DataFrame, n_buckets: int) -> DataFrame:
-    """Segments under hashes that occur more than once, each distinct one once for each block, with its places."""
+def cut_blocks(table: DataFrame, found: DataFrame) -> DataFrame:
+    """Stored blocks with their segments under hashes that occur more than once (hash, places, number of the distinct segment) and the digests of the distinct ones, with the first place of each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        z = zstandard.ZstdCompressor(level=1)
         for b in batches:
             for r in range(b.num_rows):
                 raw, off = _opened(b, r)
@@ -121,29 +151,103 @@ def dealt_segments(table: DataFrame, found: DataFrame, n_buckets: int) -> DataFr
                 many = joined(column(b, "parts")[r]) > 1
                 keep = many[np.searchsorted(np.unique(h), h)] if len(h) else np.empty(0, bool)
                 h, row, start, n = h[keep], row[keep], start[keep], n[keep]
-                data = raw.tobytes()
-                ids = [-(2**63) if x is None else x for x in column(b, "doc_ids")[r].as_py()]
-                places: dict[int, dict[bytes, list[tuple[int, int, int]]]] = {}
-                for x, i, a, k in zip((h % np.uint64(n_buckets)).tolist(), row.tolist(), start.tolist(), n.tolist(), strict=True):
-                    at = int(off[i]) + a
-                    places.setdefault(x, {}).setdefault(data[at : at + k + LENGTH - 1], []).append((ids[i], i, a))
-                if not places:
+                at = off[row] + start
+                k1, k2 = _digests(raw.tobytes(), at, at + n + LENGTH - 1)
+                first, of = _firsts_of(k1, k2, _ids(b, r)[row], row, start)
+                places = z.compress(np.stack([row, start, n, of]).astype(np.int32).tobytes())
+                least = z.compress(first.astype(np.int32).tobytes())
+                blobs = (h.tobytes(), places, k1[first].tobytes(), k2[first].tobytes(), least)
+                yield pa.RecordBatch.from_arrays(
+                    [column(b, c).slice(r, 1) for c in ("block_id", "doc_ids", "offsets", "text")] + [pa.array([x], pa.binary()) for x in blobs] + [pa.array([len(first)], pa.int64())],
+                    names=["block_id", "doc_ids", "offsets", "text", "hashes", "places", "k1", "k2", "firsts", "n_keys"],
+                )
+
+    return stored(table.join(by_block(found), "block_id", "left").mapInArrow(run, CUT), "cut")
+
+
+class _Cut:
+    """A block's segments: hash, row, start, windows, number of the distinct segment; of the distinct ones the first place."""
+
+    def __init__(self, b: pa.RecordBatch, r: int):
+        unpack = lambda c: np.frombuffer(zstandard.ZstdDecompressor().decompress(column(b, c)[r].as_buffer(), max_output_size=1 << 31), np.int32)
+        self.h = np.frombuffer(column(b, "hashes")[r].as_buffer(), np.uint64)
+        self.row, self.start, self.n, self.of = unpack("places").reshape(4, -1).astype(np.int64)
+        self.first = unpack("firsts").astype(np.int64)
+        self.own = joined(column(b, "flags")[r]) > 0 if "flags" in b.schema.names else None
+
+
+def key_places(cut: DataFrame) -> DataFrame:
+    """The distinct segments of each block for the exchange of first places."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for r in range(b.num_rows):
+                s = _Cut(b, r)
+                blobs = (_ids(b, r)[s.row[s.first]], s.row[s.first].astype(np.int32), s.start[s.first].astype(np.int32))
+                yield pa.RecordBatch.from_arrays([column(b, c).slice(r, 1) for c in ("block_id", "k1", "k2")] + [pa.array([x.tobytes()], pa.binary()) for x in blobs], names=["block_id", "k1", "k2", "doc_ids", "rows", "starts"])
+
+    return cut.select("block_id", "doc_ids", "hashes", "places", "firsts", "k1", "k2").mapInArrow(run, FIRSTS)
+
+
+def flagged(cut: DataFrame, own: DataFrame, *names: str) -> DataFrame:
+    """Columns of the cut blocks, with flags: which of a block's distinct segments are the first in the corpus."""
+    return cut.select("block_id", "hashes", "places", "firsts", *names).join(by_block(own).withColumnRenamed("parts", "flags"), "block_id", "left")
+
+
+def different_counts(cut: DataFrame, own: DataFrame) -> DataFrame:
+    """Each block's hashes with the number of different segments under them that come first there."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for r in range(b.num_rows):
+                s = _Cut(b, r)
+                keys, counts = np.unique(s.h[s.first[s.own]], return_counts=True)
+                yield pa.RecordBatch.from_arrays([column(b, "block_id").slice(r, 1), pa.array([keys.tobytes()], pa.binary()), pa.array([counts.astype(np.uint32).tobytes()], pa.binary())], names=["block_id", "keys", "counts"])
+
+    return flagged(cut, own).mapInArrow(run, "block_id long, keys binary, counts binary")
+
+
+SEGMENTS = "bucket int, block_id long, hashes binary, lens binary, doc_ids binary, rows binary, starts binary, data binary"
+
+
+def dealt_segments(cut: DataFrame, own: DataFrame, different: DataFrame, n_buckets: int) -> DataFrame:
+    """Different segments to be sorted, by bucket of their hash; those under a hash with more than HOT of them in bucket -1."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for r in range(b.num_rows):
+                s = _Cut(b, r)
+                mine = s.first[s.own]
+                if not len(mine):
                     continue
-                flat = [[p for v in m.values() for p in v] for m in places.values()]
-                blob = lambda xs, t: pa.array([np.array(x, t).tobytes() for x in xs], pa.binary())
+                raw, off = _opened(b, r)
+                h, row, start, n, ids = s.h[mine], s.row[mine], s.start[mine], s.n[mine], _ids(b, r)
+                others = joined(column(b, "parts")[r])[np.searchsorted(np.unique(h), h)]
+                # a segment alone under its hash matters only if its hash stands in it more than once
+                more = others > 1
+                alone = np.flatnonzero(~more)
+                more[alone] = [_twice(raw[a : a + k], x) for a, k, x in zip((off[row[alone]] + start[alone]).tolist(), (n[alone] + LENGTH - 1).tolist(), h[alone], strict=True)]
+                bucket = np.where(others > HOT, -1, (h % np.uint64(n_buckets)).astype(np.int64))
+                order = np.flatnonzero(more)
+                order = order[np.argsort(bucket[order], kind="stable")]
+                if not len(order):
+                    continue
+                cuts = np.flatnonzero(np.append(True, bucket[order][1:] != bucket[order][:-1]))
+                text, at, lens = raw.tobytes(), off[row] + start, n + LENGTH - 1
+                groups = np.split(order, cuts[1:])
+                data = [b"".join(text[a : a + k] for a, k in zip(at[g].tolist(), lens[g].tolist(), strict=True)) for g in groups]
+                blob = lambda x, t: pa.array([x[g].astype(t).tobytes() for g in groups], pa.binary())
                 yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(list(places), pa.int32()),
-                        pa.array([column(b, "block_id")[r].as_py()] * len(places), pa.int64()),
-                        pa.array([b"".join(m) for m in places.values()], pa.binary()),
-                        blob([[len(s) for s in m] for m in places.values()], np.int64),
-                        blob([[len(v) for v in m.values()] for m in places.values()], np.int64),
-                        *(blob([[p[j] for p in f] for f in flat], np.int64) for j in range(3)),
-                    ],
-                    names=["bucket", "block_id", "data", "lens", "copies", "doc_ids", "rows", "starts"],
+                    [pa.array(bucket[order[cuts]], pa.int32()), pa.array([column(b, "block_id")[r].as_py()] * len(groups), pa.int64()), blob(h, np.uint64), blob(lens, np.int32), blob(ids[row], np.int64), blob(row, np.int32), blob(start, np.int32), pa.array(data, pa.binary())],
+                    names=["bucket", "block_id", "hashes", "lens", "doc_ids", "rows", "starts", "data"],
                 )
 
-    return table.join(by_block(found), "block_id").mapInArrow(run, SEGMENTS)
+    return flagged(cut, own, "doc_ids", "offsets", "text").join(by_block(different), "block_id").mapInArrow(run, SEGMENTS)
+
+
+def _twice(raw: np.ndarray, h: np.uint64) -> bool:
+    """Whether a GRAM-byte string with this hash stands more than once in raw."""
+    return len(raw) > LENGTH and int((_gram_hashes(raw) == h).sum()) > 1
 
 
 def suffix_array(text: np.ndarray, depth: int = LENGTH) -> np.ndarray:
@@ -236,16 +340,16 @@ def common_prefixes(text: np.ndarray, sa: np.ndarray, most: int) -> np.ndarray:
     return np.minimum(lcp, most)
 
 
-def marked_windows(strings: list[bytes], rank: np.ndarray, length: int = LENGTH) -> list[np.ndarray]:
-    """Offsets in each string at which a window of `length` bytes starts that also starts earlier. rank: the strings' order."""
-    lens = np.array([len(s) for s in strings], np.int64)
+def marked_windows(data: np.ndarray, lens: np.ndarray, rank: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray]:
+    """String and offset of each window of `length` bytes that also starts earlier. data: the strings end to end; rank: their order, of different numbers."""
     begins = np.concatenate([[0], np.cumsum(lens + 1)])
     text = np.zeros(int(begins[-1]), np.int16)
-    for s, a in zip(strings, begins[:-1].tolist(), strict=True):
-        text[a : a + len(s)] = np.frombuffer(s, np.uint8)
-        text[a : a + len(s)] += 1
+    within = np.ones(len(text), bool)
+    within[begins[1:] - 1] = False
+    text[within] = data
+    text[within] += 1
     sa = suffix_array(text, length)
-    of = np.repeat(np.arange(len(strings)), lens + 1)[sa]
+    of = np.repeat(np.arange(len(lens)), lens + 1)[sa]
     # only suffixes that hold a whole window matter; shorter ones differ from these within it, so equal windows stay adjacent
     whole = begins[of] + lens[of] - sa >= length
     sa, of = sa[whole], of[whole]
@@ -256,59 +360,111 @@ def marked_windows(strings: list[bytes], rank: np.ndarray, length: int = LENGTH)
         least = np.repeat(np.minimum.reduceat(order, run), np.diff(np.append(run, len(sa))))
         sa, of = sa[order != least], of[order != least]
     by = np.lexsort((sa, of))
-    sa, of = sa[by], of[by]
-    cut = np.searchsorted(of, np.arange(len(strings) + 1))
-    return [sa[cut[i] : cut[i + 1]] - begins[i] for i in range(len(strings))]
+    return of[by], sa[by] - begins[of[by]]
 
 
-def _ranges(x: np.ndarray) -> list[tuple[int, int]]:
-    """Ascending numbers as ranges, end exclusive."""
-    if not len(x):
-        return []
-    at = np.flatnonzero(np.append(True, x[1:] != x[:-1] + 1))
-    return list(zip(x[at].tolist(), (x[np.append(at[1:], len(x)) - 1] + 1).tolist(), strict=True))
+def _triples(row: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """Starts of windows, ascending by row and start, as (row, first, last + 1) of those in a row."""
+    if not len(row):
+        return np.empty((0, 3), np.int64)
+    at = np.flatnonzero(np.append(True, (row[1:] != row[:-1]) | (start[1:] != start[:-1] + 1)))
+    return np.stack([row[at], start[at], start[np.append(at[1:], len(row)) - 1] + 1], axis=1)
 
 
 def marks(dealt: DataFrame) -> DataFrame:
-    """block_id and triples (row, first and last start + 1) of windows that start earlier elsewhere."""
+    """block_id and triples (row, first and last start + 1) of windows that start earlier in another segment or in the same one."""
 
     def run(key: tuple[pa.Scalar, ...], group: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        places: dict[bytes, list[tuple[int, int, int, int]]] = {}
+        names, kinds = ("hashes", "lens", "doc_ids", "rows", "starts", "data"), (np.uint64, np.int32, np.int64, np.int32, np.int32, np.uint8)
+        parts: list[list[np.ndarray]] = [[] for _ in names]
+        ids = []
         for b in group:
-            for r in range(b.num_rows):
-                ints = lambda c: np.frombuffer(column(b, c)[r].as_buffer(), np.int64).tolist()
-                data, block = column(b, "data")[r].as_py(), column(b, "block_id")[r].as_py()
-                spots = zip(ints("doc_ids"), ints("rows"), ints("starts"), strict=True)
-                at = 0
-                for n, k in zip(ints("lens"), ints("copies"), strict=True):
-                    mine = places.setdefault(data[at : at + n], [])
-                    at += n
-                    for _ in range(k):
-                        doc, row, start = next(spots)
-                        mine.append((doc, block, row, start))
-        out: dict[int, list[int]] = {}
-        strings = list(places)
-        firsts = [min(p) for p in places.values()]
-        rank = np.empty(len(strings), np.int64)
-        rank[sorted(range(len(strings)), key=firsts.__getitem__)] = np.arange(len(strings))
-        for s, first, found in zip(strings, firsts, marked_windows(strings, rank), strict=True):
-            for _, block, row, start in places[s]:
-                ranges = [(0, len(s) - LENGTH + 1)] if (_, block, row, start) != first else _ranges(found)
-                for a, z in ranges:
-                    out.setdefault(block, []).extend((row, start + a, start + z))
-        yield pa.RecordBatch.from_arrays([pa.array(list(out), pa.int64()), pa.array([np.array(x, np.int64).tobytes() for x in out.values()], pa.binary())], names=["block_id", "marks"])
+            ids += column(b, "block_id").to_pylist()
+            for part, c, k in zip(parts, names, kinds, strict=True):
+                part += [np.frombuffer(x.as_buffer(), k) for x in column(b, c)]
+        block = np.repeat(np.array(ids, np.int64), [len(p) for p in parts[0]])
+        h, lens, doc, row, start, data = (np.concatenate(p) for p in parts)
+        del parts
+        begins = np.cumsum(lens, dtype=np.int64) - lens
+        order = np.lexsort((start, row, block, doc))
+        rank = np.empty(len(h), np.int64)
+        rank[order] = np.arange(len(h))
+        by = np.argsort(h, kind="stable")
+        size = np.cumsum(lens[by], dtype=np.int64)
+        edges = np.append(np.flatnonzero(np.append(True, h[by][1:] != h[by][:-1])), len(h))  # a hash is sorted whole
+        at = 0
+        while at < len(edges) - 1:
+            to = max(at + 1, int(np.searchsorted(size[edges[1:] - 1], (size[edges[at] - 1] if edges[at] else 0) + AT_ONCE, "right")))
+            some = by[edges[at] : edges[to]]
+            at = to
+            n = lens[some].astype(np.int64)
+            take = np.repeat(begins[some] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+            of, offset = marked_windows(data[take], n, rank[some])
+            if not len(of):
+                continue
+            of = some[of]
+            found = np.stack([block[of], row[of], start[of] + offset])
+            found = found[:, np.lexsort(found[::-1])]
+            cuts = np.flatnonzero(np.append(True, found[0, 1:] != found[0, :-1]))
+            blobs = [_triples(x[1], x[2]).astype(np.int32).tobytes() for x in np.split(found, cuts[1:], axis=1)]
+            yield pa.RecordBatch.from_arrays([pa.array(found[0, cuts], pa.int64()), pa.array(blobs, pa.binary())], names=["block_id", "marks"])
 
     return dealt.groupBy("bucket").applyInArrow(run, "block_id long, marks binary")
 
 
-def removed(table: DataFrame, found: DataFrame) -> DataFrame:
+class _Windows:
+    """All windows of the segments in a dealt row: digests, places, and the least place of each different window."""
+
+    def __init__(self, b: pa.RecordBatch, r: int):
+        get = lambda c, k: np.frombuffer(column(b, c)[r].as_buffer(), k)
+        lens = get("lens", np.int32).astype(np.int64)
+        n = lens - LENGTH + 1
+        step = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        at = np.repeat(np.cumsum(lens) - lens, n) + step
+        self.doc, self.row = np.repeat(get("doc_ids", np.int64), n), np.repeat(get("rows", np.int32), n)
+        self.start = np.repeat(get("starts", np.int32), n) + step.astype(np.int32)
+        self.k1, self.k2 = _digests(column(b, "data")[r].as_py(), at, at + LENGTH)
+        self.first, self.of = _firsts_of(self.k1, self.k2, self.doc, self.row, self.start)
+
+
+def window_marks(hot: DataFrame) -> DataFrame:
+    """As marks, of stored segments under hashes with very many different ones: each window against its first place."""
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for r in range(b.num_rows):
+                w = _Windows(b, r)
+                blobs = (w.k1[w.first], w.k2[w.first], w.doc[w.first], w.row[w.first], w.start[w.first])
+                yield pa.RecordBatch.from_arrays([column(b, "block_id").slice(r, 1), *(pa.array([x.tobytes()], pa.binary()) for x in blobs)], names=["block_id", "k1", "k2", "doc_ids", "rows", "starts"])
+
+    def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for r in range(b.num_rows):
+                w = _Windows(b, r)
+                own = joined(column(b, "flags")[r]) > 0
+                gone = ~own[w.of]
+                gone[np.setdiff1d(np.arange(len(w.of)), w.first)] = True
+                row, start = w.row[gone].astype(np.int64), w.start[gone].astype(np.int64)
+                order = np.lexsort((start, row))
+                yield pa.RecordBatch.from_arrays([column(b, "block_id").slice(r, 1), pa.array([_triples(row[order], start[order]).astype(np.int32).tobytes()], pa.binary())], names=["block_id", "marks"])
+
+    n = hot.agg(F.sum(F.octet_length("data").cast("long"))).first()[0] or 0
+    own = stored(firsts(hot.mapInArrow(ask, FIRSTS), bucket_bits(n / 2)), "window-firsts")
+    return hot.join(by_block(own).withColumnRenamed("parts", "flags"), "block_id").mapInArrow(answer, "block_id long, marks binary")
+
+
+def removed(cut: DataFrame, own: DataFrame, found: DataFrame) -> DataFrame:
     by = found.groupBy("block_id").agg(F.collect_list("marks").alias("marks"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for r in range(b.num_rows):
+                s = _Cut(b, r)
                 raw, off = _opened(b, r)
-                m = np.concatenate([np.empty(0, np.int64), *(np.frombuffer(x, np.int64) for x in column(b, "marks")[r].as_py() or [])]).reshape(-1, 3)
+                whole = np.ones(len(s.h), bool)
+                whole[s.first[s.own]] = False  # the first of its kind in the corpus stays but for its marks
+                m = np.concatenate([np.empty(0, np.int32), *(np.frombuffer(x, np.int32) for x in column(b, "marks")[r].as_py() or [])]).astype(np.int64).reshape(-1, 3)
+                m = np.concatenate([m, np.stack([s.row, s.start, s.start + s.n], axis=1)[whole]])
                 edge = np.zeros(int(off[-1]) + 1, np.int32)
                 np.add.at(edge, off[m[:, 0]] + m[:, 1], 1)
                 np.add.at(edge, off[m[:, 0]] + m[:, 2] + LENGTH - 1, -1)
@@ -322,15 +478,26 @@ def removed(table: DataFrame, found: DataFrame) -> DataFrame:
                 kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string()]
                 yield pa.RecordBatch.from_arrays([pa.array(column(b, "doc_ids")[r].as_py(), pa.int64()), *(pa.array(o, t) for o, t in zip(rows, kinds, strict=True))], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    return table.join(by, "block_id", "left").mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return flagged(cut, own, "doc_ids", "offsets", "text").join(by, "block_id", "left").mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
     table = block_table(docs)
     size = table.agg(F.sum("n_bytes")).first()[0] or 0
     found = stored(totals(hash_counts(table), bucket_bits(size / 30)), "hash-totals")
-    dealt = dealt_segments(table, found, max(16, int(size / 5e5)))
-    return removed(table, stored(marks(dealt), "marks"))
+    cut = cut_blocks(table, found)
+    drop_stored(table, found)
+    keys = cut.agg(F.sum("n_keys")).first()[0] or 0
+    own = stored(firsts(key_places(cut), bucket_bits(2 * keys)), "firsts")
+    different = stored(totals(different_counts(cut, own), bucket_bits(keys)), "different")
+    dealt = stored(dealt_segments(cut, own, different, max(16, int(150 * keys / BUCKET))), "segments")
+    drop_stored(different)
+    found = stored(marks(dealt.where("bucket >= 0")), "marks")
+    hot = dealt.where("bucket < 0")
+    if not hot.isEmpty():
+        found = found.union(stored(window_marks(hot), "marks"))
+    drop_stored(dealt)
+    return removed(cut, own, found)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

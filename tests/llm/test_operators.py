@@ -216,7 +216,9 @@ def test_block_max_is_exact():
         assert np.allclose(sims, np.sort(full)[::-1][: len(sims)], atol=1e-5) and len(best) == min(toxicity.K, (full > 0).sum())
 
 
-def test_suffix_dedup(spark, texts):
+@pytest.mark.parametrize("hot", [4096, 2])
+def test_suffix_dedup(spark, texts, monkeypatch, hot):
+    monkeypatch.setattr(suffix_dedup, "HOT", hot)
     rng = random.Random(6)
     line = prose(rng, 30)
     more = texts + [(300 + i, prose(rng, 20) + "\n" + line + "\n" + prose(rng, 20)) for i in range(8)] + [(400, (line + "\n") * 6), (401, "z" * 700), (402, "ab" * 200 + "é" * 90)]
