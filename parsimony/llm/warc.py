@@ -3,12 +3,19 @@
 The writer gives each distinct payload one response record (that of the largest page_id) and a revisit record to
 every other page with an equal payload. The reader's tasks each take a byte range of an archive: they scan it for
 the gzip magic, take a place for a member only if it decodes to a WARC header, own the records that start inside
-their range and read beyond its end to finish the last one. Payload digests are computed anew when read.
+their range and read beyond its end to finish the last one. Headers may have any length. Payload digests are computed
+anew when read.
+
+A payload may itself hold WARC members, which a task that begins inside that record would take for the archive's own.
+So a range keeps only members that follow each other without a gap up to its end, and reports where its first one
+begins and its last one ends; an archive counts as read if every range begins where the one before it ended and the
+records are as many as the manifest says. Any other archive is read once more from its beginning, member by member,
+where no such mistake can happen; if the number still differs, the job fails instead of losing records.
 
 Archives lie in the shared folder; only those in the manifest count, so a task that runs twice leaves no records
 behind. Null html is an empty payload; null page_ids sort before all others and give null refers_to; of repeated
 rows with equal payload and the largest page_id one is the response. Other columns than page_id, url and html are
-not read.
+not read. Control characters of a url are left out of its record. An empty table gives no archives and no rows.
 """
 
 from __future__ import annotations
@@ -19,9 +26,8 @@ import uuid
 import zlib
 from collections.abc import Iterator
 
-import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import column, new_folder, stored
@@ -31,6 +37,7 @@ BROADCAST_ROWS = 100_000
 ARCHIVE_BYTES = 64 << 20
 SPLIT_BYTES = 8 << 20
 MAGIC = b"\x1f\x8b\x08"
+_VERSION = b"WARC/1."
 _HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
 
 
@@ -107,65 +114,130 @@ def write_archives(records: DataFrame, folder: str) -> DataFrame:
     return stored(records.mapInArrow(run, "path string, n_bytes long, n_records long"), "manifest")
 
 
-class _Reader:
-    """Reads forward through a file, a piece at a time."""
+class _Source:
+    """Pieces of an opened file; the last one read is kept."""
+
+    def __init__(self, file, piece: int = 1 << 20):
+        self.file, self.piece, self.size, self.at, self.buf = file, piece, file.size(), 0, b""
+
+    def ahead(self, pos: int, most: int | None = None) -> memoryview:
+        """Bytes from pos on: at least one, unless the file ends there, and at most `most`."""
+        if not self.at <= pos < self.at + len(self.buf):
+            self.at, self.buf = pos, self.file.read_at(min(self.piece, max(0, self.size - pos)), pos)
+        got = memoryview(self.buf)[pos - self.at :]
+        return got if most is None else got[:most]
+
+    def find_magic(self, pos: int, end: int) -> int:
+        """The first place of the gzip magic in [pos, end), or -1."""
+        while pos < end:
+            got = bytes(self.ahead(pos))
+            if len(got) < len(MAGIC) and pos + len(got) < self.size:
+                got = self.file.read_at(self.piece, pos)  # a piece ends within what may be the magic
+            at = got.find(MAGIC)
+            if at >= 0:
+                return pos + at if pos + at < end else -1
+            pos += max(1, len(got) - len(MAGIC) + 1)
+        return -1
+
+
+def _header(raw: bytes) -> dict[str, str] | None:
+    """Fields of a whole WARC header."""
+    lines = raw.decode("utf-8", "replace").split("\r\n")[1:]
+    head = {k.strip().lower(): v.strip(" \t") for k, _, v in (x.partition(":") for x in lines)}
+    return head if head.get("content-length", "").isdigit() and "warc-type" in head else None
+
+
+def _member_at(source: _Source, at: int) -> tuple[int, dict[str, str], bytes] | None:
+    """End, header and block of the WARC record whose gzip member begins at `at`, or None if there is none."""
+    z, raw, pos, head, n = zlib.decompressobj(31), bytearray(), at, None, 0
+    step = 4096
+    try:
+        while not z.eof:
+            got = source.ahead(pos, step)
+            if not len(got):
+                return None  # cut off
+            pos += len(got)
+            step = 1 << 18
+            seen = max(0, len(raw) - 3)
+            raw += z.decompress(got)
+            if head is None:
+                if not raw.startswith(_VERSION[: len(raw)]):
+                    return None
+                if (n := raw.find(b"\r\n\r\n", seen)) >= 0:
+                    if (head := _header(bytes(raw[:n]))) is None:
+                        return None
+                    n += 4
+    except zlib.error:
+        return None
+    if head is None or len(raw) < n + int(head["content-length"]):
+        return None
+    return pos - len(z.unused_data), head, bytes(memoryview(raw)[n : n + int(head["content-length"])])
+
+
+def members(source: _Source, start: int, end: int, sure: bool = False) -> Iterator[tuple[int, int, dict[str, str], bytes]]:
+    """Beginning, end, header and block of members that begin in [start, end), found by the magic; each is looked for where the one before it ended."""
+    pos = start
+    while pos < end:
+        at = pos if sure else source.find_magic(pos, end)
+        if at < 0:
+            return
+        if (got := _member_at(source, at)) is None:
+            pos, sure = at + 1, False
+            continue
+        yield at, *got
+        pos, sure = got[0], False
+
 
-    def __init__(self, source, start: int, piece: int = 1 << 20):
-        self.source, self.piece, self.buf, self.at, self.end = source, piece, b"", start, source.size()
+ROWS = "path string, start long, first long, last long, n_records long, page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long"
 
-    def need(self, n: int) -> bool:
-        """Whether n bytes or more lie ahead, which then are in the buffer."""
-        while len(self.buf) < n and (pos := self.at + len(self.buf)) < self.end:
-            self.buf += self.source.read_at(min(self.piece, self.end - pos), pos)
-        return len(self.buf) >= n
 
-    def skip(self, n: int) -> None:
-        self.buf, self.at = self.buf[n:], self.at + n
+def _page(urn: str) -> int | None:
+    last = urn.strip("<>").rpartition(":")[2]
+    return None if last in ("", "none") else int(last)
 
 
-def _header(raw: bytes) -> tuple[dict[str, str], int] | None:
-    """Header fields and the length of the header, if raw begins with a whole WARC header."""
-    end = raw.find(b"\r\n\r\n")
-    if not raw.startswith(b"WARC/1.") or end < 0:
+def _row(path: str, head: dict[str, str], block: bytes) -> tuple | None:
+    """page_id, url, payload_bytes, payload_digest, record_type, refers_to of a response or revisit record."""
+    kind = head["warc-type"]
+    if kind not in ("response", "revisit"):
         return None
-    lines = raw[:end].decode("utf-8", "replace").split("\r\n")[1:]
-    head = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines)}
-    return (head, end + 4) if head.get("content-length", "").isdigit() and "warc-type" in head else None
-
-
-def members(source, start: int, end: int) -> Iterator[tuple[dict[str, str], bytes]]:
-    """Header and block of each record whose member starts in [start, end) of an opened archive."""
-    r = _Reader(source, start)
-    while r.at < end:
-        r.need(len(MAGIC))
-        at = r.buf.find(MAGIC)
-        if at < 0 or r.at + at >= end:
-            if r.at + len(r.buf) >= min(end + len(MAGIC), r.end) or at >= 0:
-                return
-            r.skip(max(0, len(r.buf) - len(MAGIC) + 1))
-            if not r.need(len(r.buf) + 1):
-                return
-            continue
-        r.skip(at)
-        z, parts, fed, head = zlib.decompressobj(31), [], 0, None
-        try:
-            while not z.eof:
-                if fed == len(r.buf) and not r.need(fed + 1):
-                    raise zlib.error("cut off")
-                step = r.buf[fed : fed + 65536]
-                fed += len(step)
-                parts.append(z.decompress(step))
-                if head is None and (sum(map(len, parts)) >= 65536 or z.eof):
-                    parts = [b"".join(parts)]
-                    if (head := _header(parts[0])) is None:
-                        raise zlib.error("no WARC header")
-        except zlib.error:
-            r.skip(1)
-            continue
-        r.skip(fed - len(z.unused_data))
-        fields, n = head
-        raw = b"".join(parts)
-        yield fields, raw[n : n + int(fields["content-length"])]
+    digest, n = head["warc-payload-digest"].removeprefix("sha1:"), int(head["x-payload-length"])
+    if kind == "response":
+        payload = memoryview(block)[block.find(b"\r\n\r\n") + 4 :]
+        n, got = len(payload), base64.b32encode(hashlib.sha1(payload).digest()).decode()
+        if got != digest:
+            raise ValueError(f"{path}: payload of {head['warc-record-id']} has digest {got}, not {digest}")
+    return _page(head["warc-record-id"]), head.get("warc-target-uri", ""), n, digest, kind, _page(head["warc-refers-to"]) if kind == "revisit" else None
+
+
+def read_ranges(ranges: DataFrame, folder: str) -> DataFrame:
+    """ranges: path, start, end, whole (number of records if it is the whole archive, else null). A row for each record, and one for each range (page_id and record_type null) with where its members begin and end and how many records it has."""
+    kinds = (pa.string(), *[pa.int64()] * 4, pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64())
+    names = [c.split()[0] for c in ROWS.split(", ")]
+
+    def batch(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([x[i] for x in rows], t) for i, t in enumerate(kinds)], names=names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, _ = open_folder(folder)
+        for b in batches:
+            for path, start, end, whole in zip(*(column(b, c).to_pylist() for c in ("path", "start", "end", "whole")), strict=True):
+                rows, first, last = [], None, None
+                with fs.open_input_file(path) as file:
+                    source = _Source(file)
+                    for at, to, head, block in members(source, start, end, whole is not None):
+                        if whole is None and at != last:  # a gap: what came before lay inside a payload
+                            rows, first = [], at
+                        last = to
+                        if (row := _row(path, head, block)) is not None:
+                            rows.append((path, start, None, None, None, *row))
+                    if whole is None and last is not None and last < end and last < source.size:
+                        rows, first, last = [], None, None  # so did all of it
+                if whole is not None and len(rows) != whole:
+                    raise ValueError(f"{path} holds {len(rows)} records, not {whole}")
+                yield batch([*rows, (path, start, first, last, len(rows), *[None] * 6)])
+
+    return ranges.select("path", "start", "end", "whole").mapInArrow(run, ROWS)
 
 
 def read_archives(manifest: DataFrame, folder: str, split: int = SPLIT_BYTES) -> DataFrame:
@@ -174,33 +246,17 @@ def read_archives(manifest: DataFrame, folder: str, split: int = SPLIT_BYTES) ->
     total = manifest.agg(F.sum(F.ceil(F.col("n_bytes") / split))).first()[0] or 0
     ranges = manifest.select("path", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_bytes") - 1, F.lit(split).cast("long"))).alias("start"))
     ranges = ranges.repartition(max(1, min(int(total), 4 * spark.sparkContext.defaultParallelism)) if total < 40_000 else int(total // 10))
-
-    def page(urn: str) -> int | None:
-        last = urn.strip("<>").rpartition(":")[2]
-        return None if last in ("", "none") else int(last)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fs, _ = open_folder(folder)
-        for b in batches:
-            for path, start in zip(column(b, "path").to_pylist(), column(b, "start").to_pylist(), strict=True):
-                rows = []
-                with fs.open_input_file(path) as source:
-                    for head, block in members(source, start, start + split):
-                        kind = head["warc-type"]
-                        if kind not in ("response", "revisit"):
-                            continue
-                        payload = block[block.find(b"\r\n\r\n") + 4 :]
-                        digest, n = head["warc-payload-digest"].removeprefix("sha1:"), int(head["x-payload-length"])
-                        if kind == "response":
-                            n, got = len(payload), base64.b32encode(hashlib.sha1(payload).digest()).decode()
-                            if got != digest:
-                                raise ValueError(f"{path}: payload of {head['warc-record-id']} has digest {got}, not {digest}")
-                        rows.append((page(head["warc-record-id"]), head.get("warc-target-uri", ""), n, digest, kind, page(head["warc-refers-to"]) if kind == "revisit" else None))
-                kinds = (pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64())
-                names = ["page_id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to"]
-                yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in rows], t) for i, t in enumerate(kinds)], names=names)
-
-    return ranges.mapInArrow(run, "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long")
+    got = stored(read_ranges(ranges.withColumn("end", F.col("start") + split).withColumn("whole", F.lit(None).cast("long")), folder), "records")
+    # every range must begin where the members before it ended, unless these reach beyond it
+    before = F.coalesce(F.max("last").over(Window.partitionBy("path").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0).cast("long"))
+    joint = F.when(F.col("first").isNull(), before >= F.col("start") + split).otherwise(F.col("first") == before)
+    seen = got.where("record_type is null").withColumn("joint", joint).groupBy("path").agg(F.min("joint").alias("joint"), F.sum("n_records").alias("n"), F.max("last").alias("last"))
+    again = manifest.join(seen, "path", "left").where(~F.coalesce(F.col("joint") & (F.col("n") == F.col("n_records")) & (F.col("last") == F.col("n_bytes")), F.lit(False)))
+    again = stored(again.select("path", F.lit(0).cast("long").alias("start"), F.col("n_bytes").alias("end"), F.col("n_records").alias("whole")), "again")
+    records = got.where("record_type is not null")
+    if not again.isEmpty():
+        records = records.join(again.select("path"), "path", "left_anti").select(*records.columns).union(read_ranges(again.repartition("path"), folder).where("record_type is not null"))
+    return records.drop("path", "start", "first", "last", "n_records")
 
 
 def round_trip(pages: DataFrame, split: int = SPLIT_BYTES) -> DataFrame:

@@ -104,6 +104,30 @@ def test_warc(spark):
     assert warc.round_trip(pages.limit(0)).count() == 0
 
 
+def test_warc_records_of_any_header_and_nested_archives(spark, tmp_path):
+    rng = random.Random(2)
+    digest = lambda raw: hashlib.sha1(raw).hexdigest()
+    inner = b"".join(warc.record(900 + k, "nested", x, len(x), digest(x), None) for k, x in ((k, rng.randbytes(900)) for k in range(30)))
+    payloads = [b"a", b"before " + inner + b" after", inner, rng.randbytes(50_000), b"", b"\x1f\x8b\x08" * 3000]
+    urls = ["u", "v" * 200_000, "w", "".join(chr(rng.randrange(33, 0x3000)) for _ in range(90_000)), "x", "y"]
+    folder = tmp_path / "warc"
+    folder.mkdir()
+    raw = b"".join(warc.record(k, u, x, len(x), digest(x), None) for k, (u, x) in enumerate(zip(urls, payloads, strict=True)))
+    raw += warc.record(6, "z", None, 1, digest(b"a"), 0)
+    (folder / "a.warc.gz").write_bytes(raw)
+    many = b"".join(warc.record(k, "m", str(k).encode(), len(str(k)), digest(str(k).encode()), None) for k in range(100, 160))
+    (folder / "b.warc.gz").write_bytes(many)
+    manifest = spark.createDataFrame([(f"{folder}/a.warc.gz", len(raw), 7), (f"{folder}/b.warc.gz", len(many), 60)], "path string, n_bytes long, n_records long")
+    for split in (512, 4096, 20_000, 1 << 20):
+        got = {r.page_id: (r.url, r.payload_bytes, r.record_type, r.refers_to) for r in warc.read_archives(manifest, f"file://{folder}", split).collect()}
+        want = {k: (u.replace("\x7f", ""), len(x), "response", None) for k, (u, x) in enumerate(zip(urls, payloads, strict=True))}
+        want |= {6: ("z", 1, "revisit", 0)} | {k: ("m", 3, "response", None) for k in range(100, 160)}
+        assert got == want
+    short = manifest.withColumn("n_records", F.col("n_records") + 1)
+    with pytest.raises(Exception, match="holds 7 records, not 8|holds 60 records, not 61"):
+        warc.read_archives(short, f"file://{folder}").collect()
+
+
 def test_nearest_neighbours(spark):
     rng = np.random.default_rng(3)
     x = rng.normal(size=(1500, 16))
