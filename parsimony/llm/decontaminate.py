@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import blocks, bound_batches, column, id_and_text, stored, text_buffer
+from .common import blocks, bound_batches, column, free_name, id_and_text, stored, text_buffer
 
 #: Window length in words; a shorter item is one window.
 WINDOW = 8
@@ -260,7 +260,7 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     they are built, so whole rows pass by without a shuffle; a further block of items is a further pass, which carries
     the items found so far.
     """
-    names, found = docs.columns, _free_name(docs.columns, "items")
+    names, found = docs.columns, free_name(docs.columns, "items")
     bound_batches(docs.sparkSession)
     out = docs.withColumn(found, F.array().cast("array<string>"))
     for block in item_blocks(benchmark):
@@ -273,14 +273,6 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 _WHOLE = "\0\0"
 
 
-def _free_name(names: list[str], name: str) -> str:
-    """A column name that none of names equals, in any case."""
-    taken = {n.lower() for n in names}
-    while name in taken:
-        name += "_"
-    return name
-
-
 def _marker(spark: SparkSession, phrases: Phrases, names: list[str], found: str):
     shared = spark.sparkContext.broadcast(phrases)
 

@@ -61,9 +61,14 @@ def _sliding(x: np.ndarray, best) -> np.ndarray:
     return best(x[:n], x[span - k : span - k + n])
 
 
+def _spread(least: np.ndarray) -> np.ndarray:
+    """Least hashes, which are all small numbers, spread over all numbers, as they are dealt out by leading bits."""
+    return mix(least ^ np.uint64(_B))
+
+
 def window_hashes(raw: np.ndarray) -> np.ndarray:
     """For each start of LENGTH bytes, the least hash of the GRAM-byte strings in it."""
-    return _sliding(_gram_hashes(raw), np.minimum) if len(raw) >= LENGTH else np.empty(0, np.uint64)
+    return _spread(_sliding(_gram_hashes(raw), np.minimum)) if len(raw) >= LENGTH else np.empty(0, np.uint64)
 
 
 def chosen_grams(raw: np.ndarray) -> np.ndarray:
@@ -71,7 +76,7 @@ def chosen_grams(raw: np.ndarray) -> np.ndarray:
     if len(raw) < LENGTH:
         return np.empty(0, np.uint64)
     g, edge = _gram_hashes(raw), np.zeros(LENGTH - GRAM, np.uint64)
-    return g[g == _sliding(np.concatenate([edge, _sliding(g, np.minimum), edge]), np.maximum)]
+    return _spread(g[g == _sliding(np.concatenate([edge, _sliding(g, np.minimum), edge]), np.maximum)])
 
 
 def segments(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -247,7 +252,7 @@ def dealt_segments(cut: DataFrame, own: DataFrame, different: DataFrame, n_bucke
 
 def _twice(raw: np.ndarray, h: np.uint64) -> bool:
     """Whether a GRAM-byte string with this hash stands more than once in raw."""
-    return len(raw) > LENGTH and int((_gram_hashes(raw) == h).sum()) > 1
+    return len(raw) > LENGTH and int((_spread(_gram_hashes(raw)) == h).sum()) > 1
 
 
 def suffix_array(text: np.ndarray, depth: int = LENGTH) -> np.ndarray:

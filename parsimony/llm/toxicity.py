@@ -1,22 +1,25 @@
 """Toxicity by the nearest labelled examples under exact TF-IDF cosine.
 
-A bounded sample of labelled training rows (SAMPLE rows, those with the smallest hash of doc_id; held-out rows never)
-gives the terms: words and word beginnings whose document counts in toxic and other examples differ far beyond chance
-(log-likelihood ratio). Their document frequencies are counted over all documents. At most EXAMPLES examples
-that hold such terms form a block-max inverted index: examples in blocks, for each block and term the largest weight.
-A document's k nearest examples are found exactly: blocks are scored from the highest upper bound down, until no bound
-reaches the k-th best. Cosine-weighted votes become a score by monotone calibration on the sample, each example
-scored without itself; the nearest examples' ids are the evidence. Documents without any term get the rate of toxic
-examples without one.
-
-Null and empty texts count as documents without terms. Repeated rows score alike. Label rows with null toxic or
-doc_id are left out; of repeated labels the largest counts. Without labels of both kinds every score is the rate of
-toxic labels (0 without any). Labels, lang, source and doc_id are no inputs of a score.
+A bounded sample of labelled training rows (SAMPLE rows, those with the smallest hash of doc_id; held-out rows never) is
+the example set. Every word of these texts is a term; so are those beginnings of 4 and 5 bytes of longer words that lean
+toxic. A term weighs (1 + log of its count) x idf x (FLOOR + lean). Idf is counted over all documents. Lean is the
+term's log ratio of toxic to other examples where that is far beyond chance (log-likelihood ratio), else 0: one vile
+word among hundreds would not move a plain cosine of whole texts.
+
+The examples lie in an inverted index, in blocks of similar ones. Lists of rare terms are short and added up as they
+are; lists of frequent terms are cut into blocks, stored in full, with the largest weight of each block. A document's K
+nearest examples are found exactly: what the rare terms give and the block maxima bound every block's best cosine, and
+blocks are finished from the highest bound down until none reaches the K-th best. Cosine-weighted votes become a score
+by monotone calibration on the examples, each scored without itself; the nearest examples' ids are the evidence.
+
+Null and empty texts, and others without any term, get the rate of toxic examples without a lean term. Repeated rows score
+alike. Label rows with null toxic or doc_id are left out; of repeated labels the largest counts, of repeated documents
+with a label the least text. Without labels of both kinds every score is the rate of toxic labels (0 without any).
+Labels, lang, source and doc_id are no inputs of a score. Texts of any length are read whole; other columns pass through.
 """
 
 from __future__ import annotations
 
-import math
 from collections import Counter
 from collections.abc import Iterator
 
@@ -25,45 +28,61 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import blocks, bound_batches, column, stored, text_buffer
+from .common import blocks, bound_batches, column, free_name, stored, text_buffer
 from .decontaminate import _TABLE
 
 #: Labelled rows from which terms, examples and calibration are learned.
-SAMPLE = 16_000
-TERMS, EXAMPLES, BLOCK, K = 1_000, 4_000, 64, 15
-#: A term needs so many toxic examples, such a log-likelihood ratio, and so many times the rate of other examples.
+SAMPLE = 8_000
+BLOCK, K = 64, 15
+#: A leaning term needs so many toxic examples, such a log-likelihood ratio, and so many times the rate of other examples.
 LEAST_DF, LEAST_G2, LEAST_RATIO = 4, 18.0, 4.0
+#: What the share of toxic examples weighs in a vote, as a cosine.
+DRAW = 0.5
+#: What a term weighs that does not lean.
+FLOOR = 0.02
+#: A term that more than this share of the examples holds is frequent.
+FREQUENT = 1 / 24
 _HEADS = (4, 5)
+_CACHE = 300_000
 
 
 def held_out(doc_id: str = "doc_id", of: int = 5, rest: int = 0):
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % of == rest, F.lit(False))
 
 
-def term_counts(words: list[bytes], known: frozenset | None = None) -> Counter:
-    """How often each term stands in a text: words, and beginnings of 4 and 5 bytes of longer ones, marked with '*'."""
-    counts: Counter = Counter()
-    for w, n in Counter(words).items():
-        for t in (w, *(w[:h] + b"*" for h in _HEADS if len(w) > h)):
-            if known is None or t in known:
-                counts[t] += n
-    return counts
-
-
-def _has_any(distinct: set, words: frozenset, heads: list[frozenset]) -> bool:
-    return not words.isdisjoint(distinct) or any(not p.isdisjoint({w[:h] for w in distinct}) for h, p in zip(_HEADS, heads, strict=True))
-
-
 class Terms:
-    def __init__(self, terms: list[bytes]):
-        self.all = frozenset(terms)
-        self.words = frozenset(t for t in terms if not t.endswith(b"*"))
-        self.heads = [frozenset(t[:-1] for t in terms if t.endswith(b"*") and len(t) == h + 1) for h in _HEADS]
-        self.at = {t: k for k, t in enumerate(terms)}
-
-    def counts(self, words: list[bytes]) -> Counter | None:
-        """Terms of a text, or None if it has none; most texts have none, which is seen from their distinct words."""
-        return term_counts(words, self.all) if _has_any(set(words), self.words, self.heads) else None
+    """Numbers of words, and behind them of word beginnings."""
+
+    def __init__(self, words: list[bytes], heads: list[bytes]):
+        self.words = {w: k for k, w in enumerate(words)}
+        self.heads = {h: len(words) + k for k, h in enumerate(heads)}
+        self.size = len(words) + len(heads)
+        self.known: dict[bytes, tuple[int, ...]] = {}
+
+    def of(self, word: bytes) -> tuple[int, ...]:
+        """Terms that a word stands for; cached."""
+        got = self.known.get(word)
+        if got is None:
+            at = self.words.get(word)
+            got = () if at is None else (at,)
+            got += tuple(self.heads[word[:h]] for h in _HEADS if len(word) > h and word[:h] in self.heads)
+            if len(self.known) >= _CACHE:
+                self.known.clear()
+            self.known[word] = got
+        return got
+
+    def counts(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The terms of a text, ascending, and how often each stands in it."""
+        c = Counter(words)
+        got = list(map(self.of, c))
+        at = np.fromiter((t for g in got for t in g), np.int64)
+        if not len(at):
+            return at, at
+        n = np.repeat(np.fromiter(c.values(), np.int64, len(c)), np.fromiter(map(len, got), np.int64, len(got)))
+        order = np.argsort(at, kind="stable")
+        at, n = at[order], n[order]
+        first = np.flatnonzero(np.append(True, at[1:] != at[:-1]))
+        return at[first], np.add.reduceat(n, first)
 
 
 def _texts(b: pa.RecordBatch) -> Iterator[list[bytes]]:
@@ -77,177 +96,269 @@ def sample(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, toxic and text of at most SAMPLE training rows, stored."""
     known = labels.where("toxic is not null and doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").cast("int").alias("toxic"))
     ids = known.where(~held_out()).orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(ids), "doc_id").dropDuplicates(["doc_id"])
-    return stored(rows, "toxicity-sample")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(ids), "doc_id")
+    return stored(rows.groupBy("doc_id").agg(F.first("toxic").alias("toxic"), F.min("text").alias("text")), "toxicity-sample")
 
 
-def term_documents(rows: DataFrame, known: frozenset | None = None) -> DataFrame:
-    """term and in how many of the rows' texts it stands, added up in each task first; only known terms, if given."""
+def sample_words(rows: DataFrame) -> list[tuple[int, int, list[bytes], np.ndarray]]:
+    """doc_id, label, distinct words and their counts of each sampled row, by doc_id; bounded by SAMPLE rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in blocks(batches):
-            df: Counter = Counter()
-            for words in _texts(b):
-                df.update(term_counts(words, known).keys())
-            yield pa.RecordBatch.from_arrays([pa.array(list(df), pa.binary()), pa.array(list(df.values()), pa.int64())], names=["term", "n"])
+            found = [Counter(w) for w in _texts(b)]
+            words = pa.array([b" ".join(c) for c in found], pa.binary())
+            counts = pa.array([np.fromiter(c.values(), np.int32, len(c)).tobytes() for c in found], pa.binary())
+            yield pa.RecordBatch.from_arrays([column(b, "doc_id"), column(b, "toxic"), words, counts], names=["doc_id", "toxic", "words", "counts"])
+
+    got = rows.mapInArrow(run, "doc_id long, toxic int, words binary, counts binary").orderBy("doc_id").toLocalIterator()
+    return [(r.doc_id, int(r.toxic > 0), bytes(r.words).split(), np.frombuffer(bytes(r.counts), np.int32)) for r in got]
+
+
+def _lean(toxic: np.ndarray, other: np.ndarray, n_toxic: int, n_other: int) -> np.ndarray:
+    """Log ratio of the rates of terms in toxic and other examples, where it is large and beyond chance; else 0."""
+    a, b, whole = toxic.astype(np.float64), other.astype(np.float64), (toxic + other) / (n_toxic + n_other)
+    term = lambda k, p: k * np.log(np.where(k > 0, k, 1) / np.where(k > 0, p, 1))
+    part = lambda k, n: term(k, n * whole) + term(n - k, n * (1 - whole))
+    g2 = 2 * (part(a, n_toxic) + part(b, n_other))
+    strong = (a >= LEAST_DF) & (g2 >= LEAST_G2) & (a * n_other > LEAST_RATIO * b * n_toxic)
+    return np.where(strong, np.log((a + 0.5) / (n_toxic + 1)) - np.log((b + 0.5) / (n_other + 1)), 0)
+
 
-    return rows.select("text").mapInArrow(run, "term binary, n long").groupBy("term").agg(F.sum("n").alias("n"))
+def _by_label(numbers: list[np.ndarray], y: np.ndarray, size: int) -> list[np.ndarray]:
+    """In how many examples of each label each number stands."""
+    return [np.bincount(np.concatenate([x for x, t in zip(numbers, y.tolist(), strict=True) if t == label] or [np.empty(0, np.int64)]), minlength=size) for label in (0, 1)]
 
 
-def example_terms(rows: DataFrame, terms: Terms) -> list[tuple[int, int, dict]]:
-    """doc_id, label and counts of the chosen terms of each sampled row."""
+def learn_terms(held: list[tuple[int, int, list[bytes], np.ndarray]]) -> tuple[Terms, np.ndarray]:
+    """Every word of the examples and the leaning beginnings of words, and the lean of each term."""
+    y = np.array([h[1] for h in held])
+    at: dict[bytes, int] = {}
+    words = [np.fromiter((at.setdefault(w, len(at)) for w in h[2]), np.int64, len(h[2])) for h in held]
+    lean = _lean(*reversed(_by_label(words, y, len(at))), int(y.sum()), int(len(y) - y.sum()))
+    heads: dict[bytes, int] = {}
+    of = [[heads.setdefault(w[:h], len(heads)) if len(w) > h else -1 for w in at] for h in _HEADS]
+    of = np.array(of, np.int64).reshape(len(_HEADS), -1)
+    begun = [np.setdiff1d(of[:, w], [-1]) for w in words]
+    more = _lean(*reversed(_by_label(begun, y, len(heads))), int(y.sum()), int(len(y) - y.sum()))
+    return Terms(list(at), [h for h, k in heads.items() if more[k] > 0]), np.append(lean, more[more > 0])
+
+
+def document_counts(docs: DataFrame, terms: Terms) -> tuple[int, np.ndarray]:
+    """Number of documents, and of those that hold each term, over the whole corpus: one compressed table a task, added up on the executors."""
+    shared = docs.sparkSession.sparkContext.broadcast(terms)
+    bound_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import zlib
+
+        df, n, own = np.zeros(shared.value.size, np.uint32), 0, shared.value
         for b in blocks(batches):
-            found = [terms.counts(w) or {} for w in _texts(b)]
-            arrays = [column(b, "doc_id"), column(b, "toxic"), pa.array([[terms.at[t] for t in c] for c in found], pa.list_(pa.int32())), pa.array([list(c.values()) for c in found], pa.list_(pa.int32()))]
-            yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "toxic", "terms", "counts"])
+            n += b.num_rows
+            found = [t for words in _texts(b) for t in {t for w in set(words) for t in own.of(w)}]
+            df += np.bincount(np.array(found, np.int64), minlength=own.size).astype(np.uint32)
+        if n:
+            yield pa.RecordBatch.from_arrays([pa.array([np.random.default_rng(n).integers(64)], pa.int32()), pa.array([n], pa.int64()), pa.array([zlib.compress(df.tobytes(), 1)], pa.binary())], names=["part", "n", "df"])
+
+    def added(key: tuple[pa.Scalar, ...], group: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import zlib
 
-    names = list(terms.at)
-    got = rows.mapInArrow(run, "doc_id long, toxic int, terms array<int>, counts array<int>").collect()
-    return [(r.doc_id, int(r.toxic > 0), {names[t]: n for t, n in zip(r.terms, r.counts, strict=True)}) for r in got]
+        total, n = np.zeros(shared.value.size, np.uint64), 0
+        for b in group:
+            for k, x in zip(column(b, "n").to_pylist(), column(b, "df"), strict=True):
+                total += np.frombuffer(zlib.decompress(x.as_buffer()), np.uint32)
+                n += k
+        yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64()), pa.array([total.tobytes()], pa.binary())], names=["n", "df"])
+
+    tables = docs.select(F.coalesce("text", F.lit("")).alias("text")).mapInArrow(run, "part int, n long, df binary")
+    total, n = np.zeros(terms.size, np.float64), 0
+    for r in tables.groupBy("part").applyInArrow(added, "n long, df binary").toLocalIterator():
+        total += np.frombuffer(bytes(r.df), np.uint64)
+        n += r.n
+    return n, total
 
 
 class Model:
-    """Terms, idf weights, block-max index of examples and calibration."""
+    """Terms and their weights, the block-max index of examples, and calibration."""
 
     def __init__(self):
-        self.terms = Terms([])
+        self.terms = Terms([], [])
+        self.weight = np.empty(0)
+        self.leans = np.empty(0, bool)
         self.rate = 0.0
         self.steps: tuple[list[float], list[float]] = ([], [])
-
-    def vector(self, counts: dict) -> tuple[np.ndarray, np.ndarray]:
-        at = np.fromiter((self.terms.at[t] for t in counts), np.int64, len(counts))
-        w = (1 + np.log(np.fromiter(counts.values(), np.float64, len(counts)))) * self.idf[at]
-        return at, w / np.sqrt((w * w).sum())
-
-    def index(self, examples: list[tuple[int, int, dict]]) -> None:
+        self.ids = np.empty(0, np.int64)
+
+    def vector(self, at: np.ndarray, n: np.ndarray) -> np.ndarray:
+        w = (1 + np.log(n)) * self.weight[at]
+        return w / np.sqrt((w * w).sum())
+
+    def index(self, examples: list[tuple[int, int, np.ndarray, np.ndarray]]) -> None:
+        """examples: doc_id, label, terms and counts, none of them without terms."""
+        n = len(examples)
+        df = np.bincount(np.concatenate([e[2] for e in examples]), minlength=self.terms.size)
+        frequent = np.flatnonzero(df > max(n * FREQUENT, BLOCK))
+        self.frequent = np.full(self.terms.size, -1, np.int32)  # a frequent term's row
+        self.frequent[frequent] = np.arange(len(frequent))
+        weights = [self.vector(e[2], e[3]) for e in examples]
+        # similar examples come together: those with the same heaviest leaning term, and others by their frequent terms
+        full = np.zeros((n, len(frequent)), np.float32)
+        heaviest = np.full(n, -1)
+        for i, (e, w) in enumerate(zip(examples, weights, strict=True)):
+            often = self.frequent[e[2]]
+            full[i, often[often >= 0]] = w[often >= 0]
+            if self.leans[e[2]].any():
+                heaviest[i] = e[2][np.argmax(w * self.leans[e[2]])]
+        order = np.lexsort((np.arange(n), _clusters(full), heaviest))
+        examples, weights, full = [examples[i] for i in order], [weights[i] for i in order], full[order]
         self.ids = np.array([e[0] for e in examples], np.int64)
         self.y = np.array([e[1] for e in examples], np.float64)
-        self.matrix = np.zeros((len(examples), len(self.terms.at)), np.float32)
-        for r, (_, _, counts) in enumerate(examples):
-            at, w = self.vector(counts)
-            self.matrix[r, at] = w
-        self.begins = np.arange(0, len(examples), BLOCK)
-        self.most = np.maximum.reduceat(self.matrix, self.begins, axis=0) if len(examples) else self.matrix
-
-    def nearest(self, at: np.ndarray, w: np.ndarray, skip: int = -1) -> tuple[np.ndarray, np.ndarray]:
-        """The K nearest examples and their cosines, nearest first; ties to the earlier example."""
-        bounds = self.most[:, at] @ w.astype(np.float32)
-        best, sims = np.empty(0, np.int64), np.empty(0, np.float32)
-        for b in np.argsort(-bounds, kind="stable"):
-            if bounds[b] <= 0 or (len(best) == K and bounds[b] < sims[-1] - 1e-6):
+        n_blocks = -(-n // BLOCK)
+        tiles = np.zeros((n_blocks * BLOCK, len(frequent)), np.float32)
+        tiles[:n] = full
+        self.tiles = np.ascontiguousarray(tiles.reshape(n_blocks, BLOCK, -1).transpose(0, 2, 1))  # block, term, example
+        self.most = np.ascontiguousarray(self.tiles.max(2).T)  # term, block
+        who = np.repeat(np.arange(n, dtype=np.int32), [len(e[2]) for e in examples])
+        term, w = np.concatenate([e[2] for e in examples]), np.concatenate(weights)
+        rare = self.frequent[term] < 0
+        who, term, w = who[rare], term[rare], w[rare]
+        by = np.argsort(term, kind="stable")
+        self.holders, self.held = who[by], w[by].astype(np.float32)
+        self.begins = np.searchsorted(term[by], np.arange(self.terms.size + 1)).astype(np.int64)
+
+    def nearest(self, at: np.ndarray, w: np.ndarray, skip: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """The K nearest examples (not that of doc_id skip) and their cosines, nearest first; ties to the smaller doc_id."""
+        n_blocks = len(self.tiles)
+        lo = self.begins[at]
+        lens = self.begins[at + 1] - lo
+        spots = np.repeat(lo - (np.cumsum(lens) - lens), lens) + np.arange(lens.sum())
+        got = np.bincount(self.holders[spots], self.held[spots] * np.repeat(w, lens), minlength=n_blocks * BLOCK).reshape(n_blocks, BLOCK)
+        often = self.frequent[at]
+        often, heavy = often[often >= 0], w[often >= 0].astype(np.float32)
+        bounds = got.max(1) + heavy @ self.most[often]
+        best, sims = np.empty(0, np.int64), np.empty(0)
+        order = np.argsort(-bounds, kind="stable")
+        for a in range(0, n_blocks, 6):
+            some = order[a : a + 6]
+            if bounds[some[0]] <= 0 or (len(best) == K and bounds[some[0]] < sims[-1] - 1e-6):
                 break
-            rows = np.arange(self.begins[b], min(self.begins[b] + BLOCK, len(self.y)))
-            best, sims = np.concatenate([best, rows]), np.concatenate([sims, self.matrix[rows][:, at] @ w.astype(np.float32)])
-            keep = np.lexsort((best, -sims))
-            keep = keep[(best[keep] != skip) & (sims[keep] > 0)][:K]
-            best, sims = best[keep], sims[keep]
+            found = got[some] + (heavy @ self.tiles[some[:, None], often] if len(often) else 0)
+            rows = (some[:, None] * BLOCK + np.arange(BLOCK)).ravel()
+            found = found.ravel()
+            keep = np.flatnonzero(found > (sims[-1] - 1e-12 if len(best) == K else 0))
+            keep = keep[rows[keep] < len(self.ids)]
+            if skip is not None:
+                keep = keep[self.ids[rows[keep]] != skip]
+            best, sims = np.concatenate([best, rows[keep]]), np.concatenate([sims, found[keep]])
+            top = np.lexsort((self.ids[best], -sims))[:K]
+            best, sims = best[top], sims[top]
         return best, sims
 
     def vote(self, best: np.ndarray, sims: np.ndarray) -> float:
-        return min(1.0, float((sims * self.y[best]).sum() / sims.sum())) if len(best) else -1.0
+        """Share of toxic ones among the nearest by cosine, drawn towards the share among all the farther they are."""
+        return float(((sims * self.y[best]).sum() + DRAW * self.y.mean()) / (sims.sum() + DRAW)) if len(best) else -1.0
 
     def calibrated(self, vote: float) -> float:
         if vote < 0 or not self.steps[0]:
             return self.rate
         return min(1.0, max(0.0, float(np.interp(vote, *self.steps))))
 
+    def votes(self, words: list[bytes], skip: int | None = None) -> tuple[float, np.ndarray]:
+        """The vote of the nearest examples, or -1 if there are none, and who they are."""
+        if not len(self.ids):
+            return -1.0, np.empty(0, np.int64)
+        at, n = self.terms.counts(words)
+        if not len(at):
+            return -1.0, np.empty(0, np.int64)
+        best, sims = self.nearest(at, self.vector(at, n), skip)
+        return self.vote(best, sims), best
+
     def score(self, words: list[bytes]) -> tuple[float, list[int]]:
-        counts = self.terms.counts(words)
-        if not counts:
-            return self.rate, []
-        best, sims = self.nearest(*self.vector(counts))
-        return self.calibrated(self.vote(best, sims)), self.ids[best[:3]].tolist()
+        vote, best = self.votes(words)
+        return self.calibrated(vote), self.ids[best[:3]].tolist()
+
+
+def _clusters(x: np.ndarray, k: int = 24, rounds: int = 6) -> np.ndarray:
+    """Numbers of groups of similar rows; any numbers do, better ones skip more blocks."""
+    if len(x) < 2 * k or not x.shape[1]:
+        return np.zeros(len(x), np.int64)
+    centres = x[:: len(x) // k][:k].copy()
+    for _ in range(rounds):
+        of = (x @ centres.T).argmax(1)
+        for c in range(len(centres)):
+            if (of == c).any():
+                centres[c] = x[of == c].mean(0)
+        centres /= np.maximum(np.sqrt((centres * centres).sum(1, keepdims=True)), 1e-9)
+    return of
 
 
 def _rising(votes: list[float], y: list[int]) -> tuple[list[float], list[float]]:
-    """Isotonic regression of labels on votes, smoothed towards the votes."""
-    pools: list[list[float]] = []
+    """Isotonic regression of labels on votes: a line from pool to pool, and on to both ends, that rises everywhere."""
+    pools: list[list[float]] = []  # sum of votes, toxic, rows, last vote
     for v, t in sorted(zip(votes, y, strict=True)):
-        pools.append([v, v, t, 1])
-        while len(pools) > 1 and (pools[-2][2] / pools[-2][3] >= pools[-1][2] / pools[-1][3] or pools[-2][1] == pools[-1][0]):
-            a, b = pools[-2], pools.pop()
-            pools[-1] = [a[0], b[1], a[2] + b[2], a[3] + b[3]]
-    x = [p for a in pools for p in ((a[0], a[1]) if a[0] < a[1] else (a[0],))]
-    z = [r for a in pools for r in [(a[2] + (a[0] + a[1]) / 2) / (a[3] + 1)] * (2 if a[0] < a[1] else 1)]
-    return x, np.maximum.accumulate(z).tolist() if z else []
+        pools.append([v, t, 1, v])
+        while len(pools) > 1 and (pools[-2][1] / pools[-2][2] >= pools[-1][1] / pools[-1][2] or pools[-2][3] == pools[-1][0] / pools[-1][2]):
+            b = pools.pop()
+            pools[-1] = [pools[-1][0] + b[0], pools[-1][1] + b[1], pools[-1][2] + b[2], b[3]]
+    if not pools:
+        return [], []
+    x = [s / n for s, _, n, _ in pools]
+    z = np.maximum.accumulate([(t + x_) / (n + 1) for x_, (_, t, n, _) in zip(x, pools, strict=True)]).tolist()
+    return [min(0.0, x[0] - 1e-9), *x, max(1.0, x[-1] + 1e-9)], [z[0] / 2, *z, (1 + z[-1]) / 2]
 
 
-def _g2(a: int, b: int, na: int, nb: int) -> float:
-    whole = (a + b) / (na + nb)
-    part = lambda k, n: (k * math.log(k / (n * whole)) if k else 0) + ((n - k) * math.log((n - k) / (n * (1 - whole))) if n > k and whole < 1 else 0)
-    return 2 * (part(a, na) + part(b, nb))
+def example_votes(rows: DataFrame, model: Model) -> list[tuple[float, int]]:
+    """Vote and label of each example, scored without itself."""
+    shared = rows.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in blocks(batches):
+            got = [shared.value.votes(w, i)[0] for w, i in zip(_texts(b), column(b, "doc_id").to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(got, pa.float64()), column(b, "toxic")], names=["vote", "toxic"])
+
+    return [(r.vote, int(r.toxic > 0)) for r in rows.mapInArrow(run, "vote double, toxic int").collect()]
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> Model:
     model, rows = Model(), sample(docs, labels)
-    n = [0, 0]
-    for r in rows.groupBy((F.col("toxic") > 0).cast("int").alias("y")).count().collect():
-        n[r.y] = r["count"]
-    if not n[0] or not n[1]:
-        model.rate = n[1] / max(1, sum(n))
-        return model
-    # terms that enough toxic examples hold; only these are counted in the others
-    toxic = {bytes(r.term): r.n for r in term_documents(rows.where("toxic > 0")).where(F.col("n") >= LEAST_DF).collect()}
-    likely = frozenset(toxic)
-    other = Counter({bytes(r.term): r.n for r in term_documents(rows.where("toxic <= 0"), likely).collect()})
-    strong = {t: g for t in likely if toxic[t] * n[0] > LEAST_RATIO * other[t] * n[1] and (g := _g2(toxic[t], other[t], n[1], n[0])) >= LEAST_G2}
-    terms = sorted(strong, key=lambda t: (-strong[t], t))[:TERMS]
-    if not terms:
-        model.rate = n[1] / sum(n)
+    held = sample_words(rows)
+    toxic = sum(h[1] for h in held)
+    if not toxic or toxic == len(held):
+        model.rate = toxic / max(1, len(held))
         return model
-    model.terms = Terms(terms)
+    model.terms, lean = learn_terms(held)
     total, df = document_counts(docs, model.terms)
-    model.idf = np.log((total + 1) / (df + 1)) + 1
-    held = sorted(example_terms(rows, model.terms), key=lambda e: e[0])
-    bare = [y for _, y, c in held if not c]
+    model.weight = (np.log((total + 1) / (df + 1)) + 1) * (FLOOR + lean)
+    model.leans = lean > 0
+    examples, bare = [], []
+    for doc_id, y, words, counts in held:
+        if not words:
+            bare.append(y)
+            continue
+        got = [model.terms.of(w) for w in words]
+        at = np.array([t for g in got for t in g], np.int64)
+        n = np.bincount(at, np.repeat(counts, [len(g) for g in got]), model.terms.size)
+        at = np.unique(at)
+        examples.append((doc_id, y, at, n[at]))
+        if not model.leans[at].any():
+            bare.append(y)
     model.rate = (sum(bare) + 0.5) / (len(bare) + 2)
-    examples = sorted((e for e in held if e[2]), key=lambda e: (e[0] * 2654435761 % 2**32, e[0]))[:EXAMPLES]
     model.index(examples)
-    votes, y = [], []
-    for k, e in enumerate(examples):
-        v = model.vote(*model.nearest(*model.vector(e[2]), skip=k))
-        if v >= 0:
-            votes.append(v)
-            y.append(e[1])
-    model.steps = _rising(votes, y)
+    voted = [v for v in example_votes(rows, model) if v[0] >= 0]
+    model.steps = _rising([v[0] for v in voted], [v[1] for v in voted])
     return model
 
 
-def document_counts(docs: DataFrame, terms: Terms) -> tuple[int, np.ndarray]:
-    """Number of documents, and of those that hold each term, over the whole corpus; a few hundred counts from each task."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        df: Counter = Counter()
-        n = 0
-        for b in blocks(batches):
-            n += b.num_rows
-            for words in _texts(b):
-                if c := terms.counts(words):
-                    df.update(terms.at[t] for t in c)
-        df[-1] = n
-        yield pa.RecordBatch.from_arrays([pa.array(list(df), pa.int32()), pa.array(list(df.values()), pa.int64())], names=["term", "n"])
-
-    rows = docs.select(F.coalesce("text", F.lit("")).alias("text")).mapInArrow(run, "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()
-    out = np.zeros(len(terms.at), np.float64)
-    for r in rows:
-        if r.term >= 0:
-            out[r.term] = r.n
-    return next((r.n for r in rows if r.term < 0), 0), out
-
-
-def with_scores(docs: DataFrame, model: Model) -> DataFrame:
+def with_scores(docs: DataFrame, model: Model, score: str = "score", evidence: str = "evidence") -> DataFrame:
     """docs with score and evidence (doc_ids of the nearest examples); all other columns pass through."""
     bound_batches(docs.sparkSession)
-    names = docs.columns
-    schema = docs.select("*", F.lit(0.0).alias("score"), F.array(F.lit(0).cast("long")).alias("evidence")).schema
+    shared, names = docs.sparkSession.sparkContext.broadcast(model), docs.columns
+    schema = docs.select("*", F.lit(0.0).alias(score), F.array(F.lit(0).cast("long")).alias(evidence)).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in blocks(batches):
-            got = [model.score(w) for w in _texts(b)]
+            got = [shared.value.score(w) for w in _texts(b)]
             more = [pa.array([g[0] for g in got], pa.float64()), pa.array([g[1] for g in got], pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays([*(column(b, c) for c in names), *more], names=[*names, "score", "evidence"])
+            yield pa.RecordBatch.from_arrays([*(column(b, c) for c in names), *more], names=[*names, score, evidence])
 
     return docs.mapInArrow(run, schema)
 
@@ -259,8 +370,8 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """docs without those that score 0.5 or more."""
-    scored = with_scores(docs.withColumnsRenamed({"score": "__score", "evidence": "__evidence"}), fit(docs, labels))
-    return scored.where("score < 0.5").drop("score", "evidence").withColumnsRenamed({"__score": "score", "__evidence": "evidence"})
+    score, evidence = free_name(docs.columns, "score"), free_name(docs.columns, "evidence")
+    return with_scores(docs, fit(docs, labels), score, evidence).where(F.col(score) < 0.5).drop(score, evidence)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -230,14 +230,80 @@ def test_toxicity(spark):
 def test_block_max_is_exact():
     rng = np.random.default_rng(2)
     m = toxicity.Model()
-    m.terms = toxicity.Terms([b"t%d" % i for i in range(40)])
-    m.idf = rng.random(40) + 0.5
-    m.index([(i, int(rng.integers(2)), {b"t%d" % t: int(rng.integers(1, 4)) for t in rng.choice(40, rng.integers(1, 6), replace=False)}) for i in range(700)])
-    for _ in range(50):
-        at, w = m.vector({b"t%d" % t: 1 for t in rng.choice(40, 4, replace=False)})
-        best, sims = m.nearest(at, w)
-        full = m.matrix[:, at] @ w.astype(np.float32)
-        assert np.allclose(sims, np.sort(full)[::-1][: len(sims)], atol=1e-5) and len(best) == min(toxicity.K, (full > 0).sum())
+    m.terms = toxicity.Terms([b"t%d" % i for i in range(400)], [])
+    m.weight, m.leans = rng.random(400) + 0.1, np.arange(400) % 50 == 0
+    share = np.minimum(1, 8 / np.arange(1, 401))
+    pick = lambda: np.flatnonzero(rng.random(400) < share)
+    rows = [(1000 - i, int(rng.integers(2)), t, rng.integers(1, 4, len(t))) for i in range(700) if len(t := pick())]
+    rows += [(2000, 1, *rows[5][2:]), (3, 0, *rows[5][2:])]
+    m.index(rows)
+    assert (m.frequent >= 0).any() and (m.frequent < 0).any()
+    full = np.zeros((len(rows), 400))
+    for k, r in enumerate(rows):
+        full[k, r[2]] = m.vector(*r[2:])
+    ids, y = np.array([r[0] for r in rows]), np.array([r[1] for r in rows])
+    for k in range(60):
+        at = rows[5][2] if k == 0 else pick()
+        w = m.vector(at, np.ones(len(at)) if k else rows[5][3])
+        skip = 2000 if k == 1 else None
+        sims = full[:, at] @ w
+        order = [i for i in np.lexsort((ids, -np.round(sims, 7))) if sims[i] > 0 and ids[i] != skip][: toxicity.K]
+        best, got = m.nearest(at, w, skip)
+        assert np.allclose(got, sims[order], atol=1e-6)
+        assert np.isclose(m.vote(best, got), ((sims[order] * y[order]).sum() + 0.5 * y.mean()) / (sims[order].sum() + 0.5), atol=0.07)
+        if k == 0:
+            assert set(m.ids[best[:3]]) == {3, rows[5][0], 2000} and m.ids[best[0]] == 3
+
+
+def test_toxicity_scores_against_brute_force(spark):
+    rng = random.Random(7)
+    rows = [(i, prose(rng, rng.randint(0, 40)) + (" vile" if i % 7 == 0 and i % 5 else "")) for i in range(400)]
+    labels = spark.createDataFrame([(i, 0, int(i % 7 == 0)) for i in range(300)], "doc_id long, quality int, toxic int")
+    docs = frame(spark, rows)
+    model = toxicity.fit(docs, labels)
+    got = {r.doc_id: r for r in toxicity.with_scores(docs, model).collect()}
+    held = [(i, t) for i, t in rows if i < 300 and zlib.crc32(str(i).encode()) % 5]
+    y = {i: int(i % 7 == 0) for i, _ in held}
+    word_docs, n = [{0: Counter(), 1: Counter()} for _ in range(2)], Counter(y.values())
+    beginnings = lambda w: {x[:h] for x in w for h in (4, 5) if len(x) > h}
+    for i, t in held:
+        word_docs[0][y[i]].update(set(_words(t)))
+        word_docs[1][y[i]].update(beginnings(_words(t)))
+
+    def lean(df, t):
+        a, b = df[1][t], df[0][t]
+        p, g = (a + b) / len(held), 0
+        for k, m in ((a, n[1]), (b, n[0])):
+            g += 2 * ((k * math.log(k / (m * p)) if k else 0) + ((m - k) * math.log((m - k) / (m * (1 - p))) if m > k else 0))
+        return math.log((a + 0.5) / (n[1] + 1)) - math.log((b + 0.5) / (n[0] + 1)) if a >= 4 and g >= 18 and a * n[0] > 4 * b * n[1] else 0
+
+    vocabulary = {w for _, t in held for w in _words(t)}
+
+    def vector(t):
+        c, out = Counter(_words(t)), {}
+        for w, k in c.items():
+            if w in vocabulary:
+                df = sum(w in _words(x) for _, x in rows)
+                out[w] = (1 + math.log(k)) * (math.log((len(rows) + 1) / (df + 1)) + 1) * (0.02 + lean(word_docs[0], w))
+        norm = math.sqrt(sum(x * x for x in out.values()))
+        return {w: x / norm for w, x in out.items()}
+
+    assert not any(lean(word_docs[1], h) for h in word_docs[1][1])  # so words alone are terms here
+    vectors = {i: vector(t) for i, t in held if _words(t)}
+    tried = 0
+    for i, t in rows[::9]:
+        if not (v := vector(t) if _words(t) else {}):
+            assert math.isclose(got[i].score, model.rate)
+            continue
+        sims = sorted(((sum(x * o.get(w, 0) for w, x in v.items()), -j) for j, o in vectors.items()), reverse=True)
+        sims = [s for s in sims if s[0] > 0]
+        top = sims[:15]
+        if len(sims) > 15 and abs(sims[14][0] - sims[15][0]) < 1e-6:
+            continue  # a tie at the edge
+        vote = (sum(s * y[-j] for s, j in top) + 0.5 * np.mean([y[j] for j in vectors])) / (sum(s for s, _ in top) + 0.5)
+        assert math.isclose(got[i].score, model.calibrated(vote), abs_tol=1e-3)
+        tried += 1
+    assert tried > 25 and len({round(r.score, 6) for r in got.values()}) > 20
 
 
 @pytest.mark.parametrize("hot", [4096, 2])
