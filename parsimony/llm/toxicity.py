@@ -20,6 +20,7 @@ Labels, lang, source and doc_id are no inputs of a score. Texts of any length ar
 
 from __future__ import annotations
 
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 
@@ -51,7 +52,7 @@ def held_out(doc_id: str = "doc_id", of: int = 5, rest: int = 0):
 
 
 class Terms:
-    """Numbers of words, and behind them of word beginnings."""
+    """Numbers of words, and behind them of word beginnings. Words travel compressed."""
 
     def __init__(self, words: list[bytes], heads: list[bytes]):
         self.words = {w: k for k, w in enumerate(words)}
@@ -59,6 +60,12 @@ class Terms:
         self.size = len(words) + len(heads)
         self.known: dict[bytes, tuple[int, ...]] = {}
 
+    def __getstate__(self) -> tuple[bytes, list[bytes]]:
+        return zlib.compress(b" ".join(self.words), 6), list(self.heads)
+
+    def __setstate__(self, state: tuple[bytes, list[bytes]]) -> None:
+        self.__init__(zlib.decompress(state[0]).split(), state[1])
+
     def of(self, word: bytes) -> tuple[int, ...]:
         """Terms that a word stands for; cached."""
         got = self.known.get(word)
@@ -149,8 +156,6 @@ def document_counts(docs: DataFrame, terms: Terms) -> tuple[int, np.ndarray]:
     bound_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import zlib
-
         df, n, own = np.zeros(shared.value.size, np.uint32), 0, shared.value
         for b in blocks(batches):
             n += b.num_rows
@@ -160,8 +165,6 @@ def document_counts(docs: DataFrame, terms: Terms) -> tuple[int, np.ndarray]:
             yield pa.RecordBatch.from_arrays([pa.array([np.random.default_rng(n).integers(64)], pa.int32()), pa.array([n], pa.int64()), pa.array([zlib.compress(df.tobytes(), 1)], pa.binary())], names=["part", "n", "df"])
 
     def added(key: tuple[pa.Scalar, ...], group: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import zlib
-
         total, n = np.zeros(shared.value.size, np.uint64), 0
         for b in group:
             for k, x in zip(column(b, "n").to_pylist(), column(b, "df"), strict=True):
@@ -174,11 +177,15 @@ def document_counts(docs: DataFrame, terms: Terms) -> tuple[int, np.ndarray]:
     for r in tables.groupBy("part").applyInArrow(added, "n long, df binary").toLocalIterator():
         total += np.frombuffer(bytes(r.df), np.uint64)
         n += r.n
+    shared.destroy()
     return n, total
 
 
 class Model:
-    """Terms and their weights, the block-max index of examples, and calibration."""
+    """Terms and their weights, the block-max index of examples, and calibration.
+
+    What travels is each example's terms and counts, compressed; the lists are laid out where they are used.
+    """
 
     def __init__(self):
         self.terms = Terms([], [])
@@ -186,47 +193,61 @@ class Model:
         self.leans = np.empty(0, bool)
         self.rate = 0.0
         self.steps: tuple[list[float], list[float]] = ([], [])
-        self.ids = np.empty(0, np.int64)
+        self.ids, self.y, self.packed, self.built = np.empty(0, np.int64), np.empty(0), b"", False
+
+    def __getstate__(self) -> dict:
+        return {k: getattr(self, k) for k in ("terms", "weight", "leans", "rate", "steps", "ids", "y", "packed")} | {"built": False}
 
     def vector(self, at: np.ndarray, n: np.ndarray) -> np.ndarray:
         w = (1 + np.log(n)) * self.weight[at]
         return w / np.sqrt((w * w).sum())
 
     def index(self, examples: list[tuple[int, int, np.ndarray, np.ndarray]]) -> None:
-        """examples: doc_id, label, terms and counts, none of them without terms."""
-        n = len(examples)
-        df = np.bincount(np.concatenate([e[2] for e in examples]), minlength=self.terms.size)
-        frequent = np.flatnonzero(df > max(n * FREQUENT, BLOCK))
-        self.frequent = np.full(self.terms.size, -1, np.int32)  # a frequent term's row
-        self.frequent[frequent] = np.arange(len(frequent))
-        weights = [self.vector(e[2], e[3]) for e in examples]
-        # similar examples come together: those with the same heaviest leaning term, and others by their frequent terms
-        full = np.zeros((n, len(frequent)), np.float32)
-        heaviest = np.full(n, -1)
-        for i, (e, w) in enumerate(zip(examples, weights, strict=True)):
-            often = self.frequent[e[2]]
-            full[i, often[often >= 0]] = w[often >= 0]
-            if self.leans[e[2]].any():
-                heaviest[i] = e[2][np.argmax(w * self.leans[e[2]])]
-        order = np.lexsort((np.arange(n), _clusters(full), heaviest))
-        examples, weights, full = [examples[i] for i in order], [weights[i] for i in order], full[order]
+        """examples: doc_id, label, terms (ascending) and counts, none of them without terms. Similar ones come together: those with the same heaviest leaning term, and others by their frequent terms."""
+        often = np.bincount(np.concatenate([e[2] for e in examples]), minlength=self.terms.size)
+        often = np.argsort(-often, kind="stable")[:512]
+        place = np.full(self.terms.size, -1)
+        place[often] = np.arange(len(often))
+        full, heaviest = np.zeros((len(examples), len(often)), np.float32), np.full(len(examples), -1)
+        for i, (_, _, at, n) in enumerate(examples):
+            w, to = self.vector(at, n), place[at]
+            full[i, to[to >= 0]] = w[to >= 0]
+            if self.leans[at].any():
+                heaviest[i] = at[np.argmax(w * self.leans[at])]
+        examples = [examples[i] for i in np.lexsort((np.arange(len(examples)), _clusters(full), heaviest))]
         self.ids = np.array([e[0] for e in examples], np.int64)
         self.y = np.array([e[1] for e in examples], np.float64)
+        steps = np.concatenate([np.diff(e[2], prepend=0) for e in examples])
+        lens, counts = np.array([len(e[2]) for e in examples]), np.concatenate([e[3] for e in examples])
+        self.packed = tuple(zlib.compress(x.astype(np.int32).tobytes(), 6) for x in (lens, steps, counts))
+        self.built = False
+
+    def _lay_out(self) -> None:
+        lens, term, counts = (np.frombuffer(zlib.decompress(x), np.int32).astype(np.int64) for x in self.packed)
+        n, first = len(lens), np.cumsum(lens) - lens
+        term = np.cumsum(term)
+        term -= np.repeat(term[first] - np.frombuffer(zlib.decompress(self.packed[1]), np.int32)[first], lens)
+        w = (1 + np.log(counts)) * self.weight[term]
+        w /= np.repeat(np.sqrt(np.add.reduceat(w * w, first)), lens)
+        who = np.repeat(np.arange(n, dtype=np.int32), lens)
+        frequent = np.flatnonzero(np.bincount(term, minlength=self.terms.size) > max(n * FREQUENT, BLOCK))
+        self.frequent = np.full(self.terms.size, -1, np.int32)  # a frequent term's row
+        self.frequent[frequent] = np.arange(len(frequent))
         n_blocks = -(-n // BLOCK)
-        tiles = np.zeros((n_blocks * BLOCK, len(frequent)), np.float32)
-        tiles[:n] = full
-        self.tiles = np.ascontiguousarray(tiles.reshape(n_blocks, BLOCK, -1).transpose(0, 2, 1))  # block, term, example
+        self.tiles = np.zeros((n_blocks, len(frequent), BLOCK), np.float32)  # block, term, example
+        often = np.flatnonzero(self.frequent[term] >= 0)
+        self.tiles[who[often] // BLOCK, self.frequent[term[often]], who[often] % BLOCK] = w[often]
         self.most = np.ascontiguousarray(self.tiles.max(2).T)  # term, block
-        who = np.repeat(np.arange(n, dtype=np.int32), [len(e[2]) for e in examples])
-        term, w = np.concatenate([e[2] for e in examples]), np.concatenate(weights)
-        rare = self.frequent[term] < 0
-        who, term, w = who[rare], term[rare], w[rare]
-        by = np.argsort(term, kind="stable")
-        self.holders, self.held = who[by], w[by].astype(np.float32)
-        self.begins = np.searchsorted(term[by], np.arange(self.terms.size + 1)).astype(np.int64)
+        rare = np.flatnonzero(self.frequent[term] < 0)
+        rare = rare[np.argsort(term[rare], kind="stable")]
+        self.holders, self.held = who[rare], w[rare].astype(np.float32)
+        self.begins = np.searchsorted(term[rare], np.arange(self.terms.size + 1)).astype(np.int64)
+        self.built = True
 
     def nearest(self, at: np.ndarray, w: np.ndarray, skip: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """The K nearest examples (not that of doc_id skip) and their cosines, nearest first; ties to the smaller doc_id."""
+        if not self.built:
+            self._lay_out()
         n_blocks = len(self.tiles)
         lo = self.begins[at]
         lens = self.begins[at + 1] - lo
@@ -315,7 +336,9 @@ def example_votes(rows: DataFrame, model: Model) -> list[tuple[float, int]]:
             got = [shared.value.votes(w, i)[0] for w, i in zip(_texts(b), column(b, "doc_id").to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(got, pa.float64()), column(b, "toxic")], names=["vote", "toxic"])
 
-    return [(r.vote, int(r.toxic > 0)) for r in rows.mapInArrow(run, "vote double, toxic int").collect()]
+    got = [(r.vote, int(r.toxic > 0)) for r in rows.mapInArrow(run, "vote double, toxic int").collect()]
+    shared.destroy()
+    return got
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> Model:
@@ -327,7 +350,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
         return model
     model.terms, lean = learn_terms(held)
     total, df = document_counts(docs, model.terms)
-    model.weight = (np.log((total + 1) / (df + 1)) + 1) * (FLOOR + lean)
+    model.weight = ((np.log((total + 1) / (df + 1)) + 1) * (FLOOR + lean)).astype(np.float32)
     model.leans = lean > 0
     examples, bare = [], []
     for doc_id, y, words, counts in held:

@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import pickle
 import random
 import re
 import zlib
@@ -237,6 +238,8 @@ def test_block_max_is_exact():
     rows = [(1000 - i, int(rng.integers(2)), t, rng.integers(1, 4, len(t))) for i in range(700) if len(t := pick())]
     rows += [(2000, 1, *rows[5][2:]), (3, 0, *rows[5][2:])]
     m.index(rows)
+    m = pickle.loads(pickle.dumps(m))
+    m.nearest(rows[0][2], m.vector(*rows[0][2:]))
     assert (m.frequent >= 0).any() and (m.frequent < 0).any()
     full = np.zeros((len(rows), 400))
     for k, r in enumerate(rows):
