@@ -130,13 +130,14 @@ class _Source:
     def find_magic(self, pos: int, end: int) -> int:
         """The first place of the gzip magic in [pos, end), or -1."""
         while pos < end:
-            got = bytes(self.ahead(pos))
-            if len(got) < len(MAGIC) and pos + len(got) < self.size:
-                got = self.file.read_at(self.piece, pos)  # a piece ends within what may be the magic
-            at = got.find(MAGIC)
+            got = len(self.ahead(pos))
+            if got < len(MAGIC) and pos + got < self.size:  # a piece ends within what may be the magic
+                self.at, self.buf = pos, self.file.read_at(min(self.piece, self.size - pos), pos)
+                got = len(self.buf)
+            at = self.buf.find(MAGIC, pos - self.at)
             if at >= 0:
-                return pos + at if pos + at < end else -1
-            pos += max(1, len(got) - len(MAGIC) + 1)
+                return self.at + at if self.at + at < end else -1
+            pos += max(1, got - len(MAGIC) + 1)
         return -1
 
 
