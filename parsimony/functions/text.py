@@ -58,21 +58,34 @@ def contains_secret(c: Column | str) -> Column:
 
 
 def lines(c: Column | str) -> Column:
-    """Lines without their ends: split at newlines, one carriage return taken off, no empty tail."""
-    parts = F.split(col(c), "\n", -1)
-    parts = F.when(F.element_at(parts, -1) == "", F.slice(parts, 1, F.size(parts) - 1)).otherwise(parts)
-    return F.transform(parts, lambda x: F.when(x.endswith("\r"), F.substring(x, F.lit(1), F.length(x) - 1)).otherwise(x))
+    """Lines without their ends: split at newlines, one carriage return in front of a newline taken off, no empty tail."""
+    # a space behind the text keeps its last line apart from those that a newline ends
+    parts = F.split(F.concat(col(c), F.lit(" ")), "\r?\n", -1)
+    last = F.element_at(parts, -1)
+    whole = F.slice(parts, 1, F.size(parts) - 1)
+    return F.when(last == " ", whole).otherwise(F.concat(whole, F.array(F.substring(last, F.lit(1), F.length(last) - 1))))
+
+
+def _json_kind(c: Column) -> Column:
+    """OBJECT, ARRAY, another kind, or null if it isn't JSON. Parsing to a variant refuses repeated keys, which JSON allows; these payloads are read as a field of their own."""
+    strict = {"allowSingleQuotes": "false", "allowNonNumericNumbers": "false"}
+    field = F.concat(F.lit('{"x":'), c, F.lit("}"))
+    read = lambda kind: F.from_json(field, f"x {kind}", strict)["x"].isNotNull()
+    repeated = F.when(read("map<string,string>"), "OBJECT").when(read("array<string>"), "ARRAY")
+    return F.coalesce(F.schema_of_variant(F.try_parse_json(c)), repeated)
+
+
+def _has_messages(c: Column) -> Column:
+    return F.try_variant_get(F.try_parse_json(c), "$.messages[0]", "variant").isNotNull() | F.get_json_object(c, "$.messages[0]").isNotNull()
 
 
 def is_json(c: Column | str) -> Column:
-    return F.try_parse_json(col(c)).isNotNull()
+    return _json_kind(col(c)).isNotNull()
 
 
 def detect_format(c: Column | str, from_wrap: bool = False) -> Column:
     c = col(c)
-    v = F.try_parse_json(c)
-    kind = F.schema_of_variant(v)
-    messages = F.try_variant_get(v, "$.messages[0]", "variant").isNotNull()
+    kind, messages = _json_kind(c), _has_messages(c)
     system = F.get_json_object(c, "$.system").isNotNull() | F.array_contains(F.json_object_keys(c), "system")
     first = F.substring_index(c, "\n", 1)
     diff = first.startswith("diff --git") | first.startswith("@@") | c.contains("\n+++ ")
@@ -84,12 +97,10 @@ def detect_format(c: Column | str, from_wrap: bool = False) -> Column:
 def detect_format_proxy(c: Column | str) -> Column:
     """Of a proxied body: messages make it openai_json, anything else is plain text."""
     c = col(c)
-    v = F.try_parse_json(c)
-    chat = F.schema_of_variant(v).startswith("OBJECT") & F.try_variant_get(v, "$.messages[0]", "variant").isNotNull()
-    return F.when(chat, "openai_json").otherwise("plain_text")
+    return F.when(_json_kind(c).startswith("OBJECT") & _has_messages(c), "openai_json").otherwise("plain_text")
 
 
-#: Aliases of formats on the command line.
+#: Aliases of formats on the command line.
 FORMATS = {"auto": "auto", "openai": "openai_json", "openai-json": "openai_json", "anthropic": "anthropic_json", "anthropic-json": "anthropic_json", "json": "json", "text": "plain_text", "plain-text": "plain_text", "command": "command_output", "command-output": "command_output", "diff": "git_diff", "git-diff": "git_diff"}
 
 
@@ -110,6 +121,17 @@ def marker_field(c: Column | str, name: str) -> Column:
     return F.when(got != "", got)
 
 
+def parse_format(c: Column | str) -> Column:
+    """The format that an alias names, in any case; null for an unknown one."""
+    names = F.create_map(*(F.lit(x) for kv in FORMATS.items() for x in kv))
+    return F.get(F.array(F.try_element_at(names, F.lower(F.trim(col(c))))), F.lit(0))
+
+
+def reference_kind(marker: Column | str, bare: Column | str, report: Column | str) -> Column:
+    """Which of several references counts: a marker before a bare hash before a report, which can't be followed."""
+    return F.when(col(marker).isNotNull(), "marker").when(col(bare).isNotNull(), "hash").when(col(report).isNotNull(), "unsupported")
+
+
 def retrieval_reference(marker: Column | str, bare: Column | str) -> Column:
     """The hash asked for: that of the marker first, then a bare one, which must be hexadecimal and is lowered."""
     b = col(bare)
@@ -117,21 +139,30 @@ def retrieval_reference(marker: Column | str, bare: Column | str) -> Column:
 
 
 def duration_seconds(c: Column | str) -> Column:
-    """Seconds in 30d, 24h, 90m, 120s or a bare number; null if it is none of these."""
+    """Seconds in 30d, 24h, 90m, 120s or a bare number; null if it is none of these, or does not fit in 64 bits. Products beyond the largest long become that."""
     c = F.trim(col(c))
-    n = F.regexp_extract(c, "^([0-9]+)[dhms]?$", 1)
+    n = F.when(F.length(c) < 30, F.regexp_extract(c, "^([0-9]+)[dhms]?$", 1)).otherwise("")
     unit = F.when(c.endswith("d"), 86400).when(c.endswith("h"), 3600).when(c.endswith("m"), 60).otherwise(1)
-    return F.when(n != "", n.try_cast("long") * unit)
+    number = n.try_cast("decimal(30,0)")
+    fits = (n != "") & (number <= F.lit("18446744073709551615").cast("decimal(20,0)"))
+    return F.when(fits, F.least(number * unit.cast("decimal(6,0)"), F.lit("9223372036854775807").cast("decimal(36,0)")).cast("long"))
 
 
 def format_timestamp(unix: Column | str) -> Column:
-    """RFC 3339 in UTC, whole seconds. The session's time zone must be UTC."""
-    return F.date_format(F.timestamp_seconds(col(unix)), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    """RFC 3339 in UTC, whole seconds, whatever the session's time zone."""
+    u = col(unix).cast("long")
+    day, rest = F.floor(u / 86400), F.pmod(u, F.lit(86400))
+    two = lambda x: F.lpad(F.floor(x).cast("string"), 2, "0")
+    date = F.date_format(F.date_add(F.lit("1970-01-01").cast("date"), day.cast("int")), "yyyy-MM-dd")
+    return F.concat(date, F.lit("T"), two(rest / 3600), F.lit(":"), two(rest % 3600 / 60), F.lit(":"), two(rest % 60), F.lit("Z"))
 
 
 def parse_timestamp(c: Column | str) -> Column:
+    """Seconds since 1970 of RFC 3339 in UTC with whole seconds; null for anything else."""
     c = col(c)
-    return F.when(c.rlike(r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}Z$"), F.unix_seconds(F.try_to_timestamp(c, F.lit("yyyy-MM-dd'T'HH:mm:ss'Z'"))))
+    part = lambda at: F.substring(c, at, 2).try_cast("int")
+    seconds = F.unix_date(F.substring(c, 1, 10).try_cast("date")).cast("long") * 86400 + part(12) * 3600 + part(15) * 60 + part(18)
+    return F.when(c.rlike(r"^[0-9]{4}-[0-9]{2}-[0-9]{2}T(?:[01][0-9]|2[0-3]):[0-5][0-9]:[0-5][0-9]Z$"), seconds)
 
 
 def project_hash(path: Column | str) -> Column:

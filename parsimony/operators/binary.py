@@ -5,6 +5,7 @@ from __future__ import annotations
 import struct
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -83,25 +84,59 @@ def strip_images(df: DataFrame, content: str = "content") -> DataFrame:
     return df.withColumn("__r", run(content)).select(*df.columns, "__r.stripped", "__r.error")
 
 
+def split_lines(text: str) -> list[str]:
+    """Lines without their ends, which are newlines with or without a carriage return in front."""
+    *ended, last = text.split("\n")
+    return [x.removesuffix("\r") for x in ended] + ([last] if last else [])
+
+
 def line_diff(a: list[str], b: list[str]) -> list[tuple[str, str]]:
-    """equal, delete and insert lines by a longest common subsequence; deletions come first where both are as good."""
+    """equal, delete and insert lines by a longest common subsequence; deletions come first where both are as good.
+
+    Equal lines in front are taken off. Of the table of common lengths only every k-th row is kept, k about the square
+    root of the rows; those between are made again when the way leads through them.
+    """
+    out: list[tuple[str, str]] = []
+    head = 0
+    while head < min(len(a), len(b)) and a[head] == b[head]:
+        out.append(("equal", a[head]))
+        head += 1
+    a, b = a[head:], b[head:]
+    ids: dict[str, int] = {}
+    x = np.array([ids.setdefault(s, len(ids)) for s in a], np.int64)
+    y = np.array([ids.setdefault(s, len(ids)) for s in b], np.int64)
     n, m = len(a), len(b)
-    best = [[0] * (m + 1) for _ in range(n + 1)]
+
+    def above(i: int, below: np.ndarray) -> np.ndarray:
+        """Common lengths of a[i:] with each rest of b, from those of a[i + 1:]."""
+        row = np.where(y == x[i], below[1:] + 1, below[:-1])
+        return np.append(np.maximum.accumulate(row[::-1])[::-1], 0)
+
+    step = max(1, int(n**0.5))
+    kept, row = {n: np.zeros(m + 1, np.int32)}, np.zeros(m + 1, np.int32)
     for i in range(n - 1, -1, -1):
-        for j in range(m - 1, -1, -1):
-            best[i][j] = best[i + 1][j + 1] + 1 if a[i] == b[j] else max(best[i + 1][j], best[i][j + 1])
-    out, i, j = [], 0, 0
-    while i < n or j < m:
-        if i < n and j < m and a[i] == b[j]:
-            out.append(("equal", a[i]))
-            i, j = i + 1, j + 1
-        elif i < n and (j == m or best[i + 1][j] >= best[i][j + 1]):
-            out.append(("delete", a[i]))
-            i += 1
-        else:
-            out.append(("insert", b[j]))
-            j += 1
-    return out
+        row = above(i, row)
+        if i % step == 0:
+            kept[i] = row
+    i = j = 0
+    while i < n and j < m:
+        if i % step == 0 or i == 0:
+            top = min(n, i + step)
+            rows = {top: kept[top]}
+            for k in range(top - 1, i - 1, -1):
+                rows[k] = above(k, rows[k + 1])
+        now = i
+        while i == now and j < m:
+            if x[i] == y[j]:
+                out.append(("equal", a[i]))
+                i, j = i + 1, j + 1
+            elif rows[i + 1][j] >= rows[i][j + 1]:
+                out.append(("delete", a[i]))
+                i += 1
+            else:
+                out.append(("insert", b[j]))
+                j += 1
+    return out + [("delete", s) for s in a[i:]] + [("insert", s) for s in b[j:]]
 
 
 def line_diffs(df: DataFrame, *keys: str) -> DataFrame:
@@ -110,7 +145,7 @@ def line_diffs(df: DataFrame, *keys: str) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             ids = zip(*(b[k] for k in keys), strict=True)
-            rows = [(*i, k, t, x) for i, p, q in zip(ids, b["before"], b["after"], strict=True) for k, (t, x) in enumerate(line_diff(p.splitlines(), q.splitlines()))]
+            rows = [(*i, k, t, x) for i, p, q in zip(ids, b["before"], b["after"], strict=True) for k, (t, x) in enumerate(line_diff(split_lines(p), split_lines(q)))]
             yield pd.DataFrame(rows, columns=[*keys, "pos", "tag", "line"])
 
     return df.select(*(F.col(k).cast("long").alias(k) for k in keys), "before", "after").mapInPandas(run, ", ".join(f"{k} bigint" for k in keys) + ", pos int, tag string, line string")

@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from parsimony.functions.text import MARKER, col, lines, tokens
@@ -15,6 +15,8 @@ MIN_RUN = 3
 # Leading timestamps that are dropped before lines are compared.
 ISO_TIME = r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}(?:\.\d+)?(?:Z|[+-]\d{2}:\d{2})[ \t]+"
 SYSLOG_TIME = r"^[A-Z][a-z]{2}[ \t]+\d{1,2}[ \t]+\d{2}:\d{2}:\d{2}[ \t]+"
+# What a folded log captures from its lines.
+CAPTURED = "0x[0-9a-fA-F]+|[0-9]+"
 # Prefixes of a diff's structural lines, and the header of a folded log.
 DIFF_HEADS = ("diff --git", "index ", "--- ", "+++ ", "@@")
 LOG_FOLD = "__tf_logfold1__"
@@ -67,7 +69,7 @@ def compact_diff(text: Column | str, keep_bodies: bool = True) -> Column:
 def fold_log(text: Column | str) -> Column:
     """Templates of lines once, then a row of template number and captured numbers for each line; null where it does not apply."""
     text = col(text)
-    pattern = "0x[0-9a-fA-F]+|[0-9]+"
+    pattern = CAPTURED
     segs = F.filter(F.split(text, "(?<=\n)", -1), lambda x: x != "")
     shape = lambda x: F.regexp_replace(x, pattern, "\u0000")
 
@@ -99,15 +101,33 @@ def unfold_log(folded: Column | str) -> Column:
 
 
 def check_pattern(pattern: str) -> str:
-    """Rejects patterns that are long or repeat a repeated group, which a backtracking matcher may not survive."""
+    """Rejects patterns that are long, or quantify a group whose own end is quantified, which a backtracking matcher may not survive."""
     if len(pattern.encode()) > 200:
         raise ValueError("pattern is longer than 200 bytes")
-    if re.search(r"\([^()]*[*+}][^()]*\)[*+{]", pattern):
-        raise ValueError("a quantified group is quantified again")
+    if re.search(r"[*+}]\)[*+{]", pattern):
+        raise ValueError("a group that ends in a quantifier is quantified again")
     re.compile(pattern)
     return pattern
 
 
+def replacement(pattern: str, put: str) -> str:
+    """put ($1, ${1}, $name, $$) for Java's matcher: groups that the pattern hasn't become empty."""
+    groups = re.compile(pattern)
+
+    def one(m: re.Match) -> str:
+        if m[0] == "$$":
+            return r"\$"
+        name = m[1] or m[2]
+        if name is None:
+            return "\\" + m[0]
+        n = int(name) if name.isdigit() else groups.groupindex.get(name)
+        # braces end a number, so that a digit behind it stays text
+        return "" if n is None or n > groups.groups else f"${n}\0"
+
+    made = re.sub(r"\$\$|\$\{([^}]*)\}|\$([0-9A-Za-z_]+)|[$\\]", one, put)
+    return re.sub("\0([0-9])", r"\\\1", made).replace("\0", "")
+
+
 @dataclass(frozen=True)
 class Stage:
     """A step of a filter: type and its arguments."""
@@ -123,7 +143,7 @@ class Stage:
         if self.type == "strip_ansi":
             return F.regexp_replace(text, "\u001b\\[[0-9;]*[A-Za-z]", "")
         if self.type == "replace":
-            return F.regexp_replace(text, check_pattern(self.pattern), self.replacement)
+            return F.regexp_replace(text, check_pattern(self.pattern), replacement(self.pattern, self.replacement))
         if self.type == "keep_lines":
             p = check_pattern(self.pattern)
             return F.array_join(F.filter(ls, lambda x: x.rlike(p)), "\n")
@@ -149,6 +169,16 @@ class Stage:
         raise ValueError(f"unknown stage {self.type}")
 
 
+@dataclass(frozen=True)
+class Fixture:
+    """What a filter makes of an input, and how many tokens it saves."""
+
+    name: str
+    input: str
+    output: str
+    token_delta: int
+
+
 @dataclass(frozen=True)
 class Filter:
     id: str
@@ -157,6 +187,13 @@ class Filter:
     stages: tuple[Stage, ...]
     match_output: str | None = None
     tier: int = 2  # project 0, user 1, built-in 2
+    fixtures: tuple[Fixture, ...] = ()
+    trusted: bool = True
+
+    def __post_init__(self) -> None:
+        for p in (self.match_output, *(s.pattern for s in self.stages)):
+            if p:
+                check_pattern(p)
 
     def matches(self, argv: Column, output: Column) -> Column:
         n = len(self.match_command)
@@ -184,9 +221,53 @@ BUILT_IN = (
 
 
 def apply_filters(df: DataFrame, filters: tuple[Filter, ...] = BUILT_IN, argv: str = "argv", text: str = "text") -> DataFrame:
-    """df with filter_id (of the first match, project before user before built-in) and filtered, never worse than text."""
+    """df with filter_id (of the first match, project before user before built-in, untrusted ones left out) and filtered, never worse than text."""
     rule, out = F.lit(None).cast("string"), F.col(text)
-    for f in sorted(filters, key=lambda f: f.tier, reverse=True):
+    found = sorted((f for f in filters if f.trusted), key=lambda f: f.tier)
+    for f in reversed(found):  # the first in order is asked first
         hit = f.matches(F.col(argv), F.col(text))
         rule, out = F.when(hit, f.id).otherwise(rule), F.when(hit, f.apply(text)).otherwise(out)
     return df.withColumn("filter_id", rule).withColumn("filtered", never_worse(text, out))
+
+
+def run_fixtures(spark: SparkSession, filters: Sequence[Filter]) -> DataFrame:
+    """filter_id, fixture, output_matches, token_delta, expected_delta and passed for each fixture of the filters."""
+    parts = []
+    for f in filters:
+        if f.fixtures:
+            rows = spark.createDataFrame([(f.id, x.name, x.input, x.output, x.token_delta) for x in f.fixtures], "filter_id string, fixture string, input string, expected string, expected_delta long")
+            parts.append(rows.withColumn("out", f.apply("input")))
+    if not parts:
+        return spark.createDataFrame([], "filter_id string, fixture string, output_matches boolean, token_delta long, expected_delta long, passed boolean")
+    both = parts[0]
+    for p in parts[1:]:
+        both = both.unionByName(p)
+    match, delta = F.col("out") == F.col("expected"), tokens("input") - tokens("out")
+    return both.select("filter_id", "fixture", match.alias("output_matches"), delta.alias("token_delta"), "expected_delta", (match & (delta == F.col("expected_delta"))).alias("passed"))
+
+
+# --- trust -------------------------------------------------------------------------------------
+
+TRUST = "path string, sha256 string, schema_version string"
+
+
+def trust(entries: DataFrame, packs: DataFrame) -> DataFrame:
+    """entries after packs (path, content, schema_version) were trusted; a pack replaces what was trusted at its path."""
+    new = packs.select("path", F.sha2("content", 256).alias("sha256"), "schema_version")
+    return entries.join(new, "path", "left_anti").select("path", "sha256", "schema_version").unionByName(new)
+
+
+def with_trust(packs: DataFrame, entries: DataFrame) -> DataFrame:
+    """packs with trusted: whether path, content and schema version all are as they were trusted."""
+    known = entries.select("path", "sha256", "schema_version").distinct().withColumn("__known", F.lit(True))
+    hashed = packs.withColumn("sha256", F.sha2("content", 256))
+    return hashed.join(known, ["path", "sha256", "schema_version"], "left").withColumn("trusted", F.coalesce("__known", F.lit(False))).drop("__known", "sha256")
+
+
+def read_trust(spark: SparkSession, path: str) -> DataFrame:
+    """Entries of a trust file (JSON with a list, entries); nothing is trusted where it is missing or can't be read."""
+    hpath = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    if not hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hpath):
+        return spark.createDataFrame([], TRUST)
+    text = spark.read.text(path, wholetext=True)
+    return text.select(F.inline(F.coalesce(F.from_json("value", f"entries array<struct<{TRUST.replace(' string', ': string')}>>")["entries"], F.array().cast(f"array<struct<{TRUST.replace(' string', ': string')}>>"))))

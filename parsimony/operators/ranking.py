@@ -3,16 +3,18 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+import re
+from collections import Counter
+from collections.abc import Callable, Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
 def tokenize_alnum(c: Column) -> Column:
     """Lower-cased runs of letters and digits, Unicode-wide."""
-    return F.filter(F.split(F.lower(c), r"[^\p{L}\p{N}]+", -1), lambda x: x != "")
+    return F.filter(F.split(F.lower(c), r"[^\p{IsAlphabetic}\p{N}]+", -1), lambda x: x != "")
 
 
 def tokenize_words(c: Column) -> Column:
@@ -30,9 +32,12 @@ def bm25(chunks: DataFrame, query: Sequence[str], k1: float = 1.2, b: float = 0.
     Term counts are higher-order functions within the row, so text is not exploded; only the few totals are aggregated.
     """
     terms = list(query)
-    toks = chunks.withColumn("__t", tokenize_alnum(F.col("text")))
-    tf = toks.select("*", F.size("__t").alias("__dl"), *(_times(t).alias(f"__tf{i}") for i, t in enumerate(dict.fromkeys(terms))))
     distinct = list(dict.fromkeys(terms))
+    toks = chunks.withColumn("__t", tokenize_alnum(F.col("text"))).withColumn("__dl", F.size("__t"))
+    # the tokens are read once; what is left for each term are the few that the query names
+    named = F.filter("__t", lambda x: x.isin(distinct)) if distinct else F.array().cast("array<string>")
+    tf = toks.withColumn("__t", named)
+    tf = tf.select("*", *(_times(t).alias(f"__tf{i}") for i, t in enumerate(distinct)))
     totals = tf.agg(F.count("*").alias("__n"), F.avg("__dl").alias("__avg"), *(F.sum((F.col(f"__tf{i}") > 0).cast("long")).alias(f"__df{i}") for i in range(len(distinct))))
     both = tf.crossJoin(F.broadcast(totals))  # totals is one row
     score = F.lit(0.0)
@@ -63,36 +68,70 @@ def forced(unit: Column, atoms: Sequence[str]) -> Column:
     return out
 
 
-def unit_scores(per_doc: DataFrame, selector: str, query: Sequence[str] = ()) -> DataFrame:
-    """doc_id, pos, unit, score. selector: recency, frequency, surprisal, bm25, keep_all or forced_only."""
+#: Selectors that need no learning.
+BASELINES = ("keep_all", "forced_only", "recency", "frequency", "surprisal", "bm25")
+Scorer = Callable[[list[str], Sequence[str]], list[float]]
+_WORD = re.compile("[A-Za-z0-9_]+")
+
+
+def _frequency(words: list[list[str]]) -> list[float]:
+    """Each unit's distinct words, weighted by how few units hold them."""
+    df = Counter(t for w in words for t in set(w))
+    return [math.fsum(1.0 / df[t] for t in set(w)) for w in words]
+
+
+def _surprisal(words: list[list[str]]) -> list[float]:
+    """Mean information of a unit's words under their shares of the document."""
+    n = Counter(t for w in words for t in w)
+    total = sum(n.values())
+    return [math.fsum(-math.log2(n[t] / total) for t in w) / len(w) if w else 0.0 for w in words]
+
+
+def _bm25(words: list[list[str]], query: Sequence[str], k1: float = 1.5, b: float = 0.75) -> list[float]:
+    """Units as the documents of a small corpus of their own."""
+    q = {t.lower() for t in query}
+    counts = [Counter(t for t in w if t in q) for w in words]
+    df = Counter(t for c in counts for t in c)
+    average = sum(map(len, words)) / len(words) if words else 0.0
+    idf = {t: math.log(1 + (len(words) - n + 0.5) / (n + 0.5)) for t, n in df.items()}
+    return [math.fsum(idf[t] * n * (k1 + 1) / (n + k1 * (1 - b + b * len(w) / average)) for t, n in c.items()) for w, c in zip(words, counts, strict=True)]
+
+
+def unit_scores(per_doc: DataFrame, selector: str, query: Sequence[str] = (), learned: dict[str, Scorer] | None = None) -> DataFrame:
+    """doc_id, pos, unit, score. selector: one of BASELINES, or of `learned`: functions of a document's units and the query.
+
+    What needs counts needs only those of one document, so they are made where its row is, in one Arrow pass without a shuffle.
+    A learned selector may not take a baseline's name, and gives scores only: forcing and allocation stay as they are.
+    """
+    learned = learned or {}
+    if clash := sorted(set(learned) & set(BASELINES)):
+        raise ValueError(f"learned selectors may not be named like baselines: {', '.join(clash)}")
     if selector in ("recency", "keep_all", "forced_only"):
         score = {"recency": F.col("pos").cast("double"), "keep_all": F.lit(math.inf), "forced_only": F.lit(-math.inf)}[selector]
         return per_doc.select("doc_id", F.posexplode("units").alias("pos", "unit")).withColumn("score", score)
-    rows = per_doc.select("doc_id", F.posexplode("units").alias("pos", "unit"))
-    # one exchange by document for counts, units and scores: all windows and groups below share its partitioning
-    rows = rows.repartition("doc_id")
-    toks = rows.select("doc_id", "pos", F.explode(tokenize_words(F.col("unit"))).alias("tok"))
-    if selector == "frequency":
-        distinct = toks.distinct()
-        df = distinct.groupBy("doc_id", "tok").agg(F.count("*").alias("df"))
-        part = distinct.join(df, ["doc_id", "tok"]).groupBy("doc_id", "pos").agg(F.sum(1.0 / F.col("df")).alias("score"))
-    elif selector == "surprisal":
-        counts = toks.groupBy("doc_id", "tok").agg(F.count("*").alias("n"))
-        total = counts.groupBy("doc_id").agg(F.sum("n").alias("total"))
-        part = toks.join(counts, ["doc_id", "tok"]).join(total, "doc_id").groupBy("doc_id", "pos").agg(F.avg(-F.log2(F.col("n") / F.col("total"))).alias("score"))
-    elif selector == "bm25":
-        k1, b = 1.5, 0.75
-        q = sorted({t.lower() for t in query})
-        size = rows.select("doc_id", "pos", F.size(tokenize_words(F.col("unit"))).alias("dl"))
-        average = size.groupBy("doc_id").agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
-        tf = toks.where(F.col("tok").isin(q)).groupBy("doc_id", "pos", "tok").agg(F.count("*").alias("tf"))
-        df = tf.groupBy("doc_id", "tok").agg(F.count("*").alias("df"))
-        idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-        gain = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
-        part = tf.join(df, ["doc_id", "tok"]).join(size, ["doc_id", "pos"]).join(average, "doc_id").groupBy("doc_id", "pos").agg(F.sum(gain).alias("score"))
-    else:
+    if selector not in BASELINES and selector not in learned:
         raise ValueError(f"unknown selector {selector}")
-    return rows.join(part, ["doc_id", "pos"], "left").select("doc_id", "pos", "unit", F.coalesce("score", F.lit(0.0)).alias("score"))
+    terms = list(query)
+
+    def scores(units: list[str]) -> list[float]:
+        if selector in learned:
+            got = [float(x) for x in learned[selector](units, terms)]
+            if len(got) != len(units):
+                raise ValueError(f"{selector} gave {len(got)} scores for {len(units)} units")
+            return got
+        words = [[t.lower() for t in _WORD.findall(u)] for u in units]
+        return _frequency(words) if selector == "frequency" else _surprisal(words) if selector == "surprisal" else _bm25(words, terms)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            at = b.schema.get_field_index("units")
+            units = b.column(at).to_pylist()
+            got = [scores(u) if u else [] for u in units]
+            yield pa.RecordBatch.from_arrays([b.column(1 - at), b.column(at), pa.array(got, pa.list_(pa.float64()))], names=["doc_id", "units", "scores"])
+
+    kind = per_doc.schema["doc_id"].dataType.simpleString()
+    rows = per_doc.select("doc_id", "units").mapInArrow(run, f"doc_id {kind}, units array<string>, scores array<double>")
+    return rows.select("doc_id", F.posexplode(F.arrays_zip("units", "scores")).alias("pos", "x")).select("doc_id", "pos", F.col("x.units").alias("unit"), F.col("x.scores").alias("score"))
 
 
 def allocate(scored: DataFrame, ceiling: Column, atoms: Sequence[str] = ()) -> DataFrame:
@@ -130,7 +169,3 @@ def baseline_report(rows: DataFrame) -> DataFrame:
     """Means by selector and ratio, to four places."""
     m = lambda c: F.round(F.avg(c), 4)
     return rows.groupBy("selector", "ratio").agg(m("task_success").alias("mean_task_success"), m("survival").alias("mean_survival"), m("achieved_ratio").alias("mean_achieved_ratio"), F.sum(F.col("over_budget").cast("long")).alias("over_budget_count"))
-
-
-def best_per_group(df: DataFrame, group: str, *order: Column) -> DataFrame:
-    return df.withColumn("__r", F.row_number().over(W.partitionBy(group).orderBy(*order))).where("__r = 1").drop("__r")

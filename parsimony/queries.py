@@ -90,7 +90,7 @@ def records(s: SparkSession, d: str) -> DataFrame:
     return ledger.record_from_report(reports)
 
 
-ENTRIES_SQL = f"(SELECT lang AS namespace, sha256(text) AS hash, text AS body, {NOW} - doc_id * 97 % 900000 AS stored_at, CASE WHEN doc_id % 4 = 0 THEN NULL ELSE 604800 END AS ttl, CAST(strlen(text) AS BIGINT) AS bytes FROM documents QUALIFY row_number() OVER (PARTITION BY lang, sha256(text) ORDER BY {NOW} - doc_id * 97 % 900000 DESC, CASE WHEN doc_id % 4 = 0 THEN NULL ELSE 604800 END DESC NULLS LAST) = 1)"
+ENTRIES_SQL = f"(SELECT lang AS namespace, sha256(text) AS hash, text AS body, {NOW} - doc_id * 97 % 900000 AS stored_at, CASE WHEN doc_id % 4 = 0 THEN NULL ELSE 604800 END AS ttl, CAST(strlen(text) AS BIGINT) AS bytes FROM documents QUALIFY row_number() OVER (PARTITION BY lang, sha256(text) ORDER BY {NOW} - doc_id * 97 % 900000 DESC, CASE WHEN doc_id % 4 = 0 THEN NULL ELSE 604800 END DESC NULLS FIRST) = 1)"
 
 
 def entries(s: SparkSession, d: str) -> DataFrame:
@@ -221,53 +221,57 @@ def _(s, d):
     return _diffs(s, d).select("doc_id", F.sha2(lines.compact_diff("body", False), 256).alias("out_sha256"))
 
 
-_PAT = "0x[0-9a-fA-F]+|[0-9]+"
+_PAT = lines.CAPTURED
+_FOLDED = f"""WITH l AS (SELECT payload_id, list_transform({split_sql('body')}, lambda x: x || chr(10)) AS s FROM {LOGS_SQL}),
+  t AS (SELECT payload_id, s, list_transform(s, lambda x: regexp_replace(x, '{_PAT}', chr(0), 'g')) AS shapes FROM l),
+  u AS (SELECT *, list_transform(list_sort(list_transform(list_distinct(shapes), lambda y: {{'i': list_position(shapes, y), 'y': y}})), lambda z: z.y) AS templates FROM t)"""
 
 
-@query("log_field_fold", f"""WITH l AS (SELECT payload_id, list_transform({split_sql('body')}, lambda x: x || chr(10)) AS s FROM {LOGS_SQL}),
-  t AS (SELECT payload_id, s, list_transform(s, lambda x: regexp_replace(x, '{_PAT}', chr(0), 'g')) AS shapes FROM l),
-  u AS (SELECT *, list_transform(list_sort(list_transform(list_distinct(shapes), lambda y: {{'i': list_position(shapes, y), 'y': y}})), lambda z: z.y) AS templates FROM t)
+@query("log_field_fold", f"""{_FOLDED}
   SELECT payload_id, sha256('{lines.LOG_FOLD}' || chr(10) || CAST(to_json(templates) AS VARCHAR) || chr(10) || array_to_string(list_transform(s, lambda x: array_to_string(list_prepend(CAST(list_position(templates, regexp_replace(x, '{_PAT}', chr(0), 'g')) - 1 AS VARCHAR), regexp_extract_all(x, '{_PAT}')), ' ')), chr(10))) AS out_sha256
   FROM u WHERE len(s) >= 3 AND len(templates) < len(s)""")
 def _(s, d):
     return logs(s, d).select("payload_id", lines.fold_log("body").alias("f")).where("f is not null").select("payload_id", F.sha2("f", 256).alias("out_sha256"))
 
 
-@query("log_unfold", f"SELECT payload_id, sha256(body) AS out_sha256 FROM {LOGS_SQL} WHERE len({split_sql('body')}) > 5")
+@query("log_unfold", f"{_FOLDED} SELECT payload_id, sha256(array_to_string(s, '')) AS out_sha256 FROM u WHERE len(s) >= 3 AND len(templates) < len(s)")
 def _(s, d):
-    folded = logs(s, d).where(F.size(X.lines("body")) > 5).select("payload_id", F.coalesce(lines.fold_log("body"), F.lit("")).alias("f"))
+    folded = logs(s, d).select("payload_id", lines.fold_log("body").alias("f")).where("f is not null")
     return folded.select("payload_id", F.sha2(lines.unfold_log("f"), 256).alias("out_sha256"))
 
 
+def _cut_sql(c: str) -> str:
+    """As many whole characters as 50 bytes hold."""
+    return f"CASE WHEN strlen({c}) > 50 THEN substr({c}, 1, CAST(list_max(list_filter(range(0, 51), lambda k: strlen(substr({c}, 1, CAST(k AS BIGINT))) <= 50)) AS BIGINT)) || '... [{X.MARKER}: truncated]' ELSE {c} END"
+
+
 _ANSI_SQL = r"(SELECT doc_id, chr(27) || '[1;31m' || text || E'\nextra the line' || chr(27) || '[0m' AS body FROM documents)"
 
 
 @query("filter_stages", f"""SELECT doc_id, sha256(a) AS ansi, sha256(regexp_replace(a, 'th(e|a)', '<\\1>', 'g')) AS replaced, sha256(array_to_string(list_filter(l, lambda x: regexp_matches(x, 'the')), chr(10))) AS kept, sha256(array_to_string(list_filter(l, lambda x: NOT regexp_matches(x, 'the')), chr(10))) AS stripped,
   sha256(array_to_string(l[1:2], chr(10))) AS head, sha256(array_to_string(l[greatest(len(l) - 1, 1):], chr(10))) AS tail, sha256(CASE WHEN len(l) > 2 THEN array_to_string(l[1:2], chr(10)) || chr(10) || '... [{X.MARKER}: truncated ' || (len(l) - 2) || ' more lines]' ELSE a END) AS max_lines,
-  CASE WHEN length(a) = strlen(a) THEN sha256(CASE WHEN strlen(a) > 50 THEN substr(a, 1, 50) || '... [{X.MARKER}: truncated]' ELSE a END) END AS truncated, sha256(CASE WHEN array_to_string(list_filter(l, lambda x: regexp_matches(x, 'zzz')), chr(10)) = '' THEN 'none' ELSE array_to_string(list_filter(l, lambda x: regexp_matches(x, 'zzz')), chr(10)) END) AS on_empty
+  sha256({_cut_sql('a')}) AS truncated, sha256(CASE WHEN array_to_string(list_filter(l, lambda x: regexp_matches(x, 'zzz')), chr(10)) = '' THEN 'none' ELSE array_to_string(list_filter(l, lambda x: regexp_matches(x, 'zzz')), chr(10)) END) AS on_empty
   FROM (SELECT doc_id, a, {split_sql('a')} AS l FROM (SELECT doc_id, regexp_replace(body, chr(27) || '\\[[0-9;]*[A-Za-z]', '', 'g') AS a FROM {_ANSI_SQL}))""".replace("\\\\", "\\"))
 def _(s, d):
     S = lines.Stage
     a = S("strip_ansi").apply(F.concat(F.lit("\u001b[1;31m"), F.col("text"), F.lit("\nextra the line\u001b[0m")))
     rows = table(s, d, "documents").select("doc_id", a.alias("a"))
     h = lambda *st: F.sha2(lines.Filter("x", "1", (), st).apply("a"), 256)
-    ascii_only = F.length("a") == F.octet_length("a")
-    return rows.select("doc_id", F.sha2("a", 256).alias("ansi"), h(S("replace", pattern="th(e|a)", replacement="<$1>")).alias("replaced"), h(S("keep_lines", pattern="the")).alias("kept"), h(S("strip_lines", pattern="the")).alias("stripped"), h(S("head", count=2)).alias("head"), h(S("tail", count=2)).alias("tail"), h(S("max_lines", count=2)).alias("max_lines"), F.when(ascii_only, h(S("truncate", count=50))).alias("truncated"), h(S("keep_lines", pattern="zzz"), S("on_empty", value="none")).alias("on_empty"))
+    return rows.select("doc_id", F.sha2("a", 256).alias("ansi"), h(S("replace", pattern="th(e|a)", replacement="<$1>")).alias("replaced"), h(S("keep_lines", pattern="the")).alias("kept"), h(S("strip_lines", pattern="the")).alias("stripped"), h(S("head", count=2)).alias("head"), h(S("tail", count=2)).alias("tail"), h(S("max_lines", count=2)).alias("max_lines"), h(S("truncate", count=50)).alias("truncated"), h(S("keep_lines", pattern="zzz"), S("on_empty", value="none")).alias("on_empty"))
 
 
-@query("filter_truncate")
+@query("filter_truncate", f"SELECT doc_id, sha256({_cut_sql('text')}) AS truncated FROM documents")
 def _(s, d):
-    """What filter_stages leaves null: truncation by bytes of every text; SQL by characters cannot say it."""
     cut = lines.Filter("x", "1", (), (lines.Stage("truncate", count=50),)).apply("text")
     return table(s, d, "documents").select("doc_id", F.sha2(cut, 256).alias("truncated"))
 
 
 @query("filter_match", """SELECT id, CASE WHEN k = 0 THEN 'git-diff' WHEN k = 1 THEN 'git-status' WHEN k = 2 THEN 'cargo' END AS filter_id, sha256(CASE WHEN k = 0 THEN replace(body, 'index 0af..1' || chr(10), '') WHEN k = 2 THEN replace(body, '   Compiling x v1' || chr(10), '') ELSE body END) AS out_sha256
-  FROM (SELECT conv_id * 1000 + turn AS id, (conv_id + turn) % 4 AS k, 'index 0af..1' || chr(10) || '   Compiling x v1' || chr(10) || text || 'z' AS body FROM conversations WHERE strlen(text) > 40)""")
+  FROM (SELECT conv_id * 1000 + turn AS id, (conv_id + turn) % 4 AS k, 'index 0af..1' || chr(10) || '   Compiling x v1' || chr(10) || text || 'z' AS body FROM conversations)""")
 def _(s, d):
     k = (F.col("conv_id") + F.col("turn")) % 4
     argv = F.when(k == 0, F.array(F.lit("git"), F.lit("diff"), F.lit("-w"))).when(k == 1, F.array(F.lit("git"), F.lit("status"))).when(k == 2, F.array(F.lit("cargo"), F.lit("test"))).otherwise(F.array(F.lit("ls")))
-    rows = table(s, d, "conversations").where("octet_length(text) > 40").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), argv.alias("argv"), F.concat(F.lit("index 0af..1\n   Compiling x v1\n"), "text", F.lit("z")).alias("text"))
+    rows = table(s, d, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), argv.alias("argv"), F.concat(F.lit("index 0af..1\n   Compiling x v1\n"), "text", F.lit("z")).alias("text"))
     return lines.apply_filters(rows).select("id", "filter_id", F.sha2("filtered", 256).alias("out_sha256"))
 
 
