@@ -177,7 +177,7 @@ def _member_at(source: _Source, at: int) -> tuple[int, dict[str, str], bytes] |
 
 def members(source: _Source, start: int, end: int, sure: bool = False) -> Iterator[tuple[int, int, dict[str, str], bytes]]:
     """Beginning, end, header and block of members that begin in [start, end), found by the magic; each is looked for where the one before it ended."""
-    pos = start
+    pos, end = start, min(end, source.size)
     while pos < end:
         at = pos if sure else source.find_magic(pos, end)
         if at < 0:
