@@ -19,10 +19,12 @@ BLOCK_BYTES = 4 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder that driver and executors share: spark.checkpoint.dir, or a temporary one where it is unset."""
+    """Folder that driver and executors share: spark.checkpoint.dir. Only where driver and executors are one process may it be unset; then it is a temporary one."""
     sc = spark.sparkContext
     base = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not base:
+        if not (sc.master == "local" or sc.master.startswith("local[")):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="parsimony-")
         atexit.register(shutil.rmtree, base.removeprefix("file://"), True)
         sc.setCheckpointDir(base)
@@ -66,7 +68,7 @@ def stored(df: DataFrame, tag: str) -> DataFrame:
 def drop_stored(*tables: DataFrame) -> None:
     """Deletes stored tables that nothing reads any more."""
     for df in tables:
-        for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        for folder in {f.rsplit("/", 1)[0].replace("file:///", "file:/") for f in df.inputFiles()}:
             if folder.rsplit("/", 1)[-1].startswith("parsimony-"):
                 drop_folder(df.sparkSession, folder)
 

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import blocks, bound_batches, column, mix, stored, text_buffer
+from .common import blocks, bound_batches, column, drop_stored, free_name, mix, stored, text_buffer
 from .decontaminate import _TABLE
 
 SHINGLE, SIMILAR = 5, 0.8
@@ -321,8 +321,10 @@ def components(links: DataFrame) -> DataFrame:
         # a label's own label: the way to the smallest key halves each round
         jump = labels.select(F.col("key").alias("k"), F.col("comp").alias("c"))
         step = stored(step.join(jump, step.comp == jump.k, "left").select("key", "old", F.least("comp", F.coalesce("c", "comp")).alias("comp")), "labels")
+        drop_stored(labels)
         labels = step.select("key", "comp")
         if step.where("comp <> old").isEmpty():
+            drop_stored(both)
             return labels
 
 
@@ -363,11 +365,14 @@ def keep_one(docs: DataFrame) -> DataFrame:
     rows, comps = text_classes(docs)
     labelled = stored(rows.select("doc_id", "key").join(comps, "key", "left").select("doc_id", "key", F.coalesce("comp", "key").alias("comp")), "classes")
     best = stored(labelled.groupBy("comp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("m")).select(F.col("m.doc_id").alias("__id"), F.col("m.key").alias("__key")), "kept")
-    kept = docs.withColumn("__text_key", F.md5(F.coalesce("text", F.lit("")))).join(best, F.col("__text_key").eqNullSafe(F.col("__key")) & F.col("doc_id").cast("long").eqNullSafe(F.col("__id")), "left_semi")
+    key = free_name(names, "text_key")
+    best = best.select(F.col("__id").alias(free_name([*names, key], "kept_id")), F.col("__key").alias(free_name([*names, key], "kept_key")))
+    kept = docs.withColumn(key, F.md5(F.coalesce("text", F.lit(""))))
+    kept = kept.join(best, kept[key].eqNullSafe(best[best.columns[1]]) & kept["doc_id"].cast("long").eqNullSafe(best[best.columns[0]]), "left_semi")
     same = labelled.groupBy("doc_id", "key").agg(F.count("*").alias("n")).where("n > 1")
-    repeated = same.join(best, same.key.eqNullSafe(best["__key"]) & same.doc_id.eqNullSafe(best["__id"]), "left_semi")
+    repeated = same.join(best, same["key"].eqNullSafe(best[best.columns[1]]) & same["doc_id"].eqNullSafe(best[best.columns[0]]), "left_semi")
     if not repeated.isEmpty():
-        kept = kept.dropDuplicates(["doc_id", "__text_key"])
+        kept = kept.dropDuplicates(["doc_id", key])
     return kept.select(*names)
 
 

@@ -565,16 +565,69 @@ def test_packing_rows(spark, texts):
     assert packing.pack_texts(docs.limit(0)).count() == 0
 
 
-def test_pipeline(spark):
+def test_keep_one_and_clashing_names(spark):
+    rng = random.Random(3)
+    base = prose(rng, 60)
+    rows = [(1, base), (2, base), (3, prose(rng, 60)), (None, base), (3, None), (3, None)]
+    docs = frame(spark, rows, key="k")
+    for c in ("text_key", "kept_id", "kept_key", "__id", "__key", "comp", "class_id"):
+        docs = docs.withColumn(c, F.lit(5))
+    kept = minhash.keep_one(docs)
+    assert kept.columns == docs.columns
+    assert Counter((r.doc_id, r.text) for r in kept.collect()) == Counter([(1, base), (3, rows[2][1]), (3, None)])
+
+
+def test_pipeline(spark, tmp_path):
+    """Planted toxic, copied, contaminated and personal rows: each stage takes its own and leaves the others."""
+    import corpus_pipeline
+
+    rng = random.Random(12)
+    plain = lambda i: " ".join(f"w{rng.randrange(400)}" for _ in range(60 + i % 7))
+    rows, labels = {i: plain(i) for i in range(500)}, {}
+    for i in range(300):
+        labels[i] = int(i % 6 == 0)
+        if labels[i]:
+            rows[i] += " vile scurrilous"
+    toxic = {i for i in labels if labels[i]} | {400, 401}
+    rows[400] += " vile"
+    rows[401] = "scurrilous " + rows[401]
+    item = " ".join(f"q{k}" for k in range(30))
+    short = "one lone item"
+    rows[410], rows[411], rows[412] = rows[410] + " " + item, rows[411] + " " + " ".join(item.split()[3:14]), rows[412] + " " + short
+    contaminated = {410, 411}
+    copies = {420: 421, 430: 431, 440: 441}  # an exact copy, a near one, one of a text without words
+    rows[421], rows[431] = rows[420], rows[430].replace(rows[430].split()[30], "other", 1)
+    rows[440], rows[441] = "?!", "?!"
+    rows[450], rows[451] = "write to jane@example.com or +49 30 1234567 now " + rows[450], rows[451] + " at 10.1.2.3"
+    table = [(i, t, "en", "s", len(t)) for i, t in rows.items()] + [(600, None, "en", "s", 0), (None, rows[460], "en", "s", 1)]
+    sf = str(tmp_path)
+    docs = spark.createDataFrame(table, SCHEMA).withColumn("score", F.lit("own")).withColumn("items", F.lit(1))
+    docs.repartition(4).write.parquet(f"{sf}/documents.parquet")
+    spark.createDataFrame([(i, 0, y) for i, y in labels.items()], "doc_id long, quality int, toxic int").write.parquet(f"{sf}/labels.parquet")
+    spark.createDataFrame([(1, item), (2, short), (3, None)], "item_id long, text string").write.parquet(f"{sf}/benchmark.parquet")
+    ids = lambda df: {r.doc_id for r in df.select("doc_id").collect()}
+    got, left = spark.read.parquet(f"{sf}/documents.parquet"), set(rows) | {600, None}
+    names, gone = got.columns, [toxic, set(copies.values()) | {None}, contaminated, set()]
+    for (name, stage), less in zip(corpus_pipeline.STAGES[:-1], gone, strict=True):
+        got = stored(stage(spark, got, sf), name)
+        left -= less
+        assert got.columns == names and ids(got) == left and got.count() == len(left), name
+    texts = {r.doc_id: (r.text, r.n_chars) for r in got.collect()}
+    assert texts[450][0].startswith("write to [EMAIL] or [PHONE] now w") and texts[451][0].endswith(" at [IP]")
+    assert texts[450][1] == len(texts[450][0]) and texts[600] == (None, None if texts[600][1] is None else 0)
+    assert all(texts[i][0] == rows[i] for i in left if i not in (450, 451, 600))
+    packed = corpus_pipeline.STAGES[-1][1](spark, got, sf).collect()
+    assert {r.doc_id for r in packed} == left
+    size = {r.doc_id: r.n_tokens for r in token_counts.count_tokens(got).collect()}
+    assert {i: sum(r.n_tokens for r in packed if r.doc_id == i) for i in left} == size
+    run = corpus_pipeline.run(spark, sf).collect()
+    assert Counter((r.doc_id, r.piece, r.start, r.n_tokens) for r in run) == Counter((r.doc_id, r.piece, r.start, r.n_tokens) for r in packed)
+
+
+def test_pipeline_of_nothing(spark, tmp_path):
     import corpus_pipeline
 
-    sf = "/root/testdata/sf0.001"
-    docs = spark.read.parquet(f"{sf}/documents.parquet")
-    names = docs.columns
-    sizes = [docs.count()]
-    for name, stage in corpus_pipeline.STAGES[:-1]:
-        docs = stored(stage(spark, docs, sf), name)
-        assert docs.columns == names
-        sizes.append(docs.count())
-    assert sizes == sorted(sizes, reverse=True) and sizes[-1] > 100
-    assert {r.doc_id for r in corpus_pipeline.STAGES[-1][1](spark, docs, sf).collect()} == {r.doc_id for r in docs.select("doc_id").collect()}
+    spark.createDataFrame([], SCHEMA).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
