@@ -377,9 +377,9 @@ def test_language_model_learns_from_every_text(spark, monkeypatch):
 
 
 def test_language_model_beats_its_base_on_held_out_texts(spark):
-    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
     r = lm_scoring.score_texts(docs).where("held_out").agg(F.sum("score"), F.sum("base_score"), F.sum("n_tokens")).first()
-    assert r[0] / r[2] > r[1] / r[2]
+    assert r[0] / r[2] > r[1] / r[2] + 0.15
 
 
 def test_scores_against_a_plain_model(spark, texts):
@@ -395,7 +395,7 @@ def test_scores_against_a_plain_model(spark, texts):
     for i, t in texts[:6] + texts[40:43]:
         total, ids, owner = 0.0, [], []
         for k, w in enumerate(low(t)):
-            x = number[sub.ids([w])[0]]
+            x = number[np.frombuffer(sub.of([w])[0][1], np.uint16)]
             ids += x.tolist()
             owner += [k] * len(x)
         logs = np.zeros(len(low(t)))
