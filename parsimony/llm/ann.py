@@ -7,8 +7,9 @@ substring within r // TABLES of the query's, so probing these buckets retrieves
 they hold is filtered by Hamming distance and reranked by cosine on the original vectors in double precision.
 
 The radius is learned on the same sample, so that a share RECALL of true neighbours lies within it; a query that
-finds fewer neighbours than asked for gets a second search with the full radius. Queries are the stated set and go
-to the index in blocks of QUERY_BLOCK. Every row is indexed; no list is cut, so copies of one vector cost no more
+finds fewer neighbours than asked for gets a second search with the full radius. Queries are the stated set. They are
+stored in blocks of QUERY_BLOCK, which each task reads one after the other for the index rows that it holds: one pass
+over the index, whatever their number. Every row is indexed; no list is cut, so copies of one vector cost no more
 than other rows.
 
 Vectors that are null, zero, hold null or non-finite components, or have another length than the sample's first take
@@ -26,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import column, stored
+from .common import column, stored, stored_at, stored_rows
 
 BITS, TABLES = 64, 8
 #: Vectors from which rotation and radius are learned, and how many of them act as queries.
@@ -111,21 +112,38 @@ def build_index(vectors: DataFrame, coder: Coder) -> DataFrame:
     return vectors.mapInArrow(run, INDEX)
 
 
-def search(index: DataFrame, ids: np.ndarray, queries: np.ndarray, coder: Coder, k: int, radius: int) -> DataFrame:
-    """Each index row's k nearest for each query among the codes within the radius."""
-    codes = coder.codes(queries)
-    norms = np.sqrt((queries * queries).sum(1))
-    values = np.arange(256, dtype=np.uint8)
-    probes = [np.flatnonzero(np.bitwise_count(values ^ np.uint8(v)) <= radius // TABLES) for v in range(256)]
+def query_blocks(queries: DataFrame) -> str:
+    """Folder of the stored blocks: ids, vectors."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for r in range(b.num_rows):
-                blob = lambda c, kind: np.frombuffer(column(b, c)[r].as_py(), kind)
-                vid, own = blob("ids", np.int64), blob("codes", np.uint64)
-                x = blob("vectors", np.float64).reshape(len(vid), -1)
-                length = np.sqrt((x * x).sum(1))
-                orders, begins = blob("orders", np.int32).reshape(TABLES, -1), blob("begins", np.int32).reshape(TABLES, 257)
+            for at in range(0, b.num_rows, QUERY_BLOCK):
+                part = b.slice(at, QUERY_BLOCK)
+                blobs = np.asarray(column(part, "vec_id")).tobytes(), np.asarray(column(part, "embedding").flatten()).astype(np.float64).tobytes()
+                yield pa.RecordBatch.from_arrays([pa.array([x], pa.binary()) for x in blobs], names=["ids", "vectors"])
+
+    return stored_at(queries.select("vec_id", "embedding").mapInArrow(run, "ids binary, vectors binary"), "ann-queries")
+
+
+def search(index: DataFrame, blocks: str, coder: Coder, k: int, radius: int) -> DataFrame:
+    """query_id, rank, vec_id, score: the k nearest for each query of the stored blocks among the codes within the radius."""
+    spark = index.sparkSession
+    values, read = np.arange(256, dtype=np.uint8), stored_rows(spark, blocks, ["ids", "vectors"])
+    probes = [np.flatnonzero(np.bitwise_count(values ^ np.uint8(v)) <= radius // TABLES) for v in range(256)]
+    shared = spark.sparkContext.broadcast(coder)
+    blob = lambda b, c, kind: np.frombuffer(column(b, c)[0].as_buffer(), kind)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        coder = shared.value
+        for row in (b.slice(r, 1) for b in batches for r in range(b.num_rows)):
+            vid, own = blob(row, "ids", np.int64), blob(row, "codes", np.uint64)
+            x = blob(row, "vectors", np.float64).reshape(len(vid), -1)
+            length = np.sqrt((x * x).sum(1))
+            orders, begins = blob(row, "orders", np.int32).reshape(TABLES, -1), blob(row, "begins", np.int32).reshape(TABLES, 257)
+            for asked in read():
+                ids = blob(asked, "ids", np.int64)
+                queries = blob(asked, "vectors", np.float64).reshape(len(ids), -1)
+                codes, norms = coder.codes(queries), np.sqrt((queries * queries).sum(1))
                 out: list[list] = [[], [], []]
                 for q in range(len(ids)):
                     found = np.zeros(len(vid), bool)
@@ -155,36 +173,17 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest found for each query vector."""
     spark, ok = vectors.sparkSession, valid(vectors)
     coder = learn(ok, k)
-    empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     if coder is None:
-        return empty
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     index = stored(build_index(ok, coder), "ann-index")
-    out = []
     asked = valid(queries).where(F.size("embedding") == coder.dim).dropDuplicates(["vec_id"])
-
-    def answer(ids: list, xs: list) -> None:
-        ids_, x = np.array(ids, np.int64), np.array(xs, np.float64)
-        got = stored(search(index, ids_, x, coder, k, coder.radius), "ann-found")
-        full = {r.query_id for r in got.groupBy("query_id").count().where(f"count >= {k}").collect()}  # of this block's queries
-        rest = np.array([i not in full for i in ids])
-        if rest.any() and coder.radius < BITS:
-            again = search(index, ids_[rest], x[rest], coder, k, BITS)
-            got = got.where(~F.col("query_id").isin(ids_[rest].tolist())).unionByName(again)
-        out.append(got)
-
-    ids: list = []
-    xs: list = []
-    for row in asked.toLocalIterator():
-        ids.append(row.vec_id)
-        xs.append(row.embedding)
-        if len(ids) == QUERY_BLOCK:
-            answer(ids, xs)
-            ids, xs = [], []
-    if ids:
-        answer(ids, xs)
-    for more in out[1:]:
-        out[0] = out[0].unionByName(more)
-    return out[0] if out else empty
+    got = stored(search(index, query_blocks(asked), coder, k, coder.radius), "ann-found")
+    full = got.groupBy("query_id").count().where(f"count >= {k}").select(F.col("query_id").alias("vec_id"))
+    rest = stored(asked.join(full, "vec_id", "left_anti"), "ann-rest")
+    if coder.radius >= BITS or rest.isEmpty():
+        return got
+    again = search(index, query_blocks(rest), coder, k, BITS)
+    return got.join(rest.select(F.col("vec_id").alias("query_id")), "query_id", "left_anti").select(*again.columns).unionByName(again)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

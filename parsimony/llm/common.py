@@ -73,6 +73,31 @@ def drop_stored(*tables: DataFrame) -> None:
                 drop_folder(df.sparkSession, folder)
 
 
+def stored_rows(spark: SparkSession, folder: str, columns: list[str]):
+    """A function that reads rows of a stored table wherever it is called, one row group at a time, as Arrow batches; driver and executors see the same folder."""
+    bound = folder
+
+    def read() -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+        from pyarrow import parquet as pq
+
+        files, root = fs.FileSystem.from_uri(bound)
+        for info in sorted(files.get_file_info(fs.FileSelector(root)), key=lambda f: f.path):
+            if info.path.endswith(".parquet") and info.size:
+                with files.open_input_file(info.path) as f:
+                    yield from pq.ParquetFile(f).iter_batches(batch_size=1, columns=columns)
+
+    return read
+
+
+def stored_at(df: DataFrame, tag: str) -> str:
+    """Folder in which df was written as Parquet."""
+    bound_batches(df.sparkSession)
+    path = new_folder(df.sparkSession, tag)
+    df.write.parquet(path)
+    return path
+
+
 def id_and_text(docs: DataFrame) -> DataFrame:
     bound_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))

@@ -565,6 +565,22 @@ def test_packing_rows(spark, texts):
     assert packing.pack_texts(docs.limit(0)).count() == 0
 
 
+def test_packed_sequences(spark, texts):
+    import sentencepiece
+
+    sp = sentencepiece.SentencePieceProcessor(model_file=token_counts.model_path())
+    rows = [(i, t) for i, t in texts if i is not None and i != 47] + [(900, prose(random.Random(1), 9000))]
+    got = {}
+    for r in packing.pack_sequences(frame(spark, rows, n_tokens=1)).collect():
+        assert len(r.tokens) == r.n_tokens <= r.bin_length and r.bin_length == min(c for c in packing.LENGTHS if c >= r.n_tokens)
+        for doc, a, z in zip(r.doc_ids, r.starts, [*r.starts[1:], r.n_tokens], strict=True):
+            got.setdefault(doc, []).append(r.tokens[a:z])
+    for i, t in rows:
+        pieces, want = got.get(i, []), sp.encode(t or "")
+        assert sorted(map(tuple, pieces)) == sorted(tuple(want[a : a + 8192]) for a in range(0, len(want), 8192))
+    assert packing.pack_sequences(frame(spark, rows).limit(0)).count() == 0
+
+
 def test_keep_one_and_clashing_names(spark):
     rng = random.Random(3)
     base = prose(rng, 60)
