@@ -106,9 +106,11 @@ def idf_table(docs: DataFrame) -> np.ndarray:
     rows = sorted(part.groupBy("slice").applyInArrow(added, "slice int, n long, counts binary").collect(), key=lambda r: r["slice"])
     if not rows:
         return np.ones(DIMENSIONS, np.float32)
-    counts, n = np.concatenate([np.frombuffer(r.counts, np.uint64) for r in rows]).astype(np.float64), rows[0].n
-    df = np.clip(counts - (counts.sum() - counts) / (DIMENSIONS - 1), 1, max(n, 1))
-    return np.log1p(n / df).astype(np.float32)
+    n, total, out = rows[0].n, sum(int(np.frombuffer(r.counts, np.uint64).sum()) for r in rows), np.empty(DIMENSIONS, np.float32)
+    for i, r in enumerate(rows):  # a slice at a time, so that the driver holds one table
+        counts = np.frombuffer(r.counts, np.uint64).astype(np.float64)
+        out[i * width : (i + 1) * width] = np.log1p(n / np.clip(counts - (total - counts) / (DIMENSIONS - 1), 1, max(n, 1)))
+    return out
 
 
 class Sampler:

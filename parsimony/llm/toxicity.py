@@ -44,7 +44,7 @@ FLOOR = 0.02
 #: A term that more than this share of the examples holds is frequent.
 FREQUENT = 1 / 24
 _HEADS = (4, 5)
-_CACHE = 300_000
+_CACHE = 40_000
 
 
 def held_out(doc_id: str = "doc_id", of: int = 5, rest: int = 0):
@@ -107,8 +107,8 @@ def sample(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return stored(rows.groupBy("doc_id").agg(F.first("toxic").alias("toxic"), F.min("text").alias("text")), "toxicity-sample")
 
 
-def sample_words(rows: DataFrame) -> list[tuple[int, int, list[bytes], np.ndarray]]:
-    """doc_id, label, distinct words and their counts of each sampled row, by doc_id; bounded by SAMPLE rows."""
+def sample_words(rows: DataFrame) -> tuple[dict[bytes, int], list[tuple[int, int, np.ndarray, np.ndarray]]]:
+    """Numbers of the words of the sampled rows, and by doc_id each row's doc_id, label, distinct words (by number) and their counts; bounded by SAMPLE rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in blocks(batches):
@@ -118,7 +118,12 @@ def sample_words(rows: DataFrame) -> list[tuple[int, int, list[bytes], np.ndarra
             yield pa.RecordBatch.from_arrays([column(b, "doc_id"), column(b, "toxic"), words, counts], names=["doc_id", "toxic", "words", "counts"])
 
     got = rows.mapInArrow(run, "doc_id long, toxic int, words binary, counts binary").orderBy("doc_id").toLocalIterator()
-    return [(r.doc_id, int(r.toxic > 0), bytes(r.words).split(), np.frombuffer(bytes(r.counts), np.int32)) for r in got]
+    at: dict[bytes, int] = {}
+    held = []
+    for r in got:
+        words = bytes(r.words).split()
+        held.append((r.doc_id, int(r.toxic > 0), np.fromiter((at.setdefault(w, len(at)) for w in words), np.int32, len(words)), np.frombuffer(bytes(r.counts), np.int32)))
+    return at, held
 
 
 def _lean(toxic: np.ndarray, other: np.ndarray, n_toxic: int, n_other: int) -> np.ndarray:
@@ -136,15 +141,14 @@ def _by_label(numbers: list[np.ndarray], y: np.ndarray, size: int) -> list[np.nd
     return [np.bincount(np.concatenate([x for x, t in zip(numbers, y.tolist(), strict=True) if t == label] or [np.empty(0, np.int64)]), minlength=size) for label in (0, 1)]
 
 
-def learn_terms(held: list[tuple[int, int, list[bytes], np.ndarray]]) -> tuple[Terms, np.ndarray]:
+def learn_terms(at: dict[bytes, int], held: list[tuple[int, int, np.ndarray, np.ndarray]]) -> tuple[Terms, np.ndarray]:
     """Every word of the examples and the leaning beginnings of words, and the lean of each term."""
     y = np.array([h[1] for h in held])
-    at: dict[bytes, int] = {}
-    words = [np.fromiter((at.setdefault(w, len(at)) for w in h[2]), np.int64, len(h[2])) for h in held]
+    words = [h[2] for h in held]
     lean = _lean(*reversed(_by_label(words, y, len(at))), int(y.sum()), int(len(y) - y.sum()))
     heads: dict[bytes, int] = {}
     of = [[heads.setdefault(w[:h], len(heads)) if len(w) > h else -1 for w in at] for h in _HEADS]
-    of = np.array(of, np.int64).reshape(len(_HEADS), -1)
+    of = np.array(of, np.int32).reshape(len(_HEADS), -1)
     begun = [np.setdiff1d(of[:, w], [-1]) for w in words]
     more = _lean(*reversed(_by_label(begun, y, len(heads))), int(y.sum()), int(len(y) - y.sum()))
     return Terms(list(at), [h for h, k in heads.items() if more[k] > 0]), np.append(lean, more[more > 0])
@@ -223,12 +227,13 @@ class Model:
         self.built = False
 
     def _lay_out(self) -> None:
-        lens, term, counts = (np.frombuffer(zlib.decompress(x), np.int32).astype(np.int64) for x in self.packed)
-        n, first = len(lens), np.cumsum(lens) - lens
-        term = np.cumsum(term)
-        term -= np.repeat(term[first] - np.frombuffer(zlib.decompress(self.packed[1]), np.int32)[first], lens)
-        w = (1 + np.log(counts)) * self.weight[term]
-        w /= np.repeat(np.sqrt(np.add.reduceat(w * w, first)), lens)
+        lens, steps, counts = (np.frombuffer(zlib.decompress(x), np.int32) for x in self.packed)
+        n, first = len(lens), np.cumsum(lens, dtype=np.int64) - lens
+        term = np.cumsum(steps, dtype=np.int64)
+        term = (term - np.repeat(term[first] - steps[first], lens)).astype(np.int32)
+        w = (1 + np.log(counts.astype(np.float32))) * self.weight[term]
+        del steps, counts
+        w /= np.repeat(np.sqrt(np.add.reduceat(w * w, first, dtype=np.float64)).astype(np.float32), lens)
         who = np.repeat(np.arange(n, dtype=np.int32), lens)
         frequent = np.flatnonzero(np.bincount(term, minlength=self.terms.size) > max(n * FREQUENT, BLOCK))
         self.frequent = np.full(self.terms.size, -1, np.int32)  # a frequent term's row
@@ -238,7 +243,8 @@ class Model:
         often = np.flatnonzero(self.frequent[term] >= 0)
         self.tiles[who[often] // BLOCK, self.frequent[term[often]], who[often] % BLOCK] = w[often]
         self.most = np.ascontiguousarray(self.tiles.max(2).T)  # term, block
-        rare = np.flatnonzero(self.frequent[term] < 0)
+        del often
+        rare = np.flatnonzero(self.frequent[term] < 0).astype(np.int32)
         rare = rare[np.argsort(term[rare], kind="stable")]
         self.holders, self.held = who[rare], w[rare].astype(np.float32)
         self.begins = np.searchsorted(term[rare], np.arange(self.terms.size + 1)).astype(np.int64)
@@ -343,25 +349,35 @@ def example_votes(rows: DataFrame, model: Model) -> list[tuple[float, int]]:
 
 def fit(docs: DataFrame, labels: DataFrame) -> Model:
     model, rows = Model(), sample(docs, labels)
-    held = sample_words(rows)
+    words_at, held = sample_words(rows)
     toxic = sum(h[1] for h in held)
     if not toxic or toxic == len(held):
         model.rate = toxic / max(1, len(held))
         return model
-    model.terms, lean = learn_terms(held)
+    model.terms, lean = learn_terms(words_at, held)
     total, df = document_counts(docs, model.terms)
     model.weight = ((np.log((total + 1) / (df + 1)) + 1) * (FLOOR + lean)).astype(np.float32)
     model.leans = lean > 0
+    # terms of each word: itself and the leaning beginnings it has
+    begun = [(k, t[1:]) for w, k in words_at.items() if len(t := model.terms.of(w)) > 1]
+    del words_at
+    more = {k: np.array(t, np.int32) for k, t in begun}
+    heads = np.zeros(model.terms.size, bool)
+    heads[list(more)] = True
     examples, bare = [], []
     for doc_id, y, words, counts in held:
-        if not words:
+        if not len(words):
             bare.append(y)
             continue
-        got = [model.terms.of(w) for w in words]
-        at = np.array([t for g in got for t in g], np.int64)
-        n = np.bincount(at, np.repeat(counts, [len(g) for g in got]), model.terms.size)
-        at = np.unique(at)
-        examples.append((doc_id, y, at, n[at]))
+        with_heads = np.flatnonzero(heads[words])
+        extra = [more[int(words[i])] for i in with_heads]
+        at = np.concatenate([words, *extra])
+        n = np.concatenate([counts, *(np.full(len(x), counts[i]) for x, i in zip(extra, with_heads, strict=True))])
+        order = np.argsort(at, kind="stable")
+        at, n = at[order], n[order]
+        first = np.flatnonzero(np.append(True, at[1:] != at[:-1]))
+        at, n = at[first], np.add.reduceat(n, first)
+        examples.append((doc_id, y, at, n))
         if not model.leans[at].any():
             bare.append(y)
     model.rate = (sum(bare) + 0.5) / (len(bare) + 2)
