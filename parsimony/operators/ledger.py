@@ -7,9 +7,10 @@ saved_tokens, savings_pct, bypass_reason, project_hash.
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from parsimony.functions.text import parse_timestamp
+from parsimony.functions.text import format_timestamp, parse_timestamp
 
 RECORD = "request_id string, timestamp string, surface string, format string, mode string, status string, original_tokens long, compressed_tokens long, saved_tokens long, savings_pct double, bypass_reason string, project_hash string"
 MIN_SAMPLE = 5
@@ -87,12 +88,40 @@ def stats(records: DataFrame, more: DataFrame | None = None) -> DataFrame:
     return aggregate(records if more is None else records.unionByName(more)).withColumn("scope", F.lit("stats"))
 
 
+def session(records: DataFrame, n: int = 20) -> tuple[DataFrame, DataFrame]:
+    """The summary of a session's records and its latest requests."""
+    return aggregate(records).withColumn("scope", F.lit("session")), recent(records, n)
+
+
+#: What a report file must hold to become a record.
+REPORT = "format string, mode string, status string, original_tokens long, compressed_tokens long, saved_tokens long, savings_pct double, command struct<never_worse_applied: boolean>, bypass struct<reason: string>, retrieval struct<marker_count: long>"
+
+
+def records_of_reports(files: DataFrame) -> DataFrame:
+    """Records, with markers, of report files (path, content, modificationTime): ids come from the content, times from the files.
+
+    A file that is no report gives no record.
+    """
+    r = files.select("modificationTime", F.sha2("content", 256).alias("hash"), F.from_json(F.decode("content", "UTF-8"), REPORT).alias("r"))
+    r = r.where("r.format is not null and r.original_tokens is not null and r.compressed_tokens is not null")
+    reason = F.when(F.col("r.command.never_worse_applied"), "would_increase_tokens").otherwise(F.col("r.bypass.reason"))
+    return r.select(
+        F.concat(F.lit("tc-"), F.substring("hash", 1, 8)).alias("request_id"),
+        format_timestamp(F.unix_seconds("modificationTime")).alias("timestamp"),
+        F.when(F.col("r.command").isNotNull(), "wrap").otherwise("cli").alias("surface"),
+        *(F.col(f"r.{c}").alias(c) for c in ("format", "mode", "status", "original_tokens", "compressed_tokens", "saved_tokens", "savings_pct")),
+        reason.alias("bypass_reason"),
+        F.lit(None).cast("string").alias("project_hash"),
+        F.coalesce("r.retrieval.marker_count", F.lit(0).cast("long")).alias("markers"),
+    )
+
+
 def policy_proposals(records: DataFrame) -> DataFrame:
     """A proposal to leave the conservative mode, where enough sessions saved little."""
     g = records.where((F.col("status") == "compressed") & (F.col("mode") == "conservative")).groupBy("mode").agg(F.count("*").alias("sample_size"), F.avg("savings_pct").alias("m"))
     g = g.where((F.col("sample_size") >= MIN_SAMPLE) & (F.col("m") < 15))
     seen = F.format_string("%d conservative-mode sessions averaged %.1f%% savings", "sample_size", "m")
-    advice = F.lit("consider trying balanced mode as your default for higher realized savings")
+    advice = F.lit("make balanced the default mode, which would have saved more on these sessions")
     return g.select(F.col("mode").alias("scope"), seen.alias("observation"), advice.alias("suggestion"), F.least(F.col("sample_size") / 50.0, F.lit(1.0)).alias("confidence"), "sample_size")
 
 
@@ -115,6 +144,20 @@ def to_csv(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.select(F.concat_ws(",", *(csv_field(F.col(c)) for c in columns)).alias("line"))
 
 
+#: Columns of the two sections of an exported summary.
+SUMMARY = ("schema_version", "scope", "window", "project", "requests", "commands", "wrapped_commands", "raw_commands", "bypass_count", "raw_tokens", "compressed_tokens", "saved_tokens", "savings_pct", "estimated_lost_tokens", "coverage_pct", "untrusted_filter_count", "retrieval_markers", "retrieval_hits", "retrieval_misses", "retrieval_expired", "cache_hits", "cache_misses", "latency_p50_ms", "latency_p95_ms")
+REQUESTS = ("request_id", "timestamp", "surface", "format", "mode", "status", "original_tokens", "compressed_tokens", "saved_tokens", "savings_pct", "bypass_reason", "project_hash")
+
+
+def summary_csv(summary: DataFrame, latest: DataFrame) -> DataFrame:
+    """pos, line: a header and the summary's row, an empty line, a header and the latest requests, newest first. Columns that the summary lacks are empty; both tables are a few rows."""
+    have = [F.col(c) if c in summary.columns else F.lit("") for c in SUMMARY]
+    first = summary.limit(1).select(F.lit(1).cast("long").alias("pos"), F.concat_ws(",", *map(csv_field, have)).alias("line"))
+    rows = latest.select(F.row_number().over(W.orderBy(F.desc("timestamp"), "request_id")).cast("long").alias("n"), F.concat_ws(",", *(csv_field(F.col(c)) for c in REQUESTS)).alias("line"))
+    heads = summary.sparkSession.createDataFrame([(0, ",".join(SUMMARY)), (2, ""), (3, ",".join(REQUESTS))], "pos long, line string")
+    return heads.unionByName(first).unionByName(rows.select((F.col("n") + 3).alias("pos"), "line"))
+
+
 def pipeline_report(stages: DataFrame) -> DataFrame:
     """Arithmetic of a staged receipt (raw, external filter, core), from byte and token counts and flags."""
     c = F.col

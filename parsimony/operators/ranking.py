@@ -74,27 +74,35 @@ Scorer = Callable[[list[str], Sequence[str]], list[float]]
 _WORD = re.compile("[A-Za-z0-9_]+")
 
 
-def _frequency(words: list[list[str]]) -> list[float]:
+def _frequency(units: list[list[str]]) -> list[float]:
     """Each unit's distinct words, weighted by how few units hold them."""
-    df = Counter(t for w in words for t in set(w))
-    return [math.fsum(1.0 / df[t] for t in set(w)) for w in words]
+    df = Counter(t for w in units for t in set(w))
+    return [math.fsum(1.0 / df[t] for t in set(w)) for w in units]
 
 
-def _surprisal(words: list[list[str]]) -> list[float]:
+def _surprisal(units: list[list[str]]) -> list[float]:
     """Mean information of a unit's words under their shares of the document."""
-    n = Counter(t for w in words for t in w)
+    n = Counter(t for w in units for t in w)
     total = sum(n.values())
-    return [math.fsum(-math.log2(n[t] / total) for t in w) / len(w) if w else 0.0 for w in words]
+    return [math.fsum(-math.log2(n[t] / total) for t in w) / len(w) if w else 0.0 for w in units]
 
 
-def _bm25(words: list[list[str]], query: Sequence[str], k1: float = 1.5, b: float = 0.75) -> list[float]:
+def _bm25(units: list[list[str]], query: Sequence[str], k1: float = 1.5, b: float = 0.75) -> list[float]:
     """Units as the documents of a small corpus of their own."""
     q = {t.lower() for t in query}
-    counts = [Counter(t for t in w if t in q) for w in words]
+    counts = [Counter(t for t in w if t in q) for w in units]
     df = Counter(t for c in counts for t in c)
-    average = sum(map(len, words)) / len(words) if words else 0.0
-    idf = {t: math.log(1 + (len(words) - n + 0.5) / (n + 0.5)) for t, n in df.items()}
-    return [math.fsum(idf[t] * n * (k1 + 1) / (n + k1 * (1 - b + b * len(w) / average)) for t, n in c.items()) for w, c in zip(words, counts, strict=True)]
+    average = sum(map(len, units)) / len(units) if units else 0.0
+    idf = {t: math.log(1 + (len(units) - n + 0.5) / (n + 0.5)) for t, n in df.items()}
+    return [math.fsum(idf[t] * n * (k1 + 1) / (n + k1 * (1 - b + b * len(w) / average)) for t, n in c.items()) for w, c in zip(units, counts, strict=True)]
+
+
+def words(text: str) -> list[str]:
+    return [t.lower() for t in _WORD.findall(text)]
+
+
+def bm25_units(units: list[str], query: Sequence[str]) -> list[float]:
+    return _bm25(list(map(words, units)), query)
 
 
 def unit_scores(per_doc: DataFrame, selector: str, query: Sequence[str] = (), learned: dict[str, Scorer] | None = None) -> DataFrame:
@@ -119,8 +127,8 @@ def unit_scores(per_doc: DataFrame, selector: str, query: Sequence[str] = (), le
             if len(got) != len(units):
                 raise ValueError(f"{selector} gave {len(got)} scores for {len(units)} units")
             return got
-        words = [[t.lower() for t in _WORD.findall(u)] for u in units]
-        return _frequency(words) if selector == "frequency" else _surprisal(words) if selector == "surprisal" else _bm25(words, terms)
+        found = list(map(words, units))
+        return _frequency(found) if selector == "frequency" else _surprisal(found) if selector == "surprisal" else _bm25(found, terms)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

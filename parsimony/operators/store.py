@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from parsimony.functions.text import contains_secret, is_expired, safe_component
 
 DEFAULT_TTL = 604_800
+ENTRY = "namespace string, hash string, body string, stored_at long, ttl long, bytes long"
 
 
 def put(entries: DataFrame, payloads: DataFrame) -> DataFrame:
@@ -59,5 +60,16 @@ def stored_items(dropped: DataFrame, entries: DataFrame) -> DataFrame:
     return dropped.join(entries.select("namespace", "hash"), ["namespace", "hash"], "left_semi")
 
 
+def read_entries(spark: SparkSession, path: str) -> DataFrame:
+    """Entries of a store's folder, of equal keys the one that counts; none where there is no folder yet."""
+    empty = spark.createDataFrame([], ENTRY)
+    hpath = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    if not hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hpath):
+        return empty
+    rows = spark.read.schema(ENTRY).parquet(path)
+    last = rows.groupBy("namespace", "hash").agg(F.max_by(F.struct("body", "stored_at", "ttl", "bytes"), F.struct("stored_at", F.col("ttl").isNull().alias("n"), "ttl")).alias("e"))
+    return last.select("namespace", "hash", "e.body", "e.stored_at", "e.ttl", "e.bytes")
+
+
 def write_entries(entries: DataFrame, path: str) -> None:
     entries.write.mode("append").partitionBy("namespace").parquet(path)

@@ -7,14 +7,13 @@ rewrites must keep spelling and order to the byte. Payloads are split by format
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from parsimony.functions import json_tree as jt
-from parsimony.functions.text import SECRETS, contains_secret, detect_format, redact, redaction_count, tokens
+from parsimony.functions.text import SECRETS, detect_format, redact, redaction_count, tokens
 from parsimony.operators import lines as L
 from parsimony.operators.prune import estimate, prune
 
@@ -22,7 +21,6 @@ from .policy import Policy
 
 TRANSFORMS = "array<struct<id: string, version: string, tokens_before: bigint, tokens_after: bigint, status: string, skipped_reason: string>>"
 JSON_FORMATS = ("openai_json", "anthropic_json", "json")
-_RESULT = f"payload_id bigint, format string, original_tokens bigint, out string, compressed_tokens bigint, redacted bigint, status string, transforms {TRANSFORMS}, dropped array<struct<hash: string, body: string>>"
 
 
 def _receipt(e_id: str, version: str, before, after, status, reason=None) -> tuple:
@@ -94,16 +92,19 @@ def _has_secret(text: str) -> bool:
     return any(p.search(text) for p, _ in _PY_SECRETS)
 
 
-def compress_json(text: str, fmt: str, policy: Policy) -> tuple[str, str, list, list]:
-    """Output, status, receipts and dropped items of one redacted payload."""
+def compress_json(text: str, fmt: str, policy: Policy) -> tuple[str, str, list, list, str | None]:
+    """Output, status, receipts, dropped items of one redacted payload, and where items were dropped what it is without that.
+
+    What pruning gives with every item dropped is the best it can give; where that doesn't beat the lossless result nothing is dropped, so nothing gets stored.
+    """
     target = policy.target_tokens
     protected = jt.protected_segments(text, fmt)
     if target is not None and target < estimate("".join(protected)):
-        return text, "unreachable_target", [], []
+        return text, "unreachable_target", [], [], None
     plan = policy.plan(fmt)
     later = [e for e in plan if policy.lossy and e.id in ("json_field_fold", "json_value_dict")]
     text, rows = _run([e for e in plan if e not in later], policy, text, protected)
-    dropped: list = []
+    dropped, instead = [], None
     if policy.lossy:
         lossless, more = _run(later, policy, text, protected)
         now, bar = estimate(text), estimate(lossless)
@@ -122,32 +123,34 @@ def compress_json(text: str, fmt: str, policy: Policy) -> tuple[str, str, list,
         if status == "applied":
             rows.append(_receipt("json_prune", "1.0.0", now, estimate(got.text), status))
             rows += [_receipt(e.id, e.version, estimate(got.text), estimate(got.text), "skipped", "incompatible_with_lossy") for e in later]
-            text, dropped = got.text, list(got.dropped)
+            text, dropped, instead = got.text, list(got.dropped), lossless
         else:
             rows.append(_receipt("json_prune", "1.0.0", now, now, status, reason))
             text, rows = lossless, rows + more
-    return text, "compressed" if target is not None and estimate(text) <= target else "best_effort", rows, dropped
-
-
-def _json_rows(df: DataFrame, policy: Policy) -> DataFrame:
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            made = [compress_json(t, f, policy) for t, f in zip(b["clean"], b["format"], strict=True)]
-            yield pd.DataFrame(
-                {
-                    "payload_id": b["payload_id"],
-                    "format": b["format"],
-                    "original_tokens": b["original_tokens"],
-                    "out": [m[0] for m in made],
-                    "compressed_tokens": [estimate(m[0]) for m in made],
-                    "redacted": b["redacted"],
-                    "status": [m[1] for m in made],
-                    "transforms": [[dict(zip(("id", "version", "tokens_before", "tokens_after", "status", "skipped_reason"), r, strict=True)) for r in m[2]] for m in made],
-                    "dropped": [[{"hash": h, "body": t} for h, t in m[3]] for m in made],
-                }
-            )
-
-    return df.mapInPandas(run, _RESULT)
+    return text, "compressed" if target is not None and estimate(text) <= target else "best_effort", rows, dropped, instead
+
+
+_JSON = f"out string, status string, transforms {TRANSFORMS}, dropped array<struct<hash: string, body: string>>, lossless string"
+_RECEIPT = pa.struct([("id", pa.string()), ("version", pa.string()), ("tokens_before", pa.int64()), ("tokens_after", pa.int64()), ("status", pa.string()), ("skipped_reason", pa.string())])
+_JSON_TYPE = pa.struct([("out", pa.string()), ("status", pa.string()), ("transforms", pa.list_(_RECEIPT)), ("dropped", pa.list_(pa.struct([("hash", pa.string()), ("body", pa.string())]))), ("lossless", pa.string())])
+
+
+def _json_result(policy: Policy):
+    """An Arrow function of clean text and format; null for rows of text formats."""
+    names = [f.name for f in _RECEIPT]
+
+    @F.arrow_udf(_JSON)
+    def run(texts: pa.Array, formats: pa.Array) -> pa.Array:
+        rows = []
+        for t, f in zip(texts.to_pylist(), formats.to_pylist(), strict=True):
+            if t is None:
+                rows.append(None)
+                continue
+            out, status, receipts, dropped, lossless = compress_json(t, f, policy)
+            rows.append({"out": out, "status": status, "transforms": [dict(zip(names, r, strict=True)) for r in receipts], "dropped": [{"hash": h, "body": x} for h, x in dropped], "lossless": lossless})
+        return pa.array(rows, _JSON_TYPE)
+
+    return run
 
 
 # --- text -------------------------------------------------------------------------------------
@@ -155,51 +158,54 @@ def _json_rows(df: DataFrame, policy: Policy) -> DataFrame:
 _TEXT = {"log_field_fold": lambda t, p: L.fold_log(t), "log_compaction": lambda t, p: L.compact_log(t), "diff_compaction": lambda t, p: L.compact_diff(t, p.scope != "change_summary")}
 
 
-def _text_rows(df: DataFrame, policy: Policy, fmt: str) -> DataFrame:
+TEXT_FORMATS = ("plain_text", "command_output", "git_diff")
+
+
+def _text_result(df: DataFrame, policy: Policy) -> DataFrame:
+    """df (clean, format, met) with out, transforms and status of rows in text formats, all formats in one chain of columns; a transform that a format's plan lacks costs its rows nothing."""
     target = policy.target_tokens
+    plans = {f: policy.plan(f) for f in TEXT_FORMATS}
     heads = F.filter(F.split("clean", "\n", -1), lambda x: x.startswith("diff --git") | x.startswith("--- ") | x.startswith("+++ ") | x.startswith("@@"))
-    heads = F.transform(heads, lambda x: F.concat(x, F.lit("\n"))) if fmt == "git_diff" else F.array().cast("array<string>")
+    heads = F.when(F.col("format") == "git_diff", F.transform(heads, lambda x: F.concat(x, F.lit("\n")))).otherwise(F.array().cast("array<string>"))
     out = df.withColumn("protected", heads).withColumn("out", F.col("clean")).withColumn("transforms", F.expr(f"cast(array() as {TRANSFORMS})"))
-    out = out.withColumn("floor", tokens(F.array_join("protected", "")))
-    stuck = F.col("floor") > target if target is not None else F.lit(False)
-    for e in policy.plan(fmt):
-        out = out.withColumn("made", _TEXT[e.id](F.col("out"), policy)).withColumn("before", tokens("out")).withColumn("after", tokens("made"))
+    stuck = tokens(F.array_join("protected", "")) > target if target is not None else F.lit(False)
+    out = out.withColumn("stuck", stuck)
+    for e in dict.fromkeys(e for f in TEXT_FORMATS for e in plans[f]):
+        runs = F.col("format").isin([f for f in TEXT_FORMATS if e in plans[f]]) & ~F.col("stuck") & ~F.col("met")
+        out = out.withColumn("made", F.when(runs, _TEXT[e.id](F.col("out"), policy))).withColumn("before", tokens("out")).withColumn("after", tokens("made"))
         lost = F.exists("protected", lambda x: ~F.col("made").contains(x))
-        gate = F.when(F.lit(False) if target is None else F.col("before") <= target, F.lit("skipped:target_already_met"))
+        gate = F.when(~runs, "none").when(F.lit(False) if target is None else F.col("before") <= target, "skipped:target_already_met")
         gate = gate.when(F.col("made").isNull(), "skipped:not_applicable_to_format").when(F.col("after") > F.col("before"), "skipped:would_increase_tokens").when(F.col("after") == F.col("before"), "no_op")
         gate = gate.when(1 - F.col("after") / F.greatest("before", F.lit(1)) > policy.cap(e), "skipped:not_enabled_in_mode").when(lost, "rolled_back").otherwise("applied")
-        out = out.withColumn("gate", F.when(stuck, "none").otherwise(gate))
+        out = out.withColumn("gate", gate)
         now = F.when(F.col("gate") == "applied", F.col("after")).otherwise(F.col("before"))
         row = F.struct(F.lit(e.id).alias("id"), F.lit(e.version).alias("version"), F.col("before").alias("tokens_before"), now.alias("tokens_after"), F.substring_index("gate", ":", 1).alias("status"), F.when(F.col("gate").contains(":"), F.substring_index("gate", ":", -1)).alias("skipped_reason"))
         out = out.withColumn("transforms", F.when(F.col("gate") == "none", F.col("transforms")).otherwise(F.concat("transforms", F.array(row)))).withColumn("out", F.when(F.col("gate") == "applied", F.col("made")).otherwise(F.col("out")))
-    done = F.lit("best_effort") if target is None else F.when(stuck, "unreachable_target").when(tokens("out") <= target, "compressed").otherwise("best_effort")
-    return out.select("payload_id", "format", "original_tokens", "out", tokens("out").alias("compressed_tokens"), "redacted", done.alias("status"), "transforms", F.expr("cast(array() as array<struct<hash: string, body: string>>)").alias("dropped"))
+    done = F.lit("best_effort") if target is None else F.when(F.col("stuck"), "unreachable_target").when(tokens("out") <= target, "compressed").otherwise("best_effort")
+    return out.withColumn("status", done).drop("protected", "stuck", "made", "before", "after", "gate")
 
 
 def compress(payloads: DataFrame, policy: Policy = Policy(), fmt: Column | None = None) -> DataFrame:
     """A receipt for each of payloads (payload_id, body): format, tokens before and after, savings, status, transforms, dropped items and out.
 
-    A payload that meets the target as it is passes through unchanged, unredacted too. Null bodies count as empty.
+    The source is read once: text formats are one chain of columns, JSON rows are what the Arrow function works on (others
+    reach it as nulls). A payload that meets the target as it is passes through unchanged, unredacted too. Null bodies
+    count as empty. Where items were dropped, lossless is what the payload is without that, and quality is unvalidated.
     """
     rows = payloads.select("payload_id", F.coalesce("body", F.lit("")).alias("body"))
     rows = rows.withColumn("format", detect_format("body") if fmt is None else fmt).withColumn("original_tokens", tokens("body"))
-    none = F.expr(f"cast(array() as {TRANSFORMS})"), F.expr("cast(array() as array<struct<hash: string, body: string>>)")
-    parts, work = [], rows
-    if policy.target_tokens is not None:
-        met = F.col("original_tokens") <= policy.target_tokens
-        parts.append(rows.where(met).select("payload_id", "format", "original_tokens", F.col("body").alias("out"), F.col("original_tokens").alias("compressed_tokens"), F.lit(0).cast("bigint").alias("redacted"), F.lit("passthrough").alias("status"), none[0].alias("transforms"), none[1].alias("dropped")))
-        work = rows.where(~met)
-    work = work.withColumn("clean", redact("body")).withColumn("redacted", redaction_count("body")).drop("body")
-    parts.append(_json_rows(work.where(F.col("format").isin(*JSON_FORMATS)), policy))
-    parts += [_text_rows(work.where(F.col("format") == f), policy, f) for f in ("plain_text", "command_output", "git_diff")]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
+    rows = rows.withColumn("met", F.lit(False) if policy.target_tokens is None else F.col("original_tokens") <= policy.target_tokens)
+    rows = rows.withColumn("clean", F.when(F.col("met"), F.col("body")).otherwise(redact("body"))).withColumn("redacted", F.when(F.col("met"), F.lit(0).cast("long")).otherwise(redaction_count("body"))).drop("body")
+    is_json = F.col("format").isin(*JSON_FORMATS) & ~F.col("met")
+    work = rows.withColumn("json", _json_result(policy)(F.when(is_json, F.col("clean")), F.col("format")))
+    work = _text_result(work, policy)
+    pick = lambda c: F.when(is_json, F.col("json")[c]).otherwise(F.col(c))
+    out = work.withColumn("out", pick("out")).withColumn("transforms", pick("transforms"))
+    out = out.withColumn("status", F.when(F.col("met"), "passthrough").otherwise(pick("status"))).withColumn("compressed_tokens", tokens("out"))
+    none = F.expr("cast(array() as array<struct<hash: string, body: string>>)")
+    out = out.withColumn("dropped", F.coalesce(F.col("json.dropped"), none)).withColumn("lossless", F.col("json.lossless"))
     saved = F.greatest(F.col("original_tokens") - F.col("compressed_tokens"), F.lit(0))
     share = F.when(F.col("original_tokens") == 0, 0.0).otherwise(saved / F.col("original_tokens"))
-    return out.withColumn("saved_tokens", saved).withColumn("savings_ratio", share).withColumn("savings_pct", share * 100).withColumn("mode", F.lit(policy.mode)).withColumn("scope", F.lit(policy.scope))
-
-
-def storable(payloads: DataFrame) -> DataFrame:
-    """Payloads that a store would take."""
-    return payloads.where(~contains_secret("body"))
+    out = out.withColumn("saved_tokens", saved).withColumn("savings_ratio", share).withColumn("savings_pct", share * 100).withColumn("mode", F.lit(policy.mode)).withColumn("scope", F.lit(policy.scope))
+    quality = F.when(F.exists("transforms", lambda t: (t["id"] == "json_prune") & (t["status"] == "applied")), "unvalidated")
+    return out.withColumn("quality", quality).select("payload_id", "format", "original_tokens", "out", "compressed_tokens", "redacted", "status", "transforms", "dropped", "lossless", "quality", "saved_tokens", "savings_ratio", "savings_pct", "mode", "scope")

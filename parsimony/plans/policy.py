@@ -50,12 +50,17 @@ class Policy:
     namespace: str = "default"
     backend: str = "filesystem"
     ttl_seconds: int | None = None
+    alg: str = "sha256"
+    store_originals: bool = False
+    preview: bool = False
 
     def __post_init__(self) -> None:
         if self.mode not in MODES:
             raise ValueError(f"unknown mode {self.mode}")
         if "secret_redaction" in self.disabled:
             raise ValueError("secret redaction can't be disabled")
+        if self.alg != "sha256":
+            raise ValueError(f"unknown hash {self.alg}; the store knows sha256 alone")
         if not 0 <= self.lossy_ratio <= 1:
             raise ValueError("lossy_ratio lies between 0 and 1")
         if self.lossy is not None:

@@ -7,11 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from parsimony.functions import json_tree as jt
 from parsimony.functions import text as X
 from parsimony.operators import fidelity, ledger, lines, ranking, select, store
+from parsimony.operators import json_columns as J
 from parsimony.operators.binary import line_diffs
-from parsimony.operators.prune import prune, revert
 from parsimony.plans.compress import compress
 from parsimony.plans.policy import Policy, pipeline_for
 from parsimony.streaming import ledger as stream
@@ -278,17 +277,9 @@ def _(s, d):
 # --- JSON --------------------------------------------------------------------------------------
 
 
-def _kernel(f, kind: str = "string"):
-    @F.pandas_udf(kind)
-    def run(xs):
-        return xs.map(f)
-
-    return run
-
-
 @query("json_minify", "SELECT event_id, regexp_replace(props, '\\s+', '', 'g') AS out FROM events")
 def _(s, d):
-    return table(s, d, "events").select("event_id", _kernel(jt.minify)("props").alias("out"))
+    return table(s, d, "events").select("event_id", J.minify("props").alias("out"))
 
 
 _ARRAYS_SQL = """(SELECT user_id AS payload_id, '[' || string_agg('{"id": ' || event_id || ', "t": "' || event_type || '"}', ', ' ORDER BY event_id) || ']' AS body, '{"__tf_cols__":["id","t"],"__tf_rows__":[' || string_agg('[' || event_id || ',"' || event_type || '"]', ',' ORDER BY event_id) || ']}' AS folded, '[' || string_agg('{"id":' || event_id || ',"t":"' || event_type || '"}', ',' ORDER BY event_id) || ']' AS flat, count(*) AS n FROM events GROUP BY user_id)"""
@@ -302,13 +293,12 @@ def _arrays(s, d):
 
 @query("json_field_fold", f"SELECT payload_id, sha256(CASE WHEN n >= 2 THEN folded ELSE flat END) AS out_sha256 FROM {_ARRAYS_SQL}")
 def _(s, d):
-    return _arrays(s, d).select("payload_id", F.sha2(_kernel(lambda t: jt.dumps(jt.fold(jt.loads(t))))("body"), 256).alias("out_sha256"))
+    return _arrays(s, d).select("payload_id", F.sha2(J.field_fold("body"), 256).alias("out_sha256"))
 
 
 @query("json_unfold", f"SELECT payload_id, sha256(flat) AS out_sha256 FROM {_ARRAYS_SQL}")
 def _(s, d):
-    there_and_back = _kernel(lambda t: jt.dumps(jt.unfold(jt.fold(jt.loads(t)))))
-    return _arrays(s, d).select("payload_id", F.sha2(there_and_back("body"), 256).alias("out_sha256"))
+    return _arrays(s, d).select("payload_id", F.sha2(J.field_unfold(J.field_fold("body")), 256).alias("out_sha256"))
 
 
 _TWICE_SQL = """(SELECT doc_id, h, '{"a":"' || h || '","b":["' || h || '",' || doc_id || ']}' AS body FROM (SELECT doc_id, sha256(CAST(doc_id AS VARCHAR)) AS h FROM documents))"""
@@ -319,25 +309,20 @@ def _twice(s, d):
     return table(s, d, "documents").select("doc_id", F.concat(F.lit('{"a":"'), h, F.lit('","b":["'), h, F.lit('",'), "doc_id", F.lit("]}")).alias("body"))
 
 
-def _dict(t: str) -> str:
-    v = jt.value_dictionary(jt.loads(t))
-    return t if v is None else jt.dumps(v)
-
-
 @query("json_value_dict", f"""SELECT doc_id, '{{"__tf_dict__":["' || h || '"],"__tf_data__":{{"a":{{"__tf_ref__":0}},"b":[{{"__tf_ref__":0}},' || doc_id || ']}}}}' AS out FROM {_TWICE_SQL}""")
 def _(s, d):
-    return _twice(s, d).select("doc_id", _kernel(_dict)("body").alias("out"))
+    return _twice(s, d).select("doc_id", J.value_dict("body").alias("out"))
 
 
 @query("json_undict", f"SELECT doc_id, body AS out FROM {_TWICE_SQL}")
 def _(s, d):
-    return _twice(s, d).select("doc_id", _kernel(lambda t: jt.dumps(jt.undictionary(jt.loads(_dict(t)))))("body").alias("out"))
+    return _twice(s, d).select("doc_id", J.value_undict(J.value_dict("body")).alias("out"))
 
 
 @query("schema_compaction", """SELECT event_id, '{"name":"' || event_type || '","examples":[' || event_id || '],"p":{"examples":["x"]}}' AS out FROM events""")
 def _(s, d):
     body = F.concat(F.lit('{"name":"'), "event_type", F.lit('", "examples": ['), "event_id", F.lit(', 2, 3], "p": {"examples": ["x", "y"]}}'))
-    return table(s, d, "events").select("event_id", _kernel(lambda t: jt.dumps(jt.shorten_examples(jt.loads(t))))(body).alias("out"))
+    return table(s, d, "events").select("event_id", J.schema_compact(body).alias("out"))
 
 
 # --- selection ---------------------------------------------------------------------------------
@@ -368,24 +353,14 @@ def _prunable(s, d):
 
 @query("json_prune")
 def _(s, d):
-    @F.pandas_udf("out string, total int, dropped int, reverts boolean")
-    def run(xs):
-        import pandas as pd
-
-        rows = []
-        for t in xs:
-            p = prune(t, 0.3)
-            rows.append((p.text if p else t, p.total if p else 0, len(p.dropped) if p else 0, p is None or jt.equal(jt.loads(revert(p.text, dict(p.dropped))), jt.loads(t))))
-        return pd.DataFrame(rows, columns=["out", "total", "dropped", "reverts"])
-
-    return _prunable(s, d).withColumn("r", run("body")).select("payload_id", F.sha2("r.out", 256).alias("out_sha256"), "r.total", "r.dropped", "r.reverts")
+    rows = _prunable(s, d).withColumn("r", J.prune("body", 0.3))
+    back = J.revert("r.out", "r.dropped") == J.minify("body")
+    return rows.select("payload_id", F.sha2("r.out", 256).alias("out_sha256"), "r.total", F.size("r.dropped").alias("dropped"), back.alias("reverts"))
 
 
 @query("marker_hash", f"""SELECT doc_id, '{{"$tf_ref":{{"hash":"' || sha256(body) || '","alg":"sha256","namespace":"default"}}}}' AS marker FROM {_TWICE_SQL}""")
 def _(s, d):
-    from parsimony.operators.prune import marker
-
-    return _twice(s, d).select("doc_id", _kernel(lambda t: jt.dumps(marker(t, "default")))("body").alias("marker"))
+    return _twice(s, d).select("doc_id", J.marker("body").alias("marker"))
 
 
 # --- plans and pipeline ------------------------------------------------------------------------

@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parsimony.operators.ledger import RECORD
+from parsimony.operators.ledger import RECORD, records_of_reports
 
 
 def read_payloads(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
     """path, body of each file; `*` and `?` in the pattern match names in one folder."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(path)
-    return files.select("path", F.decode("content", F.lit("UTF-8")).alias("body"), "content")
+    return files.select("path", F.decode("content", "UTF-8").alias("body"), "content")
 
 
 def read_ledger(spark: SparkSession, path: str) -> DataFrame:
@@ -26,9 +26,9 @@ def append_ledger(records: DataFrame, path: str) -> None:
     records.write.mode("append").json(path)
 
 
-def read_reports(spark: SparkSession, folder: str, pattern: str, schema: str) -> DataFrame:
-    """Reports (one JSON document a file) whose names match, with their file."""
-    return spark.read.schema(schema).option("multiLine", True).option("pathGlobFilter", pattern).json(folder).withColumn("file", F.input_file_name())
+def read_reports(spark: SparkSession, folder: str, pattern: str = "*.json") -> DataFrame:
+    """Ledger records, with markers, of the report files whose names match."""
+    return records_of_reports(spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(folder))
 
 
 def write_payloads(df: DataFrame, path: str, column: str = "out") -> None:
