@@ -40,7 +40,7 @@ _PARAMETERS = 1 << 14
 
 class _Hashes(dict):
     def __missing__(self, w: bytes) -> int:
-        if len(self) > 150_000:
+        if len(self) > 100_000:
             self.clear()
         h = self[w] = xxhash.xxh64_intdigest(w)
         return h

@@ -20,4 +20,5 @@ QUERIES = {
 ORACLES: dict[str, str] = {
     "op3_warc": warc.ORACLE,
     "op4_decontamination": decontaminate.ORACLE,
+    "op8_suffix_dedup": suffix_dedup.ORACLE,
 }

@@ -505,5 +505,20 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     return removed(cut, own, found)
 
 
+#: Windows as 200 hexadecimal digits, cut from chunks of 1000 bytes so that no window is sought from a long text's beginning.
+ORACLE = """
+WITH t AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents
+), c AS (SELECT doc_id, k * 1000 AS base, substr(x, CAST(k * 2000 + 1 AS BIGINT), 2198) AS x FROM (SELECT doc_id, x, unnest(range(0, CAST(length(x) // 2000 + 1 AS BIGINT))) AS k FROM t)
+), w AS (SELECT doc_id, base + i AS pos, md5(substr(x, CAST(2 * i + 1 AS BIGINT), 200)) AS h FROM (SELECT doc_id, base, x, unnest(range(0, least(1000, length(x) // 2 - 99))) AS i FROM c WHERE length(x) >= 200)
+), firsts AS (SELECT h, min({'d': doc_id, 'p': pos}) AS f FROM w GROUP BY h HAVING count(*) > 1
+), gone AS (SELECT doc_id, pos, CASE WHEN pos > (lag(pos) OVER o) + 100 THEN 1 ELSE 0 END AS new FROM w JOIN firsts USING (h) WHERE f.d <> doc_id OR f.p <> pos WINDOW o AS (PARTITION BY doc_id ORDER BY pos)
+), runs AS (SELECT doc_id, n, min(pos) AS a, max(pos) + 100 AS z FROM (SELECT *, sum(new) OVER (PARTITION BY doc_id ORDER BY pos) AS n FROM gone) GROUP BY doc_id, n
+), held AS (SELECT doc_id, count(*) AS n_spans, CAST(sum(z - a) AS BIGINT) AS n_removed, list({'a': a, 'z': z} ORDER BY a) AS r FROM runs GROUP BY doc_id)
+SELECT t.doc_id, CAST(length(x) // 2 AS BIGINT) AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+  sha256(unhex(CASE WHEN r IS NULL THEN x ELSE array_to_string(list_transform(r, lambda q, i: substr(x, CAST(2 * CASE WHEN i = 1 THEN 0 ELSE r[i - 1].z END + 1 AS BIGINT), CAST(2 * (q.a - CASE WHEN i = 1 THEN 0 ELSE r[i - 1].z END) AS BIGINT))), '') || substr(x, CAST(2 * r[-1].z + 1 AS BIGINT)) END)) AS kept_sha256
+FROM t LEFT JOIN held USING (doc_id)
+"""
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet"))

@@ -24,7 +24,7 @@ from .common import blocks, bound_batches, column, id_and_text
 MODEL = "piece_bpe_32k.model"
 SPACE = "▁"
 #: Merged pre-tokens kept in a worker; beyond it the cache starts anew, counts stay the same.
-CACHE = 1_000_000
+CACHE = 250_000
 _RUNS = re.compile(" +[^ ]*")
 
 
@@ -52,6 +52,10 @@ class PieceCounter:
             self.splits = False
         self.known = dict(self.proven)
 
+    def forget(self) -> None:
+        """Back to what is proven; the worker goes on to other tasks, also of other operators."""
+        self.known = dict(self.proven)
+
     def pretokens(self, text: str) -> list[str]:
         """Each without its first space, which the library's dummy prefix gives back."""
         text = text.replace(SPACE, " ")
@@ -97,6 +101,7 @@ def with_token_counts(docs: DataFrame, text: str = "text", out: str = "n_tokens"
         for b in blocks(batches, text=text):
             n = pa.array(counts([t or "" for t in column(b, text).to_pylist()]), pa.int64())
             yield pa.RecordBatch.from_arrays([*(column(b, c) for c in names), n], names=[*names, out])
+        counter(path).forget()
 
     return docs.select(*names).mapInArrow(run, schema)
 
