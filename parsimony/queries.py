@@ -11,6 +11,7 @@ from parsimony.functions import text as X
 from parsimony.operators import fidelity, ledger, lines, ranking, select, store
 from parsimony.operators import json_columns as J
 from parsimony.operators.binary import line_diffs
+from parsimony.plans import recover
 from parsimony.plans.compress import compress
 from parsimony.plans.policy import Policy, pipeline_for
 from parsimony.streaming import ledger as stream
@@ -149,12 +150,12 @@ def _(s, d):
     return secrets(s, d).select("doc_id", "body").unionByName(plain).select("doc_id", X.contains_secret("body").alias("found"))
 
 
-_FORMATS_SQL = r"""(SELECT conv_id * 1000 + turn AS id, CASE (conv_id + turn) % 7 WHEN 0 THEN '{"messages":[{"role":"user","content":"x"}]}' WHEN 1 THEN '{"system":"s","messages":[{"role":"user"}]}' WHEN 2 THEN '[1,2]' WHEN 3 THEN '42' WHEN 4 THEN 'diff --git a b' WHEN 5 THEN '{"messages":[]}' ELSE text || E'\n+++ b' END AS body FROM conversations)"""
+_FORMATS_SQL = r"""(SELECT conv_id * 1000 + turn AS id, CASE (conv_id + turn) % 8 WHEN 7 THEN '{"a":1,"a":' || turn || '}' WHEN 0 THEN '{"messages":[{"role":"user","content":"x"}]}' WHEN 1 THEN '{"system":"s","messages":[{"role":"user"}]}' WHEN 2 THEN '[1,2]' WHEN 3 THEN '42' WHEN 4 THEN 'diff --git a b' WHEN 5 THEN '{"messages":[]}' ELSE text || E'\n+++ b' END AS body FROM conversations)"""
 
 
 def _formats(s, d):
-    k = (F.col("conv_id") + F.col("turn")) % 7
-    body = F.when(k == 0, '{"messages":[{"role":"user","content":"x"}]}').when(k == 1, '{"system":"s","messages":[{"role":"user"}]}').when(k == 2, "[1,2]").when(k == 3, "42").when(k == 4, "diff --git a b").when(k == 5, '{"messages":[]}').otherwise(F.concat("text", F.lit("\n+++ b")))
+    k = (F.col("conv_id") + F.col("turn")) % 8
+    body = F.when(k == 7, F.concat(F.lit('{"a":1,"a":'), "turn", F.lit("}"))).when(k == 0, '{"messages":[{"role":"user","content":"x"}]}').when(k == 1, '{"system":"s","messages":[{"role":"user"}]}').when(k == 2, "[1,2]").when(k == 3, "42").when(k == 4, "diff --git a b").when(k == 5, '{"messages":[]}').otherwise(F.concat("text", F.lit("\n+++ b")))
     return table(s, d, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), body.alias("body"))
 
 
@@ -277,9 +278,10 @@ def _(s, d):
 # --- JSON --------------------------------------------------------------------------------------
 
 
-@query("json_minify", "SELECT event_id, regexp_replace(props, '\\s+', '', 'g') AS out FROM events")
+@query("json_minify", """SELECT event_id, '{"k":"a  b \\t \\" c","p":' || regexp_replace(props, '\\s+', '', 'g') || '}' AS out FROM events""")
 def _(s, d):
-    return table(s, d, "events").select("event_id", J.minify("props").alias("out"))
+    body = F.concat(F.lit(' { "k" : "a  b \\t \\" c" ,\n "p" :'), "props", F.lit("}\n"))
+    return table(s, d, "events").select("event_id", J.minify(body).alias("out"))
 
 
 _ARRAYS_SQL = """(SELECT user_id AS payload_id, '[' || string_agg('{"id": ' || event_id || ', "t": "' || event_type || '"}', ', ' ORDER BY event_id) || ']' AS body, '{"__tf_cols__":["id","t"],"__tf_rows__":[' || string_agg('[' || event_id || ',"' || event_type || '"]', ',' ORDER BY event_id) || ']}' AS folded, '[' || string_agg('{"id":' || event_id || ',"t":"' || event_type || '"}', ',' ORDER BY event_id) || ']' AS flat, count(*) AS n FROM events GROUP BY user_id)"""
@@ -397,10 +399,14 @@ def savings_by_lang(s, d):
     return g.groupBy("lang").agg(F.count("*").alias("payloads"), F.sum("before").alias("original_tokens"), F.sum("after").alias("compressed_tokens"), F.round(100.0 * F.sum(F.col("before") - F.col("after")) / F.sum("before"), 6).alias("savings_pct"))
 
 
-@query("compress_json")
+@query("compress_json", f"""WITH t AS (SELECT payload_id, n, body, flat, folded, CAST(ceil(strlen(body) / 4.0) AS BIGINT) AS t0, CAST(ceil(strlen(flat) / 4.0) AS BIGINT) AS t1, CAST(ceil(strlen(folded) / 4.0) AS BIGINT) AS t2 FROM {_ARRAYS_SQL}),
+  g AS (SELECT *, CASE WHEN t1 < t0 THEN 'applied' ELSE 'no_op' END AS g1, CASE WHEN n < 2 OR t2 = t1 THEN 'no_op' WHEN t2 < t1 THEN 'applied' ELSE 'skipped:would_increase_tokens' END AS g2 FROM t),
+  o AS (SELECT *, CASE WHEN g2 = 'applied' THEN folded WHEN g1 = 'applied' THEN flat ELSE body END AS o FROM g)
+  SELECT payload_id, 'json' AS format, t0 AS original_tokens, CAST(ceil(strlen(o) / 4.0) AS BIGINT) AS compressed_tokens, t0 - CAST(ceil(strlen(o) / 4.0) AS BIGINT) AS saved_tokens, round((t0 - ceil(strlen(o) / 4.0)) / t0, 9) AS savings_ratio, 'best_effort' AS status, 'json_minify:' || g1 || ',json_field_fold:' || g2 || ',json_value_dict:no_op' AS steps, sha256(o) AS out_sha256 FROM o""")
 def _(s, d):
     out = compress(_arrays(s, d).select("payload_id", "body"))
-    return out.select("payload_id", "format", "original_tokens", "compressed_tokens", "saved_tokens", "savings_ratio", "status", F.transform("transforms", lambda t: F.concat_ws(":", t["id"], t["status"], t["skipped_reason"])).alias("steps"), F.sha2("out", 256).alias("out_sha256"))
+    steps = F.array_join(F.transform("transforms", lambda t: F.concat_ws(":", t["id"], t["status"], t["skipped_reason"])), ",")
+    return out.select("payload_id", "format", "original_tokens", "compressed_tokens", "saved_tokens", F.round("savings_ratio", 9).alias("savings_ratio"), "status", steps.alias("steps"), F.sha2("out", 256).alias("out_sha256"))
 
 
 @query("compress_lossy")
@@ -409,6 +415,18 @@ def _(s, d):
     return out.select("payload_id", "original_tokens", "compressed_tokens", F.size("dropped").alias("n_dropped"), "status", F.transform("transforms", lambda t: F.concat_ws(":", t["id"], t["status"], t["skipped_reason"])).alias("steps"))
 
 
+@query("lossy_restore", """SELECT user_id AS payload_id, sha256('{"rows":[' || string_agg('{"event_id":' || event_id || ',"v":' || CAST(floor(value) AS BIGINT) || ',"note":"' || repeat(event_type, 60) || '"}', ',' ORDER BY event_id) || ']}') AS body_sha256, true AS whole FROM events GROUP BY user_id""")
+def _(s, d):
+    """Pruned payloads, their items in the store, and back again by their markers."""
+    item = F.to_json(F.struct("event_id", F.floor("value").cast("long").alias("v"), F.repeat(F.col("event_type"), 60).alias("note")))
+    rows = table(s, d, "events").groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("event_id", item.alias("x")))).alias("a"))
+    rows = rows.select(F.col("user_id").alias("payload_id"), F.concat(F.lit('{"rows":['), F.array_join(F.transform("a", lambda x: x["x"]), ","), F.lit("]}")).alias("body"))
+    policy = Policy(lossy="json_prune", lossy_ratio=0.2, disabled=("json_field_fold", "json_value_dict"))
+    after, settled = recover.persist(compress(rows, policy), s.createDataFrame([], store.ENTRY), policy, NOW)
+    back = recover.restore(settled.select("payload_id", "out"), after, NOW)
+    return back.select("payload_id", F.sha2("body", 256).alias("body_sha256"), (F.col("n_markers") == F.col("n_found")).alias("whole"))
+
+
 @query("compress_conversations")
 def _(s, d):
     turns = table(s, d, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", F.col("text").alias("content")))).alias("a"))
@@ -638,7 +656,18 @@ def _(s, d):
     return g.select("transform", "scope", "bucket", *(F.round(c, 6).alias(c) for c in ("quality", "failure", "survival")), "n", "passed")
 
 
-@query("line_diff")
+_LINE_DIFF = f"""WITH RECURSIVE turns AS (SELECT conv_id, turn, coalesce(text, '') AS t, lead(coalesce(text, '')) OVER w AS nxt, row_number() OVER w AS rn FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn, text)),
+  pairs AS (SELECT row_number() OVER () AS id, conv_id, turn, {split_sql('t')} AS a, {split_sql("coalesce(nxt, '')")} AS b FROM turns WHERE nxt IS NOT NULL OR rn = 1),
+  dp AS (SELECT id, a, b, CAST(len(a) AS BIGINT) AS i, [list_transform(range(len(b) + 1), lambda x: 0::BIGINT)] AS rows FROM pairs
+    UNION ALL SELECT id, a, b, i - 1, list_append(rows, list_append(list_transform(range(1, len(b) + 1), lambda j: list_max(list_transform(range(j, len(b) + 1), lambda k: CASE WHEN a[i] = b[k] THEN rows[-1][k + 1] + 1 ELSE rows[-1][k] END))), 0::BIGINT)) FROM dp WHERE i > 0),
+  best AS (SELECT id, a, b, rows, len(a) AS n, len(b) AS m FROM dp WHERE i = 0),
+  path AS (SELECT id, 0::BIGINT AS i, 0::BIGINT AS j, -1::BIGINT AS pos, NULL::VARCHAR AS tag, NULL::VARCHAR AS line FROM best
+    UNION ALL SELECT id, CASE WHEN tag = 'insert' THEN i ELSE i + 1 END, CASE WHEN tag = 'delete' THEN j ELSE j + 1 END, pos + 1, tag, CASE WHEN tag = 'insert' THEN b[j + 1] ELSE a[i + 1] END
+      FROM (SELECT p.id, i, j, pos, a, b, CASE WHEN i < n AND j < m AND a[i + 1] = b[j + 1] THEN 'equal' WHEN i < n AND (j = m OR rows[n - i][j + 1] >= rows[n - i + 1][j + 2]) THEN 'delete' ELSE 'insert' END AS tag FROM path p JOIN best USING (id) WHERE i < n OR j < m))
+  SELECT conv_id, CAST(turn AS BIGINT) AS turn, CAST(pos AS INTEGER) AS pos, tag, line FROM path JOIN pairs USING (id) WHERE tag IS NOT NULL"""
+
+
+@query("line_diff", _LINE_DIFF)
 def _(s, d):
     return turn_diffs(table(s, d, "conversations"))
 
