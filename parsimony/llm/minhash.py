@@ -26,6 +26,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -85,20 +86,20 @@ def idf_table(docs: DataFrame) -> np.ndarray:
     width = DIMENSIONS // SLICES
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts, n = np.zeros(DIMENSIONS, np.uint32), 0
+        counts, n, z = np.zeros(DIMENSIONS, np.uint32), 0, zstandard.ZstdCompressor(level=1)
         for b in blocks(batches, 1 << 20):
             _, h, _ = shingles(column(b, "text"))
             dims, k = np.unique(dimension(h), return_counts=True)
             counts[dims] += k.astype(np.uint32)
             n += b.num_rows
         if n:
-            yield pa.RecordBatch.from_arrays([pa.array(range(SLICES), pa.int32()), pa.array([n] * SLICES, pa.int64()), pa.array([counts[i * width : (i + 1) * width].tobytes() for i in range(SLICES)], pa.binary())], names=["slice", "n", "counts"])
+            yield pa.RecordBatch.from_arrays([pa.array(range(SLICES), pa.int32()), pa.array([n] * SLICES, pa.int64()), pa.array([z.compress(counts[i * width : (i + 1) * width].tobytes()) for i in range(SLICES)], pa.binary())], names=["slice", "n", "counts"])
 
     def added(key: tuple[pa.Scalar, ...], group: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:  # a slice's counts, one table a time
-        total, n = np.zeros(width, np.uint64), 0
+        total, n, z = np.zeros(width, np.uint64), 0, zstandard.ZstdDecompressor()
         for b in group:
-            for c, k in zip(column(b, "counts").to_pylist(), column(b, "n").to_pylist(), strict=True):
-                total += np.frombuffer(c, np.uint32)
+            for c, k in zip(column(b, "counts"), column(b, "n").to_pylist(), strict=True):
+                total += np.frombuffer(z.decompress(c.as_buffer(), max_output_size=4 * width), np.uint32)
                 n += k
         yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([n], pa.int64()), pa.array([total.tobytes()], pa.binary())], names=["slice", "n", "counts"])
 
@@ -192,7 +193,7 @@ def signatures(docs: DataFrame, idf: np.ndarray) -> DataFrame:
 
 
 def vectors(docs: DataFrame, keys: DataFrame) -> DataFrame:
-    """key and the shingles (hash, count) of each text whose key is asked for, once."""
+    """key, the shingles (hash, count) and the number m of all of each text whose key is asked for, once."""
     rows = docs.select(F.coalesce("text", F.lit("")).alias("text")).withColumn("key", F.md5("text")).join(keys, "key", "left_semi")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -201,9 +202,10 @@ def vectors(docs: DataFrame, keys: DataFrame) -> DataFrame:
             at = np.searchsorted(doc, np.arange(b.num_rows + 1))
             hs = [h[at[i] : at[i + 1]].tobytes() for i in range(b.num_rows)]
             ns = [n[at[i] : at[i + 1]].astype(np.uint16 if not len(n) or n.max() < 65536 else np.uint32).astype(np.uint32).tobytes() for i in range(b.num_rows)]
-            yield pa.RecordBatch.from_arrays([column(b, "key"), pa.array(hs, pa.binary()), pa.array(ns, pa.binary())], names=["key", "h", "n"])
+            ms = np.diff(np.concatenate([[0], np.cumsum(n)])[at])
+            yield pa.RecordBatch.from_arrays([column(b, "key"), pa.array(hs, pa.binary()), pa.array(ns, pa.binary()), pa.array(ms, pa.int64())], names=["key", "h", "n", "m"])
 
-    return rows.mapInArrow(run, "key string, h binary, n binary").groupBy("key").agg(F.first("h").alias("h"), F.first("n").alias("n"))
+    return rows.mapInArrow(run, "key string, h binary, n binary, m long").groupBy("key").agg(F.first("h").alias("h"), F.first("n").alias("n"), F.first("m").alias("m"))
 
 
 def similarity(h1: np.ndarray, n1: np.ndarray, h2: np.ndarray, n2: np.ndarray, table: np.ndarray) -> float:
@@ -285,20 +287,20 @@ def linked(members: list[tuple[np.ndarray, np.ndarray]], table: np.ndarray, leas
     return out
 
 
-#: Members of a group that one task compares with as many others.
-TILE = 400
+#: Members of a group, and shingles in all of them, that one task compares with as many others.
+TILE, TILE_SHINGLES = 400, 400_000
 
 
 def links_between(rest: DataFrame, vecs: DataFrame, idf: np.ndarray) -> DataFrame:
-    """Links (a, b) among members (band, hash, key, size) of the same groups, in tiles of at most about 2 * TILE members.
+    """Links (a, b) among members (band, hash, key, size, shingles) of the same groups, in tiles of at most about 2 * TILE members and 2 * TILE_SHINGLES shingles.
 
     A tile gives a spanning set of its links, so no pairs are written out; a group of any size is spread over its tiles.
     """
     shared = rest.sparkSession.sparkContext.broadcast(idf)
-    parts = F.ceil(F.col("size") / TILE).cast("int")
+    parts = F.greatest(F.ceil(F.col("size") / TILE), F.ceil(F.col("shingles") / TILE_SHINGLES)).cast("int")
     dealt = rest.withColumn("parts", parts).withColumn("part", F.pmod(F.xxhash64("key"), F.col("parts")).cast("int"))
     dealt = dealt.select("band", "hash", "key", "part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
-    dealt = dealt.select("band", "hash", F.least("part", "other").alias("lo"), F.greatest("part", "other").alias("hi"), "key").join(vecs, "key")
+    dealt = dealt.select("band", "hash", F.least("part", "other").alias("lo"), F.greatest("part", "other").alias("hi"), "key").join(vecs.select("key", "h", "n"), "key")
 
     def run(group_key: tuple[pa.Scalar, ...], group: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, members = [], []
@@ -346,7 +348,8 @@ def text_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     # groups whose members are still in different components are compared whole, tile by tile
     member = stored(met.join(comps, "key", "left").select("band", "hash", "key", F.coalesce("comp", "key").alias("comp")), "members")
     split = member.groupBy("band", "hash").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.count("*").alias("size")).where("c0 <> c1 AND size > 2").select("band", "hash", "size")
-    rest = member.select("band", "hash", "key").join(split, ["band", "hash"])
+    rest = stored(member.select("band", "hash", "key").join(split, ["band", "hash"]).join(vecs.select("key", "m"), "key"), "rest")
+    rest = rest.join(rest.groupBy("band", "hash").agg(F.sum("m").alias("shingles")), ["band", "hash"])
     more = stored(links_between(rest, vecs, idf).distinct(), "links")
     if not more.isEmpty():
         comps = components(links.union(more))

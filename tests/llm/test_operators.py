@@ -195,6 +195,25 @@ def test_near_duplicates_of_a_common_text(spark):
     assert {cls[i] for i in shingled} == {0} and all(cls[i] == i for i in range(200, 600))
 
 
+def test_near_duplicates_among_long_texts(spark, monkeypatch):
+    """Groups are compared whole in tiles that are bounded by shingles, too."""
+    monkeypatch.setattr(minhash, "TILE_SHINGLES", 5000)
+    rng = random.Random(21)
+    rows = []
+    for g in range(3):
+        base = [f"g{g}w{k}" for k in range(1500)]
+        for i in range(12):
+            w = list(base)
+            for _ in range(16):  # some pairs are alike, some are just below
+                w[rng.randrange(1500)] = f"x{rng.randrange(10**6)}"
+            rows.append((100 * g + i, " ".join(w)))
+    sh = {i: {tuple(w[k : k + 5]) for k in range(len(w) - 4)} for i, w in ((i, t.split()) for i, t in rows)}
+    cls = {r.doc_id: r.class_id for r in minhash.near_duplicates(frame(spark, rows)).collect()}
+    alike = [(i, j) for i in sh for j in sh if i < j and len(sh[i] & sh[j]) / len(sh[i] | sh[j]) >= 0.8]
+    assert alike and all(cls[i] == cls[j] for i, j in alike)
+    assert all(cls[i] // 100 == i // 100 for i in cls)
+
+
 def test_samples_under_counts():
     rng = np.random.default_rng(1)
     h = np.sort(rng.integers(0, 2**63, 3000).astype(np.uint64))
