@@ -22,7 +22,7 @@ from __future__ import annotations
 
 import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -44,7 +44,6 @@ FLOOR = 0.02
 #: A term that more than this share of the examples holds is frequent.
 FREQUENT = 1 / 24
 _HEADS = (4, 5)
-_CACHE = 40_000
 
 
 def held_out(doc_id: str = "doc_id", of: int = 5, rest: int = 0):
@@ -58,7 +57,6 @@ class Terms:
         self.words = {w: k for k, w in enumerate(words)}
         self.heads = {h: len(words) + k for k, h in enumerate(heads)}
         self.size = len(words) + len(heads)
-        self.known: dict[bytes, tuple[int, ...]] = {}
 
     def __getstate__(self) -> tuple[bytes, list[bytes]]:
         return zlib.compress(b" ".join(self.words), 6), list(self.heads)
@@ -66,30 +64,38 @@ class Terms:
     def __setstate__(self, state: tuple[bytes, list[bytes]]) -> None:
         self.__init__(zlib.decompress(state[0]).split(), state[1])
 
-    def of(self, word: bytes) -> tuple[int, ...]:
-        """Terms that a word stands for; cached."""
-        got = self.known.get(word)
-        if got is None:
-            at = self.words.get(word)
-            got = () if at is None else (at,)
-            got += tuple(self.heads[word[:h]] for h in _HEADS if len(word) > h and word[:h] in self.heads)
-            if len(self.known) >= _CACHE:
-                self.known.clear()
-            self.known[word] = got
-        return got
+    def of(self, word: bytes) -> list[int]:
+        """Terms that a word stands for."""
+        at = [self.words[word]] if word in self.words else []
+        return at + [self.heads[word[:h]] for h in _HEADS if len(word) > h and word[:h] in self.heads]
+
+    def begun(self, words: Iterable[bytes]) -> list[tuple[bytes, int]]:
+        """The words that begin as a term does, with that term; most texts have none, which is seen from all beginnings at once."""
+        out = []
+        for h in _HEADS:
+            there = self.heads.keys() & {w[:h] for w in words}
+            if there:
+                out += [(w, self.heads[w[:h]]) for w in words if len(w) > h and w[:h] in there]
+        return out
 
     def counts(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """The terms of a text, ascending, and how often each stands in it."""
+        """The terms of a text and how often each stands in it."""
         c = Counter(words)
-        got = list(map(self.of, c))
-        at = np.fromiter((t for g in got for t in g), np.int64)
-        if not len(at):
-            return at, at
-        n = np.repeat(np.fromiter(c.values(), np.int64, len(c)), np.fromiter(map(len, got), np.int64, len(got)))
-        order = np.argsort(at, kind="stable")
-        at, n = at[order], n[order]
-        first = np.flatnonzero(np.append(True, at[1:] != at[:-1]))
-        return at[first], np.add.reduceat(n, first)
+        get = self.words.get
+        at, n = np.array([get(w, -1) for w in c], np.int64), np.fromiter(c.values(), np.int64, len(c))
+        at, n = at[at >= 0], n[at >= 0]
+        if more := self.begun(c):
+            sums: Counter = Counter()
+            for w, t in more:
+                sums[t] += c[w]
+            at, n = np.append(at, list(sums)), np.append(n, list(sums.values()))
+        return at, n
+
+    def present(self, words: list[bytes]) -> list[int]:
+        """The terms of a text, once each."""
+        distinct = set(words)
+        get = self.words.get
+        return [t for w in distinct if (t := get(w)) is not None] + list({t for _, t in self.begun(distinct)})
 
 
 def _texts(b: pa.RecordBatch) -> Iterator[list[bytes]]:
@@ -163,7 +169,7 @@ def document_counts(docs: DataFrame, terms: Terms) -> tuple[int, np.ndarray]:
         df, n, own = np.zeros(shared.value.size, np.uint32), 0, shared.value
         for b in blocks(batches):
             n += b.num_rows
-            found = [t for words in _texts(b) for t in {t for w in set(words) for t in own.of(w)}]
+            found = [t for words in _texts(b) for t in own.present(words)]
             df += np.bincount(np.array(found, np.int64), minlength=own.size).astype(np.uint32)
         if n:
             yield pa.RecordBatch.from_arrays([pa.array([np.random.default_rng(n).integers(64)], pa.int32()), pa.array([n], pa.int64()), pa.array([zlib.compress(df.tobytes(), 1)], pa.binary())], names=["part", "n", "df"])
@@ -246,7 +252,7 @@ class Model:
         del often
         rare = np.flatnonzero(self.frequent[term] < 0).astype(np.int32)
         rare = rare[np.argsort(term[rare], kind="stable")]
-        self.holders, self.held = who[rare], w[rare].astype(np.float32)
+        self.holders, self.held = who[rare].astype(np.int64), w[rare].astype(np.float32)
         self.begins = np.searchsorted(term[rare], np.arange(self.terms.size + 1)).astype(np.int64)
         self.built = True
 
