@@ -223,12 +223,11 @@ def key_order_kept(before: str, after: str) -> bool:
         return False
 
 
-def _texts(content: Any) -> list[str]:
-    if isinstance(content, str):
-        return [content]
-    if isinstance(content, list):
-        return [p["text"] for p in content if isinstance(p, dict) and isinstance(p.get("text"), str)]
-    return []
+def _content(holder: dict, key: str) -> list[str]:
+    """The content under a key: a string as it is, anything else as it is written; nothing if the key is missing."""
+    if key not in holder:
+        return []
+    return [holder[key] if isinstance(holder[key], str) else dumps(holder[key])]
 
 
 def protected_segments(text: str, fmt: str) -> list[str]:
@@ -241,12 +240,15 @@ def protected_segments(text: str, fmt: str) -> list[str]:
         v = loads(text)
     except JsonError:
         return []
-    messages = v.get("messages") if isinstance(v, dict) else None
-    if not isinstance(messages, list):
+    if not isinstance(v, dict):
         return []
-    system = _texts(v.get("system")) if fmt == "anthropic_json" else [t for m in messages if isinstance(m, dict) and m.get("role") == "system" for t in _texts(m.get("content"))]
-    users = [m for m in messages if isinstance(m, dict) and m.get("role") == "user"]
-    return system + (_texts(users[-1].get("content")) if users else [])
+    messages = [m for m in v["messages"] if isinstance(m, dict)] if isinstance(v.get("messages"), list) else []
+    if fmt == "anthropic_json":
+        system = _content(v, "system") if isinstance(v.get("system"), (str, list)) else []
+    else:
+        system = [t for m in messages if m.get("role") == "system" for t in _content(m, "content")]
+    users = [m for m in messages if m.get("role") == "user"]
+    return system + (_content(users[-1], "content") if users else [])
 
 
 def shape_kept(before: str, after: str, fmt: str) -> bool:

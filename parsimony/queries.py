@@ -360,6 +360,13 @@ def _(s, d):
     return rows.select("payload_id", F.sha2("r.out", 256).alias("out_sha256"), "r.total", F.size("r.dropped").alias("dropped"), back.alias("reverts"))
 
 
+@query("json_prune_counts", """SELECT user_id AS payload_id, CASE WHEN count(*) >= 2 THEN CAST(count(*) AS INTEGER) ELSE 0 END AS total, true AS reverts, count(*) >= 2 AS smaller FROM events GROUP BY user_id""")
+def _(s, d):
+    """Items that pruning looked at, whether the dropped ones lead back to the payload, and whether it got smaller."""
+    rows = _prunable(s, d).withColumn("r", J.prune("body", 0.3))
+    return rows.select("payload_id", "r.total", (J.revert("r.out", "r.dropped") == J.minify("body")).alias("reverts"), (F.octet_length("r.out") < F.octet_length("body")).alias("smaller"))
+
+
 @query("marker_hash", f"""SELECT doc_id, '{{"$tf_ref":{{"hash":"' || sha256(body) || '","alg":"sha256","namespace":"default"}}}}' AS marker FROM {_TWICE_SQL}""")
 def _(s, d):
     return _twice(s, d).select("doc_id", J.marker("body").alias("marker"))
@@ -427,7 +434,12 @@ def _(s, d):
     return back.select("payload_id", F.sha2("body", 256).alias("body_sha256"), (F.col("n_markers") == F.col("n_found")).alias("whole"))
 
 
-@query("compress_conversations")
+_CHATS = f"""WITH p AS (SELECT conv_id, '{{' || chr(10) || '  "messages" : [ ' || string_agg('{{' || chr(10) || '    "role" : ' || to_json(role) || ',' || chr(10) || '    "content" : ' || to_json(text) || chr(10) || '  }}', ', ' ORDER BY turn) || ' ]' || chr(10) || '}}' AS body,
+    '{{"messages":[' || string_agg('{{"role":' || to_json(role) || ',"content":' || to_json(text) || '}}', ',' ORDER BY turn) || ']}}' AS flat, coalesce(string_agg(text, '' ORDER BY turn) FILTER (role = 'system'), '') || coalesce(arg_max(text, turn) FILTER (role = 'user'), '') AS kept, list_append(list(text) FILTER (role = 'system'), coalesce(arg_max(text, turn) FILTER (role = 'user'), '')) AS segments FROM conversations GROUP BY conv_id),
+  t AS (SELECT conv_id, CAST(ceil(strlen(body) / 4.0) AS BIGINT) AS t0, CAST(ceil(strlen({_redact_sql('body')}) / 4.0) AS BIGINT) AS t1, CAST(ceil(strlen({_redact_sql('flat')}) / 4.0) AS BIGINT) AS t2, len(list_filter(segments, lambda g: NOT contains({_redact_sql('flat')}, {_redact_sql('g')}))) > 0 AS lost, ceil(strlen({_redact_sql('kept')}) / 4.0) > 50 AS stuck FROM p)"""
+
+
+@query("compress_conversations", f"{_CHATS} SELECT conv_id AS payload_id, 'openai_json' AS format, t0 AS original_tokens, CASE WHEN t0 <= 50 THEN t0 WHEN stuck OR t1 <= 50 OR lost THEN t1 ELSE least(t1, t2) END AS compressed_tokens, CASE WHEN t0 <= 50 THEN 'passthrough' WHEN stuck THEN 'unreachable_target' WHEN CASE WHEN lost THEN t1 ELSE least(t1, t2) END <= 50 THEN 'compressed' ELSE 'best_effort' END AS status FROM t")
 def _(s, d):
     turns = table(s, d, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", F.col("text").alias("content")))).alias("a"))
     body = F.to_json(F.struct(F.transform("a", lambda x: F.struct(x["role"].alias("role"), x["content"].alias("content"))).alias("messages")), {"pretty": "true"})
@@ -436,11 +448,11 @@ def _(s, d):
 
 @query("protected_segments", "SELECT conv_id, coalesce(string_agg(text, '|' ORDER BY turn) FILTER (role = 'system'), '') AS system, arg_max(text, turn) FILTER (role = 'user') AS last_user, CAST(ceil((coalesce(sum(strlen(text)) FILTER (role = 'system'), 0) + coalesce(strlen(arg_max(text, turn) FILTER (role = 'user')), 0)) / 4.0) AS BIGINT) AS floor FROM conversations GROUP BY conv_id")
 def _(s, d):
-    sys_ = F.array_sort(F.collect_list(F.when(F.col("role") == "system", F.struct("turn", "text"))))
-    user = F.max_by(F.when(F.col("role") == "user", F.col("text")), F.when(F.col("role") == "user", F.col("turn")))
-    g = table(s, d, "conversations").groupBy("conv_id").agg(sys_.alias("a"), user.alias("last_user"))
-    system = F.transform("a", lambda x: x["text"])
-    return g.select("conv_id", F.array_join(system, "|").alias("system"), "last_user", X.tokens(F.concat(F.array_join(system, ""), F.coalesce("last_user", F.lit("")))).alias("floor"))
+    turns = table(s, d, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", F.col("text").alias("content")))).alias("a"))
+    body = F.to_json(F.struct(F.transform("a", lambda x: F.struct(x["role"].alias("role"), x["content"].alias("content"))).alias("messages")))
+    g = turns.select("conv_id", F.exists("a", lambda x: x["role"] == "user").alias("asked"), J.protected_segments(body, "openai_json").alias("p"))
+    system = F.when(F.col("asked"), F.slice("p", 1, F.size("p") - 1)).otherwise(F.col("p"))
+    return g.select("conv_id", F.array_join(system, "|").alias("system"), F.when(F.col("asked"), F.element_at("p", -1)).alias("last_user"), X.tokens(F.array_join("p", "")).alias("floor"))
 
 
 # --- store -------------------------------------------------------------------------------------

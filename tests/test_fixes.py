@@ -168,3 +168,12 @@ def test_references_and_aliases(spark):
     assert one(spark, X.parse_format("x"), "OpenAI", " diff ", "nope", None) == ["openai_json", "git_diff", None, None]
     assert one(spark, X.raw_capture_class(F.lit(0), F.lit(5), F.lit(False)), "") == ["unavailable"]
     assert one(spark, X.raw_capture_class("x", F.lit(5), F.lit(False)), 4, 5, schema="long") == ["partial", "complete"]
+
+
+def test_protected_contents_of_any_kind():
+    from parsimony.functions import json_tree as jt
+
+    parts = '[{"type":"text","text":"s"}]'
+    assert jt.protected_segments('{"system": %s, "messages": [{"role":"user","content":"a"},{"role":"user","content":[1, 2]}]}' % parts, "anthropic_json") == [parts, "[1,2]"]
+    assert jt.protected_segments('{"messages": [{"role":"system","content":null},{"role":"system"},{"role":"user","content":"u"},7]}', "openai_json") == ["null", "u"]
+    assert jt.protected_segments('{"system": 3, "messages": 4}', "anthropic_json") == [] and jt.protected_segments("[", "openai_json") == []
