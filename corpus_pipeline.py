@@ -2,7 +2,12 @@
 passages go, personal data are masked, and what is left is packed into training sequences.
 
 Each stage takes (spark, docs, sf_dir) and works on all rows that the one before it kept. All but the last return the
-columns of documents; masking sets n_chars anew. The last gives a row for each packed piece.
+columns of documents, also further ones of any name; masking sets n_chars anew. The last gives a row for each packed piece.
+
+A document goes as toxic at a score of 0.5 or more, as contaminated if it holds one window of 8 words of a benchmark item,
+or windows of two items. Null and empty texts are neither, are copies of each other, and pack into a piece of 0 tokens. Of
+near duplicates and repeated rows the one with the smallest doc_id stays (one of them, if that repeats; a null doc_id
+only if there is no other). Texts of any length are read whole. Empty tables give no rows; without labels nothing is toxic.
 """
 
 from __future__ import annotations
