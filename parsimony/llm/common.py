@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
+import gc
 import shutil
 import tempfile
 import uuid
@@ -128,6 +130,16 @@ def text_buffer(arr: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw, off - off[0]
 
 
+def give_back() -> None:
+    """Returns memory that this worker has freed to the system; workers idle between tasks, also those of other operators."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not that C library
+        pass
+
+
 def blocks(batches: Iterator[pa.RecordBatch], limit: int = BLOCK_BYTES, text: str = "text") -> Iterator[pa.RecordBatch]:
     """Slices of the batches with at most `limit` text bytes each, or with one row."""
     for b in batches:
@@ -139,6 +151,8 @@ def blocks(batches: Iterator[pa.RecordBatch], limit: int = BLOCK_BYTES, text: st
             end = max(at + 1, int(np.searchsorted(off, off[at] + limit, "right")) - 1)
             yield b.slice(at, end - at)
             at = end
+        del b
+    give_back()
 
 
 def mix(x: np.ndarray) -> np.ndarray:

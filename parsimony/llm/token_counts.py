@@ -24,7 +24,7 @@ from .common import blocks, bound_batches, column, id_and_text
 MODEL = "piece_bpe_32k.model"
 SPACE = "▁"
 #: Merged pre-tokens kept in a worker; beyond it the cache starts anew, counts stay the same.
-CACHE = 250_000
+CACHE = 120_000
 _RUNS = re.compile(" +[^ ]*")
 
 
@@ -98,7 +98,7 @@ def with_token_counts(docs: DataFrame, text: str = "text", out: str = "n_tokens"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = counter(path).counts
-        for b in blocks(batches, text=text):
+        for b in blocks(batches, 1 << 20, text):
             n = pa.array(counts([t or "" for t in column(b, text).to_pylist()]), pa.int64())
             yield pa.RecordBatch.from_arrays([*(column(b, c) for c in names), n], names=[*names, out])
         counter(path).forget()

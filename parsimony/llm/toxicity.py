@@ -33,8 +33,10 @@ from .common import blocks, bound_batches, column, free_name, stored, text_buffe
 from .decontaminate import _TABLE
 
 #: Labelled rows from which terms, examples and calibration are learned.
-SAMPLE = 8_000
+SAMPLE = 6_000
 BLOCK, K = 64, 15
+#: Text bytes that a worker takes apart at once.
+BLOCK_BYTES = 1 << 20
 #: A leaning term needs so many toxic examples, such a log-likelihood ratio, and so many times the rate of other examples.
 LEAST_DF, LEAST_G2, LEAST_RATIO = 4, 18.0, 4.0
 #: What the share of toxic examples weighs in a vote, as a cosine.
@@ -117,7 +119,7 @@ def sample_words(rows: DataFrame) -> tuple[dict[bytes, int], list[tuple[int, int
     """Numbers of the words of the sampled rows, and by doc_id each row's doc_id, label, distinct words (by number) and their counts; bounded by SAMPLE rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in blocks(batches):
+        for b in blocks(batches, BLOCK_BYTES):
             found = [Counter(w) for w in _texts(b)]
             words = pa.array([b" ".join(c) for c in found], pa.binary())
             counts = pa.array([np.fromiter(c.values(), np.int32, len(c)).tobytes() for c in found], pa.binary())
@@ -167,7 +169,7 @@ def document_counts(docs: DataFrame, terms: Terms) -> tuple[int, np.ndarray]:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         df, n, own = np.zeros(shared.value.size, np.uint32), 0, shared.value
-        for b in blocks(batches):
+        for b in blocks(batches, BLOCK_BYTES):
             n += b.num_rows
             found = [t for words in _texts(b) for t in own.present(words)]
             df += np.bincount(np.array(found, np.int64), minlength=own.size).astype(np.uint32)
@@ -344,7 +346,7 @@ def example_votes(rows: DataFrame, model: Model) -> list[tuple[float, int]]:
     shared = rows.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in blocks(batches):
+        for b in blocks(batches, BLOCK_BYTES):
             got = [shared.value.votes(w, i)[0] for w, i in zip(_texts(b), column(b, "doc_id").to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(got, pa.float64()), column(b, "toxic")], names=["vote", "toxic"])
 
@@ -400,7 +402,7 @@ def with_scores(docs: DataFrame, model: Model, score: str = "score", evidence: s
     schema = docs.select("*", F.lit(0.0).alias(score), F.array(F.lit(0).cast("long")).alias(evidence)).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in blocks(batches):
+        for b in blocks(batches, BLOCK_BYTES):
             got = [shared.value.score(w) for w in _texts(b)]
             more = [pa.array([g[0] for g in got], pa.float64()), pa.array([g[1] for g in got], pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays([*(column(b, c) for c in names), *more], names=[*names, score, evidence])
