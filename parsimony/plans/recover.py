@@ -9,6 +9,7 @@ from parsimony.functions.text import tokens
 from parsimony.operators import json_columns as J
 from parsimony.operators import store
 from parsimony.plans.policy import Policy
+from parsimony.sources.files import materialised
 
 DROPPED = "array<struct<hash: string, body: string>>"
 
@@ -51,14 +52,15 @@ def settle(receipts: DataFrame, entries: DataFrame, policy: Policy) -> DataFrame
 
 
 def persist(receipts: DataFrame, entries: DataFrame, policy: Policy, now: int) -> tuple[DataFrame, DataFrame]:
-    """The store after the dropped items were put, and the receipts settled against it."""
+    """The store after the dropped items were put, and the receipts settled against it; the receipts are made once, as both must speak of the same items."""
+    receipts = materialised(receipts)
     after = store.put(entries, proposed(receipts, policy, now))
     return after, settle(receipts, after, policy)
 
 
 def persist_to(receipts: DataFrame, path: str, policy: Policy, now: int) -> DataFrame:
     """Receipts settled against what can be read back from a store's folder after their items were written there."""
-    spark = receipts.sparkSession
+    spark, receipts = receipts.sparkSession, materialised(receipts)
     empty = spark.createDataFrame([], store.ENTRY)
     store.write_entries(store.put(empty, proposed(receipts, policy, now)), path)
     return settle(receipts, store.read_entries(spark, path), policy)

@@ -2,12 +2,30 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
+import tempfile
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from parsimony.operators.ledger import RECORD, records_of_reports
 
 
+def materialised(df: DataFrame) -> DataFrame:
+    """df cut off from what made it, by a checkpoint in the folder that the cluster names; only where driver and executors are one process may that be a temporary one."""
+    sc = df.sparkSession.sparkContext
+    if not sc.getCheckpointDir():
+        base = sc.getConf().get("spark.checkpoint.dir")
+        if not base:
+            if not (sc.master == "local" or sc.master.startswith("local[")):
+                raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+            base = tempfile.mkdtemp(prefix="parsimony-")
+            atexit.register(shutil.rmtree, base, True)
+        sc.setCheckpointDir(base)
+    return df.checkpoint()
+
+
 def read_payloads(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
     """path, body of each file; `*` and `?` in the pattern match names in one folder."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(path)
