@@ -101,15 +101,17 @@ def idf_table(docs: DataFrame) -> np.ndarray:
             for c, k in zip(column(b, "counts"), column(b, "n").to_pylist(), strict=True):
                 total += np.frombuffer(z.decompress(c.as_buffer(), max_output_size=4 * width), np.uint32)
                 n += k
-        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([n], pa.int64()), pa.array([total.tobytes()], pa.binary())], names=["slice", "n", "counts"])
+        blob = zstandard.ZstdCompressor(level=1).compress(total.tobytes())
+        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([n], pa.int64()), pa.array([blob], pa.binary())], names=["slice", "n", "counts"])
 
     part = docs.select(F.coalesce("text", F.lit("")).alias("text")).mapInArrow(run, "slice int, n long, counts binary")
     rows = sorted(part.groupBy("slice").applyInArrow(added, "slice int, n long, counts binary").collect(), key=lambda r: r["slice"])
     if not rows:
         return np.ones(DIMENSIONS, np.float32)
-    n, total, out = rows[0].n, sum(int(np.frombuffer(r.counts, np.uint64).sum()) for r in rows), np.empty(DIMENSIONS, np.float32)
+    opened = lambda r: np.frombuffer(zstandard.ZstdDecompressor().decompress(r.counts, max_output_size=8 * width), np.uint64)
+    n, total, out = rows[0].n, sum(int(opened(r).sum()) for r in rows), np.empty(DIMENSIONS, np.float32)
     for i, r in enumerate(rows):  # a slice at a time, so that the driver holds one table
-        counts = np.frombuffer(r.counts, np.uint64).astype(np.float64)
+        counts = opened(r).astype(np.float64)
         out[i * width : (i + 1) * width] = np.log1p(n / np.clip(counts - (total - counts) / (DIMENSIONS - 1), 1, max(n, 1)))
     return out
 

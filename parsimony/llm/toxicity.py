@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import blocks, bound_batches, column, free_name, stored, text_buffer
+from .common import blocks, bound_batches, column, free_name, give_back, stored, text_buffer
 from .decontaminate import _TABLE
 
 #: Labelled rows from which terms, examples and calibration are learned.
@@ -392,6 +392,8 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     model.index(examples)
     voted = [v for v in example_votes(rows, model) if v[0] >= 0]
     model.steps = _rising([v[0] for v in voted], [v[1] for v in voted])
+    del held, examples
+    give_back()
     return model
 
 
