@@ -11,7 +11,7 @@ Words are what white space parts, in lower case; each text ends with one end tok
 
 Pair counts, word counts and training windows come from every training text and grow with the corpus. Training begins
 with one pass over the windows of least hash, about as many as START_BYTES of text have (all of a small corpus). From
-there one in EVERY windows of every text is trained on: they are dealt by hash into shards of about SHARD, every shard
+there every window of every text is trained on: they are dealt by hash into shards of about SHARD, every shard
 goes once over its windows, and the shards' weights are averaged by their windows. Order and shards depend on content alone, not on partitions. Scoring goes in windows
 that overlap by CONTEXT: each subword is scored once, with at least CONTEXT before it where the text has them, many
 windows a batch, under a causal mask.
@@ -47,8 +47,8 @@ _SHIFT = MEMBERS.bit_length() - 1
 VOCABULARY = CLASSES * MEMBERS
 CONTEXT, STRIDE = 8, 32
 WINDOW = CONTEXT + STRIDE
-#: One in so many windows is trained on; windows of a shard and of a step, first rates of the start and of the shards.
-EVERY, SHARD, BATCH, RATE, SHARD_RATE = 8, 1 << 14, 48, 0.03, 0.006
+#: Windows of a shard; windows of a step and first rates, of the start and of the shards.
+SHARD, BATCH, SHARD_BATCH, RATE, SHARD_RATE = 1 << 14, 48, 192, 0.03, 0.006
 #: Text bytes whose windows about make up the start.
 START_BYTES = 6 << 20
 #: What the shares of single subwords weigh against pair counts.
@@ -173,8 +173,9 @@ class Attention:
         p = self.p
         h = p["e"][x] + p["pos"]
         q = h[:, CONTEXT:] @ p["q"]
+        q *= np.float32(WIDTH**-0.5)
         k, v = h @ p["k"], h @ p["v"]
-        s = (q * np.float32(WIDTH**-0.5)) @ k.transpose(0, 2, 1)
+        s = q @ k.transpose(0, 2, 1)
         np.minimum(s, np.float32(60), out=s)  # no sum can overflow, so no maximum needs to come off
         np.exp(s, out=s)
         s *= self.mask
@@ -185,7 +186,8 @@ class Attention:
             z += p["last"][x[:, CONTEXT:]]
             return (np.tanh(z, out=z),)
         s /= total
-        return h, q, k, v, s, np.tanh(s @ v + p["last"][x[:, CONTEXT:]])
+        a = s @ v
+        return h, q, k, v, s, a, np.tanh(a + p["last"][x[:, CONTEXT:]])
 
     def _targets(self, x: np.ndarray, y: np.ndarray, z: np.ndarray) -> tuple:
         """Targets in order of their classes: places, classes, members, hidden values, weights of classes and of members, and where classes begin."""
@@ -221,7 +223,7 @@ class Attention:
         return out.reshape(y.shape)
 
     def gradients(self, x: np.ndarray, y: np.ndarray) -> dict[str, np.ndarray]:
-        p, (h, q, k, v, s, z) = self.p, self._hidden(x)
+        p, (h, q, k, v, s, a, z) = self.p, self._hidden(x)
         place, c, member, zt, classes, members, cut = self._targets(x, y, z)
         n = np.arange(len(place))
         small, each = self._small(), np.float32(1 / max(1, len(n)))
@@ -244,10 +246,10 @@ class Attention:
         do = dz.reshape(*y.shape, WIDTH) * (1 - z * z)
         dv = s.transpose(0, 2, 1) @ do
         ds = do @ v.transpose(0, 2, 1)
-        ds -= ((ds * s) @ np.ones(WINDOW, ds.dtype))[..., None]
+        ds -= ((do * a) @ np.ones(WIDTH, do.dtype))[..., None]
         ds *= s
-        ds *= np.float32(WIDTH**-0.5)
         dq, dk = ds @ k, ds.transpose(0, 2, 1) @ q
+        dq *= np.float32(WIDTH**-0.5)
         g |= {"q": flat(h[:, CONTEXT:]).T @ flat(dq), "k": flat(h).T @ flat(dk), "v": flat(h).T @ flat(dv)}
         dh = dk @ p["k"].T + dv @ p["v"].T
         dh[:, CONTEXT:] += dq @ p["q"].T
@@ -257,13 +259,13 @@ class Attention:
             g[name] = np.bincount(cells, what.ravel(), VOCABULARY * WIDTH).reshape(VOCABULARY, WIDTH).astype(np.float32)
         return g
 
-    def train(self, rows: np.ndarray, top: float) -> None:
+    def train(self, rows: np.ndarray, top: float, batch: int) -> None:
         """One pass over windows (WINDOW inputs and the last target, ids, -1 behind the text) in the order given."""
         m = {k: np.zeros_like(v) for k, v in self.p.items()}
         w = {k: np.zeros_like(v) for k, v in self.p.items()}
-        steps = -(-len(rows) // BATCH)
+        steps = -(-len(rows) // batch)
         for t in range(1, steps + 1):
-            some = rows[(t - 1) * BATCH : t * BATCH]
+            some = rows[(t - 1) * batch : t * batch]
             rate = top * min(1, 2 * (1 - t / (steps + 1)))
             for k, g in self.gradients(np.maximum(some[:, :WINDOW], 0), some[:, CONTEXT + 1 :]).items():
                 m[k] += 0.1 * (g - m[k])
@@ -293,13 +295,13 @@ def _merged(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarra
 _NONE = 65535
 
 
-BLOCKS = "block_id long, doc_ids array<long>, held array<boolean>, lens binary, places binary, parts binary, ids binary, keys binary, counts binary, windows binary, n_windows long, part int, pairs binary, pair_counts binary"
+BLOCKS = "block_id long, doc_ids array<long>, held array<boolean>, lens binary, places binary, parts binary, ids binary, keys binary, counts binary, windows binary, first_windows binary, n_windows long, part int, pairs binary, pair_counts binary"
 
 
-def gathered(docs: DataFrame, path: str) -> tuple[DataFrame, int]:
+def gathered(docs: DataFrame, path: str) -> tuple[DataFrame, str]:
     """Stored, from one pass over all texts: blocks of texts as places of their words among the block's hashes, with the
-    subwords and training counts of these and the training windows (raw ids); and a row a task, without block_id, that
-    counts pairs of subwords in training texts. Beside it the hash below which windows belong to the start."""
+    subwords and training counts of these and the training windows (raw ids; those of the start apart); and a row a task, without block_id, that
+    counts pairs of subwords in training texts. Beside it the tokenizer's path."""
     rows = id_and_text(docs).withColumn("held", held_out())
     size = rows.where("NOT held").agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
     start = min(2**64 - 1, (START_BYTES << 64) // max(size, 1))
@@ -320,7 +322,7 @@ def gathered(docs: DataFrame, path: str) -> tuple[DataFrame, int]:
             words, parts, ids, place = subwords.block(tokens)
             trained = np.repeat(~held, n)
             n_words = np.bincount(place[trained], minlength=len(words)).astype(np.uint32)
-            got = np.empty(0, np.uint16)
+            got, first = np.empty((0, WINDOW + 1), np.uint16), np.empty(0, bool)
             if trained.any():
                 stream, each = laid_out(parts, ids, place[trained])
                 lens = np.add.reduceat(each, np.cumsum(n[~held]) - n[~held])
@@ -329,35 +331,37 @@ def gathered(docs: DataFrame, path: str) -> tuple[DataFrame, int]:
                 keys.append(k.astype(np.uint64))
                 counts.append(c.astype(np.uint64))
                 size += len(k)
-                got = training_windows(stream, lens, subwords.size, start)
+                got = training_windows(stream, lens, subwords.size)
+                first = _window_hash(got) < np.uint64(start)
             if size > 2_000_000:
                 k, c = _merged(keys, counts)
                 keys, counts, size = [k], [c], 0
             planes = np.ascontiguousarray(place.astype(np.uint32).view(np.uint8).reshape(-1, 4).T)  # bytes of one weight together
-            blobs = {"lens": n.tobytes(), "places": z.compress(planes.tobytes()), "parts": z.compress(parts.astype(np.uint32).tobytes()), "ids": z.compress(ids.tobytes()), "keys": words.tobytes(), "counts": n_words.tobytes(), "windows": z.compress(got.tobytes())}
+            blobs = {"lens": n.tobytes(), "places": z.compress(planes.tobytes()), "parts": z.compress(parts.astype(np.uint32).tobytes()), "ids": z.compress(ids.tobytes()), "keys": words.tobytes(), "counts": n_words.tobytes(), "windows": z.compress(got[~first].tobytes()), "first_windows": z.compress(got[first].tobytes())}
             yield row(block_id=(part << 32) + at, doc_ids=column(b, "doc_id").to_pylist(), held=held.tolist(), n_windows=len(got), **blobs)
             at += 1
         k, c = _merged(keys, counts)
         if len(k):
             yield row(part=part % 64, pairs=zlib.compress(k.tobytes(), 1), pair_counts=zlib.compress(c.tobytes(), 1))
 
-    return stored(rows.mapInArrow(run, BLOCKS), "lm-gathered"), start
+    return stored(rows.mapInArrow(run, BLOCKS), "lm-gathered"), path
 
 
-def training_windows(stream: np.ndarray, lens: np.ndarray, end: int, start: int) -> np.ndarray:
-    """One in EVERY windows of the texts and those that belong to the start: WINDOW inputs and the last target, as raw ids."""
+def training_windows(stream: np.ndarray, lens: np.ndarray, end: int) -> np.ndarray:
+    """All windows of the texts: WINDOW inputs and the last target, as raw ids."""
     inputs, targets = windows(lens)
     rows = take(stream, np.concatenate([inputs, targets[:, -1:]], axis=1), end).astype(np.uint16)
     rows[:, CONTEXT + 1 :][targets < 0] = _NONE
-    h = _window_hash(rows)
-    return rows[(h % np.uint64(EVERY) == 0) | (h < np.uint64(start))]
+    return rows
 
 
 def _window_hash(rows: np.ndarray) -> np.ndarray:
-    """By every third id."""
+    """By all ids, four at a time."""
+    wide = np.zeros((len(rows), -(-rows.shape[1] // 4) * 4), np.uint16)
+    wide[:, : rows.shape[1]] = rows
     h = np.zeros(len(rows), np.uint64)
-    for j in range(0, rows.shape[1], 3):
-        h = h * np.uint64(0x9E3779B97F4A7C15) + rows[:, j].astype(np.uint64) + np.uint64(1)
+    for four in wide.view(np.uint64).T:
+        h = h * np.uint64(0x9E3779B97F4A7C15) + four + np.uint64(1)
     return mix(h)
 
 
@@ -398,20 +402,18 @@ def _opened(x: pa.Scalar) -> bytes:
     return zstandard.ZstdDecompressor().decompress(x.as_buffer(), max_output_size=1 << 31)
 
 
-def _pass(table: DataFrame, model: Attention, number: np.ndarray, shards: int, rate: float, start: int | None = None) -> None:
-    """Every shard of one in EVERY windows (or the start as one) trains from the model as it is; their weights' mean becomes the model's."""
+def _pass(table: DataFrame, model: Attention, number: np.ndarray, shards: int, rate: float, batch: int, start: bool = False) -> None:
+    """Every shard of all windows (or of those of the start) trains from the model as it is; their weights' mean becomes the model's."""
     shared = table.sparkSession.sparkContext.broadcast((model, number))
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for x in column(b, "windows"):
+            for x in chain.from_iterable(b.columns):
                 rows = np.frombuffer(_opened(x), np.uint16).reshape(-1, WINDOW + 1)
-                h = _window_hash(rows)
-                use = np.flatnonzero(h % np.uint64(EVERY) == 0 if start is None else h < np.uint64(start))
-                if not len(use):
+                if not len(rows):
                     continue
-                shard = (h // np.uint64(EVERY) % np.uint64(shards)).astype(np.int64)
-                order = use[np.argsort(shard[use], kind="stable")]
+                shard = (_window_hash(rows) % np.uint64(shards)).astype(np.int64)
+                order = np.argsort(shard, kind="stable")
                 at = np.flatnonzero(np.append(True, shard[order][1:] != shard[order][:-1]))
                 groups = np.split(order, at[1:])
                 yield pa.RecordBatch.from_arrays([pa.array([int(shard[g[0]]) for g in groups], pa.int32()), pa.array([rows[g].tobytes() for g in groups], pa.binary())], names=["shard", "windows"])
@@ -427,7 +429,7 @@ def _pass(table: DataFrame, model: Attention, number: np.ndarray, shards: int, r
         own.p = {k: v.copy() for k, v in model.p.items()}
         ids = number[np.where(rows == _NONE, 0, rows).astype(np.int64)]
         ids[rows == _NONE] = -1
-        own.train(ids, rate)
+        own.train(ids, rate, batch)
         flat = np.concatenate([own.p[k].ravel() for k in sorted(own.p)])
         yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([len(rows)], pa.int64()), pa.array([flat.tobytes()], pa.binary())], names=["shard", "n", "weights"])
 
@@ -438,7 +440,7 @@ def _pass(table: DataFrame, model: Attention, number: np.ndarray, shards: int, r
                 total, n = total + k * np.frombuffer(x.as_buffer(), np.float32).astype(np.float64), n + k
         yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([n], pa.int64()), pa.array([total.tobytes()], pa.binary())], names=["some", "n", "weights"])
 
-    dealt = table.where("n_windows > 0").select("windows").mapInArrow(deal, "shard int, windows binary").groupBy("shard").applyInArrow(train, "shard int, n long, weights binary")
+    dealt = table.where("n_windows > 0").select("first_windows", *([] if start else ["windows"])).mapInArrow(deal, "shard int, windows binary").groupBy("shard").applyInArrow(train, "shard int, n long, weights binary")
     trained = stored(dealt, "lm-weights")
     sums = trained.orderBy("shard").select(F.expr("shard div 64").cast("int").alias("some"), "n", "weights").groupBy("some").applyInArrow(added, "some int, n long, weights binary")
     mean, seen = 0.0, 0
@@ -452,15 +454,14 @@ def _pass(table: DataFrame, model: Attention, number: np.ndarray, shards: int, r
         at += model.p[k].size
 
 
-def learn(table: DataFrame, start: int, path: str | None = None) -> tuple[Attention, np.ndarray, np.ndarray]:
+def learn(table: DataFrame, path: str) -> tuple[Attention, np.ndarray, np.ndarray]:
     """From what was gathered: the trained model, each raw subword id's number, and its log share of that number."""
-    number, share, pairs = numbered(*pair_counts(table), Subwords(path or model_path()).size)
+    number, share, pairs = numbered(*pair_counts(table), Subwords(path).size)
     model = Attention(pairs)
-    n = table.agg(F.sum("n_windows")).first()[0] or 0  # the start's too, so shards are a little smaller
+    n = table.agg(F.sum("n_windows")).first()[0] or 0
     if n:
-        shards = int(-(-n // SHARD))
-        _pass(table, model, number, 1, RATE, start)
-        _pass(table, model, number, shards, SHARD_RATE)
+        _pass(table, model, number, 1, RATE, BATCH, start=True)
+        _pass(table, model, number, int(-(-n // SHARD)), SHARD_RATE, SHARD_BATCH)
     return model, number, share
 
 
@@ -468,8 +469,8 @@ SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_toke
 
 
 def score_texts(docs: DataFrame, path: str | None = None) -> DataFrame:
-    table, start = gathered(docs, path or model_path())
-    learned = learn(table, start, path)
+    table, path = gathered(docs, path or model_path())
+    learned = learn(table, path)
     texts = table.where("block_id is not null")
     found = stored(totals(texts, bucket_bits((texts.agg(F.sum(F.octet_length("keys").cast("long"))).first()[0] or 0) / 8)), "word-totals")
     n, v = found.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("v"), F.lit(0))).first()

@@ -395,6 +395,26 @@ def test_language_model_learns_from_every_text(spark, monkeypatch):
     assert not np.allclose(model.p["u"], other.p["u"], atol=1e-6)
 
 
+def test_language_model_trains_on_every_window(spark, monkeypatch):
+    monkeypatch.setattr(lm_scoring, "START_BYTES", 0)
+    monkeypatch.setattr(lm_scoring, "SHARD", 50)
+    rng, seen = random.Random(12), []
+    rows = [(i, prose(rng, rng.randint(1, 300))) for i in range(80)]
+    sub = lm_scoring.Subwords(token_counts.model_path())
+    size = lambda t: sum(len(x) >> 1 for _, x in sub.of([*lm_scoring.words_of(t.encode()), lm_scoring.END]))
+    want = sum(-(-size(t) // lm_scoring.STRIDE) for i, t in rows if zlib.crc32(str(i).encode()) % 7 != 2)
+
+    def spy(df, tag):
+        out = stored(df, tag)
+        if tag == "lm-weights":
+            seen.append(out.agg(F.sum("n")).first()[0])
+        return out
+
+    monkeypatch.setattr(lm_scoring, "stored", spy)
+    lm_scoring.learn(*lm_scoring.gathered(frame(spark, rows), token_counts.model_path()))
+    assert seen[-1] == want > 500
+
+
 def test_language_model_beats_its_base_on_held_out_texts(spark):
     for sf, more in (("0.01", 0.01), ("0.1", 0.15)):
         docs = spark.read.parquet(f"/root/testdata/sf{sf}/documents.parquet")
