@@ -10,8 +10,8 @@ the start (by digest), so copies cost nothing further.
 
 In a band's group each text is compared with the smallest and the largest digest only; links that hold join texts to
 components. Groups with texts in different components are then compared whole, in tiles of a bounded number of
-texts by matrix products that give a spanning set of links, so no pair that meets in a band is left out and no table
-of pairs is made. A link needs a weighted Jaccard similarity of 0.8
+texts by matrix products that give a spanning set of the links between components, so no pair that meets in a band is
+left out and no table of pairs is made. A link needs a weighted Jaccard similarity of 0.8
 or more, under TF-IDF weights or under counts alone (large groups of near copies make their own shingles common, which
 TF-IDF weights would hold against them).
 
@@ -242,8 +242,8 @@ def verified(pairs: DataFrame, vecs: DataFrame, idf: np.ndarray, least: float =
     return joined.mapInArrow(run, "a string, b string")
 
 
-def linked(members: list[tuple[np.ndarray, np.ndarray]], table: np.ndarray, least: float = SIMILAR) -> list[tuple[int, int]]:
-    """Pairs of members that are similar enough, as many as join what belongs together. members: hashes and counts.
+def linked(members: list[tuple[np.ndarray, np.ndarray]], comps: list[str], table: np.ndarray, least: float = SIMILAR) -> list[tuple[int, int]]:
+    """Pairs of members that are similar enough, as many as join what belongs together and is not one component yet. members: hashes and counts.
 
     The k-th copy of a shingle is a feature of its own, so shared counts are products of 0/1 matrices, a few thousand
     features at a time.
@@ -273,7 +273,8 @@ def linked(members: list[tuple[np.ndarray, np.ndarray]], table: np.ndarray, leas
         shared += x @ x.T
         shared_w += (x * idf[c : c + 4096]) @ x.T
     sim = np.maximum(shared / (plain[:, None] + plain - shared), shared_w / (weighted[:, None] + weighted - shared_w))
-    root = list(range(m))
+    first_of: dict[str, int] = {}
+    root = [first_of.setdefault(c, i) for i, c in enumerate(comps)]
 
     def find(i: int) -> int:
         while root[i] != i:
@@ -294,44 +295,56 @@ TILE, TILE_SHINGLES = 400, 400_000
 
 
 def links_between(rest: DataFrame, vecs: DataFrame, idf: np.ndarray) -> DataFrame:
-    """Links (a, b) among members (band, hash, key, size, shingles) of the same groups, in tiles of at most about 2 * TILE members and 2 * TILE_SHINGLES shingles.
+    """Links (a, b) between components of members (band, hash, key, comp, size, shingles) of the same groups, in tiles of at most about 2 * TILE members and 2 * TILE_SHINGLES shingles.
 
     A tile gives a spanning set of its links, so no pairs are written out; a group of any size is spread over its tiles.
     """
     shared = rest.sparkSession.sparkContext.broadcast(idf)
     parts = F.greatest(F.ceil(F.col("size") / TILE), F.ceil(F.col("shingles") / TILE_SHINGLES)).cast("int")
     dealt = rest.withColumn("parts", parts).withColumn("part", F.pmod(F.xxhash64("key"), F.col("parts")).cast("int"))
-    dealt = dealt.select("band", "hash", "key", "part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
-    dealt = dealt.select("band", "hash", F.least("part", "other").alias("lo"), F.greatest("part", "other").alias("hi"), "key").join(vecs.select("key", "h", "n"), "key")
+    dealt = dealt.select("band", "hash", "key", "comp", "part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
+    dealt = dealt.select("band", "hash", F.least("part", "other").alias("lo"), F.greatest("part", "other").alias("hi"), "key", "comp").join(vecs.select("key", "h", "n"), "key")
 
     def run(group_key: tuple[pa.Scalar, ...], group: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, members = [], []
+        comps, members = [], []
         for b in group:
-            for k, h, n in zip(column(b, "key").to_pylist(), column(b, "h"), column(b, "n"), strict=True):
-                keys.append(k)
+            comps += column(b, "comp").to_pylist()
+            for h, n in zip(column(b, "h"), column(b, "n"), strict=True):
                 members.append((np.frombuffer(h.as_buffer(), np.uint64), np.frombuffer(n.as_buffer(), np.uint32).astype(np.int64)))
-        got = linked(members, shared.value) if len(keys) > 1 else []
-        yield pa.RecordBatch.from_arrays([pa.array([keys[i] for i, _ in got], pa.string()), pa.array([keys[j] for _, j in got], pa.string())], names=["a", "b"])
+        got = linked(members, comps, shared.value) if len(set(comps)) > 1 else []
+        yield pa.RecordBatch.from_arrays([pa.array([comps[i] for i, _ in got], pa.string()), pa.array([comps[j] for _, j in got], pa.string())], names=["a", "b"])
 
     return dealt.groupBy("band", "hash", "lo", "hi").applyInArrow(run, "a string, b string")
 
 
 def components(links: DataFrame) -> DataFrame:
-    """key and comp (the smallest key of its component) of every key in links; labels spread until none changes."""
-    both = stored(links.union(links.select("b", "a")).distinct(), "links")
-    labels = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("key"), F.least("a", "m").alias("comp"))
-    labels = stored(labels, "labels")
-    while True:
-        near = both.join(labels, both.b == labels.key).groupBy("a").agg(F.min("comp").alias("m"))
-        step = labels.join(near, labels.key == near.a).select("key", F.col("comp").alias("old"), F.least("comp", "m").alias("comp"))
-        # a label's own label: the way to the smallest key halves each round
-        jump = labels.select(F.col("key").alias("k"), F.col("comp").alias("c"))
-        step = stored(step.join(jump, step.comp == jump.k, "left").select("key", "old", F.least("comp", F.coalesce("c", "comp")).alias("comp")), "labels")
-        drop_stored(labels)
-        labels = step.select("key", "comp")
-        if step.where("comp <> old").isEmpty():
-            drop_stored(both)
-            return labels
+    """key and comp (one key of its component) of every key in links.
+
+    In each round every key goes over to that one of its neighbours and itself that has most neighbours, ties by a hash of
+    the round; links between the keys that are left are the next round's. So links are read once in the first round and
+    grow fewer from there.
+    """
+    left = stored(links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct(), "links")
+    labels, turn = None, 0
+    while labels is None or not left.isEmpty():
+        both = left.union(left.select("b", "a"))
+        rank = F.struct((-F.col("n")).alias("n"), F.xxhash64(F.lit(turn), "key").alias("h"), F.col("key"))
+        ranks = stored(both.groupBy(F.col("a").alias("key")).agg(F.count("*").alias("n")).select("key", rank.alias("rank")), "ranks")
+        best = both.join(ranks.withColumnRenamed("key", "b"), "b").groupBy(F.col("a").alias("key")).agg(F.min("rank").alias("near"))
+        goes = stored(ranks.join(best, "key").select("key", F.least("rank", "near")["key"].alias("to")), "labels")
+        ends = left
+        for x in "ab":
+            ends = ends.join(goes.select(F.col("key").alias(x), F.col("to").alias(f"to_{x}")), x)
+        ends = stored(ends.select(F.least("to_a", "to_b").alias("a"), F.greatest("to_a", "to_b").alias("b")).where("a <> b").distinct(), "links")
+        if labels is None:
+            step = goes.withColumnRenamed("to", "comp")
+        else:
+            step = stored(labels.join(goes.withColumnRenamed("key", "comp"), "comp", "left").select("key", F.coalesce("to", "comp").alias("comp")), "labels")
+            drop_stored(labels, goes)
+        drop_stored(left, ranks)
+        left, labels, turn = ends, step, turn + 1
+    drop_stored(left)
+    return labels
 
 
 def text_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -350,11 +363,13 @@ def text_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     # groups whose members are still in different components are compared whole, tile by tile
     member = stored(met.join(comps, "key", "left").select("band", "hash", "key", F.coalesce("comp", "key").alias("comp")), "members")
     split = member.groupBy("band", "hash").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.count("*").alias("size")).where("c0 <> c1 AND size > 2").select("band", "hash", "size")
-    rest = stored(member.select("band", "hash", "key").join(split, ["band", "hash"]).join(vecs.select("key", "m"), "key"), "rest")
+    rest = stored(member.select("band", "hash", "key", "comp").join(split, ["band", "hash"]).join(vecs.select("key", "m"), "key"), "rest")
     rest = rest.join(rest.groupBy("band", "hash").agg(F.sum("m").alias("shingles")), ["band", "hash"])
     more = stored(links_between(rest, vecs, idf).distinct(), "links")
     if not more.isEmpty():
-        comps = components(links.union(more))
+        joined = components(more).select(F.col("key").alias("old"), F.col("comp").alias("new"))
+        comps = comps.join(joined, comps["comp"] == joined["old"], "full_outer").select(F.coalesce("key", "old").alias("key"), F.coalesce("new", "comp").alias("comp"))
+        comps = stored(comps, "labels")
     return rows, comps
 
 

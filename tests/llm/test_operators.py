@@ -214,6 +214,42 @@ def test_near_duplicates_among_long_texts(spark, monkeypatch):
     assert all(cls[i] // 100 == i // 100 for i in cls)
 
 
+def test_links_grow_fewer_from_round_to_round(spark, monkeypatch):
+    rng = random.Random(4)
+    pairs = [(f"h{k % 3}", f"m{k}") for k in range(300)] + [(f"h{(k + 1) % 3}", f"m{k}") for k in range(300)]  # hubs
+    pairs += [(f"p{k:03}", f"p{k + 1:03}") for k in range(200)] + [("x", "x"), ("y", "z"), ("z", "y")]  # a path
+    rng.shuffle(pairs)
+    sizes = []
+
+    def spy(df, tag):
+        out = stored(df, tag)
+        if tag == "links":
+            sizes.append(out.count())
+        return out
+
+    monkeypatch.setattr(minhash, "stored", spy)
+    got = {r.key: r.comp for r in minhash.components(spark.createDataFrame(pairs, "a string, b string")).collect()}
+    assert set(got) == {k for p in pairs for k in p} - {"x"} and set(got.values()) <= set(got)
+    assert len({got[k] for k in got if k[0] in "hm"}) == len({got[k] for k in got if k[0] == "p"}) == 1 and len(set(got.values())) == 3
+    assert sizes[0] == 801 and sizes[-1] == 0 and sum(sizes) < 2 * 801 and all(a > b for a, b in zip(sizes, sizes[1:]))
+
+
+def test_links_of_tiles_join_components_only(spark, monkeypatch):
+    """Texts that are one component need no links in any tile."""
+    monkeypatch.setattr(minhash, "TILE", 4)
+    base = [f"w{k}" for k in range(200)]
+    texts = [" ".join(w if j != 5 * i else f"n{i}" for j, w in enumerate(base)) for i in range(30)]
+    docs = frame(spark, list(enumerate(texts)))
+    vecs, idf = stored(minhash.vectors(docs, docs.select(F.md5("text").alias("key"))), "vectors"), minhash.idf_table(docs)
+    for comp, n in ((F.lit("c"), 1), (F.col("key"), 30), (F.substring("key", 1, 1), None)):
+        rest = vecs.select(F.lit(0).alias("band"), F.lit(1).cast("long").alias("hash"), "key", comp.alias("comp"), F.lit(30).alias("size"), F.lit(1000).alias("shingles"))
+        links = {(r.a, r.b) for r in minhash.links_between(rest, vecs, idf).collect()}
+        comps = {r.comp for r in rest.collect()}
+        assert all(a != b and {a, b} <= comps for a, b in links) and len(comps) == (n or len(comps))
+        got = {r.comp for r in minhash.components(spark.createDataFrame(list(links), "a string, b string")).collect()} if links else comps
+        assert len(got) == 1
+
+
 def test_samples_under_counts():
     rng = np.random.default_rng(1)
     h = np.sort(rng.integers(0, 2**63, 3000).astype(np.uint64))
