@@ -198,10 +198,11 @@ def personal_data(docs: DataFrame) -> DataFrame:
 
 def redact(docs: DataFrame, text: str = "text", n_chars: str | None = "n_chars") -> DataFrame:
     """docs with every span replaced by its kind in brackets; overlapping spans become one, named by the first."""
-    names = docs.columns
-    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in names)).alias("row"), F.col(text).alias("text"))
-    weights = fit(candidates(rows, "text"))
-    found = detect(with_candidates(with_base(rows)), weights).select("row", "text", "spans")
+    names, others = docs.columns, [c for c in docs.columns if c != text]
+    rows = docs.select(F.struct(F.col(text).isNull().alias("none"), *(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(others))).alias("row"), F.col(text).alias("text"))
+    # rows travel with their candidates: the patterns run once, and no task holds the garbage of matching beside that of masking
+    rows = stored(with_candidates(with_base(rows)).select("row", "text", *(f"base_{k}" for k in KINDS), "cands"), "pii-candidates")
+    found = detect(rows, fit(rows)).select("row", "text", "spans")
     found = found.withColumn("starts", F.expr("array_sort(transform(spans, x -> x.s))")).withColumn("ends", F.expr("array_sort(transform(spans, x -> x.e))"))
     # the text in chunks of 1024, so that a piece costs no walk from the beginning
     found = found.withColumn("parts", F.expr(f"CASE WHEN size(spans) > 0 THEN transform(sequence(0, length(text) div {32 * _CHUNK}), i -> substring(text, i * {32 * _CHUNK} + 1, {32 * _CHUNK})) END"))
@@ -215,9 +216,9 @@ def redact(docs: DataFrame, text: str = "text", n_chars: str | None = "n_chars")
     before = "if(h.n = 0, 0, get(ends, h.n - 1))"
     body = f"array_join(transform(heads, h -> concat({piece(before, 'h.s')}, element_at(array({labels}), h.k + 1))), '')"
     masked = f"concat({body}, {piece('element_at(ends, -1)', 'length(text)')})"
-    clean = found.withColumn("clean", F.when(F.expr("size(heads) > 0 AND size(chunks) > 0 AND size(ends) > 0"), F.expr(masked)).otherwise(F.col(f"row.`{text}`")))
+    clean = found.withColumn("clean", F.when(F.expr("size(heads) > 0 AND size(chunks) > 0 AND size(ends) > 0"), F.expr(masked)).when(~F.col("row.none"), F.col("text")))
     put = {text: F.col("clean")} | ({n_chars: F.length("clean").cast(docs.schema[n_chars].dataType)} if n_chars in names else {})
-    return clean.select(*(put.get(c, F.col(f"row.`{c}`")).alias(c) for c in names))
+    return clean.select(*(put[c].alias(c) if c in put else F.col(f"row.c{others.index(c)}").alias(c) for c in names))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

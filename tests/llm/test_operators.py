@@ -587,6 +587,18 @@ def test_masked_texts(spark):
         assert all(z <= s_ or e <= a for s_, e, _ in set(s) - base[i] for a, z, _ in base[i])
 
 
+def test_masking_runs_the_patterns_once(spark, monkeypatch):
+    calls, found = [], pii.with_base
+    monkeypatch.setattr(pii, "with_base", lambda docs: calls.append(1) or found(docs))
+    docs = frame(spark, [(1, "mail a@b.com"), (2, None), (3, ""), (4, "x")], row=1).withColumn("none", F.lit(True)).withColumn("C1", F.lit("z"))
+    masked = pii.redact(docs)
+    plan = masked._jdf.queryExecution().optimizedPlan().toString()
+    assert len(calls) == 1 and "regexp_extract_all" not in plan
+    assert masked.columns == docs.columns and masked.schema["n_chars"].dataType == docs.schema["n_chars"].dataType
+    want = {(i, t, n, "en", 1, True, "z") for i, t, n in ((1, "mail [EMAIL]", 12), (2, None, None), (3, "", 0), (4, "x", 1))}
+    assert {tuple(r) for r in masked.select("doc_id", "text", "n_chars", "lang", "row", "none", "C1").collect()} == want
+
+
 def test_personal_data_in_linear_time(spark):
     import time
 
