@@ -25,9 +25,8 @@ subword. Very long texts are read whole; other columns are not read, whatever th
 from __future__ import annotations
 
 import zlib
-from array import array
 from collections.abc import Iterator
-from itertools import chain
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -70,10 +69,50 @@ def held_out(doc_id: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 7 == 2, F.lit(False))
 
 
-def tokens_of(raw: bytes, off: np.ndarray) -> tuple[list[bytes], np.ndarray]:
-    """Words of texts end to end, each text with its end, and the number of tokens of each text."""
-    texts = [words_of(raw[a:z]) for a, z in zip(off[:-1].tolist(), off[1:].tolist(), strict=True)]
-    return list(chain.from_iterable((*w, END) for w in texts)), np.array([len(w) + 1 for w in texts], np.int64)
+def tokens_of(raw: np.ndarray, off: np.ndarray) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """Different words of texts end to end, and last among them the end; each token's place in that list, each text with its end; and the number of tokens of each text."""
+    low = np.frombuffer(raw.tobytes().translate(_LOWER), np.uint8)
+    solid = low != 32
+    first = solid.copy()
+    first[1:] &= ~solid[:-1]
+    heads = off[:-1][off[:-1] < off[1:]]
+    first[heads] = solid[heads]  # no word runs on into the next text
+    n = np.diff(np.searchsorted(np.flatnonzero(first), off)) + 1
+    data = low[solid]
+    begins = np.append(np.flatnonzero(first[solid]), len(data))
+    words = pa.Array.from_buffers(pa.large_binary(), len(begins) - 1, [None, pa.py_buffer(begins.astype(np.int64)), pa.py_buffer(data)]).dictionary_encode()
+    place = np.full(n.sum(), len(words.dictionary), np.int32)
+    inside = np.ones(len(place), bool)
+    inside[np.cumsum(n) - 1] = False
+    place[inside] = words.indices.to_numpy()
+    return [*words.dictionary.to_pylist(), END], place, n
+
+
+def laid_out(parts: np.ndarray, ids: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Subwords of tokens end to end, and how many each token has."""
+    n = parts[place]
+    return ids[np.repeat((np.cumsum(parts) - parts)[place] - (np.cumsum(n) - n), n) + np.arange(n.sum())], n
+
+
+class _Kept:
+    """Words with their hashes and subwords, these end to end."""
+
+    def __init__(self):
+        self.index: dict[bytes, int] = {}
+        self.keys, self.parts, self.ids = np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.uint16)
+
+    def find(self, words: list[bytes]) -> np.ndarray:
+        """Places of the words, -1 where there is none."""
+        return np.fromiter(map(self.index.get, words, repeat(-1)), np.int64, len(words))
+
+    def add(self, words: list[bytes], keys: np.ndarray, parts: np.ndarray, ids: np.ndarray) -> np.ndarray:
+        places = np.arange(len(self.index), len(self.index) + len(words))
+        self.index.update(zip(words, places.tolist(), strict=True))
+        self.keys, self.parts, self.ids = np.append(self.keys, keys), np.append(self.parts, parts), np.append(self.ids, ids)
+        return places
+
+    def get(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        return self.keys[at], self.parts[at], laid_out(self.parts, self.ids, at)[0]
 
 
 class Subwords:
@@ -84,43 +123,40 @@ class Subwords:
 
         self.sp = sentencepiece.SentencePieceProcessor(model_file=path)
         self.size, self.unknown = self.sp.vocab_size(), max(0, self.sp.unk_id())
-        self.known: dict[bytes, tuple[int, bytes]] = {}
-        self.older: dict[bytes, tuple[int, bytes]] = {}
+        self.known, self.older = _Kept(), _Kept()
+
+    def _cut(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        got = [[self.size] if w == END else ids or [self.unknown] for w, ids in zip(words, self.sp.encode([w.decode("utf-8", "replace") for w in words], num_threads=1), strict=True)]
+        parts = np.fromiter(map(len, got), np.int64, len(got))
+        return np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words)), parts, np.fromiter(chain.from_iterable(got), np.uint16, parts.sum())
+
+    def rows(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Hashes, numbers of subwords and subwords of different words; those not known yet are cut in one call."""
+        if len(self.known.index) > CACHE:
+            self.known, self.older = _Kept(), self.known
+        at = self.known.find(words)
+        for look in (True, False):
+            new = np.flatnonzero(at < 0)
+            some = [words[i] for i in new.tolist()]
+            if look and some:
+                there = self.older.find(some)
+                new, some, there = new[there >= 0], [w for w, i in zip(some, there.tolist(), strict=True) if i >= 0], there[there >= 0]
+            if some:
+                at[new] = self.known.add(some, *(self.older.get(there) if look else self._cut(some)))
+        return self.known.get(at)
 
     def of(self, words: list[bytes]) -> list[tuple[int, bytes]]:
-        """Hash and ids (as bytes) of different words; those not known yet are cut in one call."""
-        if len(self.known) > CACHE:
-            self.known, self.older = {}, self.known
-        known, older = self.known, self.older
-        rest = [w for w in words if w not in known]
-        fresh = []
-        for w in rest:
-            if w in older:
-                known[w] = older[w]
-            else:
-                fresh.append(w)
-        for w, ids in zip(fresh, self.sp.encode([w.decode("utf-8", "replace") for w in fresh], num_threads=1), strict=True):
-            known[w] = (xxhash.xxh64_intdigest(w), array("H", [self.size] if w == END else ids or [self.unknown]).tobytes())
-        return list(map(known.__getitem__, words))
-
-    def block(self, tokens: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Distinct hashes of the tokens, ascending; the number of subwords of each and all of them end to end; and each token's place among the hashes."""
-        index = dict.fromkeys(tokens)
-        got = self.of(list(index))
-        for i, w in enumerate(index):
-            index[w] = i
-        keys = np.fromiter((g[0] for g in got), np.uint64, len(got))
+        """Hash and ids (as bytes) of different words."""
+        keys, parts, ids = self.rows(words)
+        return [(k, i.tobytes()) for k, i in zip(keys.tolist(), np.split(ids, np.cumsum(parts)[:-1]), strict=True)] if words else []
+
+    def block(self, words: list[bytes], place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Hashes of different words, ascending; the number of subwords of each and all of them end to end; and each token's place among the hashes."""
+        keys, parts, ids = self.rows(words)
         order = np.argsort(keys, kind="stable")
         rank = np.empty(len(keys), np.int32)
         rank[order] = np.arange(len(keys))
-        ids = [got[i][1] for i in order.tolist()]
-        return keys[order], np.fromiter(map(len, ids), np.int64, len(ids)) >> 1, np.frombuffer(b"".join(ids), np.uint16), rank[np.fromiter(map(index.__getitem__, tokens), np.int32, len(tokens))]
-
-
-def laid_out(parts: np.ndarray, ids: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Subwords of tokens end to end, and how many each token has."""
-    n = parts[place]
-    return ids[np.repeat((np.cumsum(parts) - parts)[place] - (np.cumsum(n) - n), n) + np.arange(n.sum())], n
+        return keys[order], parts[order], laid_out(parts, ids, order)[0], rank[place]
 
 
 def windows(lens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -139,6 +175,13 @@ def take(stream: np.ndarray, at: np.ndarray, none: int) -> np.ndarray:
     return np.where(at >= 0, stream[np.maximum(at, 0)].astype(np.int64), none)
 
 
+def _outer(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """a.T @ b, by 128 rows: for long narrow arrays that is the faster way."""
+    n = len(a) & -128
+    out = np.matmul(a[:n].reshape(-1, 128, a.shape[1]).transpose(0, 2, 1), b[:n].reshape(-1, 128, b.shape[1])).sum(0)
+    return out + a[n:].T @ b[n:] if n < len(a) else out
+
+
 class Attention:
     """One causal self-attention layer on top of pair counts. Id 0 stands before each text and ends it.
 
@@ -171,23 +214,27 @@ class Attention:
         if self.of_class is None:
             self._lay_out()
         p = self.p
-        h = p["e"][x] + p["pos"]
-        q = h[:, CONTEXT:] @ p["q"]
-        q *= np.float32(WIDTH**-0.5)
-        k, v = h @ p["k"], h @ p["v"]
-        s = q @ k.transpose(0, 2, 1)
-        np.minimum(s, np.float32(60), out=s)  # no sum can overflow, so no maximum needs to come off
+        h = p["e"].take(x, 0)
+        h += p["pos"]
+        three = self._three()
+        qkv = (h.reshape(-1, WIDTH) @ three).reshape(*x.shape, 3 * WIDTH)
+        q, k, v = qkv[:, CONTEXT:, :WIDTH], qkv[..., WIDTH : 2 * WIDTH], qkv[..., 2 * WIDTH :]
+        s = q @ np.ascontiguousarray(k.transpose(0, 2, 1))
+        if s.size and not s.max() <= 60:
+            np.minimum(s, np.float32(60), out=s)  # no sum can overflow, so no maximum needs to come off
         np.exp(s, out=s)
         s *= self.mask
-        total = (s @ np.ones(WINDOW, s.dtype))[..., None]
-        if not keep:
-            z = s @ v
-            z /= total
-            z += p["last"][x[:, CONTEXT:]]
-            return (np.tanh(z, out=z),)
-        s /= total
+        each = 1 / (s @ np.ones(WINDOW, s.dtype))[..., None]
         a = s @ v
-        return h, q, k, v, s, a, np.tanh(a + p["last"][x[:, CONTEXT:]])
+        a *= each
+        z = p["last"].take(x[:, CONTEXT:], 0)
+        z += a
+        np.tanh(z, out=z)
+        return (h, three, q, k, v, s, each, a, z) if keep else (z,)
+
+    def _three(self) -> np.ndarray:
+        """The weights of queries (scaled), keys and values side by side."""
+        return np.concatenate([self.p["q"] * np.float32(WIDTH**-0.5), self.p["k"], self.p["v"]], axis=1)
 
     def _targets(self, x: np.ndarray, y: np.ndarray, z: np.ndarray) -> tuple:
         """Targets in order of their classes: places, classes, members, hidden values, weights of classes and of members, and where classes begin."""
@@ -195,10 +242,10 @@ class Attention:
         place = place[np.argsort((y.ravel()[place] >> _SHIFT).astype(np.uint8), kind="stable")]
         y = y.ravel()[place]
         c, member = y >> _SHIFT, y & (MEMBERS - 1)
-        before, z = x[:, CONTEXT:].ravel()[place], z.reshape(-1, WIDTH)[place]
+        before, z = x[:, CONTEXT:].ravel()[place], z.reshape(-1, WIDTH).take(place, 0)
         classes = z @ self.p["u"]
-        classes += self.of_class[before]
-        members = self.in_class[before, c]
+        classes += self.of_class.take(before, 0)
+        members = self.in_class.reshape(-1, MEMBERS).take(before * CLASSES + c, 0)
         cut = np.searchsorted(c, np.arange(CLASSES + 1)).tolist()
         for k in range(CLASSES):
             if cut[k] < cut[k + 1]:
@@ -223,7 +270,7 @@ class Attention:
         return out.reshape(y.shape)
 
     def gradients(self, x: np.ndarray, y: np.ndarray) -> dict[str, np.ndarray]:
-        p, (h, q, k, v, s, a, z) = self.p, self._hidden(x)
+        p, (h, three, q, k, v, s, each_s, a, z) = self.p, self._hidden(x)
         place, c, member, zt, classes, members, cut = self._targets(x, y, z)
         n = np.arange(len(place))
         small, each = self._small(), np.float32(1 / max(1, len(n)))
@@ -233,7 +280,7 @@ class Attention:
             np.exp(logits, out=logits)
             logits *= (each / (logits @ np.ones(logits.shape[1], logits.dtype)))[:, None]
             logits[n, at] -= each
-        g = {"u": zt.T @ classes, "m": np.zeros_like(p["m"])}
+        g = {"u": _outer(zt, classes), "m": np.zeros_like(p["m"])}
         dt = classes @ p["u"].T
         for j in range(CLASSES):
             if cut[j] < cut[j + 1]:
@@ -242,21 +289,29 @@ class Attention:
                 dt[some] += members[some] @ p["m"][j].T
         dz = np.zeros((y.size, WIDTH), np.float32)
         dz[place] = dt
-        flat = lambda a: a.reshape(-1, a.shape[-1])
-        do = dz.reshape(*y.shape, WIDTH) * (1 - z * z)
-        dv = s.transpose(0, 2, 1) @ do
-        ds = do @ v.transpose(0, 2, 1)
-        ds -= ((do * a) @ np.ones(WIDTH, do.dtype))[..., None]
+        do = dz.reshape(*y.shape, WIDTH)
+        do *= 1 - z * z
+        dn = do * each_s  # s is not divided by its sums
+        ds = dn @ np.ascontiguousarray(v.transpose(0, 2, 1))
+        ds -= ((dn * a) @ np.ones(WIDTH, dn.dtype))[..., None]
         ds *= s
-        dq, dk = ds @ k, ds.transpose(0, 2, 1) @ q
-        dq *= np.float32(WIDTH**-0.5)
-        g |= {"q": flat(h[:, CONTEXT:]).T @ flat(dq), "k": flat(h).T @ flat(dk), "v": flat(h).T @ flat(dv)}
-        dh = dk @ p["k"].T + dv @ p["v"].T
-        dh[:, CONTEXT:] += dq @ p["q"].T
+        d = np.empty((*x.shape, 3 * WIDTH), h.dtype)
+        d[:, :CONTEXT, :WIDTH] = 0
+        np.matmul(ds, k, out=d[:, CONTEXT:, :WIDTH])
+        np.matmul(ds.transpose(0, 2, 1), q, out=d[..., WIDTH : 2 * WIDTH])
+        np.matmul(s.transpose(0, 2, 1), dn, out=d[..., 2 * WIDTH :])
+        d = d.reshape(-1, 3 * WIDTH)
+        g["q"], g["k"], g["v"] = np.split(_outer(h.reshape(-1, WIDTH), d), 3, axis=1)
+        g["q"] = g["q"] * np.float32(WIDTH**-0.5)
+        dh = (d @ three.T).reshape(h.shape)
         g["pos"] = dh.sum(0)
         for name, at, what in (("e", x, dh), ("last", x[:, CONTEXT:], do)):
-            cells = (at.ravel()[:, None] * WIDTH + np.arange(WIDTH)).ravel()
-            g[name] = np.bincount(cells, what.ravel(), VOCABULARY * WIDTH).reshape(VOCABULARY, WIDTH).astype(np.float32)
+            ids = at.ravel().astype(np.uint16)
+            order = np.argsort(ids, kind="stable")
+            ids = ids[order]
+            first = np.flatnonzero(np.append(True, ids[1:] != ids[:-1]))
+            g[name] = np.zeros((VOCABULARY, WIDTH), what.dtype)
+            g[name][ids[first]] = np.add.reduceat(what.reshape(-1, WIDTH).take(order, 0), first, 0)
         return g
 
     def train(self, rows: np.ndarray, top: float, batch: int) -> None:
@@ -318,8 +373,8 @@ def gathered(docs: DataFrame, path: str) -> tuple[DataFrame, str]:
         for b in blocks(batches, BLOCK):
             raw, off = text_buffer(column(b, "text"))
             held = np.asarray(column(b, "held").to_pylist(), bool)
-            tokens, n = tokens_of(raw.tobytes(), off)
-            words, parts, ids, place = subwords.block(tokens)
+            tokens, place, n = tokens_of(raw, off)
+            words, parts, ids, place = subwords.block(tokens, place)
             trained = np.repeat(~held, n)
             n_words = np.bincount(place[trained], minlength=len(words)).astype(np.uint32)
             got, first = np.empty((0, WINDOW + 1), np.uint16), np.empty(0, bool)

@@ -490,6 +490,27 @@ def test_scores_against_a_plain_model(spark, texts):
         assert math.isclose(total, got[i], rel_tol=1e-3, abs_tol=1e-2), i
 
 
+def test_words_and_subwords_by_the_block(monkeypatch):
+    """Each different word of a block is cut once, also where kept words make room; words never join across texts."""
+    monkeypatch.setattr(lm_scoring, "CACHE", 5)
+    rng = random.Random(6)
+    sub, plain, asked = lm_scoring.Subwords(token_counts.model_path()), lm_scoring.Subwords(token_counts.model_path()), []
+    cut = sub._cut
+    monkeypatch.setattr(sub, "_cut", lambda words: asked.extend(words) or cut(words))
+    pieces = ["Ab", "c", "é😀", " ", "\n", "\t ", "zebra", "\x00", "\x1c", "", "A"]
+    for texts in (["", ""], ["x", "y z", "", " ", "Q"], *(["".join(rng.choices(pieces, k=rng.randint(0, 12))) for _ in range(30)] for _ in range(6))):
+        raw = [t.encode() for t in texts]
+        tokens, place, n = lm_scoring.tokens_of(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]))
+        want = [[*lm_scoring.words_of(t), lm_scoring.END] for t in raw]
+        assert n.tolist() == [len(w) for w in want] and [tokens[i] for i in place] == [w for t in want for w in t]
+        before = len(asked)
+        keys, parts, ids, rank = sub.block(tokens, place)
+        assert len(set(tokens)) == len(tokens) and len(set(asked[before:])) == len(asked) - before
+        at = np.cumsum(parts)
+        got = [(int(keys[r]), ids[at[r] - parts[r] : at[r]].tobytes()) for r in rank]
+        assert got == [plain.of([w])[0] for t in want for w in t] and (keys[1:] > keys[:-1]).all()
+
+
 def test_windows_score_each_token_once():
     rng = np.random.default_rng(1)
     pairs = rng.integers(0, lm_scoring.VOCABULARY, (2, 500))
