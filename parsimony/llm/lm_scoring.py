@@ -55,7 +55,7 @@ PRIOR = 300.0
 #: Weight of a word's share of all training tokens.
 MIX = 0.1
 #: Text bytes of a block, windows scored at once, words whose subwords a worker keeps.
-BLOCK, AT_ONCE, CACHE = 3 << 20, 96, 300_000
+BLOCK, AT_ONCE, CACHE = 3 << 20, 192, 300_000
 _LOWER = bytes(32 if 9 <= b <= 13 else b + 32 if 65 <= b <= 90 else b for b in range(256))
 #: Stands for the end of a text among its words; no word holds it.
 END = b"\n"
@@ -73,19 +73,22 @@ def tokens_of(raw: np.ndarray, off: np.ndarray) -> tuple[list[bytes], np.ndarray
     """Different words of texts end to end, and last among them the end; each token's place in that list, each text with its end; and the number of tokens of each text."""
     low = np.frombuffer(raw.tobytes().translate(_LOWER), np.uint8)
     solid = low != 32
-    first = solid.copy()
+    first, last = solid.copy(), solid.copy()
     first[1:] &= ~solid[:-1]
-    heads = off[:-1][off[:-1] < off[1:]]
-    first[heads] = solid[heads]  # no word runs on into the next text
-    n = np.diff(np.searchsorted(np.flatnonzero(first), off)) + 1
-    data = low[solid]
-    begins = np.append(np.flatnonzero(first[solid]), len(data))
-    words = pa.Array.from_buffers(pa.large_binary(), len(begins) - 1, [None, pa.py_buffer(begins.astype(np.int64)), pa.py_buffer(data)]).dictionary_encode()
+    last[:-1] &= ~solid[1:]
+    full = off[:-1] < off[1:]  # no word runs on into the next text
+    first[off[:-1][full]], last[off[1:][full] - 1] = solid[off[:-1][full]], solid[off[1:][full] - 1]
+    starts = np.flatnonzero(first)
+    n = np.diff(np.searchsorted(starts, off)) + 1
+    begins = np.append(0, np.cumsum(np.flatnonzero(last) + 1 - starts))
+    words = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(begins.astype(np.int64)), pa.py_buffer(low[solid])]).dictionary_encode()
     place = np.full(n.sum(), len(words.dictionary), np.int32)
     inside = np.ones(len(place), bool)
     inside[np.cumsum(n) - 1] = False
     place[inside] = words.indices.to_numpy()
-    return [*words.dictionary.to_pylist(), END], place, n
+    data, at = text_buffer(words.dictionary)
+    data, at = data.tobytes(), at.tolist()
+    return [*(data[a:z] for a, z in zip(at[:-1], at[1:], strict=True)), END], place, n
 
 
 def laid_out(parts: np.ndarray, ids: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -316,16 +319,25 @@ class Attention:
 
     def train(self, rows: np.ndarray, top: float, batch: int) -> None:
         """One pass over windows (WINDOW inputs and the last target, ids, -1 behind the text) in the order given."""
-        m = {k: np.zeros_like(v) for k, v in self.p.items()}
-        w = {k: np.zeros_like(v) for k, v in self.p.items()}
+        names, p = list(self.p), np.concatenate([v.ravel() for v in self.p.values()])
+        ends = np.cumsum([self.p[k].size for k in names])
+        self.p = {k: part.reshape(self.p[k].shape) for k, part in zip(names, np.split(p, ends[:-1]), strict=True)}  # views
+        m, w = np.zeros_like(p), np.zeros_like(p)
         steps = -(-len(rows) // batch)
         for t in range(1, steps + 1):
             some = rows[(t - 1) * batch : t * batch]
             rate = top * min(1, 2 * (1 - t / (steps + 1)))
-            for k, g in self.gradients(np.maximum(some[:, :WINDOW], 0), some[:, CONTEXT + 1 :]).items():
-                m[k] += 0.1 * (g - m[k])
-                w[k] += 0.01 * (g * g - w[k])
-                self.p[k] -= (rate * (m[k] / (1 - 0.9**t)) / (np.sqrt(w[k] / (1 - 0.99**t)) + 1e-8)).astype(np.float32)
+            of = self.gradients(np.maximum(some[:, :WINDOW], 0), some[:, CONTEXT + 1 :])
+            g = np.concatenate([of[k].ravel() for k in names])
+            m += 0.1 * (g - m)
+            g *= g
+            g -= w
+            g *= 0.01
+            w += g
+            np.divide(w, 1 - 0.99**t, out=g)
+            np.sqrt(g, out=g)
+            g += 1e-8
+            p -= rate * (m / (1 - 0.9**t)) / g
 
     def score(self, stream: np.ndarray, lens: np.ndarray) -> np.ndarray:
         """Natural log probability of each id of the texts."""
