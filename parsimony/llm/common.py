@@ -5,14 +5,17 @@ from __future__ import annotations
 import atexit
 import ctypes
 import gc
+import os
 import shutil
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -67,6 +70,55 @@ def stored(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Bytes and rows of a row group in tables that workers write; Spark reads a group at a time, so large blobs never lie in the JVM by the file.
+GROUP_BYTES, GROUP_ROWS = 2 << 20, 50_000
+
+
+def written(df: DataFrame, tag: str, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]] | None = None, schema: str | None = None) -> DataFrame:
+    """As stored(), of df or of df.mapInArrow(run, schema), but in a local folder the Python workers write the files.
+
+    Hadoop's local file system starts a process for each file and folder that it makes, which shares the JVM's memory for
+    a moment and is counted with all of it; besides, rows of a run need not pass through the JVM. A task writes under a
+    hidden name and returns it; the driver gives the files of successful tasks their names, so nothing of a failed or
+    repeated attempt is ever read.
+    """
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import StructType
+
+    spark = df.sparkSession
+    if not shared_dir(spark).startswith(("file:", "/")):
+        return stored(df.mapInArrow(run, schema) if run else df, tag)
+    bound_batches(spark)
+    path = new_folder(spark, tag)
+    folder = "/" + path.removeprefix("file:").lstrip("/")
+    os.makedirs(folder)
+    kind = StructType.fromDDL(schema) if run else df.schema
+    arrow = to_arrow_schema(kind)
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import parquet as pq
+
+        name, writer, some, size, rows = f".{TaskContext.get().partitionId():05d}-{uuid.uuid4().hex}", None, [], 0, 0
+        try:
+            for b in chain(run(batches) if run else batches, [None]):
+                if b is not None and b.num_rows:
+                    some.append(pa.RecordBatch.from_arrays([c if c.type == f.type else c.cast(f.type) for f, c in ((f, column(b, f.name)) for f in arrow)], schema=arrow))
+                    size, rows = size + some[-1].nbytes, rows + b.num_rows
+                if some and (b is None or size >= GROUP_BYTES or rows >= GROUP_ROWS):
+                    writer = writer or pq.ParquetWriter(f"{folder}/{name}", arrow, use_dictionary=False)
+                    writer.write_table(pa.Table.from_batches(some), row_group_size=max(rows, 1))
+                    some, size, rows = [], 0, 0
+        finally:
+            if writer:
+                writer.close()
+        if writer:
+            yield pa.RecordBatch.from_arrays([pa.array([name])], names=["name"])
+
+    for r in df.mapInArrow(write, "name string").collect():
+        os.rename(f"{folder}/{r.name}", f"{folder}/part-{r.name[1:]}.parquet")
+    return spark.read.schema(kind).parquet(path)
+
+
 def drop_stored(*tables: DataFrame) -> None:
     """Deletes stored tables that nothing reads any more."""
     for df in tables:

@@ -30,7 +30,8 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import blocks, bound_batches, column, drop_stored, free_name, mix, stored, text_buffer
+from .common import blocks, bound_batches, column, drop_stored, free_name, mix, text_buffer
+from .common import written as stored
 from .decontaminate import _TABLE
 
 SHINGLE, SIMILAR = 5, 0.8
@@ -174,7 +175,7 @@ def band_hashes(samples: np.ndarray, first: int = 0) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, idf: np.ndarray) -> DataFrame:
-    """doc_id, key (digest of the text) and bands (none without words) of every row."""
+    """Stored doc_id, key (digest of the text) and bands (none without words) of every row."""
     shared = docs.sparkSession.sparkContext.broadcast(idf)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("key", F.md5("text"))
 
@@ -191,7 +192,7 @@ def signatures(docs: DataFrame, idf: np.ndarray) -> DataFrame:
                     bands[i] = x
             yield pa.RecordBatch.from_arrays([column(b, "doc_id"), column(b, "key"), pa.array(bands, pa.list_(pa.int64()))], names=["doc_id", "key", "bands"])
 
-    return rows.mapInArrow(run, "doc_id long, key string, bands array<long>")
+    return stored(rows, "signatures", run, "doc_id long, key string, bands array<long>")
 
 
 def vectors(docs: DataFrame, keys: DataFrame) -> DataFrame:
@@ -223,7 +224,7 @@ def similarity(h1: np.ndarray, n1: np.ndarray, h2: np.ndarray, n2: np.ndarray, t
 
 
 def verified(pairs: DataFrame, vecs: DataFrame, idf: np.ndarray, least: float = SIMILAR) -> DataFrame:
-    """Those of the pairs (a, b) of keys that are similar enough."""
+    """Those of the pairs (a, b) of keys that are similar enough, stored."""
     shared = pairs.sparkSession.sparkContext.broadcast(idf)
     va, vb = (vecs.select(F.col("key").alias(x), F.col("h").alias(f"h{x}"), F.col("n").alias(f"n{x}")) for x in "ab")
     joined = pairs.join(va, "a").join(vb, "b").select("a", "b", "ha", "na", "hb", "nb")
@@ -239,7 +240,7 @@ def verified(pairs: DataFrame, vecs: DataFrame, idf: np.ndarray, least: float =
             mask = pa.array(keep, pa.bool_())
             yield pa.RecordBatch.from_arrays([column(b, "a").filter(mask), column(b, "b").filter(mask)], names=["a", "b"])
 
-    return joined.mapInArrow(run, "a string, b string")
+    return stored(joined, "links", run, "a string, b string")
 
 
 def linked(members: list[tuple[np.ndarray, np.ndarray]], comps: list[str], table: np.ndarray, least: float = SIMILAR) -> list[tuple[int, int]]:
@@ -350,7 +351,7 @@ def components(links: DataFrame) -> DataFrame:
 def text_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Stored signatures (doc_id, key, bands) and key, comp of the keys that have near duplicates."""
     idf = idf_table(docs)
-    rows = stored(signatures(docs, idf), "signatures")
+    rows = signatures(docs, idf)
     texts = rows.where(F.size("bands") > 0).groupBy("key").agg(F.first("bands").alias("bands"))
     met = texts.select("key", F.posexplode("bands").alias("band", "hash"))
     groups = met.groupBy("band", "hash").agg(F.min("key").alias("lo"), F.max("key").alias("hi")).where("lo <> hi")
@@ -358,7 +359,7 @@ def text_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     pairs = met.select(F.col("key").alias("a"), F.explode(F.array("lo", "hi")).alias("b")).where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     pairs = stored(pairs, "pairs")
     vecs = stored(vectors(docs, met.select("key").distinct()), "vectors")
-    links = stored(verified(pairs, vecs, idf), "links")
+    links = verified(pairs, vecs, idf)
     comps = components(links)
     # groups whose members are still in different components are compared whole, tile by tile
     member = stored(met.join(comps, "key", "left").select("band", "hash", "key", F.coalesce("comp", "key").alias("comp")), "members")

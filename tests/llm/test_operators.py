@@ -7,13 +7,14 @@ import random
 import re
 import zlib
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from parsimony.llm import ann, decontaminate, lm_scoring, minhash, packing, pii, suffix_dedup, token_counts, toxicity, warc
-from parsimony.llm.common import stored
+from parsimony.llm import ann, common, decontaminate, lm_scoring, minhash, packing, pii, suffix_dedup, token_counts, toxicity, warc
+from parsimony.llm.common import shared_dir, stored
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 WORDS = [a + b for a in "ba to ri lu ne".split() for b in "sa mo ki the of zu".split()]
@@ -756,3 +757,43 @@ def test_pipeline_of_nothing(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def _stored_files(spark):
+    root = Path("/" + shared_dir(spark).removeprefix("file:").lstrip("/"))
+    return {str(p) for d in root.glob("parsimony-*") for p in d.iterdir()}
+
+
+@pytest.mark.parametrize("run", [minhash.near_duplicates], ids=["op6_minhash"])
+def test_stored_tables_start_no_process_of_hadoop(spark, texts, monkeypatch, run):
+    """Hadoop's local file system runs chmod for each file it makes, and leaves a checksum file beside it."""
+    monkeypatch.setattr(common, "drop_folder", lambda *a: None)
+    before = _stored_files(spark)
+    run(frame(spark, texts)).count()
+    made = _stored_files(spark) - before
+    assert made and all(re.search(r"/part-\d{5}-\w+\.parquet$", p) for p in made)
+
+
+def test_written_tables(spark):
+    """Rows come back as they were, in small row groups; what a failed attempt leaves is not read."""
+    from pyarrow import parquet as pq
+
+    rows = spark.createDataFrame([(i, None if i % 5 == 0 else b"x" * 900_000, [i, None], (i, str(i))) for i in range(40)] + [(None, None, None, None)], "a int, b binary, c array<long>, d struct<n: long, s: string>")
+    before = _stored_files(spark)
+    got = common.written(rows.repartition(3), "any")
+    assert sorted(map(repr, got.collect())) == sorted(map(repr, rows.collect())) and got.dtypes == rows.dtypes
+    files = sorted(_stored_files(spark) - before)
+    groups = [pq.ParquetFile(f).metadata for f in files]
+    assert len(files) == 3 and all(m.row_group(i).column(1).total_uncompressed_size < 2 * (common.BATCH_BYTES + common.GROUP_BYTES) for m in groups for i in range(m.num_row_groups)) and sum(m.num_row_groups for m in groups) > 3
+    folder = Path(files[0]).parent
+    (folder / ".00000-dead").write_bytes(b"half a file")
+    assert spark.read.parquet(str(folder)).count() == 41
+    assert common.written(rows.limit(0), "none").count() == 0
+
+    def twice(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([2 * (x or 0) for x in b.column(0).to_pylist()], pa.int64())], names=["z"])
+
+    assert sorted(r.z for r in common.written(rows, "run", twice, "z long").collect()) == sorted([0, *(2 * i for i in range(40))])
