@@ -31,7 +31,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import blocks, column, drop_stored, id_and_text, mix, stored, text_buffer
+from .common import blocks, column, drop_stored, id_and_text, mix, text_buffer
+from .common import written as stored
 from .exchange import FIRSTS, bucket_bits, by_block, firsts, joined, totals
 
 LENGTH, GRAM = 100, 40
@@ -101,7 +102,7 @@ def block_table(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([part + k], pa.int64()), pa.array([column(b, "doc_id").to_pylist()], pa.list_(pa.int64())), pa.array([off.tobytes()], pa.binary()), pa.array([z.compress(raw.tobytes())], pa.binary()), pa.array([len(raw)], pa.int64())], names=["block_id", "doc_ids", "offsets", "text", "n_bytes"])
             k += 1
 
-    return stored(id_and_text(docs).mapInArrow(run, "block_id long, doc_ids array<long>, offsets binary, text binary, n_bytes long"), "blocks")
+    return stored(id_and_text(docs), "blocks", run, "block_id long, doc_ids array<long>, offsets binary, text binary, n_bytes long")
 
 
 def _opened(b: pa.RecordBatch, r: int) -> tuple[np.ndarray, np.ndarray]:
@@ -167,7 +168,7 @@ def cut_blocks(table: DataFrame, found: DataFrame) -> DataFrame:
                     names=["block_id", "doc_ids", "offsets", "text", "hashes", "places", "k1", "k2", "firsts", "n_keys"],
                 )
 
-    return stored(table.join(by_block(found), "block_id", "left").mapInArrow(run, CUT), "cut")
+    return stored(table.join(by_block(found), "block_id", "left"), "cut", run, CUT)
 
 
 class _Cut:
@@ -216,7 +217,7 @@ SEGMENTS = "bucket int, block_id long, hashes binary, lens binary, doc_ids binar
 
 
 def dealt_segments(cut: DataFrame, own: DataFrame, different: DataFrame, n_buckets: int) -> DataFrame:
-    """Different segments to be sorted, by bucket of their hash; those under a hash with more than HOT of them in bucket -1."""
+    """Stored different segments to be sorted, by bucket of their hash; those under a hash with more than HOT of them in bucket -1."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -247,7 +248,7 @@ def dealt_segments(cut: DataFrame, own: DataFrame, different: DataFrame, n_bucke
                     names=["bucket", "block_id", "hashes", "lens", "doc_ids", "rows", "starts", "data"],
                 )
 
-    return flagged(cut, own, "doc_ids", "offsets", "text").join(by_block(different), "block_id").mapInArrow(run, SEGMENTS)
+    return stored(flagged(cut, own, "doc_ids", "offsets", "text").join(by_block(different), "block_id"), "segments", run, SEGMENTS)
 
 
 def _twice(raw: np.ndarray, h: np.uint64) -> bool:
@@ -495,7 +496,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     keys = cut.agg(F.sum("n_keys")).first()[0] or 0
     own = stored(firsts(key_places(cut), bucket_bits(2 * keys)), "firsts")
     different = stored(totals(different_counts(cut, own), bucket_bits(keys)), "different")
-    dealt = stored(dealt_segments(cut, own, different, max(16, int(150 * keys / BUCKET))), "segments")
+    dealt = dealt_segments(cut, own, different, max(16, int(150 * keys / BUCKET)))
     drop_stored(different)
     found = stored(marks(dealt.where("bucket >= 0")), "marks")
     hot = dealt.where("bucket < 0")

@@ -764,7 +764,7 @@ def _stored_files(spark):
     return {str(p) for d in root.glob("parsimony-*") for p in d.iterdir()}
 
 
-@pytest.mark.parametrize("run", [minhash.near_duplicates], ids=["op6_minhash"])
+@pytest.mark.parametrize("run", [minhash.near_duplicates, suffix_dedup.remove_repeats], ids=["op6_minhash", "op8_suffix_dedup"])
 def test_stored_tables_start_no_process_of_hadoop(spark, texts, monkeypatch, run):
     """Hadoop's local file system runs chmod for each file it makes, and leaves a checksum file beside it."""
     monkeypatch.setattr(common, "drop_folder", lambda *a: None)
