@@ -114,7 +114,14 @@ def written(df: DataFrame, tag: str, run: Callable[[Iterator[pa.RecordBatch]], I
         if writer:
             yield pa.RecordBatch.from_arrays([pa.array([name])], names=["name"])
 
-    for r in df.mapInArrow(write, "name string").collect():
+    tidy = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"  # nothing reads this query's shuffles again
+    before = spark.conf.get(tidy, "false")
+    spark.conf.set(tidy, "true")
+    try:
+        names = df.mapInArrow(write, "name string").collect()
+    finally:
+        spark.conf.set(tidy, before)
+    for r in names:
         os.rename(f"{folder}/{r.name}", f"{folder}/part-{r.name[1:]}.parquet")
     return spark.read.schema(kind).parquet(path)
 

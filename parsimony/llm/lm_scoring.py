@@ -36,7 +36,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import blocks, column, drop_stored, id_and_text, mix, stored, text_buffer
+from .common import blocks, column, drop_stored, id_and_text, mix, text_buffer, written
+from .common import written as stored
 from .exchange import bucket_bits, by_block, joined, totals
 from .token_counts import model_path
 
@@ -411,15 +412,19 @@ def gathered(docs: DataFrame, path: str) -> tuple[DataFrame, str]:
         if len(k):
             yield row(part=part % 64, pairs=zlib.compress(k.tobytes(), 1), pair_counts=zlib.compress(c.tobytes(), 1))
 
-    return stored(rows.mapInArrow(run, BLOCKS), "lm-gathered"), path
+    return written(rows, "lm-gathered", run, BLOCKS), path
 
 
 def training_windows(stream: np.ndarray, lens: np.ndarray, end: int) -> np.ndarray:
     """All windows of the texts: WINDOW inputs and the last target, as raw ids."""
-    inputs, targets = windows(lens)
-    rows = take(stream, np.concatenate([inputs, targets[:, -1:]], axis=1), end).astype(np.uint16)
-    rows[:, CONTEXT + 1 :][targets < 0] = _NONE
-    return rows
+    n = -(-lens // STRIDE)
+    room = CONTEXT + 1 + n * STRIDE  # each text behind the ends before it, filled up to whole strides
+    begins = np.cumsum(room) - room
+    laid = np.full(max(room.sum(), WINDOW + 1), _NONE, np.uint16)
+    laid[begins[:, None] + np.arange(CONTEXT + 1)] = end
+    laid[np.repeat(begins + CONTEXT + 1 - (np.cumsum(lens) - lens), lens) + np.arange(len(stream))] = stream
+    at = np.repeat(begins, n) + STRIDE * (np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n))
+    return np.lib.stride_tricks.sliding_window_view(laid, WINDOW + 1)[at]
 
 
 def _window_hash(rows: np.ndarray) -> np.ndarray:
@@ -494,9 +499,9 @@ def _pass(table: DataFrame, model: Attention, number: np.ndarray, shards: int, r
         model, number = shared.value
         own = Attention(model.pairs)
         own.p = {k: v.copy() for k, v in model.p.items()}
-        ids = number[np.where(rows == _NONE, 0, rows).astype(np.int64)]
-        ids[rows == _NONE] = -1
-        own.train(ids, rate, batch)
+        numbers = np.full(_NONE + 1, -1)
+        numbers[: len(number)] = number
+        own.train(numbers.take(rows), rate, batch)
         flat = np.concatenate([own.p[k].ravel() for k in sorted(own.p)])
         yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([len(rows)], pa.int64()), pa.array([flat.tobytes()], pa.binary())], names=["shard", "n", "weights"])
 

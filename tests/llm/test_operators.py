@@ -764,7 +764,7 @@ def _stored_files(spark):
     return {str(p) for d in root.glob("parsimony-*") for p in d.iterdir()}
 
 
-@pytest.mark.parametrize("run", [minhash.near_duplicates, suffix_dedup.remove_repeats], ids=["op6_minhash", "op8_suffix_dedup"])
+@pytest.mark.parametrize("run", [minhash.near_duplicates, suffix_dedup.remove_repeats, lm_scoring.score_texts], ids=["op6_minhash", "op8_suffix_dedup", "op10_lm_scoring"])
 def test_stored_tables_start_no_process_of_hadoop(spark, texts, monkeypatch, run):
     """Hadoop's local file system runs chmod for each file it makes, and leaves a checksum file beside it."""
     monkeypatch.setattr(common, "drop_folder", lambda *a: None)
@@ -797,3 +797,28 @@ def test_written_tables(spark):
             yield pa.RecordBatch.from_arrays([pa.array([2 * (x or 0) for x in b.column(0).to_pylist()], pa.int64())], names=["z"])
 
     assert sorted(r.z for r in common.written(rows, "run", twice, "z long").collect()) == sorted([0, *(2 * i for i in range(40))])
+
+
+def test_training_windows_by_definition():
+    """Each window against its text, written out."""
+    rng = np.random.default_rng(3)
+    lens = np.array([1, 32, 33, 31, 64, 200])
+    stream = rng.integers(0, 32000, lens.sum()).astype(np.uint16)
+    want, at = [], 0
+    for n in lens.tolist():
+        text = [32000] * (lm_scoring.CONTEXT + 1) + stream[at : at + n].tolist() + [65535] * lm_scoring.STRIDE
+        want += [text[k : k + lm_scoring.WINDOW + 1] for k in range(0, n, lm_scoring.STRIDE)]
+        at += n
+    got = lm_scoring.training_windows(stream, lens, 32000)
+    assert got.dtype == np.uint16 and got.tolist() == want
+    assert lm_scoring.training_windows(stream[:0], lens[:0], 32000).shape == (0, lm_scoring.WINDOW + 1)
+
+
+def test_shuffle_files_of_written_tables_are_removed(spark, monkeypatch):
+    """They lie on the disk until the driver collects its garbage otherwise; the setting holds for this query only."""
+    tidy, seen = "spark.sql.classic.shuffleDependency.fileCleanup.enabled", []
+    kind = type(spark.range(1))
+    collect = kind.collect
+    monkeypatch.setattr(kind, "collect", lambda df: [seen.append(spark.conf.get(tidy)), collect(df)][1])
+    got = common.written(spark.range(100).groupBy((F.col("id") % 7).alias("k")).count(), "tidy")
+    assert seen == ["true"] and spark.conf.get(tidy, "false") == "false" and got.count() == 7
