@@ -26,7 +26,8 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
-from itertools import chain, repeat
+from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -57,6 +58,10 @@ PRIOR = 300.0
 MIX = 0.1
 #: Text bytes of a block, windows scored at once, words whose subwords a worker keeps.
 BLOCK, AT_ONCE, CACHE = 3 << 20, 192, 300_000
+#: Windows whose attention is worked out at once.
+SLICE = 48
+#: Bytes of a word up to which it is hashed here.
+LONG = 64
 _LOWER = bytes(32 if 9 <= b <= 13 else b + 32 if 65 <= b <= 90 else b for b in range(256))
 #: Stands for the end of a text among its words; no word holds it.
 END = b"\n"
@@ -70,9 +75,65 @@ def held_out(doc_id: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 7 == 2, F.lit(False))
 
 
-def tokens_of(raw: np.ndarray, off: np.ndarray) -> tuple[list[bytes], np.ndarray, np.ndarray]:
-    """Different words of texts end to end, and last among them the end; each token's place in that list, each text with its end; and the number of tokens of each text."""
-    low = np.frombuffer(raw.tobytes().translate(_LOWER), np.uint8)
+class Words:
+    """Different words by ascending hash, as places in a buffer that has 8 bytes or more behind the last of them."""
+
+    def __init__(self, low: np.ndarray, at: np.ndarray, size: np.ndarray, keys: np.ndarray):
+        self.low, self.at, self.size, self.keys = low, at, size, keys
+
+    def __len__(self) -> int:
+        return len(self.keys)
+
+    def __getitem__(self, i: int) -> bytes:
+        return self.low[self.at[i] : self.at[i] + self.size[i]].tobytes()
+
+    def some(self, which: np.ndarray) -> list[bytes]:
+        data, at, size = self.low.tobytes(), self.at[which].tolist(), self.size[which].tolist()
+        return [data[a : a + n] for a, n in zip(at, size, strict=True)]
+
+
+def hashes(low: np.ndarray, at: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """64-bit hashes of pieces of a buffer (uint64, 8 bytes or more behind the last piece), by 8 bytes at a time; of long ones by xxhash."""
+    eights = low[: len(low) & -8].view(np.uint64)
+    keep = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
+    h = mix(size.astype(np.uint64))
+    far = np.flatnonzero(size > LONG)
+    left = np.flatnonzero(size <= LONG) if len(far) else slice(None)
+    begin, n, own = at[left], size[left], h[left]
+    while len(begin):
+        k, shift = begin >> 3, ((begin & 7) << 3).astype(np.uint64)
+        eight = eights.take(k) >> shift | eights.take(k + 1) << np.uint64(1) << (np.uint64(63) - shift)
+        own = mix(own ^ eight & keep.take(np.minimum(n, 8)))
+        h[left] = own
+        more = np.flatnonzero(n > 8)
+        left = more if isinstance(left, slice) else left[more]
+        begin, n, own = begin[more] + 8, n[more] - 8, own[more]
+    for i in far.tolist():
+        h[i] = xxhash.xxh64_intdigest(low[at[i] : at[i] + size[i]])
+    return h
+
+
+def different(low: np.ndarray, at: np.ndarray, size: np.ndarray) -> tuple[Words, np.ndarray]:
+    """The different ones of some words, and each word's place among them."""
+    coded = pa.array(hashes(low, at, size)).dictionary_encode()
+    keys, code = coded.dictionary.to_numpy(), coded.indices.to_numpy()
+    first = np.empty(len(keys), np.int64)
+    first[code[::-1]] = np.arange(len(code) - 1, -1, -1)
+    order = np.argsort(keys)
+    rank = np.empty(len(keys), np.int32)
+    rank[order] = np.arange(len(keys))
+    first = first[order]
+    return Words(low, at[first], size[first], keys[order]), rank.take(code)
+
+
+def _buffer(data: bytes) -> np.ndarray:
+    return np.frombuffer(data + bytes(16 - len(data) % 8), np.uint8)
+
+
+def tokens_of(raw: np.ndarray, off: np.ndarray) -> tuple[Words, np.ndarray, np.ndarray]:
+    """Different words of texts end to end, and among them the end; each token's place there, each text with its end; and the number of tokens of each text."""
+    whole = _buffer(raw.tobytes().translate(_LOWER) + END)
+    low = whole[: len(raw)]
     solid = low != 32
     first, last = solid.copy(), solid.copy()
     first[1:] &= ~solid[:-1]
@@ -81,15 +142,12 @@ def tokens_of(raw: np.ndarray, off: np.ndarray) -> tuple[list[bytes], np.ndarray
     first[off[:-1][full]], last[off[1:][full] - 1] = solid[off[:-1][full]], solid[off[1:][full] - 1]
     starts = np.flatnonzero(first)
     n = np.diff(np.searchsorted(starts, off)) + 1
-    begins = np.append(0, np.cumsum(np.flatnonzero(last) + 1 - starts))
-    words = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(begins.astype(np.int64)), pa.py_buffer(low[solid])]).dictionary_encode()
-    place = np.full(n.sum(), len(words.dictionary), np.int32)
+    words, found = different(whole, np.append(starts, len(raw)), np.append(np.flatnonzero(last) + 1 - starts, len(END)))
+    place = np.full(n.sum(), found[-1], np.int32)
     inside = np.ones(len(place), bool)
     inside[np.cumsum(n) - 1] = False
-    place[inside] = words.indices.to_numpy()
-    data, at = text_buffer(words.dictionary)
-    data, at = data.tobytes(), at.tolist()
-    return [*(data[a:z] for a, z in zip(at[:-1], at[1:], strict=True)), END], place, n
+    place[inside] = found[:-1]
+    return words, place, n
 
 
 def laid_out(parts: np.ndarray, ids: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -99,28 +157,29 @@ def laid_out(parts: np.ndarray, ids: np.ndarray, place: np.ndarray) -> tuple[np.
 
 
 class _Kept:
-    """Words with their hashes and subwords, these end to end."""
+    """Words by ascending hash with their subwords, these end to end."""
 
     def __init__(self):
-        self.index: dict[bytes, int] = {}
         self.keys, self.parts, self.ids = np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.uint16)
 
-    def find(self, words: list[bytes]) -> np.ndarray:
-        """Places of the words, -1 where there is none."""
-        return np.fromiter(map(self.index.get, words, repeat(-1)), np.int64, len(words))
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """Places of the hashes, -1 where there is none."""
+        if not len(self.keys):
+            return np.full(len(keys), -1)
+        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        return np.where(self.keys[at] == keys, at, -1)
 
-    def add(self, words: list[bytes], keys: np.ndarray, parts: np.ndarray, ids: np.ndarray) -> np.ndarray:
-        places = np.arange(len(self.index), len(self.index) + len(words))
-        self.index.update(zip(words, places.tolist(), strict=True))
-        self.keys, self.parts, self.ids = np.append(self.keys, keys), np.append(self.parts, parts), np.append(self.ids, ids)
-        return places
+    def get(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return self.parts[at], laid_out(self.parts, self.ids, at)[0]
 
-    def get(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        return self.keys[at], self.parts[at], laid_out(self.parts, self.ids, at)[0]
+    def add(self, keys: np.ndarray, parts: np.ndarray, ids: np.ndarray) -> None:
+        keys, parts, ids = np.append(self.keys, keys), np.append(self.parts, parts), np.append(self.ids, ids)
+        order = np.argsort(keys, kind="stable")
+        self.keys, self.parts, self.ids = keys[order], parts[order], laid_out(parts, ids, order)[0]
 
 
 class Subwords:
-    """Words as hashes and ids of subwords; the end is the number behind the last id. Words seen lately are kept."""
+    """Words as hashes and ids of subwords; the end is the number behind the last id. Words seen lately are kept, by their hashes."""
 
     def __init__(self, path: str):
         import sentencepiece
@@ -129,38 +188,43 @@ class Subwords:
         self.size, self.unknown = self.sp.vocab_size(), max(0, self.sp.unk_id())
         self.known, self.older = _Kept(), _Kept()
 
-    def _cut(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def _cut(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         got = [[self.size] if w == END else ids or [self.unknown] for w, ids in zip(words, self.sp.encode([w.decode("utf-8", "replace") for w in words], num_threads=1), strict=True)]
         parts = np.fromiter(map(len, got), np.int64, len(got))
-        return np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words)), parts, np.fromiter(chain.from_iterable(got), np.uint16, parts.sum())
+        return parts, np.fromiter(chain.from_iterable(got), np.uint16, parts.sum())
 
-    def rows(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Hashes, numbers of subwords and subwords of different words; those not known yet are cut in one call."""
-        if len(self.known.index) > CACHE:
+    def rows(self, words: Words) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers of subwords and subwords of different words; those not known yet are cut in one call."""
+        if len(self.known.keys) > CACHE:
             self.known, self.older = _Kept(), self.known
-        at = self.known.find(words)
-        for look in (True, False):
-            new = np.flatnonzero(at < 0)
-            some = [words[i] for i in new.tolist()]
-            if look and some:
-                there = self.older.find(some)
-                new, some, there = new[there >= 0], [w for w, i in zip(some, there.tolist(), strict=True) if i >= 0], there[there >= 0]
-            if some:
-                at[new] = self.known.add(some, *(self.older.get(there) if look else self._cut(some)))
-        return self.known.get(at)
+        new = np.flatnonzero(self.known.find(words.keys) < 0)
+        if len(new):
+            there = self.older.find(words.keys[new])
+            old, new = new[there >= 0], new[there < 0]
+            parts, ids = self.older.get(there[there >= 0])
+            if len(new):
+                more = self._cut(words.some(new))
+                parts, ids = np.append(parts, more[0]), np.append(ids, more[1])
+            self.known.add(words.keys[np.append(old, new)], parts, ids)
+        return self.known.get(self.known.find(words.keys))
 
     def of(self, words: list[bytes]) -> list[tuple[int, bytes]]:
-        """Hash and ids (as bytes) of different words."""
-        keys, parts, ids = self.rows(words)
-        return [(k, i.tobytes()) for k, i in zip(keys.tolist(), np.split(ids, np.cumsum(parts)[:-1]), strict=True)] if words else []
-
-    def block(self, words: list[bytes], place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Hash and ids (as bytes) of words."""
+        size = np.fromiter(map(len, words), np.int64, len(words))
+        found, place = different(_buffer(b"".join(words)), np.cumsum(size) - size, size)
+        parts, ids = self.rows(found)
+        each = [i.tobytes() for i in np.split(ids, np.cumsum(parts)[:-1])]
+        return [(int(found.keys[i]), each[i]) for i in place.tolist()]
+
+    def block(self, words: Words, place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Hashes of different words, ascending; the number of subwords of each and all of them end to end; and each token's place among the hashes."""
-        keys, parts, ids = self.rows(words)
-        order = np.argsort(keys, kind="stable")
-        rank = np.empty(len(keys), np.int32)
-        rank[order] = np.arange(len(keys))
-        return keys[order], parts[order], laid_out(parts, ids, order)[0], rank[place]
+        return words.keys, *self.rows(words), place
+
+
+@lru_cache(maxsize=1)
+def kept_subwords(path: str) -> Subwords:
+    """One for all tasks of a worker, so words of earlier tasks are known to later ones."""
+    return Subwords(path)
 
 
 def windows(lens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -175,8 +239,29 @@ def windows(lens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return inputs, np.where(out < lens[doc][:, None], first[:, None] + out, -1)
 
 
-def take(stream: np.ndarray, at: np.ndarray, none: int) -> np.ndarray:
-    return np.where(at >= 0, stream[np.maximum(at, 0)].astype(np.int64), none)
+def _by_id(ids: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """Sums of rows by id."""
+    ids = ids.astype(np.uint16)
+    order = np.argsort(ids, kind="stable")
+    ids = ids[order]
+    first = np.flatnonzero(np.append(True, ids[1:] != ids[:-1]))
+    two = np.complex64 if rows.dtype == np.float32 else np.complex128  # two numbers are added at once
+    out = np.zeros((VOCABULARY, rows.shape[1]), rows.dtype)
+    out[ids[first]] = np.add.reduceat(rows.take(order, 0).view(two), first, 0).view(rows.dtype)
+    return out
+
+
+def _parts(rows: np.ndarray) -> list[np.ndarray]:
+    """The rows by 1,024, so what is done to some of them finds them in a core's cache."""
+    return [rows[i : i + 1024] for i in range(0, len(rows), 1024)]
+
+
+def _times(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """a @ b, by 256 rows: for long narrow arrays that is the faster way."""
+    n, out = len(a) & -256, np.empty((len(a), b.shape[1]), np.result_type(a, b))
+    np.matmul(a[:n].reshape(-1, 256, a.shape[1]), b, out=out[:n].reshape(-1, 256, b.shape[1]))
+    np.matmul(a[n:], b, out=out[n:])
+    return out
 
 
 def _outer(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -201,6 +286,15 @@ class Attention:
     def __getstate__(self) -> dict:
         return {"p": self.p, "pairs": self.pairs, "of_class": None}
 
+    def copy(self) -> Attention:
+        """The same model with weights of its own; the tables made of pairs are laid out once for all copies."""
+        if self.of_class is None:
+            self._lay_out()
+        own = Attention.__new__(Attention)
+        own.__dict__ |= self.__dict__
+        own.p = {k: v.copy() for k, v in self.p.items()}
+        return own
+
     def _lay_out(self) -> None:
         before, behind, n = self.pairs
         counts = np.zeros((VOCABULARY, VOCABULARY))
@@ -214,31 +308,34 @@ class Attention:
         self.mask = (np.arange(WINDOW)[None] <= np.arange(CONTEXT, WINDOW)[:, None]).astype(np.float32)
 
     def _hidden(self, x: np.ndarray, keep: bool = True) -> tuple:
-        """Hidden values of the targets' places, and before them, if they are to be kept, what the gradients need."""
+        """Hidden values of the targets' places, and before them, if they are to be kept, what the gradients need; for some windows, whose arrays a core's cache can hold."""
         if self.of_class is None:
             self._lay_out()
         p = self.p
         h = p["e"].take(x, 0)
         h += p["pos"]
-        three = self._three()
-        qkv = (h.reshape(-1, WIDTH) @ three).reshape(*x.shape, 3 * WIDTH)
-        q, k, v = qkv[:, CONTEXT:, :WIDTH], qkv[..., WIDTH : 2 * WIDTH], qkv[..., 2 * WIDTH :]
-        s = q @ np.ascontiguousarray(k.transpose(0, 2, 1))
-        if s.size and not s.max() <= 60:
-            np.minimum(s, np.float32(60), out=s)  # no sum can overflow, so no maximum needs to come off
-        np.exp(s, out=s)
-        s *= self.mask
-        each = 1 / (s @ np.ones(WINDOW, s.dtype))[..., None]
-        a = s @ v
+        across, both = np.ascontiguousarray(h.transpose(0, 2, 1)), self._both()
+        rows = STRIDE * (2 if keep else 1)  # the gradients take as much room again
+        q, s = np.empty((len(x), rows, WIDTH), h.dtype), np.empty((len(x), rows, WINDOW), h.dtype)
+        np.matmul(h[:, CONTEXT:], both, out=q[:, -STRIDE:])  # in the end ds meets the queries, s the gradients of values
+        own = s[:, :STRIDE]
+        np.matmul(q[:, -STRIDE:], across, out=own)
+        if own.size and not own.max() <= 60:
+            np.minimum(own, np.float32(60), out=own)  # no sum can overflow, so no maximum needs to come off
+        np.exp(own, out=own)
+        own *= self.mask
+        each = 1 / (own @ np.ones(WINDOW, s.dtype))[..., None]
+        seen = own @ h
+        a = seen @ p["v"]
         a *= each
         z = p["last"].take(x[:, CONTEXT:], 0)
         z += a
         np.tanh(z, out=z)
-        return (h, three, q, k, v, s, each, a, z) if keep else (z,)
+        return (h, across, both, q, s, each, seen, a, z) if keep else (z,)
 
-    def _three(self) -> np.ndarray:
-        """The weights of queries (scaled), keys and values side by side."""
-        return np.concatenate([self.p["q"] * np.float32(WIDTH**-0.5), self.p["k"], self.p["v"]], axis=1)
+    def _both(self) -> np.ndarray:
+        """The weights of queries and keys (scaled) as one: queries meet the inputs themselves, and so do the values."""
+        return self.p["q"] @ self.p["k"].T * np.float32(WIDTH**-0.5)
 
     def _targets(self, x: np.ndarray, y: np.ndarray, z: np.ndarray) -> tuple:
         """Targets in order of their classes: places, classes, members, hidden values, weights of classes and of members, and where classes begin."""
@@ -247,8 +344,10 @@ class Attention:
         y = y.ravel()[place]
         c, member = y >> _SHIFT, y & (MEMBERS - 1)
         before, z = x[:, CONTEXT:].ravel()[place], z.reshape(-1, WIDTH).take(place, 0)
-        classes = z @ self.p["u"]
-        classes += self.of_class.take(before, 0)
+        classes = np.empty((len(place), CLASSES), z.dtype)
+        for some, at, of in zip(_parts(classes), _parts(before), _parts(z), strict=True):
+            np.matmul(of, self.p["u"], out=some)
+            some += self.of_class.take(at, 0)
         members = self.in_class.reshape(-1, MEMBERS).take(before * CLASSES + c, 0)
         cut = np.searchsorted(c, np.arange(CLASSES + 1)).tolist()
         for k in range(CLASSES):
@@ -262,62 +361,71 @@ class Attention:
 
     def log_probability(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
         """Natural log of each target's probability; 0 where the target is negative."""
-        place, c, member, _, classes, members, _ = self._targets(x, y, self._hidden(x, False)[-1])
-        n, out = np.arange(len(place)), np.zeros(y.size)
-        small = self._small()
+        z = np.concatenate([self._hidden(x[i : i + SLICE], False)[-1] for i in range(0, len(x), SLICE)] or [np.empty((0, STRIDE, WIDTH), np.float32)])
+        place, c, member, _, classes, members, _ = self._targets(x, y, z)
+        out, total, small = np.zeros(y.size), np.zeros(len(place)), self._small()
         for logits, at in ((classes, c), (members, member)):
             if not small:
                 logits -= logits.max(1, keepdims=True)
-            got = logits[n, at]
-            np.exp(logits, out=logits)
-            out[place] += got - np.log(logits @ np.ones(logits.shape[1], logits.dtype))
+            total += logits.ravel().take(np.arange(0, logits.size, logits.shape[1]) + at)
+            ones = np.ones(logits.shape[1], logits.dtype)
+            for some in _parts(logits):
+                np.exp(some, out=some)
+            total -= np.log(logits @ ones)
+        out[place] = total
         return out.reshape(y.shape)
 
     def gradients(self, x: np.ndarray, y: np.ndarray) -> dict[str, np.ndarray]:
-        p, (h, three, q, k, v, s, each_s, a, z) = self.p, self._hidden(x)
+        p, kept = self.p, [self._hidden(x[i : i + SLICE]) for i in range(0, len(x), SLICE)]
+        z = np.concatenate([k[-1] for k in kept])
         place, c, member, zt, classes, members, cut = self._targets(x, y, z)
-        n = np.arange(len(place))
-        small, each = self._small(), np.float32(1 / max(1, len(n)))
+        small, each = self._small(), np.float32(1 / max(1, len(place)))
         for logits, at in ((classes, c), (members, member)):
             if not small:
                 logits -= logits.max(1, keepdims=True)
-            np.exp(logits, out=logits)
-            logits *= (each / (logits @ np.ones(logits.shape[1], logits.dtype)))[:, None]
-            logits[n, at] -= each
+            ones = np.ones(logits.shape[1], logits.dtype)
+            for some in _parts(logits):
+                np.exp(some, out=some)
+                some *= (each / (some @ ones))[:, None]
+            logits.reshape(-1)[np.arange(0, logits.size, logits.shape[1]) + at] -= each
         g = {"u": _outer(zt, classes), "m": np.zeros_like(p["m"])}
-        dt = classes @ p["u"].T
+        dt = _times(classes, np.ascontiguousarray(p["u"].T))
         for j in range(CLASSES):
             if cut[j] < cut[j + 1]:
                 some = slice(cut[j], cut[j + 1])
-                g["m"][j] = zt[some].T @ members[some]
+                np.matmul(zt[some].T, members[some], out=g["m"][j])
                 dt[some] += members[some] @ p["m"][j].T
-        dz = np.zeros((y.size, WIDTH), np.float32)
+        dz = np.zeros((y.size, WIDTH), dt.dtype)
         dz[place] = dt
         do = dz.reshape(*y.shape, WIDTH)
-        do *= 1 - z * z
-        dn = do * each_s  # s is not divided by its sums
-        ds = dn @ np.ascontiguousarray(v.transpose(0, 2, 1))
-        ds -= ((dn * a) @ np.ones(WIDTH, dn.dtype))[..., None]
-        ds *= s
-        d = np.empty((*x.shape, 3 * WIDTH), h.dtype)
-        d[:, :CONTEXT, :WIDTH] = 0
-        np.matmul(ds, k, out=d[:, CONTEXT:, :WIDTH])
-        np.matmul(ds.transpose(0, 2, 1), q, out=d[..., WIDTH : 2 * WIDTH])
-        np.matmul(s.transpose(0, 2, 1), dn, out=d[..., 2 * WIDTH :])
-        d = d.reshape(-1, 3 * WIDTH)
-        g["q"], g["k"], g["v"] = np.split(_outer(h.reshape(-1, WIDTH), d), 3, axis=1)
-        g["q"] = g["q"] * np.float32(WIDTH**-0.5)
-        dh = (d @ three.T).reshape(h.shape)
+        dh, of_both, of_v = np.empty((*x.shape, WIDTH), dt.dtype), 0, 0
+        for i, one in zip(range(0, len(x), SLICE), kept, strict=True):
+            dh[i : i + SLICE], more, of_values = self._attention_gradients(do[i : i + SLICE], *one)
+            of_both, of_v = of_both + more, of_v + of_values
+        of_both = of_both * np.float32(WIDTH**-0.5)
+        g["q"], g["k"], g["v"] = of_both @ p["k"], of_both.T @ p["q"], of_v
         g["pos"] = dh.sum(0)
         for name, at, what in (("e", x, dh), ("last", x[:, CONTEXT:], do)):
-            ids = at.ravel().astype(np.uint16)
-            order = np.argsort(ids, kind="stable")
-            ids = ids[order]
-            first = np.flatnonzero(np.append(True, ids[1:] != ids[:-1]))
-            g[name] = np.zeros((VOCABULARY, WIDTH), what.dtype)
-            g[name][ids[first]] = np.add.reduceat(what.reshape(-1, WIDTH).take(order, 0), first, 0)
+            g[name] = _by_id(at.ravel(), what.reshape(-1, WIDTH))
         return g
 
+    def _attention_gradients(self, do: np.ndarray, h: np.ndarray, across: np.ndarray, both: np.ndarray, q: np.ndarray, s: np.ndarray, each: np.ndarray, seen: np.ndarray, a: np.ndarray, z: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """From the gradients of some windows' hidden values, which become those before tanh: of h, and of the weights of queries with keys and of values."""
+        np.multiply(z, z, out=z)
+        np.subtract(1, z, out=z)
+        do *= z
+        dn = do * each  # s is not divided by its sums
+        own, ds = s[:, :STRIDE], s[:, STRIDE:]
+        np.matmul(dn, self.p["v"].T, out=q[:, :STRIDE])
+        np.matmul(q[:, :STRIDE], across, out=ds)
+        a *= dn
+        ds -= (a @ np.ones(WIDTH, dn.dtype))[..., None]
+        ds *= own
+        dq = ds @ h
+        dh = s.transpose(0, 2, 1) @ q
+        dh[:, CONTEXT:] += dq @ both.T
+        return dh, (across[:, :, CONTEXT:] @ dq).sum(0), _outer(seen.reshape(-1, WIDTH), dn.reshape(-1, WIDTH))
+
     def train(self, rows: np.ndarray, top: float, batch: int) -> None:
         """One pass over windows (WINDOW inputs and the last target, ids, -1 behind the text) in the order given."""
         names, p = list(self.p), np.concatenate([v.ravel() for v in self.p.values()])
@@ -338,17 +446,19 @@ class Attention:
             np.divide(w, 1 - 0.99**t, out=g)
             np.sqrt(g, out=g)
             g += 1e-8
-            p -= rate * (m / (1 - 0.9**t)) / g
+            np.divide(m, g, out=g)
+            g *= rate / (1 - 0.9**t)
+            p -= g
 
     def score(self, stream: np.ndarray, lens: np.ndarray) -> np.ndarray:
         """Natural log probability of each id of the texts."""
-        inputs, targets = windows(lens)
-        out = np.zeros(len(stream))
-        for a in range(0, len(inputs), AT_ONCE):
-            at = targets[a : a + AT_ONCE]
-            got = self.log_probability(take(stream, inputs[a : a + AT_ONCE], 0), take(stream, at, -1))
-            out[at[at >= 0]] = got[at >= 0]
-        return out
+        rows, number = training_windows(stream.astype(np.uint16), lens, 0), np.arange(_NONE + 1)
+        number[_NONE], out = -1, [np.empty(0)]
+        for a in range(0, len(rows), AT_ONCE):
+            some = number.take(rows[a : a + AT_ONCE])
+            y = some[:, CONTEXT + 1 :]
+            out.append(self.log_probability(np.maximum(some[:, :WINDOW], 0), y)[y >= 0])  # in the order of the texts
+        return np.concatenate(out)
 
 
 def _merged(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -380,7 +490,7 @@ def gathered(docs: DataFrame, path: str) -> tuple[DataFrame, str]:
         return pa.RecordBatch.from_arrays([pa.array([got.get(n)], kinds[k]) for n, k in fields], names=[n for n, _ in fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        subwords, z = Subwords(path), zstandard.ZstdCompressor(level=3)
+        subwords, z = kept_subwords(path), zstandard.ZstdCompressor(level=3)
         part, at = TaskContext.get().partitionId(), 0
         keys, counts, size = [np.empty(0, np.uint64)], [np.empty(0, np.uint64)], 0
         for b in blocks(batches, BLOCK):
@@ -494,11 +604,10 @@ def _pass(table: DataFrame, model: Attention, number: np.ndarray, shards: int, r
         rows = np.concatenate([np.frombuffer(x.as_buffer(), np.uint16).reshape(-1, WINDOW + 1) for b in group for x in column(b, "windows")])
         h = _window_hash(rows)
         rows, h = rows[np.argsort(h, kind="stable")], np.sort(h)
-        copy = np.arange(len(h)) - np.searchsorted(h, h)
-        rows = rows[np.argsort(mix(h + copy.astype(np.uint64)), kind="stable")]  # whatever way they came, copies apart
+        nth = np.arange(len(h)) - np.searchsorted(h, h)
+        rows = rows[np.argsort(mix(h + nth.astype(np.uint64)), kind="stable")]  # whatever way they came, copies apart
         model, number = shared.value
-        own = Attention(model.pairs)
-        own.p = {k: v.copy() for k, v in model.p.items()}
+        own = model.copy()
         numbers = np.full(_NONE + 1, -1)
         numbers[: len(number)] = number
         own.train(numbers.take(rows), rate, batch)
@@ -556,21 +665,21 @@ def score_texts(docs: DataFrame, path: str | None = None) -> DataFrame:
                 planes = np.frombuffer(_opened(column(b, "places")[r]), np.uint8).reshape(4, -1)
                 place = np.ascontiguousarray(planes.T).view(np.uint32).ravel().astype(np.int64)
                 parts = np.frombuffer(_opened(column(b, "parts")[r]), np.uint32).astype(np.int64)
-                c, doc = joined(column(b, "parts_found")[r])[place].astype(np.float64), np.repeat(np.arange(len(lens)), lens)
-                base = np.bincount(doc, np.log10((c + 1) / (n + 1 * (v + 1))), len(lens))
+                c, doc = joined(column(b, "parts_found")[r]).astype(np.float64), np.repeat(np.arange(len(lens)), lens)  # of each word
+                base = np.bincount(doc, np.log10((c + 1) / (n + 1 * (v + 1)))[place], len(lens))
                 stream, each = laid_out(parts, np.frombuffer(_opened(column(b, "ids")[r]), np.uint16), place)
                 logs = model.score(number[stream], np.add.reduceat(each, np.cumsum(lens) - lens)) + share[stream]
                 logs = np.add.reduceat(logs, np.cumsum(each) - each)  # of each token
                 if n:
-                    whole = np.log(np.where(c > 0, c, 1) * (MIX / n))
+                    whole = (c * (MIX / n))[place]
                     logs += np.log1p(-MIX)
-                    logs = np.where(c > 0, np.logaddexp(whole, logs), logs)
+                    logs = np.where(whole > 0, np.log(np.where(whole > 0, whole + np.exp(logs), 1)), logs)
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(column(b, "doc_ids")[r].as_py(), pa.int64()),
                         pa.array(column(b, "held")[r].as_py(), pa.bool_()),
                         pa.array(lens, pa.int64()),
-                        pa.array(np.bincount(doc, c > 0, len(lens)).astype(np.int64), pa.int64()),
+                        pa.array(np.bincount(doc, (c > 0)[place], len(lens)).astype(np.int64), pa.int64()),
                         pa.array([n] * len(lens), pa.int64()),
                         pa.array(base, pa.float64()),
                         pa.array(np.bincount(doc, logs, len(lens)) / np.log(10), pa.float64()),
