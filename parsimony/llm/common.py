@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import atexit
-import ctypes
-import gc
 import os
 import shutil
 import tempfile
@@ -19,6 +17,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from parsimony.functions.batches import BATCH_BYTES, bound_batches, give_back  # noqa: F401
+
 #: Text bytes handled at once in a Python worker; a single longer text is a block of its own.
 BLOCK_BYTES = 4 << 20
 
@@ -51,16 +51,6 @@ def drop_folder(spark: SparkSession, path: str) -> None:
     hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hpath, True)
 
 
-#: Bytes of rows that go to a Python worker at once; rows may hold long texts or large blobs.
-BATCH_BYTES = 8 << 20
-
-
-def bound_batches(spark: SparkSession) -> None:
-    """From now on Arrow batches of this session are bounded by bytes as well as by rows."""
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
-
-
 def stored(df: DataFrame, tag: str) -> DataFrame:
     """df written as Parquet in the shared folder and read back: lineage is cut, lost executors cost nothing."""
     spark = df.sparkSession
@@ -189,16 +179,6 @@ def text_buffer(arr: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw, off - off[0]
 
 
-def give_back() -> None:
-    """Returns memory that this worker has freed to the system; workers idle between tasks, also those of other operators."""
-    gc.collect()
-    pa.default_memory_pool().release_unused()
-    try:
-        ctypes.CDLL(None).malloc_trim(0)
-    except (AttributeError, OSError):  # not that C library
-        pass
-
-
 def blocks(batches: Iterator[pa.RecordBatch], limit: int = BLOCK_BYTES, text: str = "text") -> Iterator[pa.RecordBatch]:
     """Slices of the batches with at most `limit` text bytes each, or with one row."""
     for b in batches:

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from parsimony.functions import json_tree as jt
+from parsimony.functions.batches import bounded, by_pieces
 from parsimony.functions.text import col
 from parsimony.operators import prune as P
 
@@ -23,18 +24,19 @@ def _pairs(*names: str) -> T.ArrayType:
 
 
 def _mapped(values: pa.Array, f: Callable[[str], Any], kind: pa.DataType) -> pa.Array:
-    """f of each distinct value, once."""
-    known: dict[str, Any] = {}
+    """f of each distinct value of a piece, once."""
 
-    def one(x: str) -> Any:
-        if x not in known:
-            try:
-                known[x] = f(x)
-            except jt.JsonError:
-                known[x] = None
-        return known[x]
+    def piece(xs: list[str | None]) -> list:
+        known: dict[str | None, Any] = {None: None}
+        for x in xs:
+            if x not in known:
+                try:
+                    known[x] = f(x)
+                except jt.JsonError:
+                    known[x] = None
+        return [known[x] for x in xs]
 
-    return pa.array([None if x is None else one(x) for x in values.to_pylist()], kind)
+    return by_pieces(piece, kind, values)
 
 
 def column_function(f: Callable[[str], str | None]) -> Callable[[Column | str], Column]:
@@ -43,7 +45,7 @@ def column_function(f: Callable[[str], str | None]) -> Callable[[Column | str],
         return _mapped(values, f, pa.string())
 
     def call(c: Column | str) -> Column:
-        return run(col(c))
+        return bounded(run, col(c))
 
     call.udf = run
     return call
@@ -78,7 +80,7 @@ def protected_segments(c: Column | str, fmt: str) -> Column:
     def run(values: pa.Array) -> pa.Array:
         return _mapped(values, lambda t: jt.protected_segments(t, fmt), pa.list_(pa.string()))
 
-    return run(col(c))
+    return bounded(run, col(c))
 
 
 def shape_kept(before: Column | str, after: Column | str, fmt: str) -> Column:
@@ -86,9 +88,9 @@ def shape_kept(before: Column | str, after: Column | str, fmt: str) -> Column:
 
     @F.arrow_udf(T.BooleanType())
     def run(a: pa.Array, b: pa.Array) -> pa.Array:
-        return pa.array([None if x is None or y is None else jt.shape_kept(x, y, fmt) for x, y in zip(a.to_pylist(), b.to_pylist(), strict=True)], pa.bool_())
+        return by_pieces(lambda xs, ys: [None if x is None or y is None else jt.shape_kept(x, y, fmt) for x, y in zip(xs, ys, strict=True)], pa.bool_(), a, b)
 
-    return run(col(before), col(after))
+    return bounded(run, col(before), col(after))
 
 
 def prune(c: Column | str, ratio: float, preserve: Sequence[str] = (), namespace: str = "default") -> Column:
@@ -107,7 +109,7 @@ def prune(c: Column | str, ratio: float, preserve: Sequence[str] = (), namespace
     def run(values: pa.Array) -> pa.Array:
         return _mapped(values, one, kind)
 
-    return run(col(c))
+    return bounded(run, col(c))
 
 
 def markers(c: Column | str) -> Column:
@@ -130,15 +132,17 @@ def markers(c: Column | str) -> Column:
     def run(values: pa.Array) -> pa.Array:
         return _mapped(values, lambda t: [{"namespace": n, "hash": h} for n, h in found(jt.loads(t), {})], kind)
 
-    return run(col(c))
+    return bounded(run, col(c))
 
 
 def revert(c: Column | str, bodies: Column | str) -> Column:
     """The payload with the items put back that bodies (array of hash and body) hold; other markers stay."""
 
+    def piece(texts: list[str | None], found: list[list[dict] | None]) -> list[str | None]:
+        return [t if t is None or not b else P.revert(t, {x["hash"]: x["body"] for x in b}) for t, b in zip(texts, found, strict=True)]
+
     @F.arrow_udf(T.StringType())
     def run(texts: pa.Array, found: pa.Array) -> pa.Array:
-        rows = zip(texts.to_pylist(), found.to_pylist(), strict=True)
-        return pa.array([t if t is None or not b else P.revert(t, {x["hash"]: x["body"] for x in b}) for t, b in rows], pa.string())
+        return by_pieces(piece, pa.string(), texts, found)
 
-    return run(col(c), col(bodies))
+    return bounded(run, col(c), col(bodies))
