@@ -6,6 +6,7 @@ import tracemalloc
 import pyarrow as pa
 import pytest
 
+from parsimony import queries
 from parsimony.functions import batches
 from parsimony.operators import json_columns as J
 
@@ -65,3 +66,9 @@ def test_json_columns_bound_their_batches(wide):
         wide.conf.set(BYTES, "64m")
         make()
         assert int(wide.conf.get(BYTES)) == batches.BATCH_BYTES
+
+
+@pytest.mark.parametrize("name", ["json_prune", "json_prune_counts", "lossy_restore"])
+def test_queries_bound_their_batches(wide, name):
+    queries.Q[name](wide, "/root/testdata/sf0.001")
+    assert int(wide.conf.get(BYTES)) == batches.BATCH_BYTES
