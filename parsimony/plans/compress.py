@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from parsimony.functions import json_tree as jt
+from parsimony.functions.batches import bounded, by_pieces
 from parsimony.functions.text import SECRETS, detect_format, redact, redaction_count, tokens
 from parsimony.operators import lines as L
 from parsimony.operators.prune import estimate, prune
@@ -139,16 +140,19 @@ def _json_result(policy: Policy):
     """An Arrow function of clean text and format; null for rows of text formats."""
     names = [f.name for f in _RECEIPT]
 
-    @F.arrow_udf(_JSON)
-    def run(texts: pa.Array, formats: pa.Array) -> pa.Array:
-        rows = []
-        for t, f in zip(texts.to_pylist(), formats.to_pylist(), strict=True):
+    def piece(texts: list[str | None], formats: list[str]) -> list[dict | None]:
+        rows: list[dict | None] = []
+        for t, f in zip(texts, formats, strict=True):
             if t is None:
                 rows.append(None)
                 continue
             out, status, receipts, dropped, lossless = compress_json(t, f, policy)
             rows.append({"out": out, "status": status, "transforms": [dict(zip(names, r, strict=True)) for r in receipts], "dropped": [{"hash": h, "body": x} for h, x in dropped], "lossless": lossless})
-        return pa.array(rows, _JSON_TYPE)
+        return rows
+
+    @F.arrow_udf(_JSON)
+    def run(texts: pa.Array, formats: pa.Array) -> pa.Array:
+        return by_pieces(piece, _JSON_TYPE, texts, formats)
 
     return run
 
@@ -197,7 +201,7 @@ def compress(payloads: DataFrame, policy: Policy = Policy(), fmt: Column | None
     rows = rows.withColumn("met", F.lit(False) if policy.target_tokens is None else F.col("original_tokens") <= policy.target_tokens)
     rows = rows.withColumn("clean", F.when(F.col("met"), F.col("body")).otherwise(redact("body"))).withColumn("redacted", F.when(F.col("met"), F.lit(0).cast("long")).otherwise(redaction_count("body"))).drop("body")
     is_json = F.col("format").isin(*JSON_FORMATS) & ~F.col("met")
-    work = rows.withColumn("json", _json_result(policy)(F.when(is_json, F.col("clean")), F.col("format")))
+    work = rows.withColumn("json", bounded(_json_result(policy), F.when(is_json, F.col("clean")), F.col("format")))
     work = _text_result(work, policy)
     pick = lambda c: F.when(is_json, F.col("json")[c]).otherwise(F.col(c))
     out = work.withColumn("out", pick("out")).withColumn("transforms", pick("transforms"))

@@ -9,6 +9,8 @@ import pytest
 from parsimony import queries
 from parsimony.functions import batches
 from parsimony.operators import json_columns as J
+from parsimony.plans import compress as plan
+from parsimony.plans.policy import Policy
 
 BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 
@@ -72,3 +74,11 @@ def test_json_columns_bound_their_batches(wide):
 def test_queries_bound_their_batches(wide, name):
     queries.Q[name](wide, "/root/testdata/sf0.001")
     assert int(wide.conf.get(BYTES)) == batches.BATCH_BYTES
+
+
+def test_compress_holds_a_piece_of_its_batch(spark):
+    texts = [payload(k) for k in range(800)]
+    run = plan._json_result(Policy(lossy="json_prune", lossy_ratio=0.2)).func
+    got, most = peak(run, pa.array([*texts, None]), pa.array(["json"] * len(texts) + ["plain_text"]))
+    assert most < 6 and len(got) == len(texts) + 1 and got[-1].as_py() is None
+    assert all(r["dropped"] and len(r["out"]) < len(t) for r, t in zip(got.to_pylist(), texts))
