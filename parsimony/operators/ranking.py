@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from parsimony.functions.batches import bound_batches, give_back, pieces
+
 
 def tokenize_alnum(c: Column) -> Column:
     """Lower-cased runs of letters and digits, Unicode-wide."""
@@ -133,10 +135,12 @@ def unit_scores(per_doc: DataFrame, selector: str, query: Sequence[str] = (), le
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             at = b.schema.get_field_index("units")
-            units = b.column(at).to_pylist()
-            got = [scores(u) if u else [] for u in units]
-            yield pa.RecordBatch.from_arrays([b.column(1 - at), b.column(at), pa.array(got, pa.list_(pa.float64()))], names=["doc_id", "units", "scores"])
+            for ids, units in pieces([b.column(1 - at), b.column(at)]):
+                got = [scores(u) if u else [] for u in units.to_pylist()]
+                yield pa.RecordBatch.from_arrays([ids, units, pa.array(got, pa.list_(pa.float64()))], names=["doc_id", "units", "scores"])
+        give_back()
 
+    bound_batches(per_doc.sparkSession)
     kind = per_doc.schema["doc_id"].dataType.simpleString()
     rows = per_doc.select("doc_id", "units").mapInArrow(run, f"doc_id {kind}, units array<string>, scores array<double>")
     return rows.select("doc_id", F.posexplode(F.arrays_zip("units", "scores")).alias("pos", "x")).select("doc_id", "pos", F.col("x.units").alias("unit"), F.col("x.scores").alias("score"))

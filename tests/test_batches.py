@@ -9,6 +9,7 @@ import pytest
 from parsimony import queries
 from parsimony.functions import batches
 from parsimony.operators import json_columns as J
+from parsimony.operators import ranking
 from parsimony.plans import compress as plan
 from parsimony.plans.policy import Policy
 
@@ -82,3 +83,18 @@ def test_compress_holds_a_piece_of_its_batch(spark):
     got, most = peak(run, pa.array([*texts, None]), pa.array(["json"] * len(texts) + ["plain_text"]))
     assert most < 6 and len(got) == len(texts) + 1 and got[-1].as_py() is None
     assert all(r["dropped"] and len(r["out"]) < len(t) for r, t in zip(got.to_pylist(), texts))
+
+
+@pytest.mark.parametrize("selector", ["frequency", "surprisal", "bm25"])
+def test_selectors_hold_a_piece_of_their_batch(wide, monkeypatch, selector):
+    made = []
+    docs = wide.createDataFrame([(1, ["a"])], "doc_id long, units array<string>")
+    original = type(docs).mapInArrow
+    monkeypatch.setattr(type(docs), "mapInArrow", lambda self, f, schema: made.append(f) or original(self, f, schema))
+    ranking.unit_scores(docs, selector, ["w3"])
+    assert int(wide.conf.get(BYTES)) == batches.BATCH_BYTES
+    units = [[f"w{(i * k) % 17} line {i} of text {k} w{i}\n" for i in range(100)] for k in range(3000)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(3000), pa.int64()), pa.array(units)], names=["doc_id", "units"])
+    assert batch.nbytes > 8 << 20
+    got, most = peak(lambda: [(b.num_rows, b.column(2).to_pylist()[0][:2]) for b in made[0](iter([batch]))])
+    assert most < 12 and sum(n for n, _ in got) == 3000 and all(len(s) == 2 for _, s in got)
